@@ -133,7 +133,7 @@ class NeighbourGraph:
         found = centred.groupBy("b").applyInPandas(joined, EDGE)
         return _best(self.graph.unionByName(found), degree, self.groups)
 
-    def search(self, queries: DataFrame, k: int = 10, beam: int = 128, width: int = 32, hops: int = 4) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, beam: int = 256, width: int = 64, hops: int = 6) -> DataFrame:
         """(query_id, rank, vec_id, score): the k nearest found of each row (vec_id) of queries, a part of the indexed table.
 
         The walk starts at the query's own node. A node's copies are expanded at the end, the smallest ids first.
