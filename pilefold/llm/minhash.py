@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -75,6 +76,50 @@ def band_hashes(s: np.ndarray, factors: np.ndarray, bands: int) -> np.ndarray:
     return out.view("i8")
 
 
+#: Buckets of more classes are compared in cells of two blocks of about BLOCK classes.
+SMALL, BLOCK = 16, 400
+
+
+def _similar(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of a cell's outsiders: one to each other component that has a similar enough member."""
+    out = pdf["outsider"].to_numpy()
+    mem, sat = pdf[~out].reset_index(drop=True), pdf[out].reset_index(drop=True)
+    found: list[tuple[int, int]] = []
+    if len(mem) and len(sat):
+        size = np.array([len(s) for s in mem["s"]])
+        tokens, owner = np.concatenate(mem["s"].to_list()), np.repeat(np.arange(len(mem)), size)
+        comps, reps = mem["c"].to_numpy(), mem["rep"].to_numpy()
+        for at in range(0, len(sat), 16):
+            some = sat.iloc[at : at + 16]
+            known = np.unique(np.concatenate(some["s"].to_list()))
+            mark = np.zeros((len(known), len(some)), "i4")
+            for k, s in enumerate(some["s"]):
+                mark[np.searchsorted(known, s), k] = 1
+            where = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+            hit = known[where] == tokens
+            if not hit.any():
+                continue
+            who = owner[hit]
+            first = np.nonzero(np.diff(who, prepend=-1))[0]
+            common = np.zeros((len(mem), len(some)), "i8")
+            common[who[first]] = np.add.reduceat(mark[where[hit]], first, axis=0)
+            for k, (rep, c, s) in enumerate(zip(some["rep"], some["c"], some["s"])):
+                i = common[:, k]
+                near = np.nonzero((i * 100 >= (size + len(s) - i) * percent) & (comps != c))[0]
+                for _, m in sorted({int(comps[m]): int(reps[m]) for m in near[::-1]}.items()):
+                    found.append((min(rep, m), max(rep, m)))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="i8")
+
+
+def _cells(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across the components of large buckets. rows: (h, rep, c, main, g, gs, s)."""
+    block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inner = rows.select("h", "rep", "c", "s", F.lit(False).alias("outsider"), block("g", 1).alias("i"), every("gs").alias("j"))
+    outer = rows.filter("c <> main").select("h", "rep", "c", "s", F.lit(True).alias("outsider"), every("g").alias("i"), block("gs", 2).alias("j"))
+    return inner.unionByName(outer).groupBy("h", "i", "j").applyInPandas(lambda pdf: _similar(pdf, percent), "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. array_intersect runs in the JVM; the exchange carries two sets a pair."""
     one = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
@@ -90,8 +135,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, perms: i
     3. In each bucket of a band a leader is drawn by hash; each class is a candidate with the leaders of
        its buckets, so a bucket of n classes gives n - 1 pairs. First each class is confirmed against one
        leader; pairs inside a component that has formed are not needed any more; the rest is confirmed.
-    4. What is exact is not left to leaders: buckets in which several components remain give all pairs
-       across those components that were not tried yet.
+    4. What is exact is not left to leaders: in buckets in which several components remain, each class
+       outside the bucket's main component is compared with every class of another component. Small
+       buckets give pairs; larger ones are dealt out as cells of two bounded blocks, in which sets are
+       compared without a row for each pair.
     Components are over confirmed links. A text without words has an empty set, links with nothing and is
     kept; so is a row whose doc_id is null (component null). Rows that repeat a doc_id count as one
     document with several texts. Other columns are not read; an empty table gives an empty result.
@@ -147,14 +194,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, perms: i
     links, comp = grown(links, _verified(second, sets, percent))
 
     inside = members.select("h", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("c"))
-    open_ = inside.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
-    open_rows = saved(inside.join(open_, "h", "left_semi"), "open")
-    x, y = (open_rows.select("h", F.col("rep").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
+    per = inside.groupBy("h", "c").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("main"))
+    per = per.filter("main.n < n").select("h", "n", F.col("main.c").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("g"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("gs"))
+    open_rows = saved(inside.join(per, "h"), "open")
+    x, y = (open_rows.filter(F.col("n") <= SMALL).select("h", F.col("rep").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
     third = x.join(y, "h").filter("ca <> cb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    third = saved(third, "third")
-    if third.limit(1).count():
-        links, comp = grown(links, _verified(third, sets, percent))
-    for t in (pairs, second, open_rows, third, members, sets):
+    large = open_rows.filter(F.col("n") > SMALL).join(sets.withColumnRenamed("id", "rep"), "rep")
+    cells = _cells(large, percent)
+    links, comp = grown(links, _verified(third, sets, percent).unionByName(cells))
+    for t in (pairs, second, open_rows, members, sets):
         forget(t)
 
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
