@@ -101,3 +101,9 @@ class BamSource(DataSource):
 
     def reader(self, schema: StructType) -> BamReader:
         return BamReader(self.options)
+
+
+def register(spark) -> None:
+    """Makes format("bam") known, with filters pushed into it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BamSource)
