@@ -191,7 +191,7 @@ def test_sam_bam_fasta_bed_vcf(spark, tmp_path):
 
 def test_end_to_end_calls(spark):
     ref = spark.createDataFrame([("1", 0, "ACGT" * 100)], "chrom string, block_start long, seq string")
-    reads = spark.createDataFrame([read("N", "40M", order=i) for i in range(10)] + [read("T", "40M", order=20 + i, seq=("ACGT" * 10)[:20] + ("G" if i < 5 else "A") + ("ACGT" * 10)[21:]) for i in range(10)], READS)
+    reads = spark.createDataFrame([read("N", "40M", order=i) for i in range(10)] + [read("T", "40M", order=20 + i, seq=("ACGT" * 10)[:20] + ("G" if i < 6 else "A") + ("ACGT" * 10)[21:]) for i in range(10)], READS)
     c = pipeline.snv_candidates(reads)
     assert [tuple(r) for r in c.collect()] == [("1", 120)]
     p = pipeline.predict(c, reads, ref, 400, "snv", S.Network.seeded(0)).withColumn("pred_true", F.lit(0.9))
