@@ -31,6 +31,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -76,7 +78,7 @@ class Vocabulary:
     def compatible(self, a: int, b: int) -> bool:
         known = self._compatible.get((a, b))
         if known is None:
-            if len(self._compatible) > 2_000_000:
+            if len(self._compatible) > 500_000:
                 self._compatible.clear()
             both = self.bytes_of[a] + self.bytes_of[b]
             known = self._compatible[a, b] = self._merged([self.id_of[bytes([x])] for x in both]) == [a, b]
@@ -165,7 +167,7 @@ class Encoder:
     of over `long` bytes go straight through the transducer.
     """
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 250_000, long: int = 64):
+    def __init__(self, vocabulary: Vocabulary, keep: int = 120_000, long: int = 64):
         self.v, self.keep, self.long = vocabulary, keep, long
         self.words, self.blanks = regex.compile(PATTERN), regex.compile(r"\s+")
         self.added = regex.compile("|".join(regex.escape(a) for a in sorted(vocabulary.added, key=len, reverse=True))) if vocabulary.added else None
@@ -252,27 +254,25 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, piece:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for whole in parts:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                n, sha, back, ids = [], [], [], []
-                for text in batch.column("text").to_pylist():
-                    packed = e.encode(text or "")
-                    got = array("I", packed)
-                    decoder, digest = Decoder(e.v), hashlib.sha256()
-                    for k in range(0, len(got), piece):
-                        digest.update(decoder.feed(got[k : k + piece]).encode())
-                    digest.update(decoder.finish().encode())
-                    n.append(len(got))
-                    sha.append(hashlib.sha256(packed).hexdigest())
-                    back.append(digest.hexdigest())
-                    if with_ids:
-                        ids.append(packed)
-                columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+        for batch in slices(parts):
+            n, sha, back, ids = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                packed = e.encode(text or "")
+                got = array("I", packed)
+                decoder, digest = Decoder(e.v), hashlib.sha256()
+                for k in range(0, len(got), piece):
+                    digest.update(decoder.feed(got[k : k + piece]).encode())
+                digest.update(decoder.finish().encode())
+                n.append(len(got))
+                sha.append(hashlib.sha256(packed).hexdigest())
+                back.append(digest.hexdigest())
                 if with_ids:
-                    flat = np.frombuffer(b"".join(ids), "<i4")
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat)))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+                    ids.append(packed)
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+            if with_ids:
+                flat = np.frombuffer(b"".join(ids), "<i4")
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select("doc_id", "text").mapInArrow(run, schema + ", ids array<int>" * with_ids)

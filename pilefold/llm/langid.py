@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, slices
 
 CELLS = 1 << 16
 #: Script ranges (first code point, past the last, name) by Unicode block.
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, sample: int = 12_000, smooth: float = 0.5) -> dict:
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
-        for batch in parts:
+        for batch in slices(parts):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 row = grams.setdefault(lang, np.zeros(CELLS + len(SCRIPT_NAMES), "i8"))
                 words = Words(text)
@@ -183,7 +183,7 @@ def identify(docs: DataFrame, model: dict, with_spans: bool = False) -> DataFram
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(held.value)
-        for batch in parts:
+        for batch in slices(parts):
             lang, score, spans = [], [], []
             for text in batch.column("text").to_pylist():
                 a, b, _, _ = labeller.label(text)
@@ -206,7 +206,7 @@ def keep_identified(docs: DataFrame, model: dict, least: float = 0.35) -> DataFr
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(held.value)
-        for batch in parts:
+        for batch in slices(parts):
             got = [labeller.label(text) for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
 

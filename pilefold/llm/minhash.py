@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved
+from .common import forget, saved, slices
 from .components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -27,10 +27,10 @@ _U = np.uint64
 
 
 class _WordHashes(dict):
-    """Hashes of words as they come; starts over at a million, so its memory is bounded."""
+    """Hashes of words as they come; starts over at 150,000, so its memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, perms: i
     factors = permutations(perms, seed)
 
     def signed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in slices(parts):
             n, h1, h2, rows = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, words)
@@ -170,11 +170,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, perms: i
     pairs = saved(members.filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "pairs")
 
     def setted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                rows = [shingles(t, words).view("i8") for t in some.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["id", "s"])
+        for batch in slices(parts, 200):
+            rows = [shingles(t, words).view("i8") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["id", "s"])
 
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = saved(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(setted, "id long, s array<long>"), "sets")

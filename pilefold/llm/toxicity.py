@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, slices
 
 #: Second-person words of the common languages here.
 SECOND = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes tú ti vosotros".split())
@@ -34,7 +34,7 @@ def _core(word: str) -> str:
 class Features:
     """Features by a lexicon; flags of words are remembered, up to `keep` of them."""
 
-    def __init__(self, lexicon: frozenset[str], keep: int = 300_000, near: int = 4, stretch: int = 20):
+    def __init__(self, lexicon: frozenset[str], keep: int = 150_000, near: int = 4, stretch: int = 20):
         self.lexicon, self.keep, self.near, self.stretch = lexicon, keep, near, stretch
         self.flags: dict[str, int] = {}
 
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> dict | None
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(lexicon)
-        for batch in parts:
+        for batch in slices(parts):
             got = [features.row(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(got, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
@@ -190,7 +190,7 @@ def score_documents(docs: DataFrame, model: dict | None) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         features = Features(m["lexicon"]) if m else None
-        for batch in parts:
+        for batch in slices(parts):
             score = np.zeros(batch.num_rows)
             if m and batch.num_rows:
                 x = np.array([features.row(t) for t in batch.column("text").to_pylist()])
