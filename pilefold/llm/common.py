@@ -43,6 +43,15 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sampled(df: DataFrame, rows: int, seed: int, *by: str) -> DataFrame:
+    """About `rows` rows (all, if no more), those whose hash of `by` falls under a share of the table: no sort, and nothing is moved."""
+    total = df.count()
+    if total <= rows:
+        return df
+    share = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return df.filter(share < rows / total)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

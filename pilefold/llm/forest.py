@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import saved
+from .common import sampled, saved
 
 #: Leaf ids are tree * LEAVES + leaf.
 LEAVES = 1 << 20
@@ -86,8 +86,8 @@ def stacked(column) -> np.ndarray:
 
 
 def plant(vectors: DataFrame, rows: int, trees: int, leaf: int, seed: int, sample: int, normalise: bool) -> list:
-    """A forest from at most `sample` vectors, taken in the order of a hash of their id."""
-    got = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample).select("v").toPandas()
+    """A forest from about `sample` vectors (all, if no more), taken by a hash of their id."""
+    got = sampled(vectors, sample, seed, "vec_id").toPandas().sort_values("vec_id")
     x = stacked(got["v"])
     return grow(unit(x) if normalise and len(x) else x, rows, trees, leaf, seed) if len(x) else []
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices
+from .common import crc_mod, sampled, slices
 
 CELLS = 1 << 16
 #: Script ranges (first code point, past the last, name) by Unicode block.
@@ -74,11 +74,11 @@ def _cell(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = 12_000, smooth: float = 0.5) -> dict:
-    """A model from the whole texts of at most `sample` labelled rows (text and lang not null), taken by a hash of id and text.
+    """A model from the whole texts of about `sample` labelled rows (text and lang not null; all, if no more), taken by a hash of the id.
 
     Counts are summed on the executors into languages * 65,536 cells at most, which is what reaches the driver.
     """
-    picked = docs.filter("text is not null and lang is not null").orderBy(F.xxhash64(F.lit(3), "doc_id", "text")).limit(sample).select("text", "lang")
+    picked = sampled(docs.filter("text is not null and lang is not null"), sample, 3, "doc_id").select("text", "lang")
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices
+from .common import crc_mod, sampled, slices
 
 #: Second-person words of the common languages here.
 SECOND = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes tú ti vosotros".split())
@@ -158,9 +158,9 @@ def learn_lexicon(rows: DataFrame, size: int = 200, least: int = 5, ratio: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> dict | None:
-    """A model from at most `sample` labelled rows, by a hash of the id, of which one in four calibrates. None without both classes. The driver gets their feature rows only."""
+    """A model from about `sample` labelled rows (all, if no more), by a hash of the id, of which one in four calibrates. None without both classes. The driver gets their feature rows only."""
     marked = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marked = marked.orderBy(F.xxhash64(F.lit(29), "doc_id")).limit(sample)
+    marked = sampled(marked, sample, 29, "doc_id")
     rows = docs.filter("text is not null").select("doc_id", "text").join(marked, "doc_id").select("doc_id", "text", "toxic")
     lexicon = learn_lexicon(rows)
 
