@@ -104,17 +104,32 @@ def _pairs(x: np.ndarray, y: np.ndarray | None, least: float, block: int = 1024)
             yield i, j
 
 
-def _first_common(leaves_a: np.ndarray, leaves_b: np.ndarray) -> np.ndarray:
-    """Row by row, the smallest leaf id in both (rows are padded with -1 and -2)."""
-    hit = (leaves_a[:, :, None] == leaves_b[:, None, :]).any(axis=2)
-    return np.where(hit, leaves_a, np.iinfo("i4").max).min(axis=1)
-
-
-def _padded(lists, fill: int) -> np.ndarray:
-    out = np.full((len(lists), max(map(len, lists), default=1)), fill, "i4")
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
-    return out
+class _Met:
+    """Which leaves the rows of a group reach, tree by tree: trees x rows x most leaves in a tree, padded."""
+
+    def __init__(self, lists):
+        size = np.array([len(x) for x in lists])
+        every, row = np.concatenate(list(lists)), np.repeat(np.arange(len(size)), size)
+        tree = every // LEAVES
+        new = np.nonzero((np.diff(row, prepend=-1) != 0) | (np.diff(tree, prepend=-1) != 0))[0]
+        at = np.arange(len(every)) - np.repeat(new, np.diff(np.append(new, len(every))))
+        self.left = np.full((int(tree.max()) + 1, len(size), int(at.max()) + 1), -1, "i4")
+        self.left[tree, row, at] = every
+        self.right = np.where(self.left < 0, -2, self.left)
+
+    def first(self, p: np.ndarray, q: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that meet in no smaller leaf than this one. Near pairs mostly meet in an earlier tree, so few go through all."""
+        for tree in range(leaf // LEAVES + 1):
+            if not len(p):
+                break
+            a, b = self.left[tree][p], self.right[tree][q]
+            hit = (a[:, :, None] == b[:, None, :]).any(axis=2)
+            if tree == leaf // LEAVES:
+                keep = np.where(hit, a, np.iinfo("i4").max).min(axis=1) == leaf
+            else:
+                keep = ~hit.any(axis=1)
+            p, q = p[keep], q[keep]
+        return p, q
 
 
 def near_duplicates(embeddings: DataFrame, least: float = 0.9, trees: int = 12, leaf: int = 400, spill: float = 0.02, sample: int = 16384, cell: int = 2000, seed: int = 11) -> DataFrame:
@@ -160,15 +175,14 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, trees: int = 12,
         pdf = pdf.sort_values("id", ignore_index=True)
         x, ids, m = unit(stacked(pdf["v"])), pdf["id"].to_numpy(), pdf["m"].to_numpy()
         a, b = np.nonzero(pdf["mine"].to_numpy() == lo)[0], np.nonzero(pdf["mine"].to_numpy() == hi)[0]
-        left, right = _padded(pdf["leaves"], -1), _padded(pdf["leaves"], -2)
+        met = _Met(pdf["leaves"])
         links, root = np.zeros(len(x), "i8"), np.arange(len(x))
         found = []
         for i, j in _pairs(x[a], None if lo == hi else x[b], least):
             i, j = a[i], b[j]
             for at in range(0, len(i), 20_000):
                 p, q = i[at : at + 20_000], j[at : at + 20_000]
-                ok = _first_common(left[p], right[q]) == leaf_id
-                p, q = p[ok], q[ok]
+                p, q = met.first(p, q, leaf_id)
                 np.add.at(links, p, m[q])
                 np.add.at(links, q, m[p])
                 if len(p):
