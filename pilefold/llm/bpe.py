@@ -64,26 +64,54 @@ class Vocabulary:
         self.lookahead = max([1, *(len(self.bytes_of[t]) for t in made)])
         self._compatible: dict[tuple[int, int], bool] = {}
         #: The tokens that the encoding of their own bytes gives back; no other can stand in an encoding.
-        self.entries = {t: i for t, i in self.id_of.items() if self._merged([self.id_of[t[k : k + 1]] for k in range(len(t))]) == [i]}
-
-    def _merged(self, ids: list[int]) -> list[int]:
-        """Merges by rank, leftmost first, over the few bytes of one or two tokens."""
+        self.entries: dict[bytes, int] = {}
+        #: For each of these, the rank of the merge that made it (-1: a byte) and the two tokens merged.
+        self.made: dict[int, tuple[int, int, int]] = {}
+        for t, i in self.id_of.items():
+            end, how = self._merged([self.id_of[t[k : k + 1]] for k in range(len(t))])
+            if end == [i]:
+                self.entries[t], self.made[i] = i, how
+
+    def _merged(self, ids: list[int]) -> tuple[list[int], tuple[int, int, int]]:
+        """Merges by rank, leftmost first, over the few bytes of a token; also the last merge made, as (rank, left, right)."""
+        how = (-1, -1, -1)
         while len(ids) > 1:
             best = min(((*self.rank[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank), key=lambda x: (x[0], x[2]), default=None)
             if best is None:
                 break
-            ids[best[2] : best[2] + 2] = [best[1]]
-        return ids
+            at = best[2]
+            how = (best[0], ids[at], ids[at + 1])
+            ids[at : at + 2] = [best[1]]
+        return ids, how
 
     def compatible(self, a: int, b: int) -> bool:
+        """Whether the bytes of a and b, both entries, merge to just a and b.
+
+        Undoes the merges of the two from the last to the first and looks at the tokens that then meet at
+        the border: they stay apart if no merge of theirs comes before the one that takes either away. At
+        equal ranks the left one of two merges comes first.
+        """
         known = self._compatible.get((a, b))
         if known is None:
             if len(self._compatible) > 500_000:
                 self._compatible.clear()
-            both = self.bytes_of[a] + self.bytes_of[b]
-            known = self._compatible[a, b] = self._merged([self.id_of[bytes([x])] for x in both]) == [a, b]
+            self._compatible[a, b] = known = self._apart(a, b)
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        rank, made, before = self.rank, self.made, 1 << 62
+        while True:
+            merge = rank.get((a, b))
+            if merge is not None and merge[0] < before:
+                return False
+            left, right = made[a], made[b]
+            if left[0] > right[0]:
+                before, a = left[0], left[2]
+            elif right[0] >= 0:
+                before, b = right[0] + 1, right[1]
+            else:
+                return True
+
     def extend(self, tail: bytes, last: list[int], before: int) -> None:
         """Appends to `last` the last token of the encoding up to each further position of `tail`; `before` is the token that ends where tail begins, or -1."""
         look, entry, known, compatible = self.lookahead, self.entries.get, self._compatible.get, self.compatible
@@ -104,12 +132,33 @@ class Vocabulary:
             last.append(token)
 
     def whole(self, word: bytes) -> list[int]:
-        """A word that fits in the window."""
-        last, end, out = [-1], len(word), []
-        self.extend(word, last, -1)
+        """A word that fits in the window: the same last tokens, but only for positions that the end asks for."""
+        entry, known, compatible = self.entries.get, self._compatible.get, self.compatible
+        got = entry(word)
+        if got is not None:
+            return [got]
+        last: dict[int, int] = {0: -1}  # position: the last token of the encoding up to there
+
+        def at(end: int) -> int:
+            for start in range(end):  # longest first
+                t = entry(word[start:end])
+                if t is None:
+                    continue
+                if not start:
+                    break
+                previous = last.get(start)
+                if previous is None:
+                    previous = at(start)
+                if compatible(previous, t) if (ok := known((previous, t))) is None else ok:
+                    break
+            last[end] = t
+            return t
+
+        end, out = len(word), []
         while end:
-            out.append(last[end])
-            end -= len(self.bytes_of[last[end]])
+            t = last.get(end)
+            out.append(at(end) if t is None else t)
+            end -= len(self.bytes_of[out[-1]])
         return out[::-1]
 
 
