@@ -62,7 +62,7 @@ def mix(docs: DataFrame, seed: int = 17, limit: int = 3) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 17, limit: int = 3) -> DataFrame:
-    """The mix itself: each document's row as often as mix() takes it, in the columns of docs."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    times = mix(docs, seed, limit)
-    return times.filter("copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*names)
+    """The mix itself: each document's row as often as mix() takes it, in the columns of docs, whatever their names."""
+    times = mix(docs.select("doc_id", "text", "source", F.struct("*").alias("_row")), seed, limit)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
+    return times.filter("copies > 0").select("_row", copies.alias("_i")).select("_row.*")

@@ -169,6 +169,8 @@ def test_mixing(spark, awkward):
     got = mixing.mix(awkward).collect()
     assert len(got) == len(AWKWARD) and all(r["copies"] <= 3 for r in got)
     assert mixing.mixed(awkward).columns == awkward.columns and mixing.mix(awkward.limit(0)).count() == 0
+    clashing = awkward.withColumns({"copies": F.lit("c"), "_source": F.lit("s"), "kept_text": F.lit("k")})
+    assert {(r["size"], r["copies"], r["_source"]) for r in mixing.mixed(clashing).collect()} <= {(s, "c", "s") for s in ("y", None)}
 
 
 def test_bpe(spark, docs, awkward):
@@ -225,6 +227,9 @@ def test_secrets(spark, awkward):
 def test_pipeline(spark, docs):
     import corpus_pipeline as P
 
+    clashing = docs.withColumns({"kept_text": F.lit("k"), "n_lines": F.lit("n"), "a.b": F.lit("d")})
+    once = P.line_dedup(spark, clashing, SF)
+    assert once.columns == clashing.columns and {tuple(r) for r in once.select("kept_text", "n_lines", "`a.b`").collect()} == {("k", "n", "d")}
     out = docs
     for name, stage in P.STAGES:
         was, out = out, stage(spark, out, SF)
