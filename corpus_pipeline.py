@@ -20,10 +20,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least ten documents share go; documents stay, with what is left of their text."""
-    out = lines.dedup_lines(docs, min_docs=10).withColumn("text", F.col("kept_text"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest")
+    out = lines.dedup_lines(docs.select("doc_id", "text", rest), min_docs=10)
+    fresh = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        fresh["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[fresh.get(c, F.col("_rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
