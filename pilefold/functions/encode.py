@@ -80,3 +80,44 @@ def binary_entropy(p: Column) -> Column:
 def number_text(x: pd.Series) -> pd.Series:
     """A ratio as text, rounded as Python rounds (half to even on the binary value); whole zero is 0."""
     return x.map(lambda v: None if v is None or v != v else "0" if v == 0 else repr(round(float(v), 4)))
+
+
+def site_key(chrom: Column, pos: Column) -> Column:
+    """A site as one string; joins use the two columns."""
+    return F.concat(F.lit("chrom"), chrom, F.lit("pos"), pos.cast("string"))
+
+
+def clip_proximity(clip_end: Column, clip_start: Column, at: Column, length: Column, default: Column) -> Column:
+    """Distance of an indel to the nearer of the clips around it; a clip at zero counts as missing, without any the default."""
+    after = F.nullif(clip_end, F.lit(0)) - at - length
+    before = at - F.nullif(clip_start, F.lit(0))
+    return F.coalesce(F.least(after, before), default)
+
+
+def prefix_repeat(seq: Column) -> Column:
+    """struct<size, repeats>: the last prefix of seq that what follows it repeats, at least by one letter, and how often it stands there; (1, 1.0) if none does.
+
+    A prefix is taken as the unit; at the first letter that breaks the repetition, everything up to and with that letter is the next unit.
+    """
+    begin = F.struct(F.lit(1).alias("unit"), F.lit(0).alias("run"), F.lit(1).alias("size"), F.lit(1.0).cast("double").alias("repeats"))
+
+    def step(s: Column, at: Column) -> Column:
+        goes_on = F.substring(seq, at, F.lit(1)) == F.substring(seq, s["run"] % s["unit"] + 1, F.lit(1))
+        goes_on = goes_on & (at <= F.length(seq))
+        seen = s["run"] > 0
+        return F.struct(
+            F.when(goes_on, s["unit"]).otherwise(at).alias("unit"),
+            F.when(goes_on, s["run"] + 1).otherwise(F.lit(0)).alias("run"),
+            F.when(~goes_on & seen, s["unit"]).otherwise(s["size"]).alias("size"),
+            F.when(~goes_on & seen, s["run"].cast("double") / s["unit"] + 1).otherwise(s["repeats"]).alias("repeats"),
+        )
+
+    places = F.sequence(F.lit(2), F.greatest(F.length(seq) + 1, F.lit(2)))
+    return F.aggregate(places, begin, step, lambda s: F.struct(s["size"].alias("size"), s["repeats"].alias("repeats")))
+
+
+def tandem_repeat(left: Column, right: Column) -> Column:
+    """struct<size, repeats> of the tandem repeat at a site, from the bases before it (read backwards) and from it on: the side with the longer unit, both together if they are equal."""
+    a, b = prefix_repeat(F.reverse(left)), prefix_repeat(right)
+    both = F.struct(b["size"].alias("size"), (a["repeats"] + b["repeats"]).alias("repeats"))
+    return F.when(b["size"] > a["size"], b).when(a["size"] > b["size"], a).otherwise(both)

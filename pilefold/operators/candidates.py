@@ -26,8 +26,8 @@ def snv_candidates(bases: DataFrame, cfg: SnvFilter = SnvFilter()) -> DataFrame:
     return sites.filter(F.exists(F.array(*map(F.lit, range(4))), somatic)).select("chrom", "pos", "n", "t")
 
 
-def indel_events(reads: DataFrame, cfg: IndelFilter = IndelFilter(), strict: bool = False) -> DataFrame:
-    """(sample, chrom, pos, op, len, read, file_order) of each I and D. reads may lack flag and quals."""
+def indel_events(reads: DataFrame, cfg: IndelFilter = IndelFilter(), strict: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """(sample, chrom, pos, op, len, read, file_order, *keep) of each I and D. reads may lack flag and quals."""
     kept = reads.filter(C.has_indel(F.col("cigar")) & (F.col("mapq") >= cfg.min_mapq))
     if "flag" in reads.columns:
         kept = kept.filter(is_usable(F.col("flag")))
@@ -36,7 +36,7 @@ def indel_events(reads: DataFrame, cfg: IndelFilter = IndelFilter(), strict: boo
         own = F.slice("quals", (F.col("x.read") + 1).cast("int"), F.col("x.len").cast("int"))
         mean = F.aggregate(own, F.lit(0.0), lambda a, q: a + q) / F.size(own)
         kept = kept.filter((F.col("x.op") == "D") | F.coalesce(mean >= cfg.min_mean_quality, F.lit(True)))
-    return kept.select("sample", "chrom", (F.col("ref_start") + F.col("x.ref")).alias("pos"), F.col("x.op").alias("op"), F.col("x.len").alias("len"), F.col("x.read").alias("read"), "file_order")
+    return kept.select("sample", "chrom", (F.col("ref_start") + F.col("x.ref")).alias("pos"), F.col("x.op").alias("op"), F.col("x.len").alias("len"), F.col("x.read").alias("read"), "file_order", *(keep or []))
 
 
 def indel_evidence(events: DataFrame, cfg: IndelFilter = IndelFilter()) -> DataFrame:
@@ -87,3 +87,15 @@ def goldset_rejects(bases: DataFrame, cfg: Goldset = Goldset()) -> DataFrame:
     }
     out = per.join(distance, ["chrom", "pos"], "left").withColumns({k: F.coalesce(v, F.lit(False)) for k, v in rules.items()})
     return out.select("chrom", "pos", *rules, F.greatest(*rules).alias("rejected"))
+
+
+def indel_read_coverage(reads: DataFrame, strict: bool = False) -> DataFrame:
+    """(sample, chrom, pos, coverage): matched bases, insertions and deletions of the reads that have an indel, counted where they stand or begin."""
+    kept = reads.filter(C.has_indel(F.col("cigar")))
+    if "flag" in reads.columns:
+        kept = kept.filter(is_usable(F.col("flag")))
+    ops = F.filter(C.offsets(C.parts(F.col("cigar")), strict), lambda x: x["op"].isin("M", "I", "D") & (x["len"] > 0))
+    first = F.col("ref_start") + F.col("x.ref")
+    last = F.when(F.col("x.op") == "M", first + F.col("x.len") - 1).otherwise(first)
+    cells = kept.select("sample", "chrom", "ref_start", F.explode(ops).alias("x")).select("sample", "chrom", F.explode(F.sequence(first, last)).alias("pos"))
+    return cells.groupBy("sample", "chrom", "pos").agg(F.count("*").alias("coverage"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import IndelFilter
+from .candidates import indel_events
+
 SITE = ["chrom", "pos"]
 
 
@@ -71,3 +74,12 @@ def disagreement(evidence: DataFrame) -> DataFrame:
     value = F.when(F.col("kind") == "I", F.col("seq")).otherwise(F.col("len").cast("string"))
     per = evidence.withColumn("v", value).groupBy("chrom", "pos", "kind", "v").agg(F.count("*").alias("n"), F.max("len").alias("len"))
     return per.groupBy("chrom", "pos").agg((100.0 * (F.sum("n") - F.max("n")) / F.sum("n")).alias("disagree"), F.max("len").alias("max_len"))
+
+
+def true_indel_stats(reads: DataFrame, truth: DataFrame, cfg: IndelFilter = IndelFilter()) -> DataFrame:
+    """(chrom, pos, freq, n, mapq_sum, mapq_min) of the true positions that have indels: the larger of insertions and deletions of good reads; mapping qualities of all."""
+    events = indel_events(reads.withColumn("_q", F.col("mapq")).withColumn("mapq", F.lit(cfg.min_mapq)), cfg, keep=["_q"])
+    good = F.col("_q") >= cfg.min_mapq
+    freq = F.greatest(F.count_if(good & (F.col("op") == "I")), F.count_if(good & (F.col("op") == "D")))
+    met = events.join(truth.select(*SITE), SITE, "left_semi")
+    return met.groupBy(*SITE).agg(freq.alias("freq"), F.count("*").alias("n"), F.sum("_q").alias("mapq_sum"), F.min("_q").alias("mapq_min"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import BASES
 from ..functions import cigar as C
+from .intervals import overlap_join
 
 UNMAPPED, REVERSED, SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 0x4, 0x10, 0x100, 0x200, 0x400, 0x800
 
@@ -68,3 +69,11 @@ def total(array: Column) -> Column:
 def argmax(array: Column) -> Column:
     """0-based position of the first maximum."""
     return (F.array_position(array, F.array_max(array)) - 1).cast("int")
+
+
+def read_totals(sites: DataFrame, reads: DataFrame) -> DataFrame:
+    """(chrom, pos, reads): usable reads over each site, 0 where there is none."""
+    usable = reads.filter(is_usable(F.col("flag"))).select("chrom", "ref_start", "ref_end")
+    windows = sites.select("chrom", "pos", F.col("pos").alias("w_start"), (F.col("pos") + 1).alias("w_end"))
+    per = overlap_join(windows, usable).groupBy("chrom", "pos").agg(F.count("*").alias("reads"))
+    return sites.select("chrom", "pos").join(per, ["chrom", "pos"], "left").select("chrom", "pos", F.coalesce("reads", F.lit(0)).cast("long").alias("reads"))

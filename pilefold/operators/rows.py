@@ -94,7 +94,12 @@ def subsample(reads: DataFrame, site: list[str], k: int, replicates: int, seed:
     return rep.withColumn("_i", F.row_number().over(W.partitionBy(*site, "replicate").orderBy(key, "file_order"))).filter(F.col("_i") <= k).drop("_i")
 
 
+def sharded(df: DataFrame, key: str, shards: int) -> DataFrame:
+    """df with `shard`: distinct keys in order, in n equal runs; the first `keys mod n` runs have one key more."""
+    keys = df.select(key).distinct().withColumn("shard", F.ntile(shards).over(W.orderBy(key)) - 1)
+    return df.join(keys, key)
+
+
 def shard_rows(df: DataFrame, key: str, shards: int, shard: int) -> DataFrame:
-    """One of n equal runs of distinct keys in order: the first `keys mod n` runs have one key more."""
-    keys = df.select(key).distinct().withColumn("_s", F.ntile(shards).over(W.orderBy(key)) - 1)
-    return df.join(keys.filter(F.col("_s") == shard).drop("_s"), key)
+    """The rows of one shard."""
+    return sharded(df, key, shards).filter(F.col("shard") == shard).drop("shard")

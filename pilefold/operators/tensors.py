@@ -227,3 +227,8 @@ def spiked(sites: DataFrame, base: str, seed: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 
     return sites.mapInArrow(run, sites.schema)
+
+
+def training_set(tensors: DataFrame, labels: DataFrame) -> DataFrame:
+    """Tensors with the labels of their sites; sites without a label are left out."""
+    return tensors.join(labels.select("chrom", "pos", "label"), ["chrom", "pos"])

@@ -458,8 +458,8 @@ def _sequenced(spark, sf_dir):
     return r.withColumn("seq", F.substring(F.concat(letters, letters), F.lit(1), F.col("n"))).withColumn("quals", F.transform(F.sequence(F.lit(1), "n"), lambda i: (20 + (i * 7 + F.col("mapq")) % 26).cast("int"))).drop("n").withColumn("ref_end", C.reference_end(F.col("ref_start"), F.col("cigar")))
 
 
-def _sites(spark, sf_dir, shift: int):
-    return N.indel_candidates(N.indel_evidence(N.indel_events(B.reads(spark, sf_dir)))).withColumn("pos", F.col("pos") + shift).filter("pos % 7 = 0") if shift else N.indel_candidates(N.indel_evidence(N.indel_events(B.reads(spark, sf_dir))))
+def _sites(spark, sf_dir):
+    return N.indel_candidates(N.indel_evidence(N.indel_events(B.reads(spark, sf_dir))))
 
 
 def _sums(t: DataFrame) -> DataFrame:
@@ -471,13 +471,13 @@ def _sums(t: DataFrame) -> DataFrame:
 @query()
 def snv_tensors(spark, sf_dir):
     """M1-M6, X4, X5, W5, J3, A18, T6."""
-    return _sums(M.snv_tensors(_sites(spark, sf_dir, 0), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK))
+    return _sums(M.snv_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK))
 
 
 @query()
 def indel_tensors(spark, sf_dir):
     """M7-M9, A13, A14, W5, W8."""
-    return _sums(M.indel_tensors(_sites(spark, sf_dir, 0), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK))
+    return _sums(M.indel_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK))
 
 
 @query()
@@ -485,7 +485,7 @@ def indel_site_stats(spark, sf_dir):
     """A8, A10, X18, X19."""
     from .pipeline import indel_sites
 
-    return indel_sites(_sites(spark, sf_dir, 0), _sequenced(spark, sf_dir), "T", B.reference(spark, sf_dir), B.BLOCK)
+    return indel_sites(_sites(spark, sf_dir), _sequenced(spark, sf_dir), "T", B.reference(spark, sf_dir), B.BLOCK)
 
 
 class _ChannelMean:
@@ -496,9 +496,116 @@ class _ChannelMean:
 @query()
 def scored_sites(spark, sf_dir):
     """A stand-in scorer, as no weights are public."""
-    t = M.snv_tensors(_sites(spark, sf_dir, 0), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK)
+    t = M.snv_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK)
     return S.score(t, _ChannelMean(), (100, 70, 5)).select("chrom", "pos", F.bround("pred_true", 6).alias("pred_true"))
 
 
 ENTRY = snv_candidates
 DEFAULTS = SnvFilter()
+
+
+@query()
+def scored_indels(spark, sf_dir):
+    """A stand-in scorer."""
+    t = M.indel_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK)
+    return S.score(t, _Mean(), (-1,)).select("chrom", "pos", F.bround("pred_true", 6).alias("pred_true"))
+
+
+class _Mean:
+    def __call__(self, x):
+        return x.mean(axis=1) / 255
+
+
+@query()
+def training_set(spark, sf_dir):
+    """Tensors with the labels of their sites."""
+    t = M.snv_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK)
+    labels = V.membership_labels(_sites(spark, sf_dir), _true_indels(spark, sf_dir))
+    return _sums(M.training_set(t, labels).drop("label")).join(labels, ["chrom", "pos"])
+
+
+# -- read rules, totals and indel features
+
+
+def _true_indels(spark, sf_dir):
+    """Truth sites where the bridge's reads have their indels."""
+    return B.truth(spark, sf_dir).select("chrom", (F.col("pos") * 20 + 10).alias("pos"))
+
+
+def _flagged(spark, sf_dir):
+    """Bridge reads with flags and ends."""
+    r = B.reads(spark, sf_dir)
+    return r.withColumns({"flag": (F.col("file_order") * 37 % 4096).cast("int"), "ref_end": F.col("ref_start") + 35})
+
+
+@query("SELECT sample, count(*) AS n, count(*) FILTER (WHERE ((file_order * 37 % 4096) & 3332) = 0) AS usable FROM rd GROUP BY sample")
+def usable_reads(spark, sf_dir):
+    """F2."""
+    return _flagged(spark, sf_dir).groupBy("sample").agg(F.count("*").alias("n"), F.count_if(P.is_usable(F.col("flag"))).alias("usable"))
+
+
+@query(", c AS (SELECT cigar || CASE WHEN mapq % 2 = 0 THEN '3S4M' ELSE '4S' END AS cigar FROM rd), p AS (SELECT cigar, regexp_extract_all(cigar, '[MIDNSHP=X]') AS op FROM c) SELECT cigar, len(list_filter(range(2, len(op)), lambda i: op[i] IN ('S', 'H'))) > 0 AS middle, count(*) AS n FROM p GROUP BY ALL")
+def clips_in_the_middle(spark, sf_dir):
+    """F13."""
+    tail = F.when(F.col("mapq") % 2 == 0, F.lit("3S4M")).otherwise(F.lit("4S"))
+    c = B.reads(spark, sf_dir).select(F.concat("cigar", tail).alias("cigar"))
+    return c.groupBy("cigar", C.clipped_in_the_middle(F.col("cigar")).alias("middle")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT s.chrom, s.pos, count(r.file_order) AS reads FROM (SELECT chrom, pos * 20 + 10 AS pos FROM tr) s LEFT JOIN (SELECT * FROM rd WHERE ((file_order * 37 % 4096) & 3332) = 0) r ON r.chrom = s.chrom AND r.ref_start <= s.pos AND r.ref_start + 35 > s.pos GROUP BY ALL")
+def read_totals(spark, sf_dir):
+    """A15, F2, J3."""
+    return P.read_totals(_true_indels(spark, sf_dir), _flagged(spark, sf_dir))
+
+
+@query(", o AS (SELECT sample, chrom, op[i] AS o, ln[i]::BIGINT AS n, ref_start + coalesce(list_sum(list_transform(range(1, i), lambda k: CASE WHEN op[k] = 'I' THEN 0 ELSE ln[k]::BIGINT END)), 0)::BIGINT AS p FROM cg, unnest(range(1, len(op) + 1)) AS u(i) WHERE regexp_matches(cigar, '[ID]')) SELECT sample, chrom, q AS pos, count(*) AS coverage FROM o, unnest(range(p, p + CASE WHEN o = 'M' THEN n ELSE 1 END)) AS w(q) WHERE o IN ('M', 'I', 'D') GROUP BY ALL")
+def indel_read_coverage(spark, sf_dir):
+    """A6."""
+    return N.indel_read_coverage(B.reads(spark, sf_dir))
+
+
+@query("SELECT e.chrom, e.pos, greatest(count(*) FILTER (WHERE e.op = 'I' AND e.mapq >= 35), count(*) FILTER (WHERE e.op = 'D' AND e.mapq >= 35)) AS freq, count(*) AS n, sum(e.mapq)::BIGINT AS mapq_sum, min(e.mapq) AS mapq_min FROM ev e JOIN (SELECT chrom, pos * 20 + 10 AS pos FROM tr) s ON s.chrom = e.chrom AND s.pos = e.pos GROUP BY ALL")
+def true_indel_stats(spark, sf_dir):
+    """Frequency and mapping qualities of indels at true positions."""
+    return V.true_indel_stats(B.reads(spark, sf_dir), _true_indels(spark, sf_dir))
+
+
+@query("SELECT chrom, pos, label FROM (SELECT DISTINCT pr.chrom, pr.pos, (tr.pos IS NOT NULL)::INT::DOUBLE AS label FROM pr LEFT JOIN tr ON tr.chrom = pr.chrom AND tr.pos = pr.pos) ORDER BY chrom, pos")
+def sorted_labels(spark, sf_dir):
+    """T3."""
+    return V.membership_labels(B.predictions(spark, sf_dir).select("chrom", "pos").distinct(), B.truth(spark, sf_dir)).orderBy("chrom", "pos")
+
+
+@query("SELECT sample, chrom, ref_start, r::INT AS replicate, least(count(*), 3) AS n FROM rd, range(2) AS u(r) GROUP BY ALL")
+def subsample_sizes(spark, sf_dir):
+    """What each replicate draws of a site."""
+    site = ["sample", "chrom", "ref_start"]
+    return R.subsample(B.reads(spark, sf_dir), site, 3, 2).groupBy(*site, "replicate").agg(F.count("*").alias("n"))
+
+
+@query(", k AS (SELECT tie, ntile(4) OVER (ORDER BY tie) - 1 AS shard FROM (SELECT DISTINCT tie FROM rd)) SELECT shard::INT AS shard, count(*) AS n, min(rd.tie) AS low, max(rd.tie) AS high FROM rd JOIN k ON k.tie = rd.tie GROUP BY shard")
+def key_shards(spark, sf_dir):
+    """T10."""
+    s = R.sharded(B.reads(spark, sf_dir), "tie", 4)
+    return s.groupBy("shard").agg(F.count("*").alias("n"), F.min("tie").alias("low"), F.max("tie").alias("high"))
+
+
+@query("SELECT DISTINCT 'chrom' || chrom || 'pos' || pos::VARCHAR AS site_key FROM pr")
+def site_keys(spark, sf_dir):
+    """X16."""
+    return B.predictions(spark, sf_dir).select(E.site_key(F.col("chrom"), F.col("pos")).alias("site_key")).distinct()
+
+
+@query("SELECT first, past, here, CASE WHEN past <> 0 AND first <> 0 THEN least(past - here - 2, here - first) WHEN past <> 0 THEN past - here - 2 WHEN first <> 0 THEN here - first ELSE 99 END AS near, n FROM (SELECT l_linenumber % 3 AS first, l_suppkey % 4 * 9 AS past, l_orderkey % 30 AS here, count(*) AS n FROM lineitem GROUP BY ALL)")
+def clip_proximity(spark, sf_dir):
+    """X13."""
+    rows = B.table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") % 3).alias("first"), (F.col("l_suppkey") % 4 * 9).alias("past"), (F.col("l_orderkey") % 30).alias("here")).agg(F.count("*").alias("n"))
+    return rows.withColumn("near", E.clip_proximity(F.col("past"), F.col("first"), F.col("here"), F.lit(2), F.lit(99)))
+
+
+@query()
+def tandem_repeats(spark, sf_dir):
+    """X14."""
+    seq = F.upper("seq")
+    at = B.reference(spark, sf_dir).withColumn("found", E.tandem_repeat(F.substring(seq, 1, 10), F.substring(seq, 11, 10)))
+    return at.select("chrom", (F.col("block_start") + 10).alias("pos"), F.col("found.size").alias("size"), F.col("found.repeats").alias("repeats"))

@@ -14,6 +14,7 @@ from pilefold.operators import calls as K
 from pilefold.operators import candidates as N
 from pilefold.operators import evaluate as V
 from pilefold.operators import intervals as I
+from pilefold.operators import pileup as P
 from pilefold.operators import rows as R
 from pilefold.operators import scoring as S
 from pilefold.operators import tensors as M
@@ -207,3 +208,42 @@ def test_streaming_coverage(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("depth")).first()[0] == 10
+
+
+@pytest.mark.parametrize("left, right, want", [
+    ("", "AAAAC", (1, 5.0)), ("G", "ATATAT", (2, 3.0)), ("AGCAGCA", "C", (3, 7 / 3)), ("AA", "AAA", (1, 5.0)), ("C", "ACGT", (1, 2.0)), ("TATA", "ATAT", (2, 4.0)), ("", "", (1, 2.0)),
+])
+def test_tandem_repeats(spark, left, right, want):
+    got = spark.createDataFrame([(left, right)], "l string, r string").select(E.tandem_repeat(F.col("l"), F.col("r")).alias("x")).first()["x"]
+    assert (got["size"], round(got["repeats"], 9)) == (want[0], round(want[1], 9))
+
+
+def test_clip_proximity(spark):
+    rows = [(None, None, 20, 2), (40, None, 20, 2), (0, 5, 20, 2), (40, 5, 20, 2), (21, 19, 20, 2)]
+    got = spark.createDataFrame(rows, "e int, s int, a int, n int").select(E.clip_proximity(F.col("e"), F.col("s"), F.col("a"), F.col("n"), F.lit(99)).alias("d")).collect()
+    assert [r["d"] for r in got] == [99, 18, 15, 15, -1]
+
+
+def test_read_totals_and_coverage(spark):
+    reads = spark.createDataFrame([read("T", "10M"), read("T", "2S4M2I4M", order=1), read("T", "4M3D6M", flag=0x400, order=2), read("T", "4M1D2M", mapq=5, order=3)], READS)
+    got = {r["pos"]: r["reads"] for r in P.read_totals(spark.createDataFrame([("1", 100), ("1", 109), ("1", 300)], "chrom string, pos long"), reads).collect()}
+    assert got == {100: 3, 109: 1, 300: 0}
+    got = {r["pos"]: r["coverage"] for r in N.indel_read_coverage(reads).collect()}
+    assert got == {100: 1, 101: 1, 102: 2, 103: 2, 104: 2, 105: 2, 106: 3, 107: 1, 108: 1, 109: 1}  # the leading clip shifts by two
+    stats = V.true_indel_stats(reads, spark.createDataFrame([("1", 104), ("1", 106)], "chrom string, pos long")).orderBy("pos").collect()
+    assert [tuple(r) for r in stats] == [("1", 104, 0, 1, 5, 5), ("1", 106, 1, 1, 40, 40)]
+
+
+def test_tables_round_trip(spark, tmp_path):
+    sites = spark.createDataFrame([("1", 5), ("X", 7)], "chrom string, pos long")
+    text.write_tsv(sites, str(tmp_path / "c"), single=True)
+    assert sorted(map(tuple, text.read_candidates(spark, str(tmp_path / "c")).collect())) == [("1", 5), ("X", 7)]
+    text.write_tsv(sites.withColumn("p", F.lit(0.25)), str(tmp_path / "p"))
+    assert sorted(map(tuple, text.read_predictions(spark, str(tmp_path / "p")).collect())) == [("1", 5, 0.25), ("X", 7, 0.25)]
+    (tmp_path / "t.tsv").write_text("CHROM\tPOS\tLABEL\n1\t6\t1\nX\t8\t0\n")
+    assert sorted(map(tuple, text.read_truth(spark, str(tmp_path / "t.tsv"), header=True, label=2).collect())) == [("1", 5, 1.0), ("X", 7, 0.0)]
+    (tmp_path / "s.txt").write_text("1/6/1\n\nX/8/0\n")
+    assert sorted(map(tuple, text.read_set_items(spark, str(tmp_path / "s.txt")).collect())) == [("1", 5, 1.0), ("X", 7, 0.0)]
+    names = spark.createDataFrame([("a", "a-N.bam"), ("a", "a-T.bam"), ("b", "b_normal.bam"), ("c", "c-N.bam"), ("c", "c-N2.bam"), ("c", "c-T.bam")], "patient string, name string")
+    assert [tuple(r) for r in text.pair_samples(names).collect()] == [("a", "a-N.bam", "a-T.bam")]
+    assert [tuple(r) for r in R.sharded(names, "patient", 2).groupBy("shard").count().orderBy("shard").collect()] == [(0, 3), (1, 3)]
