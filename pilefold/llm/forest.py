@@ -57,6 +57,10 @@ def grow(x: np.ndarray, rows: int, trees: int, leaf: int, seed: int) -> list[lis
     return out
 
 
+def count_leaves(node) -> int:
+    return count_leaves(node[2]) + count_leaves(node[3]) if isinstance(node, list) else 1
+
+
 def route(x: np.ndarray, trees: list, spill: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf id) for each leaf that a row of x reaches."""
     rows, leaves = [], []
@@ -163,7 +167,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, trees: int = 12,
     full = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / cell).cast("int").alias("g"))
     block = F.pmod(F.xxhash64("id"), F.col("g")).cast("int")
     dealt = (
-        placed.select("id", "m", F.col("v").cast("array<float>").alias("v") if _is_float(embeddings) else "v", "leaves", F.explode("leaves").alias("leaf"))
+        placed.select("id", "m", F.col("v").cast("array<float>").alias("v") if is_float(embeddings) else "v", "leaves", F.explode("leaves").alias("leaf"))
         .join(F.broadcast(full.hint("broadcast")), "leaf")
         .withColumn("mine", block)
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
@@ -219,5 +223,5 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, trees: int = 12,
     )
 
 
-def _is_float(df: DataFrame) -> bool:
+def is_float(df: DataFrame) -> bool:
     return df.schema["embedding"].dataType.simpleString() == "array<float>"

@@ -3,8 +3,9 @@
 The graph has the `degree` nearest neighbours found for each distinct vector. It starts from the leaves of a
 small random-projection forest; a round joins every node with the neighbours of its neighbours (in both
 directions) and keeps what is nearer. Queries walk the graph from a frontier: the best unexpanded nodes of a
-beam are joined with their neighbours, hop by hop. Rounds work on 8-bit codes, so a vector costs a byte a
-component in an exchange; what is returned is measured on the original vectors in double precision.
+beam are joined with their neighbours, hop by hop. Every distance, in leaves, rounds and walk, is measured on
+the original values in double precision. Nodes are numbered along a tree, so that a block of numbers is a
+neighbourhood: a round sends a block each vector that its nodes' neighbours need once, not once an edge.
 """
 
 from __future__ import annotations
@@ -18,29 +19,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import forget, saved
-from .forest import plant, route, stacked, usable
+from .forest import count_leaves, is_float, plant, route, stacked, usable
 
 EDGE = "u long, v long, d double"
+#: Nodes whose neighbours a round joins in one group, at most; a power of two.
+BLOCK = 1 << 12
 
 
-def _coded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Vectors as signed bytes with a scale, and the squared length of what the bytes say."""
-    for pdf in parts:
-        if len(pdf):
-            x = stacked(pdf["v"])
-            scale = np.abs(x).max(axis=1) / 127
-            c = np.rint(x / scale[:, None]).astype("i1")
-            norm = (c.astype("f8") ** 2).sum(axis=1) * scale**2
-            yield pd.DataFrame({"id": pdf["id"], "code": [r.tobytes() for r in c], "scale": scale, "norm": norm})
+def _matrix(packed, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1)
 
 
-def _matrix(codes, scale) -> np.ndarray:
-    return np.frombuffer(b"".join(codes), "i1").reshape(len(codes), -1).astype("f4") * np.asarray(scale, "f4")[:, None]
-
-
-def _distances(x: np.ndarray, norm: np.ndarray) -> np.ndarray:
+def _distances(x: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows; those that a product of matrices can't tell from rounding are summed from differences."""
+    x = x.astype("f8")
+    x -= x.mean(axis=0)
+    norm = np.einsum("ij,ij->i", x, x)
     d = norm[:, None] + norm[None, :] - 2.0 * (x @ x.T)
     np.fill_diagonal(d, np.inf)
+    i, j = np.nonzero(d < 1e-9 * norm.max())
+    for at in range(0, len(i), 20_000):
+        p, q = i[at : at + 20_000], j[at : at + 20_000]
+        d[p, q] = ((x[p] - x[q]) ** 2).sum(axis=1)
     return np.maximum(d, 0)
 
 
@@ -74,21 +74,50 @@ class NeighbourGraph:
 
     def __init__(self, embeddings: DataFrame, degree: int = 32, rounds: int = 3, trees: int = 8, leaf: int = 300, sample: int = 16384, seed: int = 23):
         self.spark, self.degree = embeddings.sparkSession, degree
+        #: How a component is packed: as it stands.
+        self.kind = "f4" if is_float(embeddings) else "f8"
         fine = usable(embeddings)
-        self.vectors = saved(fine.groupBy("v").agg(F.min("vec_id").alias("id")), "vectors")
+        first = saved(fine.groupBy("v").agg(F.min("vec_id").alias("vec_id")), "distinct")
+        rows = first.count()
+        self.forest = self.spark.sparkContext.broadcast(plant(first, rows, trees, leaf, seed, sample, False))
+        self.vectors = saved(self._numbered(first, rows), "vectors")
         self.members = saved(fine.join(self.vectors, "v").select("id", "vec_id").distinct(), "members")
-        self.codes = saved(self.vectors.select("id", "v").mapInPandas(_coded, "id long, code binary, scale double, norm double"), "codes")
-        rows = self.vectors.count()
+        self.points = saved(self._packed(), "points")
         #: Buckets of about 1,000 nodes, by hash.
         self.groups = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 1000))
-        self.graph = saved(self._start(rows, trees, leaf, sample, seed), "graph")
+        self.graph = saved(self._start(leaf), "graph")
         for _ in range(rounds if rows > leaf else 0):
-            old, self.graph = self.graph, saved(self._round(), "graph")
+            old, self.graph = self.graph, self._round()
             forget(old)
 
-    def _start(self, rows: int, trees: int, leaf: int, sample: int, seed: int) -> DataFrame:
-        forest = self.spark.sparkContext.broadcast(plant(self.vectors.select(F.col("id").alias("vec_id"), "v"), rows, trees, leaf, seed, sample, False))
-        degree, limit = self.degree, 4 * leaf
+    def _numbered(self, first: DataFrame, rows: int) -> DataFrame:
+        """(id, v): numbers whose blocks (see BLOCK) hold nodes of neighbouring leaves of the first tree."""
+        forest = self.forest
+        leaves = count_leaves(forest.value[0]) if forest.value else 1
+        together = max(1, leaves * (3 * BLOCK // 4) // max(rows, 1))
+
+        def homed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                if len(pdf):
+                    row, where = route(stacked(pdf["v"]), forest.value[:1], 0.0)
+                    yield pdf.assign(home=(where[np.argsort(row)] // together).astype("i8"))
+
+        placed = first.select("vec_id", "v").mapInPandas(homed, "vec_id long, v array<double>, home long")
+        at = F.row_number().over(W.partitionBy("home").orderBy("vec_id")) - 1
+        return placed.select((F.shiftleft("home", 40) + at).alias("id"), "v")
+
+    def _packed(self) -> DataFrame:
+        kind = self.kind
+
+        def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                if len(pdf):
+                    yield pd.DataFrame({"id": pdf["id"], "x": [r.tobytes() for r in stacked(pdf["v"]).astype(kind)]})
+
+        return self.vectors.select("id", "v").mapInPandas(packed, "id long, x binary")
+
+    def _start(self, leaf: int) -> DataFrame:
+        forest, kind, degree, limit = self.forest, self.kind, self.degree, 4 * leaf
 
         def routed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
@@ -98,40 +127,46 @@ class NeighbourGraph:
 
         def met(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id", ignore_index=True)
-            x, norm, ids = _matrix(pdf["code"], pdf["scale"]), pdf["norm"].to_numpy(), pdf["id"].to_numpy()
-            row, at = _nearest(_distances(x, norm), degree // 2)
-            return pd.DataFrame({"u": ids[row], "v": ids[at], "d": _distances(x, norm)[row, at]})
+            d, ids = _distances(_matrix(pdf["x"], kind)), pdf["id"].to_numpy()
+            row, at = _nearest(d, degree // 2)
+            return pd.DataFrame({"u": ids[row], "v": ids[at], "d": d[row, at]})
 
         leaves = self.vectors.select("id", "v").mapInPandas(routed, "id long, leaf long")
         full = leaves.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / limit).cast("long").alias("parts"))
-        dealt = leaves.join(full, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).join(self.codes, "id")
+        dealt = leaves.join(full, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).join(self.points, "id")
         return _best(dealt.groupBy("leaf", "part").applyInPandas(met, EDGE), degree, self.groups)
 
     def _round(self) -> DataFrame:
         both = self.graph.unionByName(self.graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
-        near = _best(both, 2 * self.degree, self.groups)
+        block = F.shiftright("u", BLOCK.bit_length() - 1)
+        near = saved(_best(both, 2 * self.degree, self.groups).select(block.alias("b"), "u", "v"), "near")
         worst = self.graph.groupBy("u").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
-        node = self.codes.join(worst.withColumnRenamed("u", "id"), "id", "left")
-        degree = self.degree
-
-        def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["u", "id"], ignore_index=True)
-            x, norm, ids = _matrix(pdf["code"], pdf["scale"]), pdf["norm"].to_numpy(), pdf["id"].to_numpy()
-            limit = np.where(pdf["n"].fillna(0).to_numpy() < degree, np.inf, pdf["worst"].fillna(np.inf).to_numpy())
-            u = pdf["u"].to_numpy()
+        node = self.points.join(worst.withColumnRenamed("u", "id"), "id", "left")
+        degree, kind = self.degree, self.kind
+
+        def joined(edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+            edges, nodes = edges.sort_values(["u", "v"]), nodes.sort_values("id", ignore_index=True)
+            x, ids = _matrix(nodes["x"], kind), nodes["id"].to_numpy()
+            limit = np.where(nodes["n"].fillna(0).to_numpy() < degree, np.inf, nodes["worst"].fillna(np.inf).to_numpy())
+            u, v = edges["u"].to_numpy(), np.searchsorted(ids, edges["v"].to_numpy())
             cuts = np.append(np.nonzero(np.diff(u, prepend=u[0] - 1))[0], len(u))
-            out = []
+            out, got = [], []
             for a, b in zip(cuts, cuts[1:]):
-                d = _distances(x[a:b], norm[a:b])
-                d[d >= limit[a:b, None]] = np.inf
-                row, at = _nearest(d, 10)
-                out.append((ids[a + row], ids[a + at], d[row, at]))
-            got = pd.DataFrame(dict(zip("uvd", map(np.concatenate, zip(*out)))))
-            return got.drop_duplicates(["u", "v"])
-
-        centred = near.select("u", F.col("v").alias("id")).join(node, "id").withColumn("b", F.pmod(F.xxhash64("u"), F.lit(self.groups)))
-        found = centred.groupBy("b").applyInPandas(joined, EDGE)
-        return _best(self.graph.unionByName(found), degree, self.groups)
+                at = v[a:b]
+                d = _distances(x[at])
+                d[d >= limit[at, None]] = np.inf
+                row, to = _nearest(d, 10)
+                out.append((ids[at[row]], ids[at[to]], d[row, to]))
+                if len(out) == 500 or b == len(u):
+                    got.append(pd.DataFrame(dict(zip("uvd", map(np.concatenate, zip(*out))))).drop_duplicates(["u", "v"]))
+                    out = []
+            return pd.concat(got).drop_duplicates(["u", "v"])
+
+        needed = near.select(F.col("b").alias("to"), F.col("v").alias("id")).distinct().join(node, "id")
+        found = near.groupBy("b").cogroup(needed.groupBy("to")).applyInPandas(joined, EDGE)
+        out = saved(_best(self.graph.unionByName(found), degree, self.groups), "graph")
+        forget(near)
+        return out
 
     def search(self, queries: DataFrame, k: int = 10, beam: int = 256, width: int = 64, hops: int = 6) -> DataFrame:
         """(query_id, rank, vec_id, score): the k nearest found of each row (vec_id) of queries, a part of the indexed table.
@@ -140,15 +175,17 @@ class NeighbourGraph:
         """
         asked = queries.select(F.col("vec_id").alias("query_id")).distinct().join(self.members.withColumnRenamed("vec_id", "query_id"), "query_id").withColumnRenamed("id", "q")
         starts = saved(asked.select("q").distinct(), "queries")
-        own = starts.join(self.codes.withColumnRenamed("id", "q"), "q").select("q", F.col("code").alias("qc"), F.col("scale").alias("qs"), F.col("norm").alias("qn"))
+        own = starts.join(self.points.withColumnRenamed("id", "q"), "q").select("q", F.col("x").alias("y"))
+        kind = self.kind
         around = self.graph.select("u", "v").unionByName(self.graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         around = saved(around, "around")
 
         @F.pandas_udf("double")
-        def apart(c: pd.Series, s: pd.Series, n: pd.Series, qc: pd.Series, qs: pd.Series, qn: pd.Series) -> pd.Series:
-            if not len(c):
+        def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+            if not len(x):
                 return pd.Series([], dtype="f8")
-            return pd.Series(np.maximum(n.to_numpy() + qn.to_numpy() - 2.0 * np.einsum("ij,ij->i", _matrix(c, s), _matrix(qc, qs)), 0))
+            gap = _matrix(x, kind).astype("f8") - _matrix(y, kind)
+            return pd.Series(np.einsum("ij,ij->i", gap, gap))
 
         state = starts.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"), F.lit(False).alias("done"))
         order = W.partitionBy("q").orderBy("d", "v")
@@ -157,11 +194,12 @@ class NeighbourGraph:
             turn = saved(turn.withColumn("go", ~F.col("done") & (F.col("i") <= width)), "turn")
             seen = turn.filter("go").join(around.withColumnRenamed("v", "w"), F.col("v") == F.col("u")).select("q", F.col("w").alias("v")).distinct()
             seen = seen.join(turn.select("q", "v"), ["q", "v"], "left_anti")
-            seen = seen.join(self.codes, F.col("v") == F.col("id")).join(own, "q").select("q", "v", apart("code", "scale", "norm", "qc", "qs", "qn").alias("d"), F.lit(False).alias("done"))
+            seen = seen.join(self.points, F.col("v") == F.col("id")).join(own, "q").select("q", "v", apart("x", "y").alias("d"), F.lit(False).alias("done"))
             state = turn.select("q", "v", "d", (F.col("done") | F.col("go")).alias("done")).unionByName(seen)
             state = saved(state.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= beam).drop("i"), "beam")
         exact = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
-        close = state.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= 4 * k + 1)
+        #: With all that stand level with the last one: ties go by vec_id, not by node.
+        close = state.withColumn("i", F.rank().over(W.partitionBy("q").orderBy("d"))).filter(F.col("i") <= 4 * k + 1)
         close = close.join(self.vectors.select(F.col("id").alias("v"), F.col("v").alias("x")), "v").join(self.vectors.select(F.col("id").alias("q"), F.col("v").alias("y")), "q").select("q", F.col("v").alias("id"), exact.alias("score"))
         #: k + 1 copies of a node are all that a list of k can need.
         few = self.members.withColumn("i", F.row_number().over(W.partitionBy("id").orderBy("vec_id"))).filter(F.col("i") <= k + 1).drop("i")

@@ -97,6 +97,31 @@ def test_nearest_neighbours(spark):
     assert nndescent.NeighbourGraph(df.limit(0)).search(df.limit(0)).count() == 0
 
 
+def test_nearest_in_a_group_of_near_copies(spark):
+    """A large group whose members differ by less than a step of an 8-bit code."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:3000] = x[0] + rng.normal(scale=0.001, size=(3000, 64))
+    x = x.astype("f4")
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = nndescent.NeighbourGraph(df).search(df.filter("vec_id % 60 = 0 and vec_id < 3000"), k=10).collect()
+    x, asked = x.astype("f8"), range(0, 3000, 60)
+    want = {q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()) for q in asked}
+    share = sum(r["vec_id"] in want[r["query_id"]] for r in got) / (10 * len(want))
+    print("share of the true ten", share)
+    assert len(got) == 10 * len(want) and share >= 0.9
+
+
+def test_distances_of_far_smaller_scale():
+    x = np.zeros((40, 8)) + np.random.default_rng(0).normal(size=8)
+    x[:39] += np.random.default_rng(1).normal(scale=1e-11, size=(39, 8))
+    x[39] += 1
+    want = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(want, np.inf)
+    assert np.allclose(nndescent._distances(x), want, rtol=1e-3, atol=0)
+
+
 def test_minhash_awkward(spark, awkward):
     got = minhash.near_duplicates(awkward, words=2).collect()
     by = {r["doc_id"]: r for r in got}
