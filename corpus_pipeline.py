@@ -14,7 +14,7 @@ from pilefold.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a language (no letter, or word salad) go. Learned from a bounded sample of the rows that have one."""
+    """Rows without a language (no letter, or most letters in words that fit none and no language leading) go; clean mixes of languages stay. Learned from a bounded sample of the rows that have one."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 

@@ -125,6 +125,21 @@ class Labeller:
         s[out] = -1e9
         return np.maximum(s - s.max(axis=1, keepdims=True), -self.cap)  # one word can't outweigh a span
 
+    def fitting(self, words: Words) -> float:
+        """The share of letters in words that some language fits: its mean n-gram there is likelier than an even draw of cells."""
+        s, n = np.zeros((len(words.start), len(self.langs))), np.zeros(len(words.start))
+        for cell, word in words.grams():
+            np.add.at(s, word, self.table[cell])
+            n += np.bincount(word, minlength=len(n))
+        return float(words.size[s.max(axis=1) > -np.log(CELLS) * n].sum() / words.size.sum())
+
+    def told(self, text: str | None, least: float) -> bool:
+        """Whether a text has letters and is no word salad: one language has that share of them, or most stand in words that fit a language. Without languages nothing is salad."""
+        _, share, _, words = self.label(text)
+        if words is None or not len(words.start):
+            return False
+        return not self.langs or share >= least or self.fitting(words) >= 0.5
+
     def label(self, text: str | None) -> tuple[str, float, np.ndarray, Words | None]:
         """(language or und, share of its letters, language number of each word, words)."""
         words = Words(text) if text else None
@@ -201,14 +216,14 @@ def identify(docs: DataFrame, model: dict, with_spans: bool = False) -> DataFram
 
 
 def keep_identified(docs: DataFrame, model: dict, least: float = 0.35) -> DataFrame:
-    """The rows of docs, all columns, whose language is told: not `und`, and with at least that share of letters in its spans. No exchange."""
+    """The rows of docs, all columns, with letters, but for word salad: no language has that share of letters in its spans, and most letters are in
+    words that fit none. A clean mix of languages stays, and so do all texts with letters if nothing could be learned. No exchange."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(held.value)
         for batch in slices(parts):
-            got = [labeller.label(text) for text in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
+            yield batch.filter(pa.array([labeller.told(text, least) for text in batch.column(at).to_pylist()], pa.bool_()))
 
     at = docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)

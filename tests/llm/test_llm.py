@@ -166,6 +166,23 @@ def test_language(spark, docs, awkward):
     assert langid.identify(awkward, langid.fit(awkward.limit(0))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_keeps_mixes(spark, docs, awkward):
+    """A clean document of several languages in like parts stays, letter noise goes, and nothing goes where nothing was learned."""
+    model = langid.fit(docs)
+    rows = {r["lang"]: r["text"] for r in docs.filter("length(text) > 600").orderBy("doc_id").collect()}
+    assert len(rows) >= 4
+    mix = " ".join(" ".join(rows[x].split()[:60]) for x in sorted(rows)[:4])
+    rng = np.random.default_rng(2)
+    noise = " ".join("".join(rng.choice(list("qxzjkvwy"), 7)) for _ in range(200))
+    label = langid.Labeller(model)
+    assert label.label(mix)[1] < 0.35 and label.fitting(langid.Words(mix)) > 0.9 > 0.2 > label.fitting(langid.Words(noise))
+    assert label.told(mix, 0.35) and not label.told(noise, 1.01)
+    df = awkward.limit(0).unionByName(spark.createDataFrame([(1, mix), (2, "12")], "doc_id long, text string"), allowMissingColumns=True)
+    assert [r["doc_id"] for r in langid.keep_identified(df, model).collect()] == [1]
+    got = langid.keep_identified(awkward, langid.fit(awkward.limit(0))).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 4, 5, 5, 6]
+
+
 def test_sharding(spark, docs, awkward):
     got = hilbert.shard_documents(docs).collect()
     n = [sum(r["shard"] == s for r in got) for s in range(8)]
