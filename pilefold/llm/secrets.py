@@ -24,9 +24,15 @@ KINDS = ("assign", "access", "hex", "pem", "der", "jwt")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so a minimum length is all there is to drop
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+ANY_HEX = re.compile(r"[0-9A-Fa-f]{20,}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]+")
+#: 0x30, a sequence's tag, is M and a letter up to P in base64. The eight hold the sequence's length.
+SEQUENCE = re.compile(r"(?=(M[A-P][A-Za-z0-9+/_-]{6}))")
+WRAP = re.compile(r"[ \t]*\r?\n[ \t]*")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[A-Za-z0-9+/=\s]*-----END \1-----")
+#: A header that JSON may begin: a brace or white space first.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[eICD][A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:(?!-----)[\s\S])*)-----END \1-----")
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
 
@@ -82,6 +88,47 @@ def is_signed_token(text: str) -> bool:
         return False
 
 
+def is_key_block(body: str) -> bool:
+    """What stands between a private key's marks: header lines, then base64 of a key encoding, of OpenSSH's form or, where a header says so, of a cipher's blocks. Line ends may be escaped."""
+    lines = re.sub(r"\\+[nr]", "\n", body).split("\n")
+    head = [x for x in lines if ":" in x]
+    data = decoded(re.sub(r"\s", "", "".join(x for x in lines if ":" not in x)))
+    if not data:
+        return False
+    return is_key_encoding(data) or data.startswith(b"openssh-key-v1\0") or (any("ENCRYPTED" in x for x in head) and len(data) % 8 == 0)
+
+
+def encoding_end(text: str, at: int, head: str) -> int:
+    """The end of the base64 of a key encoding that begins at `at` with `head`, maybe wrapped over lines, up to where its characters end; or -1."""
+    first = decoded(head)
+    n = first[1] & 0x7F if first[1] >= 0x80 else 0
+    if first[1] >= 0x80 and not 1 <= n <= 4:
+        return -1
+    size = 2 + n + int.from_bytes(first[2 : 2 + n], "big") if n else 2 + first[1]
+    count = left = -(-size * 4 // 3)
+    if not 32 <= count <= len(text) - at:
+        return -1
+    end, parts = at, []
+    while True:
+        m = BASE64.match(text, end, end + left)
+        if m is None:
+            return -1
+        parts.append(m[0])
+        left, end = left - len(m[0]), m.end()
+        if not left:
+            break
+        gap = WRAP.match(text, end)
+        if gap is None:
+            return -1
+        end = gap.end()
+    if BASE64.match(text, end):
+        return -1
+    data = decoded("".join(parts))
+    if data is None or not is_key_encoding(data):
+        return -1
+    return end + len(re.match("={0,%d}" % (-count % 4), text[end : end + 2])[0])
+
+
 def scan(text: str | None) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, confirmed) in code points, end exclusive, by start and then kind."""
     text = text or ""
@@ -96,14 +143,18 @@ def scan(text: str | None) -> list[tuple[int, int, str, bool]]:
         if der:
             out.append((m.start(), m.end(), "der", True))
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            body = decoded(re.sub(r"\s", "", m[0].split("-----")[2]))
-            out.append((m.start(), m.end(), "pem", body is not None and is_key_encoding(body)))
-    if "eyJ" in text:
-        out += [(m.start(), m.end(), "jwt", True) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    for m in BASE64.finditer(text):
-        if m[0][0] == "M" and (data := decoded(m[0])) is not None and is_key_encoding(data):  # 0x30, a sequence's tag, is M in base64
+        out += [(m.start(), m.end(), "pem", True) for m in PEM.finditer(text) if is_key_block(m[2])]
+    tokens = {m.span() for m in JWT.finditer(text) if is_signed_token(m[0])} if "eyJ" in text else set()
+    tokens |= {m.span() for m in TOKEN.finditer(text) if is_signed_token(m[0])}
+    out += [(a, b, "jwt", True) for a, b in tokens]
+    for m in ANY_HEX.finditer(text):
+        if len(m[0]) % 2 == 0 and not HEX.fullmatch(m[0]) and is_key_encoding(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), "der", True))
+    end = 0
+    for m in SEQUENCE.finditer(text):
+        if m.start() >= end and (past := encoding_end(text, m.start(), m[1])) > 0:
+            end = past
+            out.append((m.start(), end, "der", True))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

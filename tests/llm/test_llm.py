@@ -266,6 +266,24 @@ def test_secrets(spark, awkward):
     assert len(rows) == len(AWKWARD) and all(r["spans"] == [] for r in rows)
 
 
+def test_secret_forms():
+    der = bytes([0x30, 58, 2, 1, 0, 0x30, 5, 6, 3, 1, 2, 3, 4, 46]) + bytes(range(46))
+    b64 = base64.b64encode(der).decode()
+    found = lambda text, kind: [text[a:b] for a, b, k, c in secrets.scan(text) if k == kind and c]
+    mark = lambda body: f"-----BEGIN RSA PRIVATE KEY-----{body}-----END RSA PRIVATE KEY-----"
+    sealed = base64.b64encode(bytes(range(64))).decode()
+    for body in (f"\n{b64}\n", f"\\n{b64[:40]}\\n{b64[40:]}\\n", f"\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{sealed}\n"):
+        assert found(f"x {mark(body)} y", "pem") == [mark(body)]
+    assert found(mark("\nnokeyhere\n"), "pem") == [] and "pem" not in [k for *_, k, _ in secrets.scan(mark("\nnokeyhere\n"))]
+    for before in ("", "/", "key-", "a_", "x+"):
+        assert found(f"at {before}{b64} end", "der") == [b64]
+    wrapped = f"{b64[:40]}\n{b64[40:]}"
+    assert found(f"at {wrapped}\nwords", "der") == [wrapped] and found(f"{b64.rstrip('=')}Q", "der") == []
+    assert found(f"at {der.hex().upper()}!", "der") == [der.hex().upper()] and found(der.hex(), "der") == [der.hex()]
+    jwt = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{ "alg": "HS256" }', b'{"a":1}', b"sig"))
+    assert found(f"see {jwt}, ok", "jwt") == [jwt]
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as P
 
