@@ -23,6 +23,8 @@ from .common import crc_mod, sampled, slices
 SECOND = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes tú ti vosotros".split())
 #: Characters that stand for letters.
 SUBSTITUTES = str.maketrans("013457@$!|", "oieastasil")
+#: Web and mail addresses: what they hold is no word of the text.
+ADDRESS = re.compile(r"://|@[^@]*\.[^\W\d_]")
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NAMES = ["density", "hits", "distinct", "undone", "densest", "near_second", "second", "capitals", "shouted", "exclaim", "punctuation", "obfuscated", "length"]
 
@@ -43,10 +45,12 @@ class Features:
         core = _core(word)
         low = core.lower()
         f = 1 if low in self.lexicon else 0
-        mixed = not core.isalpha() and any(c.isalpha() for c in core) and not re.search(r"[=@:/]|\d{4}", core)
-        if mixed and not f:
-            undone = "".join(c for c in low.translate(SUBSTITUTES) if c.isalpha())
-            f |= 2 * (undone in self.lexicon) | 16
+        if not f and not core.isalpha() and any(c.isalpha() for c in core) and not ADDRESS.search(core):
+            f |= 1 * any(run in self.lexicon for run in re.findall(r"[^\W_]+", low))  # glued words, cut as the lexicon's were
+            if not f and not re.search(r"\d{4}", core):
+                undone = ("".join(c for c in part.translate(SUBSTITUTES) if c.isalpha()) for part in (low, *re.split(r"[,;:./=]+", low)))
+                hit = any(x in self.lexicon for x in undone)
+                f |= 2 * hit | 16 * (hit or not re.search(r"[=@:/]", core))
         f |= 4 * (low in SECOND) | 8 * (len(core) > 1 and core.isupper())
         if len(self.flags) >= self.keep:
             self.flags.clear()

@@ -255,6 +255,13 @@ def test_toxicity(spark, awkward):
     assert toxicity.fit(docs.limit(0), labels) is None and toxicity.score_documents(awkward, None).filter("score = 0").count() == len(AWKWARD)
 
 
+def test_toxic_words_glued_or_with_at():
+    flag = toxicity.Features(frozenset({"trash", "idiot", "loser"}))._flag
+    assert all(flag(w) & 18 == 18 for w in ("tr@sh", "(tr@sh)", "1d10t", "x=tr@sh", "tr@sh/you"))
+    assert all(flag(w) & 1 for w in ("idiot,fool", "idiot/clown", "you:loser", "idiot"))
+    assert not any(flag(w) & 3 for w in ("me@trash.com", "https://idiot.org/loser", "a@b", "x=y"))
+
+
 def test_secrets(spark, awkward):
     der = bytes([0x30, 16, 2, 1, 0, 0x30, 5, 6, 3, 1, 2, 3, 4, 4, 9, 9, 9, 9])
     jwt = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (json.dumps({"alg": "HS256"}).encode(), b'{"a":1}', b"sig"))
