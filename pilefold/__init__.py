@@ -1 +1,3 @@
 """Spark-native analysis of paired tumor/normal sequence alignments."""
+
+VERSION = "0.2"

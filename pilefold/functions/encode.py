@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Colours of bases in SNV tensors.
 SNV_COLOURS = {"A": 245, "G": 175, "T": 105, "C": 35, "D": 0, "N": 0}
@@ -66,9 +64,27 @@ def without_chr(chrom: Column) -> Column:
     return F.when(chrom.isin("chrM", "M"), F.lit("MT")).otherwise(F.regexp_replace(chrom, "^chr", ""))
 
 
+def ten_thousandths(x: Column) -> Column:
+    """A double >= 0 in ten-thousandths (long), rounded by its exact binary value, half to even: what Python's round(x, 4) has.
+
+    x lies between k and k + 1 ten-thousandths; it is compared with the middle, (2k + 1) / 20,000, without
+    an error: x is split into a high and a low half of 26 bits, whose products with 20,000 are exact.
+    """
+    x = x.cast("double")
+    k = F.floor(x * 10000.0)
+    spread = x * F.lit(134217729.0)
+    high = spread - (spread - x)
+    over = (high * 20000.0 - (2 * k + 1).cast("double")) + (x - high) * 20000.0
+    return F.when(over > 0, k + 1).when(over < 0, k).otherwise(k + k % 2)
+
+
+def round4(x: Column) -> Column:
+    return ten_thousandths(x) / F.lit(10000.0)
+
+
 def ratio4(a: Column, b: Column) -> Column:
-    """a / b to four places, half to even; 0 where b is 0."""
-    return F.when(b == 0, F.lit(0.0)).otherwise(F.bround(a.cast("double") / b.cast("double"), 4))
+    """a / b to four places, as round4 has it; 0 where b is 0."""
+    return F.when(b == 0, F.lit(0.0)).otherwise(round4(a.cast("double") / b.cast("double")))
 
 
 def binary_entropy(p: Column) -> Column:
@@ -76,10 +92,11 @@ def binary_entropy(p: Column) -> Column:
     return F.when((p > 0) & (p < 1), -(p * F.log2(p) + (1 - p) * F.log2(1 - p)))
 
 
-@F.pandas_udf(StringType())
-def number_text(x: pd.Series) -> pd.Series:
-    """A ratio as text, rounded as Python rounds (half to even on the binary value); whole zero is 0."""
-    return x.map(lambda v: None if v is None or v != v else "0" if v == 0 else repr(round(float(v), 4)))
+def number_text(x: Column) -> Column:
+    """A number >= 0 to four places as text, without trailing zeros but with one digit after the point."""
+    n = ten_thousandths(x)
+    digits = F.lpad((n % 10000).cast("string"), 4, "0")
+    return F.concat(F.floor(n / 10000).cast("string"), F.lit("."), F.regexp_replace(digits, r"(?<=\d)0+$", ""))
 
 
 def site_key(chrom: Column, pos: Column) -> Column:

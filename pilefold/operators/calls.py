@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import BASES, Calling
 from ..functions import cigar as C
-from ..functions.encode import number_text, ratio4
+from ..functions.encode import number_text, ratio4, round4
 from .pileup import total
 
 
@@ -108,14 +108,19 @@ def germline_rejected(candidates: DataFrame, normal: DataFrame, cfg: Calling = C
 
 def scored(predictions: DataFrame, cfg: Calling = Calling()) -> DataFrame:
     """Predictions over the cutoff, after rounding to four places, with their FILTER."""
-    out = predictions.withColumn("score", F.bround("pred_true", 4)).filter(F.col("score") >= cfg.cutoff)
+    out = predictions.withColumn("score", round4(F.col("pred_true"))).filter(F.col("score") >= cfg.cutoff)
     return out.withColumn("filter", F.when(F.col("score") >= cfg.pass_score, F.lit("PASS")).otherwise(F.lit("REJECT")))
 
 
-def snv_calls(predictions: DataFrame, tumor: DataFrame, rejected: DataFrame, cfg: Calling = Calling()) -> DataFrame:
-    """(chrom, pos 0-based, ref, alt, score, filter, dp, ro, ao, af). tumor: (chrom, pos, ref, counts), joined once, aggregated beforehand."""
+def snv_calls(predictions: DataFrame, tumor: DataFrame, ref: DataFrame, rejected: DataFrame, cfg: Calling = Calling()) -> DataFrame:
+    """(chrom, pos 0-based, ref, alt, score, filter, dp, ro, ao, af). tumor: (chrom, pos, counts) of covered sites; ref: (chrom, pos, ref).
+
+    A site that no read of the default pileup covers is called with depth 0; its ALT is then A, the first of equal counts.
+    """
     kept = scored(predictions, cfg).join(rejected, ["chrom", "pos"], "left_anti")
-    return with_snv_stats(kept.join(tumor, ["chrom", "pos"])).select("chrom", "pos", "ref", "alt", "score", "filter", "dp", "ro", "ao", "af")
+    met = kept.join(ref.select("chrom", "pos", "ref"), ["chrom", "pos"], "left").join(tumor.select("chrom", "pos", "counts"), ["chrom", "pos"], "left")
+    met = met.withColumn("counts", F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), len(BASES))))
+    return with_snv_stats(met.withColumn("ref", F.coalesce("ref", F.lit("")))).select("chrom", "pos", "ref", "alt", "score", "filter", "dp", "ro", "ao", "af")
 
 
 def indel_calls(predictions: DataFrame, tumor: DataFrame, rejected: DataFrame, cfg: Calling = Calling()) -> DataFrame:
@@ -125,8 +130,9 @@ def indel_calls(predictions: DataFrame, tumor: DataFrame, rejected: DataFrame, c
 
 
 def vcf_rows(calls: DataFrame, kind: str) -> DataFrame:
-    """The ten VCF columns, POS 1-based; kind is SNP or INDEL."""
-    af, score = number_text(F.col("af")), number_text(F.col("score"))
+    """The ten VCF columns, POS 1-based; kind is SNV or INDEL. AF is a bare 0 where none can be computed: no depth, or a reference that is none of the four bases."""
+    computed = (F.col("dp") > 0) & (F.col("ref").isin(*BASES) if kind == "SNV" else F.lit(True))
+    af, score = F.when(computed, number_text(F.col("af"))).otherwise(F.lit("0")), number_text(F.col("score"))
     info = F.concat(F.lit(f"TYPE={kind};SCORE="), score, F.lit(";DP="), F.col("dp"), F.lit(";RO="), F.col("ro"), F.lit(";AO="), F.col("ao"), F.lit(";AF="), af, F.lit(";"))
     sample = F.concat_ws(":", F.lit("0/1"), F.col("dp").cast("string"), F.col("ro").cast("string"), F.col("ao").cast("string"), af)
     dot = F.lit(".")

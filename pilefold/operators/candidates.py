@@ -39,16 +39,16 @@ def indel_events(reads: DataFrame, cfg: IndelFilter = IndelFilter(), strict: boo
     return kept.select("sample", "chrom", (F.col("ref_start") + F.col("x.ref")).alias("pos"), F.col("x.op").alias("op"), F.col("x.len").alias("len"), F.col("x.read").alias("read"), "file_order", *(keep or []))
 
 
-def indel_evidence(events: DataFrame, cfg: IndelFilter = IndelFilter()) -> DataFrame:
-    """(sample, chrom, pos, ins, del, cnt) with enough insertions or enough deletions."""
-    per = events.groupBy("sample", "chrom", "pos").agg(F.count_if(F.col("op") == "I").alias("ins"), F.count_if(F.col("op") == "D").alias("del"))
+def indel_evidence(events: DataFrame, cfg: IndelFilter = IndelFilter(), by: tuple[str, ...] = ()) -> DataFrame:
+    """(sample, chrom, pos, *by, ins, del, cnt) with enough insertions or enough deletions."""
+    per = events.groupBy("sample", "chrom", "pos", *by).agg(F.count_if(F.col("op") == "I").alias("ins"), F.count_if(F.col("op") == "D").alias("del"))
     return per.filter((F.col("ins") >= cfg.min_reads) | (F.col("del") >= cfg.min_reads)).withColumn("cnt", F.col("ins") + F.col("del"))
 
 
-def indel_candidates(evidence: DataFrame, cfg: IndelFilter = IndelFilter()) -> DataFrame:
+def indel_candidates(evidence: DataFrame, cfg: IndelFilter = IndelFilter(), by: tuple[str, ...] = ()) -> DataFrame:
     """(chrom, pos): tumor positions absent in the normal, or whose counts differ by more than the margin either way; the base before the indel is written."""
-    of = lambda s: evidence.filter(F.col("sample") == s).select("chrom", "pos", F.col("cnt").alias(f"cnt_{s}"))
-    met = of("T").join(of("N"), ["chrom", "pos"], "left")
+    of = lambda s: evidence.filter(F.col("sample") == s).select("chrom", "pos", *by, F.col("cnt").alias(f"cnt_{s}"))
+    met = of("T").join(of("N"), ["chrom", "pos", *by], "left")
     return met.filter(F.col("cnt_N").isNull() | (F.abs(F.col("cnt_T") - F.col("cnt_N")) > cfg.margin)).select("chrom", (F.col("pos") - 1).alias("pos"))
 
 

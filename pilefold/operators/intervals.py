@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.encode import without_chr
+
+#: Positions in a bin of the interval joins.
+BIN = 1024
+
 
 def split_contigs(contigs: DataFrame, parts: int = 10) -> DataFrame:
     """(chrom, start, end inclusive): chunks of length // parts positions, the rest in a shorter last one; one-position chunks where a contig is shorter than `parts`."""
@@ -21,20 +29,24 @@ def split_contigs(contigs: DataFrame, parts: int = 10) -> DataFrame:
 def batch_regions(regions: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """(batch_id, chrom, start, end inclusive) of BED rows (idx, chrom, start, end exclusive), in file order.
 
-    A batch is closed when the length it has exceeds the limit before the next region joins; the next one
-    starts with that region. The fold is sequential by nature; a BED file is a list of targets, far below
-    what a task holds, and only (idx, length) of it go into the fold.
+    A region joins the batch while the length that the batch has is below the limit; otherwise it starts
+    the next one. The fold is sequential by nature: one task runs over (idx, length), sorted, a row at a
+    time; a BED file is a list of targets, far below what that takes.
     """
-    item = "array<struct<idx:bigint,batch_id:int>>"
-    listed = regions.agg(F.sort_array(F.collect_list(F.struct("idx", (F.col("end") - F.col("start")).alias("n")))).alias("xs"))
-    zero = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).alias("b"), F.array().cast(item).alias("out"))
 
-    def step(s, x):
-        full = s["run"] > limit
-        b = F.when(full, s["b"] + 1).otherwise(s["b"])
-        return F.struct((F.when(full, F.lit(0).cast("long")).otherwise(s["run"]) + x["n"]).alias("run"), b.alias("b"), F.concat(s["out"], F.array(F.struct(x["idx"].alias("idx"), b.alias("batch_id")))).alias("out"))
-
-    numbered = listed.select(F.inline(F.aggregate("xs", zero, step, lambda s: s["out"])))
+    def folded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run = batch = 0
+        for pdf in parts:
+            numbers = []
+            for n in pdf["n"]:
+                if run >= limit:
+                    run, batch = 0, batch + 1
+                run += n
+                numbers.append(batch)
+            yield pd.DataFrame({"idx": pdf["idx"], "batch_id": numbers})
+
+    lengths = regions.select(F.col("idx").cast("long"), (F.col("end") - F.col("start")).alias("n"))
+    numbered = lengths.coalesce(1).sortWithinPartitions("idx").mapInPandas(folded, "idx long, batch_id int")
     return regions.join(numbered, "idx").select("idx", "batch_id", "chrom", "start", (F.col("end") - 1).alias("end"))
 
 
@@ -43,7 +55,7 @@ def fetch(reads: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     return reads.filter((F.col("chrom") == chrom) & (F.col("ref_start") < end) & (F.col("ref_end") > start))
 
 
-def overlap_join(windows: DataFrame, reads: DataFrame, bin_size: int = 1024) -> DataFrame:
+def overlap_join(windows: DataFrame, reads: DataFrame, bin_size: int = BIN) -> DataFrame:
     """windows (chrom, w_start, w_end exclusive, ...) with the reads (chrom, ref_start, ref_end, ...) that overlap them.
 
     Both sides are dealt into the bins that they touch and meet by (chrom, bin), an equi-join that adaptive
@@ -57,24 +69,43 @@ def overlap_join(windows: DataFrame, reads: DataFrame, bin_size: int = 1024) ->
     return w.join(r, ["chrom", "_bin"]).filter((F.col("ref_start") < F.col("w_end")) & (F.col("ref_end") > F.col("w_start")) & (F.col("_bin") == first)).drop("_bin")
 
 
+def near(reads: DataFrame, spans: DataFrame, bin_size: int = BIN) -> DataFrame:
+    """reads with `_bin`: a row for each bin that a read and a span (chrom, w_start, w_end exclusive) both touch.
+
+    What is outside the spans' bins goes before anything is exploded. A position of a read belongs to the
+    row of its own bin (aligned_bases keeps to that), so nothing is counted twice. Spark broadcasts the
+    distinct bins if their size allows.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_size), F.floor((F.col(b) - 1) / bin_size)))
+    wanted = spans.filter("w_end > w_start").select("chrom", bins("w_start", "w_end").alias("_bin")).distinct()
+    return reads.filter("ref_end > ref_start").withColumn("_bin", bins("ref_start", "ref_end")).join(wanted, ["chrom", "_bin"], "left_semi")
+
+
+def in_regions(df: DataFrame, regions: DataFrame, last: int = 0, bin_size: int = BIN) -> DataFrame:
+    """Rows (chrom, pos, ...) inside regions (end exclusive, moved by `last`), once for each region that holds them, with its bounds _from and _to; an equi-join on the bins that a region touches."""
+    spans = regions.select("chrom", F.col("start").alias("_from"), (F.col("end") + last).alias("_to")).filter("_to > _from")
+    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_from") / bin_size), F.floor((F.col("_to") - 1) / bin_size))))
+    met = df.withColumn("_bin", F.floor(F.col("pos") / bin_size)).join(spans, ["chrom", "_bin"])
+    return met.filter((F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_to"))).select(*df.columns, "_from", "_to")
+
+
+def aliased(df: DataFrame, contigs: DataFrame, other: Callable[[Column], Column], name: str = "chrom") -> DataFrame:
+    """df with `name`: its chrom, or other(chrom) where contigs (chrom) hasn't that. A list of names is thousands long at most; Spark broadcasts it."""
+    known = contigs.select(F.col("chrom").alias("_known")).distinct()
+    return df.join(known, F.col("chrom") == F.col("_known"), "left").withColumn(name, F.coalesce("_known", other(F.col("chrom")))).drop("_known")
+
+
 def with_reference(sites: DataFrame, reference: DataFrame, length, block: int, name: str = "ref") -> DataFrame:
-    """sites (chrom, pos, ...) plus the upper-cased reference bases [pos, pos + length), which may run into the next block. reference: blocks of `block` bases."""
+    """sites (chrom, pos, ...) plus the upper-cased reference bases [pos, pos + length), which may run into the next block. reference: blocks of `block` bases.
+
+    A contig that the reference hasn't is looked up without its chr, chrM and M as MT.
+    """
     last = F.col("pos") + length - 1
-    need = sites.withColumn("_b", F.explode(F.sequence(F.floor(F.col("pos") / block), F.floor(last / block))))
-    met = need.join(reference.select("chrom", F.floor(F.col("block_start") / block).alias("_b"), F.col("block_start").alias("_s"), F.col("seq").alias("_q")), ["chrom", "_b"], "left")
+    need = aliased(sites, reference, without_chr, "_c").withColumn("_b", F.explode(F.sequence(F.floor(F.col("pos") / block), F.floor(last / block))))
+    met = need.join(reference.select(F.col("chrom").alias("_c"), F.floor(F.col("block_start") / block).alias("_b"), F.col("block_start").alias("_s"), F.col("seq").alias("_q")), ["_c", "_b"], "left")
     low = F.greatest(F.col("pos"), F.col("_s"))
     piece = F.upper(F.substring(F.col("_q"), (low - F.col("_s") + 1).cast("int"), (F.least(last, F.col("_s") + block - 1) - low + 1).cast("int")))
     keys = [F.col(c) for c in sites.columns]
     got = met.select(*keys, F.struct(F.col("_b"), piece.alias("p")).alias("_p")).groupBy(*sites.columns).agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
     return got.withColumn(name, F.array_join(F.transform("_ps", lambda x: x["p"]), "")).drop("_ps")
 
-
-def with_aliases(reads: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Reads whose contig the reference hasn't, but has under its other name (with chr, MT as chrM), renamed: each contig on its own. contigs is a list of names, thousands at most."""
-    from ..functions.encode import with_chr, without_chr
-
-    known = F.broadcast(contigs.select(F.col("chrom").alias("_k")).distinct())
-    names = reads.select("chrom").distinct()
-    tried = names.select("chrom", F.explode(F.array(F.struct(F.lit(0).alias("i"), F.col("chrom").alias("x")), F.struct(F.lit(1).alias("i"), with_chr(F.col("chrom")).alias("x")), F.struct(F.lit(2).alias("i"), without_chr(F.col("chrom")).alias("x")))).alias("o"))
-    best = tried.join(known, F.col("o.x") == F.col("_k")).groupBy("chrom").agg(F.min("o").alias("o")).select("chrom", F.col("o.x").alias("_x"))
-    return reads.join(F.broadcast(best), "chrom", "left").withColumn("chrom", F.coalesce("_x", "chrom")).drop("_x")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import BASES
 from ..functions import cigar as C
-from .intervals import overlap_join
+from .intervals import BIN, overlap_join
 
 UNMAPPED, REVERSED, SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 0x4, 0x10, 0x100, 0x200, 0x400, 0x800
 
@@ -32,8 +32,9 @@ def passes_default(flag: Column) -> Column:
 
 
 def aligned_bases(reads: DataFrame) -> DataFrame:
-    """One row an aligned base of M, = and X operations: (sample, chrom, pos, mapq, baseq, is_reverse, base 0-3 or null). Filter reads first: nothing is pushed through the explode."""
-    pairs = F.filter(C.aligned_pairs(F.col("ref_start"), F.col("cigar")), lambda x: x["rp"].isNotNull() & x["gp"].isNotNull())
+    """One row an aligned base of M, = and X operations: (sample, chrom, pos, mapq, baseq, is_reverse, base 0-3 or null). Filter reads first: nothing is pushed through the explode. Rows of near() give the bases of their bin."""
+    here = lambda x: F.floor(x["gp"] / BIN) == F.col("_bin") if "_bin" in reads.columns else F.lit(True)
+    pairs = F.filter(C.aligned_pairs(F.col("ref_start"), F.col("cigar")), lambda x: x["rp"].isNotNull() & x["gp"].isNotNull() & here(x))
     at = (F.col("p.rp") + 1).cast("int")
     letter = F.upper(F.substring("seq", at, F.lit(1)))
     return (

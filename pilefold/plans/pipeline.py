@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Calling, IndelFilter, IndelTensor, SnvFilter, SnvTensor
+from ..functions.encode import with_chr
 from ..operators import calls as K
 from ..operators import candidates as N
 from ..operators import tensors as M
-from ..operators.intervals import with_reference
+from ..operators.intervals import aliased, in_regions, near, overlap_join, with_reference
 from ..operators.pileup import aligned_bases, counts, passes_check, passes_default
 from ..operators.rows import dedupe_predictions, in_batches
 from ..operators.scoring import Scorer, score
@@ -22,21 +23,32 @@ def modes(snv: bool = False, indel: bool = False) -> tuple[bool, bool]:
     return not indel, not snv
 
 
-def in_regions(df: DataFrame, regions: DataFrame | None) -> DataFrame:
-    """Rows (chrom, pos) inside regions (end exclusive), once for each region that holds them."""
-    if regions is None:
-        return df
-    r = regions.select(F.col("chrom").alias("_c"), "start", "end")
-    return df.join(r, (F.col("chrom") == F.col("_c")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))).drop("_c", "start", "end")
+def _named(regions: DataFrame, reads: DataFrame) -> DataFrame:
+    """Regions under the reads' names of contigs: where the reads haven't one, with chr before it (MT: chrM)."""
+    return aliased(regions, reads, with_chr, "_name").withColumn("chrom", F.col("_name")).drop("_name")
 
 
 def snv_candidates(reads: DataFrame, cfg: SnvFilter = SnvFilter(), regions: DataFrame | None = None) -> DataFrame:
+    """(chrom, pos); with regions (end exclusive), those inside, once for each region, and reads elsewhere are never piled up."""
     kept = reads.filter(passes_check(F.col("flag"), F.col("mapq"), cfg.min_mapq))
-    return in_regions(N.snv_candidates(aligned_bases(kept), cfg).select("chrom", "pos"), regions)
+    if regions is None:
+        return N.snv_candidates(aligned_bases(kept), cfg).select("chrom", "pos")
+    regions = _named(regions, reads)
+    kept = near(kept, regions.select("chrom", F.col("start").alias("w_start"), F.col("end").alias("w_end")))
+    return in_regions(N.snv_candidates(aligned_bases(kept), cfg).select("chrom", "pos"), regions).select("chrom", "pos")
 
 
-def indel_candidates(reads: DataFrame, cfg: IndelFilter = IndelFilter(), regions: DataFrame | None = None) -> DataFrame:
-    return in_regions(N.indel_candidates(N.indel_evidence(N.indel_events(reads, cfg), cfg), cfg), regions)
+def indel_candidates(reads: DataFrame, cfg: IndelFilter = IndelFilter(), regions: DataFrame | None = None, keep_last: bool = False) -> DataFrame:
+    """(chrom, pos), pos being the base before the event. A region tests the event itself and its reads: it counts events at its positions, of reads that overlap it.
+
+    As in the results to match, a region's last base is left out; keep_last=True has it in.
+    """
+    if regions is None:
+        return N.indel_candidates(N.indel_evidence(N.indel_events(reads, cfg), cfg), cfg)
+    by = ("_from", "_to")
+    inside = in_regions(N.indel_events(reads, cfg, keep=["ref_start", "ref_end"]), _named(regions, reads), 0 if keep_last else -1)
+    inside = inside.filter((F.col("ref_start") < F.col("_to")) & (F.col("ref_end") > F.col("_from")))
+    return N.indel_candidates(N.indel_evidence(inside, cfg, by), cfg, by)
 
 
 def predict(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, kind: str, scorer: Scorer, cfg: Calling = Calling()) -> DataFrame:
@@ -47,17 +59,17 @@ def predict(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block
     return score(tensors, scorer, (a.rows, 2 * a.width, 5) if snv else (b.rows, 2 * b.length, 5))
 
 
-def site_counts(reads: DataFrame, sample: str, reference: DataFrame, block: int, cfg: Calling = Calling()) -> DataFrame:
-    """(chrom, pos, ref, counts) of every covered site of a sample, default pileup."""
+def site_counts(sites: DataFrame, reads: DataFrame, sample: str, cfg: Calling = Calling()) -> DataFrame:
+    """(chrom, pos, counts) of the covered ones of sites (chrom, pos), default pileup. Reads away from the sites go before the pileup, other positions before its aggregation."""
+    sites = sites.select("chrom", "pos").distinct()
     kept = reads.filter((F.col("sample") == sample) & passes_default(F.col("flag")))
+    kept = near(kept, sites.select("chrom", F.col("pos").alias("w_start"), (F.col("pos") + 1).alias("w_end")))
     bases = aligned_bases(kept).filter(F.col("baseq") >= cfg.default_base_quality)
-    return with_reference(bases.groupBy("chrom", "pos").agg(counts(F.lit(True)).alias("counts")), reference, F.lit(1), block)
+    return bases.join(sites, ["chrom", "pos"], "left_semi").groupBy("chrom", "pos").agg(counts(F.lit(True)).alias("counts"))
 
 
 def indel_sites(sites: DataFrame, reads: DataFrame, sample: str, reference: DataFrame, block: int) -> DataFrame:
     """(chrom, pos, ref, alt, dp, ro, ao, af, len) at sites (chrom, pos), over every read that overlaps them."""
-    from ..operators.intervals import overlap_join
-
     windows = sites.select("chrom", F.col("pos").alias("site"), F.col("pos").alias("w_start"), (F.col("pos") + 1).alias("w_end")).distinct()
     met = overlap_join(windows, reads.filter(F.col("sample") == sample)).withColumnRenamed("site", "pos")
     stats = K.indel_stats(K.read_evidence(met))
@@ -68,7 +80,7 @@ def indel_sites(sites: DataFrame, reads: DataFrame, sample: str, reference: Data
 def germline_sites(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, cfg: Calling = Calling()) -> DataFrame:
     """(chrom, pos, snp_af, indel_af, indel_len) of the normal at each distinct probe site."""
     probes = candidates.select("chrom", F.explode(F.sequence(F.col("pos") + 1 - cfg.germline_window, F.col("pos") + 1)).alias("pos")).filter("pos >= 1").distinct()
-    snp = K.with_snv_stats(site_counts(reads, "N", reference, block, cfg).join(probes, ["chrom", "pos"], "left_semi")).select("chrom", "pos", F.col("af").alias("snp_af"))
+    snp = K.with_snv_stats(with_reference(site_counts(probes, reads, "N", cfg), reference, F.lit(1), block)).select("chrom", "pos", F.col("af").alias("snp_af"))
     indel = indel_sites(probes, reads, "N", reference, block).select("chrom", "pos", F.col("af").alias("indel_af"), F.abs(F.length("ref") - F.length("alt")).alias("indel_len"))
     return snp.join(indel, ["chrom", "pos"], "full")
 
@@ -76,14 +88,14 @@ def germline_sites(candidates: DataFrame, reads: DataFrame, reference: DataFrame
 def call(snvs: DataFrame | None, indels: DataFrame | None, reads: DataFrame, reference: DataFrame, block: int, cfg: Calling = Calling()) -> DataFrame:
     """VCF rows of SNV and indel predictions."""
     out = []
-    for kind, p in (("SNP", snvs), ("INDEL", indels)):
+    for kind, p in (("SNV", snvs), ("INDEL", indels)):
         if p is None:
             out.append(None)
             continue
         kept = K.scored(p, cfg).select("chrom", "pos").distinct()
         rejected = K.germline_rejected(kept, germline_sites(kept, reads, reference, block, cfg), cfg)
-        if kind == "SNP":
-            calls = K.snv_calls(p, site_counts(reads, "T", reference, block, cfg), rejected, cfg)
+        if kind == "SNV":
+            calls = K.snv_calls(p, site_counts(kept, reads, "T", cfg), with_reference(kept, reference, F.lit(1), block), rejected, cfg)
         else:
             calls = K.indel_calls(p, indel_sites(kept, reads, "T", reference, block), rejected, cfg)
         out.append(K.vcf_rows(calls, kind))

@@ -186,7 +186,7 @@ def split_contigs(spark, sf_dir):
     return I.split_contigs(p.select(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("chrom"), (F.col("p_size") * 7 + 1).cast("long").alias("length")))
 
 
-@query(", o AS (SELECT row_number() OVER (ORDER BY idx) AS i, idx, chrom, \"start\", \"end\", \"end\" - \"start\" AS n FROM rg), f(i, run, b) AS (SELECT 1::BIGINT, (SELECT n FROM o WHERE i = 1), 0 UNION ALL SELECT f.i + 1, CASE WHEN f.run > 200 THEN o.n ELSE f.run + o.n END, CASE WHEN f.run > 200 THEN f.b + 1 ELSE f.b END FROM f JOIN o ON o.i = f.i + 1) SELECT idx, b AS batch_id, chrom, \"start\", \"end\" - 1 AS \"end\" FROM o JOIN f USING (i)", recursive=True)
+@query(", o AS (SELECT row_number() OVER (ORDER BY idx) AS i, idx, chrom, \"start\", \"end\", \"end\" - \"start\" AS n FROM rg), f(i, run, b) AS (SELECT 1::BIGINT, (SELECT n FROM o WHERE i = 1), 0 UNION ALL SELECT f.i + 1, CASE WHEN f.run < 200 THEN f.run + o.n ELSE o.n END, CASE WHEN f.run >= 200 THEN f.b + 1 ELSE f.b END FROM f JOIN o ON o.i = f.i + 1) SELECT idx, b AS batch_id, chrom, \"start\", \"end\" - 1 AS \"end\" FROM o JOIN f USING (i)", recursive=True)
 def bed_batches(spark, sf_dir):
     """S7, W1."""
     return I.batch_regions(B.regions(spark, sf_dir), 200)
@@ -214,16 +214,53 @@ def reference_lookup(spark, sf_dir):
     return I.with_reference(sites, B.reference(spark, sf_dir), F.lit(1), B.BLOCK).select("chrom", "pos", F.nullif("ref", F.lit("")).alias("ref"))
 
 
-@query("SELECT chrom, count(*) AS n, 'chr' || chrom AS prefixed FROM (SELECT replace(chrom, 'chr', '') AS chrom FROM rd) GROUP BY ALL")
+@query("SELECT chrom, CASE WHEN chrom IN ('chrM', 'M') THEN 'MT' ELSE replace(chrom, 'chr', '') END AS bare, CASE chrom WHEN 'MT' THEN 'chrM' ELSE 'chr' || chrom END AS prefixed, count(*) AS n FROM (SELECT ['chr1', '2', 'MT', 'chrM', 'M', 'chrX', 'GL000207.1'][l_partkey % 7 + 1] AS chrom FROM lineitem) GROUP BY ALL")
 def contig_alias(spark, sf_dir):
-    """X23, S3."""
-    bare = B.reads(spark, sf_dir).withColumn("chrom", E.without_chr(F.col("chrom")))
-    return bare.groupBy("chrom").agg(F.count("*").alias("n")).withColumn("prefixed", E.with_chr(F.col("chrom")))
+    """X23."""
+    names = F.get(F.array(*map(F.lit, ("chr1", "2", "MT", "chrM", "M", "chrX", "GL000207.1"))), (F.col("l_partkey") % 7).cast("int"))
+    per = B.table(spark, sf_dir, "lineitem").groupBy(names.alias("chrom")).agg(F.count("*").alias("n"))
+    return per.select("chrom", E.without_chr(F.col("chrom")).alias("bare"), E.with_chr(F.col("chrom")).alias("prefixed"), "n")
+
+
+@query("SELECT c.chrom, c.pos, upper(substr(rf.seq, (c.pos % 20 + 1)::INT, 1)) AS ref FROM (SELECT DISTINCT chrom, (pos * 20 + pos % 20)::BIGINT AS pos FROM pr) c LEFT JOIN rf ON rf.chrom = c.chrom AND rf.block_start = c.pos - c.pos % 20")
+def reference_fallback(spark, sf_dir):
+    """Sites named with chr, three of the reference's contigs named without it."""
+    sites = B.predictions(spark, sf_dir).select("chrom", (F.col("pos") * 20 + F.col("pos") % 20).alias("pos")).distinct()
+    bare = B.reference(spark, sf_dir).withColumn("chrom", F.when(F.col("chrom") > "chr1", E.without_chr(F.col("chrom"))).otherwise(F.col("chrom")))
+    return I.with_reference(sites, bare, F.lit(1), B.BLOCK).select("chrom", "pos", F.nullif("ref", F.lit("")).alias("ref"))
+
+
+_REGIONED = ", r2 AS (SELECT s_suppkey AS idx, 'chr' || (s_suppkey % 5)::VARCHAR AS chrom, s_suppkey * 200 AS s, s_suppkey * 200 + 40 + s_suppkey * 37 % 190 AS e FROM supplier)"
+
+
+def _regions(spark, sf_dir):
+    """Regions over the bridge's reads, some of them next to one another's ends, named without chr."""
+    s = F.col("s_suppkey")
+    return B.table(spark, sf_dir, "supplier").select(s.alias("idx"), (s % 5).cast("string").alias("chrom"), (s * 200).alias("start"), (s * 200 + 40 + s * 37 % 190).alias("end"))
+
+
+@query(_REGIONED + """, e2 AS (
+  SELECT idx, sample, ev.chrom, pos, count(*) AS cnt FROM ev JOIN r2 ON r2.chrom = ev.chrom AND pos >= s AND pos < e - 1 WHERE mapq >= 35 GROUP BY ALL
+  HAVING count(*) FILTER (WHERE op = 'I') >= 2 OR count(*) FILTER (WHERE op = 'D') >= 2
+) SELECT t.chrom, t.pos - 1 AS pos, t.idx FROM (SELECT * FROM e2 WHERE sample = 'T') t LEFT JOIN (SELECT * FROM e2 WHERE sample = 'N') n ON t.idx = n.idx AND t.chrom = n.chrom AND t.pos = n.pos WHERE n.cnt IS NULL OR abs(t.cnt - n.cnt) > 3""".replace(", t.idx", ""))
+def indel_candidates_in_regions(spark, sf_dir):
+    """Regions test the event, not the base before it, without a region's last base."""
+    from .pipeline import indel_candidates
+
+    return indel_candidates(_sequenced(spark, sf_dir).drop("quals", "flag"), regions=_regions(spark, sf_dir))
 
 
 # -- call statistics and the germline test
 
-_TUMOR = ", st AS (SELECT chrom, pos, ['A', 'C', 'G', 'T'][pos % 4 + 1] AS ref, t, list_sum(t)::BIGINT AS dp, (pos % 4 + 1)::INT AS ri FROM (SELECT chrom, pos, [count(*) FILTER (WHERE base = 0), count(*) FILTER (WHERE base = 1), count(*) FILTER (WHERE base = 2), count(*) FILTER (WHERE base = 3)] AS t FROM ab WHERE sample = 'T' AND baseq >= 15 GROUP BY ALL)), ao AS (SELECT *, list_max(list_filter(t, lambda x, i: i <> ri)) AS ao FROM st), ss AS (SELECT chrom, pos, ref, ['A', 'C', 'G', 'T'][list_position(t, ao)] AS alt, dp, t[ri] AS ro, ao, CASE WHEN dp = 0 THEN 0 ELSE round_even(ao::DOUBLE / dp::DOUBLE, 4) END AS af FROM ao)"
+_TUMOR = """, st AS (
+  SELECT chrom, pos, ['A', 'C', 'G', 'T'][pos % 4 + 1] AS ref, t, list_sum(t)::BIGINT AS dp, (pos % 4 + 1)::INT AS ri
+  FROM (SELECT chrom, pos, [count(*) FILTER (WHERE base = 0), count(*) FILTER (WHERE base = 1), count(*) FILTER (WHERE base = 2), count(*) FILTER (WHERE base = 3)] AS t FROM ab WHERE sample = 'T' AND baseq >= 15 GROUP BY ALL)
+), ao AS (SELECT *, list_max(list_filter(t, lambda x, i: i <> ri)) AS ao FROM st),
+ss AS (SELECT chrom, pos, ref, ['A', 'C', 'G', 'T'][list_position(t, ao)] AS alt, dp, t[ri] AS ro, ao, CASE WHEN dp = 0 THEN 0 ELSE printf('%.4f', ao::DOUBLE / dp::DOUBLE)::DOUBLE END AS af FROM ao),
+ca AS (
+  SELECT p.chrom, p.pos, p.idx, ['A', 'C', 'G', 'T'][p.pos % 4 + 1] AS ref, coalesce(alt, 'A') AS alt, pred_true AS score, CASE WHEN pred_true >= 0.5 THEN 'PASS' ELSE 'REJECT' END AS filter, coalesce(dp, 0) AS dp, coalesce(ro, 0) AS ro, coalesce(ao, 0) AS ao, coalesce(af, 0) AS af
+  FROM pr p LEFT JOIN (SELECT * FROM ss WHERE pos % 11 <> 0) x ON x.chrom = p.chrom AND x.pos = p.pos WHERE pred_true >= 0.3
+)"""
 
 
 def _tumor(spark, sf_dir):
@@ -231,18 +268,25 @@ def _tumor(spark, sf_dir):
     return bases.groupBy("chrom", "pos").agg(P.counts(F.lit(True)).alias("counts")).withColumn("ref", _letter((F.col("pos") % 4).cast("int")))
 
 
+def _calls(spark, sf_dir, rejected):
+    """Calls of predictions that keep their idx; every eleventh position has no tumor read."""
+    p = B.predictions(spark, sf_dir)
+    ref = p.select("chrom", "pos", _letter((F.col("pos") % 4).cast("int")).alias("ref")).distinct()
+    return K.snv_calls(p, _tumor(spark, sf_dir).filter("pos % 11 <> 0"), ref, rejected)
+
+
 @query(_TUMOR + " SELECT * FROM ss")
 def snv_site_stats(spark, sf_dir):
     """A7."""
     return K.with_snv_stats(_tumor(spark, sf_dir)).drop("counts")
 
 
-_NORMAL = ", nn AS (SELECT chrom, pos, round_even(count(*) FILTER (WHERE base <> pos % 4)::DOUBLE / count(*)::DOUBLE, 4) AS snp_af, CASE WHEN pos % 6 = 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS indel_af, pos % 9 AS indel_len FROM ab WHERE sample = 'N' GROUP BY chrom, pos), gr AS (SELECT DISTINCT p.chrom, p.pos FROM pr p JOIN nn ON nn.chrom = p.chrom AND nn.pos BETWEEN greatest(p.pos - 9, 1) AND p.pos + 1 WHERE ((nn.snp_af > 0.1::DOUBLE OR nn.indel_af > 0.1::DOUBLE) AND abs(nn.pos - p.pos) <= 1) OR (nn.indel_af > 0.1::DOUBLE AND nn.indel_af > nn.snp_af AND nn.pos + nn.indel_len + 1 >= p.pos))"
+_NORMAL = ", nn AS (SELECT chrom, pos, printf('%.4f', count(*) FILTER (WHERE base <> pos % 4)::DOUBLE / count(*)::DOUBLE)::DOUBLE AS snp_af, CASE WHEN pos % 6 = 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS indel_af, pos % 9 AS indel_len FROM ab WHERE sample = 'N' GROUP BY chrom, pos), gr AS (SELECT DISTINCT p.chrom, p.pos FROM pr p JOIN nn ON nn.chrom = p.chrom AND nn.pos BETWEEN greatest(p.pos - 9, 1) AND p.pos + 1 WHERE ((nn.snp_af > 0.1::DOUBLE OR nn.indel_af > 0.1::DOUBLE) AND abs(nn.pos - p.pos) <= 1) OR (nn.indel_af > 0.1::DOUBLE AND nn.indel_af > nn.snp_af AND nn.pos + nn.indel_len + 1 >= p.pos))"
 
 
 def _normal(spark, sf_dir):
     per = B.aligned_bases(spark, sf_dir).filter("sample = 'N'").groupBy("chrom", "pos").agg(F.count("*").alias("d"), F.count_if(F.col("base") != F.col("pos") % 4).alias("o"))
-    return per.select("chrom", "pos", F.bround(F.col("o").cast("double") / F.col("d"), 4).alias("snp_af"), F.when(F.col("pos") % 6 == 0, F.lit(0.2)).otherwise(F.lit(0.0)).alias("indel_af"), (F.col("pos") % 9).alias("indel_len"))
+    return per.select("chrom", "pos", E.ratio4(F.col("o"), F.col("d")).alias("snp_af"), F.when(F.col("pos") % 6 == 0, F.lit(0.2)).otherwise(F.lit(0.0)).alias("indel_af"), (F.col("pos") % 9).alias("indel_len"))
 
 
 @query(_NORMAL + " SELECT * FROM gr")
@@ -257,11 +301,10 @@ def score_cutoff(spark, sf_dir):
     return K.scored(B.predictions(spark, sf_dir), Calling()).select("chrom", "pos", "idx", "score", "filter")
 
 
-@query(_TUMOR + _NORMAL + " SELECT p.chrom, p.pos, ref, alt, pred_true AS score, CASE WHEN pred_true >= 0.5 THEN 'PASS' ELSE 'REJECT' END AS filter, dp, ro, ao, af FROM pr p JOIN ss ON ss.chrom = p.chrom AND ss.pos = p.pos WHERE pred_true >= 0.3 AND NOT EXISTS (SELECT 1 FROM gr WHERE gr.chrom = p.chrom AND gr.pos = p.pos)")
+@query(_TUMOR + _NORMAL + " SELECT * EXCLUDE (idx) FROM ca WHERE NOT EXISTS (SELECT 1 FROM gr WHERE gr.chrom = ca.chrom AND gr.pos = ca.pos)")
 def snv_calls(spark, sf_dir):
-    """J9, F8, F9, J4, A7."""
-    p = B.predictions(spark, sf_dir)
-    return K.snv_calls(p, _tumor(spark, sf_dir), K.germline_rejected(p.select("chrom", "pos"), _normal(spark, sf_dir)))
+    """J9, F8, F9, J4, A7, with sites of no depth."""
+    return _calls(spark, sf_dir, K.germline_rejected(B.predictions(spark, sf_dir).select("chrom", "pos"), _normal(spark, sf_dir)))
 
 
 @query(_TUMOR + " SELECT p.chrom, p.pos, alt, pred_true AS score, af FROM pr p JOIN ss ON ss.chrom = p.chrom AND ss.pos = p.pos WHERE pred_true >= 0.3 AND af >= 0.03::DOUBLE")
@@ -272,15 +315,18 @@ def indel_af_gate(spark, sf_dir):
     return K.indel_calls(B.predictions(spark, sf_dir), stats, none).select("chrom", "pos", "alt", "score", "af")
 
 
-@query(_TUMOR + " SELECT p.chrom, p.pos + 1 AS pos, ref, alt, CASE WHEN pred_true >= 0.5 THEN 'PASS' ELSE 'REJECT' END AS filter, 'GT:DP:RO:AO:AF' AS format, '.' AS id, '.' AS qual, idx, 'DP=' || dp::VARCHAR || ';RO=' || ro::VARCHAR || ';AO=' || ao::VARCHAR AS counts FROM pr p JOIN ss ON ss.chrom = p.chrom AND ss.pos = p.pos WHERE pred_true >= 0.3")
+@query(_TUMOR + ", tx AS (SELECT *, CASE WHEN dp > 0 THEN af::VARCHAR ELSE '0' END AS aft FROM ca) SELECT chrom, pos + 1 AS pos, '.' AS id, ref, alt, '.' AS qual, filter, 'TYPE=SNV;SCORE=' || score::VARCHAR || ';DP=' || dp::VARCHAR || ';RO=' || ro::VARCHAR || ';AO=' || ao::VARCHAR || ';AF=' || aft || ';' AS info, 'GT:DP:RO:AO:AF' AS format, '0/1:' || dp::VARCHAR || ':' || ro::VARCHAR || ':' || ao::VARCHAR || ':' || aft AS sample FROM tx")
 def vcf_projection(spark, sf_dir):
-    """VCF columns; scores and ratios, which are printed the Python way, are tested apart."""
-    p = K.scored(B.predictions(spark, sf_dir)).join(K.with_snv_stats(_tumor(spark, sf_dir)), ["chrom", "pos"])
-    rows = K.vcf_rows(p, "SNP")
-    counts = F.regexp_extract("info", r"(DP=\d+;RO=\d+;AO=\d+)", 1)
-    idx = p.select("chrom", (F.col("pos") + 1).alias("pos"), "idx", F.bround("score", 4).alias("s"))
-    rows = rows.withColumn("s", F.regexp_extract("info", "SCORE=([0-9.e-]+)", 1).cast("double")).dropDuplicates(["chrom", "pos", "s"])
-    return rows.join(idx, ["chrom", "pos", "s"]).select("chrom", "pos", "ref", "alt", "filter", "format", "id", "qual", "idx", counts.alias("counts"))
+    """Whole VCF rows."""
+    return K.vcf_rows(_calls(spark, sf_dir, spark.createDataFrame([], "chrom string, pos long")), "SNV")
+
+
+@query("SELECT a, d, CASE WHEN d = 0 THEN 0 ELSE printf('%.4f', a::DOUBLE / d::DOUBLE)::DOUBLE END AS ratio, printf('%.4f', a::DOUBLE / greatest(d, 1)::DOUBLE)::DOUBLE::VARCHAR AS shown, count(*) AS n FROM (SELECT l_partkey % 700 AS d, l_suppkey * 7 % (l_partkey % 700 + 1) AS a FROM lineitem) GROUP BY ALL")
+def ratio_text(spark, sf_dir):
+    """Ratios rounded to four places on the binary value, and their text."""
+    d = F.col("l_partkey") % 700
+    rows = B.table(spark, sf_dir, "lineitem").groupBy(d.alias("d"), (F.col("l_suppkey") * 7 % (d + 1)).alias("a")).agg(F.count("*").alias("n"))
+    return rows.select("a", "d", E.ratio4(F.col("a"), F.col("d")).alias("ratio"), E.number_text(F.col("a") / F.greatest("d", F.lit(1))).alias("shown"), "n")
 
 
 @query("SELECT op, len, CASE op WHEN 'D' THEN upper(substr(seq, 1, (len + 1)::INT)) ELSE upper(substr(seq, 1, 1)) END AS ref, CASE op WHEN 'D' THEN upper(substr(seq, 1, 1)) ELSE upper(substr(seq, 1, 1)) || repeat('T', len::INT) END AS alt, count(*) AS n FROM ev JOIN rf ON rf.block_start = ev.pos - ev.pos % 20 AND rf.chrom = ev.chrom GROUP BY ALL")

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import VERSION
 from ..functions import cigar as C
 
 
@@ -86,20 +87,21 @@ VCF_HEADER = [
     "##fileformat=VCFv4.2",
     '##FILTER=<ID=PASS,Description="Score of at least 0.5">',
     '##FILTER=<ID=REJECT,Description="Score below 0.5">',
-    '##INFO=<ID=TYPE,Number=1,Type=String,Description="SNP or INDEL">',
+    '##INFO=<ID=TYPE,Number=1,Type=String,Description="SNV or INDEL">',
     '##INFO=<ID=SCORE,Number=1,Type=Float,Description="Score of the call">',
     '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
     '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Depth">',
     '##FORMAT=<ID=RO,Number=1,Type=Integer,Description="Reads of the reference allele">',
-    '##FORMAT=<ID=AO,Number=1,Type=Integer,Description="Reads of the alternate allele">',
+    '##FORMAT=<ID=AO,Number=A,Type=Integer,Description="Reads of the alternate allele">',
     '##FORMAT=<ID=AF,Number=1,Type=Float,Description="Allele frequency">',
 ]
 
 
-def write_vcf(rows: DataFrame, path: str, sample: str, reference: str = "", compat: bool = False) -> None:
-    """A folder with one VCF text: header, then rows by (ord, pos, chrom). compat ends rows with a tab."""
+def write_vcf(rows: DataFrame, path: str, sample: str, reference: str = "", normal: str = "", tumor: str = "", compat: bool = False) -> None:
+    """A folder with one VCF text: header, then rows by (ord, pos, chrom). compat ends rows with a tab. One file is what readers want: calls, thousands to a million short lines, go through one task."""
     columns = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample"]
-    head = [VCF_HEADER[0], f"##fileDate={datetime.now():%Y%B%d, %H:%M:%S}", f"##reference={reference}", *VCF_HEADER[1:], "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])]
+    ran = [f"##fileDate={datetime.now():%Y%B%d, %H:%M:%S}", f"##source=pilefold v{VERSION}", f"##reference={reference}", f"##normalBAM={normal}", f"##tumorBAM={tumor}"]
+    head = [VCF_HEADER[0], *ran, *VCF_HEADER[1:], "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])]
     spark = rows.sparkSession
     top = spark.createDataFrame([(i - len(head), 0, "", h) for i, h in enumerate(head)], "ord int, pos long, chrom string, value string")
     line = F.concat(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]), F.lit("\t" if compat else ""))

@@ -84,6 +84,41 @@ def test_split(spark, length, n, last):
 def test_batches(spark):
     bed = spark.createDataFrame([(i, "1", 10 * i, 10 * i + k) for i, k in enumerate((6, 6, 6, 1))], "idx long, chrom string, start long, end long")
     assert [r["batch_id"] for r in I.batch_regions(bed, 10).orderBy("idx").collect()] == [0, 0, 1, 1]
+    bed = spark.createDataFrame([(0, "1", 0, 10), (1, "1", 20, 25), (2, "1", 30, 35), (3, "1", 40, 41)], "idx long, chrom string, start long, end long")
+    assert [r["batch_id"] for r in I.batch_regions(bed, 10).orderBy("idx").collect()] == [0, 1, 1, 2]  # a batch that has just the limit is closed
+    assert I.batch_regions(bed.limit(0), 10).count() == 0
+
+
+def test_rounding(spark):
+    ratios = spark.range(1, 601).withColumnRenamed("id", "d").withColumn("a", F.explode(F.sequence(F.lit(0), "d")))
+    got = ratios.select("a", "d", E.ratio4(F.col("a"), F.col("d")).alias("r"), E.number_text(F.col("a") / F.col("d")).alias("t")).toPandas()
+    want = [round(a / d, 4) for a, d in zip(got["a"].tolist(), got["d"].tolist())]
+    assert got["r"].tolist() == want and got["t"].tolist() == [repr(w) for w in want]
+
+
+@pytest.mark.parametrize("start,end,last,kept", [(99, 100, False, 0), (100, 102, False, 1), (100, 101, False, 0), (100, 101, True, 1), (95, 100, False, 0), (95, 101, False, 0), (95, 102, False, 1)])
+def test_indels_in_regions(spark, start, end, last, kept):
+    """Two reads with an event at 100: the region tests that, and leaves its last base out."""
+    reads = spark.createDataFrame([read("T", "10M2I10M", start=90, order=i, chrom="chr1") for i in range(2)], READS)
+    for name in ("1", "chr1"):
+        bed = spark.createDataFrame([(name, start, end)], "chrom string, start long, end long")
+        assert [tuple(r) for r in pipeline.indel_candidates(reads, regions=bed, keep_last=last).collect()] == [("chr1", 99)] * kept
+
+
+def test_contig_fallback(spark):
+    ref = spark.createDataFrame([("1", 0, "acgt"), ("MT", 0, "ggca"), ("chr2", 0, "tttt")], "chrom string, block_start long, seq string")
+    sites = spark.createDataFrame([("chr1", 1), ("1", 1), ("chrM", 2), ("M", 2), ("MT", 2), ("chr2", 0), ("2", 0)], "chrom string, pos long")
+    got = {r["chrom"]: r["ref"] for r in I.with_reference(sites, ref, F.lit(1), 4).collect()}
+    assert got == {"chr1": "C", "1": "C", "chrM": "C", "M": "C", "MT": "C", "chr2": "T", "2": ""}
+
+
+def test_call_without_depth(spark):
+    """Secondary reads make a candidate, which the default pileup then doesn't cover."""
+    ref = spark.createDataFrame([("1", 0, "ACGT" * 100)], "chrom string, block_start long, seq string")
+    reads = spark.createDataFrame([read("T", "40M", flag=0x100, order=i) for i in range(9)], READS)
+    p = spark.createDataFrame([("1", 121, 0.9)], "chrom string, pos long, pred_true double")
+    r = pipeline.call(p, None, reads, ref, 400).first()
+    assert (r["pos"], r["ref"], r["alt"], r["info"], r["sample"]) == (122, "C", "A", "TYPE=SNV;SCORE=0.9;DP=0;RO=0;AO=0;AF=0;", "0/1:0:0:0:0")
 
 
 def test_colours(spark):
@@ -104,10 +139,11 @@ def test_sampling():
 def test_scores_and_vcf(spark):
     rows = spark.createDataFrame([("1", 10, 0.29996), ("1", 11, 0.49996), ("1", 12, 0.2999)], "chrom string, pos long, pred_true double")
     assert [(r["pos"], r["filter"]) for r in K.scored(rows, Calling()).orderBy("pos").collect()] == [(10, "REJECT"), (11, "PASS")]
-    calls = spark.createDataFrame([("1", 10, "A", "C", 0.4583, "REJECT", 96, 93, 3, 0.0312), ("1", 11, "A", "C", 0.5, "PASS", 9, 9, 0, 0.0)], "chrom string, pos long, ref string, alt string, score double, filter string, dp long, ro long, ao long, af double")
-    got = K.vcf_rows(calls, "SNP").orderBy("pos").collect()
-    assert got[0]["info"] == "TYPE=SNP;SCORE=0.4583;DP=96;RO=93;AO=3;AF=0.0312;" and got[0]["pos"] == 11
-    assert got[1]["sample"] == "0/1:9:9:0:0"
+    counted = spark.createDataFrame([("1", 10, "A", [93, 3, 0, 0]), ("1", 11, "A", [9, 0, 0, 0]), ("1", 12, "A", [159, 1, 0, 0]), ("1", 13, "N", [4, 0, 0, 0])], "chrom string, pos long, ref string, counts array<long>")
+    calls = K.with_snv_stats(counted).withColumns({"score": F.when(F.col("pos") == 10, 0.4583).otherwise(1.0), "filter": F.lit("REJECT")})
+    got = K.vcf_rows(calls, "SNV").orderBy("pos").collect()
+    assert got[0]["info"] == "TYPE=SNV;SCORE=0.4583;DP=96;RO=93;AO=3;AF=0.0312;" and got[0]["pos"] == 11
+    assert [r["sample"] for r in got[1:]] == ["0/1:9:9:0:0.0", "0/1:160:159:1:0.0063", "0/1:4:0:0:0"] and "SCORE=1.0;" in got[1]["info"]
 
 
 def test_pr_curve(spark):
@@ -185,8 +221,9 @@ def test_sam_bam_fasta_bed_vcf(spark, tmp_path):
     (tmp_path / "a.bed").write_text("1\t5\t9\n2\t0\t3\textra\n")
     assert [tuple(x)[1:] for x in text.read_bed(spark, str(tmp_path / "a.bed")).orderBy("idx").collect()] == [("1", 5, 9), ("2", 0, 3)]
     rows = spark.createDataFrame([("1", 11, ".", "A", "C", ".", "PASS", "x;", "GT", "0/1")], "chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string, format string, sample string")
-    text.write_vcf(rows, str(tmp_path / "v"), "s1")
+    text.write_vcf(rows, str(tmp_path / "v"), "s1", reference="a.fa", normal="n.bam", tumor="t.bam")
     lines = next((tmp_path / "v").glob("part-*")).read_text().splitlines()
+    assert {"##reference=a.fa", "##normalBAM=n.bam", "##tumorBAM=t.bam"} <= set(lines) and any(x.startswith("##source=pilefold") for x in lines)
     assert lines[0].startswith("##fileformat") and lines[-1] == "1\t11\t.\tA\tC\t.\tPASS\tx;\tGT\t0/1" and lines[-2].startswith("#CHROM")
 
 
