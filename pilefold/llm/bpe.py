@@ -7,12 +7,18 @@ to itself, and is compatible with the last token of the prefix before it. The tr
 token for each position and walks the bytes once.
 
 **Lookahead.** A token still to come starts at one of the last `lookahead` positions, where `lookahead` is the
-length in bytes of the longest token that the merge list can make. So a token is stable, and is emitted,
-once the chains of last tokens from all those positions go through it; what is kept is that window of
-positions and the tokens between it and the last emitted boundary, not the text.
+length in bytes of the longest token that the merge list can make; no entry that ends a prefix is longer,
+so no position before those is looked at again. So a token is stable, and is emitted, once the chains of
+last tokens from all those positions go through it; what is kept is that window of positions and the
+tokens between it and the last emitted boundary, not the text.
+
+**Transitions.** Bytes arrive in pieces of at most `lookahead`; a transition takes (state, piece, whether
+the word ends with it) to (tokens emitted, next state). Transitions met before are looked up. That is what
+makes it fast: most words are one piece, from the state at a word's start to the one past its end.
 
 **Words.** Before merging, the public pattern of byte-level BPE splits a text into words; no merge crosses
-them. A run of words is stable one word before its end, so text can arrive in pieces.
+them. Text arrives in pieces too: a word is passed on once three more characters can't change where it
+ends, and of a word that goes on past a piece all but its last characters, so a word may be of any length.
 
 **Decoding.** An incremental UTF-8 decoder takes token bytes as they come and keeps only an unfinished
 code point; bytes that are no UTF-8 become U+FFFD.
@@ -33,8 +39,16 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
+#: Fixed value: the word pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Bytes at a prefix's end that narrow down which entries may end it.
+NEAR = 4
+#: The runs that a word of any length can be, but for its first character.
+RUNS = {"letter": r"\p{L}*", "number": r"\p{N}*", "blank": r"\s*", "sign": r"[^\s\p{L}\p{N}]*"}
+#: The last run of blanks of a stretch, searched from its end.
+BLANKS = regex.compile(r"(?r)\s+")
+
 
 def _byte_letters() -> dict[str, int]:
     """The printable letter that byte-level vocabularies write for each byte: itself if printable in Latin-1, else the next from U+0100."""
@@ -49,6 +63,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        self._expect(file, path)
         letters = _byte_letters()
         raw = lambda t: bytes(letters[c] for c in t)
         self.added = {a["content"]: a["id"] for a in file["added_tokens"]}
@@ -71,6 +86,24 @@ class Vocabulary:
             end, how = self._merged([self.id_of[t[k : k + 1]] for k in range(len(t))])
             if end == [i]:
                 self.entries[t], self.made[i] = i, how
+        self.length = {i: len(t) for i, t in self.bytes_of.items()}
+        ends: dict[bytes, set[int]] = {}
+        for t in self.entries:
+            ends.setdefault(t[-NEAR:], set()).add(len(t))
+        for t in list(ends):
+            ends[t] |= {n for n in range(1, len(t)) if t[-n:] in self.entries}
+        #: For the last NEAR bytes of a prefix (all, if it has fewer), the lengths of the entries that may end it, longest first.
+        self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in ends.items()}
+
+    @staticmethod
+    def _expect(file: dict, path: str) -> None:
+        """Refuses a file whose text would be split, changed or merged in another way than here."""
+        model, before = file["model"], file.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        split = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        added = not any(a.get(k) for a in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if not (plain and split and added and file.get("normalizer") is None and (file.get("decoder") or {}).get("type") == "ByteLevel"):
+            raise ValueError(f"{path} is no plain byte-level BPE without a normalizer, prefix space or stripping added tokens")
 
     def _merged(self, ids: list[int]) -> tuple[list[int], tuple[int, int, int]]:
         """Merges by rank, leftmost first, over the few bytes of a token; also the last merge made, as (rank, left, right)."""
@@ -112,161 +145,223 @@ class Vocabulary:
             else:
                 return True
 
-    def extend(self, tail: bytes, last: list[int], before: int) -> None:
-        """Appends to `last` the last token of the encoding up to each further position of `tail`; `before` is the token that ends where tail begins, or -1."""
-        look, entry, known, compatible = self.lookahead, self.entries.get, self._compatible.get, self.compatible
-        for end in range(len(last), len(tail) + 1):
-            token = -1
-            for start in range(end - look if end > look else 0, end):  # longest first
-                t = entry(tail[start:end])
-                if t is None:
-                    continue
-                previous = last[start] if start else before
+    def lengths(self, end: bytes) -> tuple[int, ...]:
+        """The lengths of the entries that may end a prefix whose last NEAR bytes are `end`."""
+        got = self.sizes.get(end)
+        if got is None:
+            got = tuple(n for n in range(len(end), 0, -1) if end[-n:] in self.entries)
+            if len(self.sizes) < 400_000:
+                self.sizes[end] = got
+        return got
+
+    def token(self, tail: bytes, last: list[int], before: int, end: int) -> int:
+        """The last token of the encoding of tail[:end], longest first; `before` is the token that ends where tail begins, or -1.
+
+        Looks up `last` for the prefix that an entry leaves, and finds out what isn't known there yet (-2).
+        """
+        entry, known = self.entries.get, self._compatible.get
+        near = tail[end - NEAR if end > NEAR else 0 : end]
+        sizes = self.sizes.get(near)
+        for size in self.lengths(near) if sizes is None else sizes:
+            start = end - size
+            if start < 0:
+                continue
+            t = entry(tail[start:end])
+            if t is None:
+                continue
+            if start:
+                previous = last[start]
+                if previous == -2:
+                    previous = self.token(tail, last, before, start)
                 if previous < 0:
-                    if start:
-                        continue
-                elif not (compatible(previous, t) if (ok := known((previous, t))) is None else ok):
                     continue
-                token = t
+            elif before < 0:
                 break
-            last.append(token)
-
-    def whole(self, word: bytes) -> list[int]:
-        """A word that fits in the window: the same last tokens, but only for positions that the end asks for."""
-        entry, known, compatible = self.entries.get, self._compatible.get, self.compatible
-        got = entry(word)
-        if got is not None:
-            return [got]
-        last: dict[int, int] = {0: -1}  # position: the last token of the encoding up to there
-
-        def at(end: int) -> int:
-            for start in range(end):  # longest first
-                t = entry(word[start:end])
-                if t is None:
-                    continue
-                if not start:
-                    break
-                previous = last.get(start)
-                if previous is None:
-                    previous = at(start)
-                if compatible(previous, t) if (ok := known((previous, t))) is None else ok:
-                    break
-            last[end] = t
-            return t
-
-        end, out = len(word), []
-        while end:
-            t = last.get(end)
-            out.append(at(end) if t is None else t)
-            end -= len(self.bytes_of[out[-1]])
-        return out[::-1]
+            else:
+                previous = before
+            ok = known((previous, t))
+            if self.compatible(previous, t) if ok is None else ok:
+                break
+        else:
+            t = -1
+        last[end] = t
+        return t
+
+
+#: What a transducer keeps: bytes since the last emitted boundary, for each position of them the last token up to there, the token that ends at the boundary.
+State = tuple[bytes, tuple[int, ...], int]
+START: State = (b"", (-1,), -1)
 
 
 class Transducer:
-    """The bytes of one word go in piece by piece; stable tokens come out."""
+    """Transitions over the bytes of words. Two generations of at most `keep` that take a whole word, and as many as `states` others, are remembered, so memory stays bounded."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.tail = b""  # bytes since the last emitted boundary
-        self.last: list[int] = [-1]  # for each position of tail, the last token of the encoding up to there
-        self.before = -1  # the token that ends at the boundary
+    def __init__(self, vocabulary: Vocabulary, keep: int = 120_000, states: int = 2_000):
+        self.v, self.keep, self.states = vocabulary, keep, states
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.others: dict[tuple[State, bytes], tuple[bytes, State]] = {}
 
-    def _chain(self, end: int) -> list[tuple[int, int]]:
+    def _chain(self, tail: bytes, last, end: int) -> list[tuple[int, int]]:
         """(end position, token) of the tokens up to `end`, last first."""
-        out = []
+        out, length = [], self.v.length
         while end:
-            t = self.last[end]
+            t = last[end]
             out.append((end, t))
-            end -= len(self.v.bytes_of[t])
+            end -= length[t]
         return out
 
-    def feed(self, data: bytes) -> list[int]:
-        out: list[int] = []
-        for at in range(0, len(data), self.v.lookahead):
-            self.tail += data[at : at + self.v.lookahead]
-            self.v.extend(self.tail, self.last, self.before)
-            if len(self.tail) >= 4 * self.v.lookahead:
-                out += self._settle()
-        return out
-
-    def _settle(self) -> list[int]:
-        """Emits the tokens that the chains of all open positions share."""
-        open_ = [p for p in range(len(self.tail) - self.v.lookahead + 1, len(self.tail) + 1) if self.last[p] >= 0]
+    def step(self, state: State, piece: bytes, ends: bool) -> tuple[list[int], State]:
+        """One transition: the tokens that no further byte can change, all of them if the word ends, and the next state."""
+        tail, last, before = state[0] + piece, [*state[1], *[-2] * len(piece)], state[2]
+        token, length = self.v.token, self.v.length
+        if ends:  # only the positions that the end asks for
+            out, end = [], len(tail)
+            while end:
+                t = last[end]
+                if t == -2:
+                    t = token(tail, last, before, end)
+                out.append(t)
+                end -= length[t]
+            return out[::-1], START
+        for end in range(len(state[1]), len(tail) + 1):
+            token(tail, last, before, end)
+        if len(tail) < 4 * self.v.lookahead:
+            return [], (tail, tuple(last), before)
         shared = None
-        for p in open_:
-            ends = set(self._chain(p))
-            shared = ends if shared is None else shared & ends
+        for p in range(len(tail) - self.v.lookahead + 1, len(tail) + 1):
+            if last[p] >= 0:
+                chain = set(self._chain(tail, last, p))
+                shared = chain if shared is None else shared & chain
         if not shared:
-            return []
+            return [], (tail, tuple(last), before)
         cut = max(shared)[0]
-        out = [t for _, t in reversed(self._chain(cut))]
-        self.tail, self.last, self.before = self.tail[cut:], [-1, *self.last[cut + 1 :]], out[-1]
-        return out
-
-    def finish(self) -> list[int]:
-        out = [t for _, t in reversed(self._chain(len(self.tail)))]
-        self.tail, self.last, self.before = b"", [-1], -1
-        return out
-
-
-class Encoder:
-    """Text in pieces to packed ids (little-endian unsigned 32-bit), the way the tokenizers library splits and merges it.
-
-    Words met before are looked up: two generations of at most `keep` words, so memory stays bounded. Words
-    of over `long` bytes go straight through the transducer.
-    """
-
-    def __init__(self, vocabulary: Vocabulary, keep: int = 120_000, long: int = 64):
-        self.v, self.keep, self.long = vocabulary, keep, long
-        self.words, self.blanks = regex.compile(PATTERN), regex.compile(r"\s+")
-        self.added = regex.compile("|".join(regex.escape(a) for a in sorted(vocabulary.added, key=len, reverse=True))) if vocabulary.added else None
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.carry = ""
-
-    def _word(self, word: str) -> bytes:
+        out = [t for _, t in reversed(self._chain(tail, last, cut))]
+        return out, (tail[cut:], (-1, *last[cut + 1 :]), out[-1])
+
+    def feed(self, state: State, data: bytes) -> tuple[bytes, State]:
+        """Bytes in the middle of a word: packed tokens that are stable, next state."""
+        out, size = [], self.v.lookahead
+        for at in range(0, len(data), size):
+            key = state, data[at : at + size]
+            got = self.others.get(key)
+            if got is None:
+                ids, after = self.step(*key, False)
+                if len(self.others) >= self.states:
+                    self.others.clear()
+                self.others[key] = got = array("I", ids).tobytes(), after
+            out.append(got[0])
+            state = got[1]
+        return b"".join(out), state
+
+    def close(self, state: State) -> bytes:
+        return array("I", self.step(state, b"", True)[0]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """A whole word, from START to START."""
         got = self.old.get(word)
         if got is None:
-            data = word.encode()
-            if len(data) > self.long:
-                t = Transducer(self.v)
-                return array("I", t.feed(data) + t.finish()).tobytes()
-            got = array("I", self.v.whole(data)).tobytes()
+            data, size = word.encode(), self.v.lookahead
+            if len(data) > size:
+                got, state = self.feed(START, data)
+                return got + self.close(state)
+            got = array("I", self.step(START, data, True)[0]).tobytes()
         if len(self.new) >= self.keep:
             self.old, self.new = self.new, {}
         self.new[word] = got
         return got
 
-    def _plain(self, words: list[str]) -> bytes:
-        get, word = self.new.get, self._word
-        return b"".join([get(w) or word(w) for w in words])
-
-    def encode(self, text: str) -> bytes:
-        """One whole text."""
-        if self.added is None or not self.added.search(text):
-            return self._plain(self.words.findall(text))
-        out, at = [], 0
-        for m in self.added.finditer(text):
-            out += [self._plain(self.words.findall(text[at : m.start()])), array("I", [self.v.added[m[0]]]).tobytes()]
-            at = m.end()
-        return b"".join([*out, self._plain(self.words.findall(text[at:]))])
 
-    def feed(self, piece: str) -> bytes:
-        """A piece of a text in; ids out that no later piece can change.
+class Encoder:
+    """Text in pieces to packed ids (little-endian unsigned 32-bit), the way the tokenizers library splits and merges it.
 
-        What waits: the text from the last run of blanks that has something after it (words never cross
-        the start of such a run), and what may be the beginning of an added token.
-        """
-        text = self.carry + piece
-        at = 0 if self.added is None else max((m.end() for m in self.added.finditer(text)), default=0)
-        end = len(text) - max((n for a in self.v.added for n in range(1, len(a)) if text.endswith(a[:n])), default=0)
-        cut = max((m.start() for m in self.blanks.finditer(text, at, max(at, end)) if m.end() < end), default=at)
-        self.carry = text[cut:]
-        return self.encode(text[:cut])
-
-    def finish(self) -> bytes:
-        out, self.carry = self.encode(self.carry), ""
-        return out
+    Between pieces it keeps a transducer state and a few characters: at most `edge`, which is as far as the
+    word pattern and a beginning added token can look ahead.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v, self.machine = vocabulary, Transducer(vocabulary)
+        self.words = regex.compile(PATTERN)
+        self.added = regex.compile("|".join(regex.escape(a) for a in sorted(vocabulary.added, key=len, reverse=True))) if vocabulary.added else None
+        self.edge = max([4, *map(len, vocabulary.added)])
+        self.runs = {kind: regex.compile(run) for kind, run in RUNS.items()}
+        self.reset()
+
+    def reset(self) -> None:
+        self.carry, self.kind, self.state = "", "", START
+
+    def _all(self, text: str) -> bytes:
+        """Words from a word's start up to an end."""
+        get, word = self.machine.new.get, self.machine.word
+        return b"".join([get(w) or word(w) for w in self.words.findall(text)])
+
+    def _continued(self, text: str, last: bool) -> tuple[bytes, str]:
+        """What of the text goes on with the word that the last piece left open: its ids, and the rest."""
+        run = self.runs[self.kind].match(text).end()
+        if run == len(text) and not last:
+            run = max(0, run - self.edge)
+            out, self.state = self.machine.feed(self.state, text[:run].encode())
+            return out, text[run:]
+        if self.kind == "blank" and run < len(text):
+            run -= 1  # the last blank goes with the word after it
+        out, self.state = self.machine.feed(self.state, text[:run].encode())
+        out += self.machine.close(self.state)
+        self.kind, self.state = "", START
+        return out, text[run:]
+
+    def _plain(self, text: str, last: bool) -> tuple[bytes, str]:
+        """Text without added tokens: ids, and the characters that wait for more."""
+        out = b""
+        if self.kind:
+            out, text = self._continued(text, last)
+            if self.kind:
+                return out, text
+        if last:
+            return out + self._all(text), ""
+        if len(text) <= self.edge:
+            return out, text
+        # The last match that begins before the edge: the words before it are what they are.
+        cut = BLANKS.search(text, 0, len(text) - self.edge)
+        at = cut.start() if cut and cut.end() < len(text) - self.edge else 0
+        out += self._all(text[:at])  # whole words, as none goes over the beginning of a run of blanks
+        for m in self.words.finditer(text, at):
+            if m.end() + self.edge > len(text):
+                break
+            out += self.machine.new.get(m[0]) or self.machine.word(m[0])
+            at = m.end()
+        rest = text[at:]
+        if len(rest) > 2 * self.edge and rest == self.words.match(rest)[0]:  # one word, and it goes on
+            self.kind = next(k for k, r in self.runs.items() if r.fullmatch(rest[1:]))
+            more, rest = self._continued_from(rest)
+            out += more
+        return out, rest
+
+    def _continued_from(self, rest: str) -> tuple[bytes, str]:
+        run = len(rest) - self.edge
+        out, self.state = self.machine.feed(START, rest[:run].encode())
+        return out, rest[run:]
+
+    def feed(self, piece: str, last: bool = False) -> bytes:
+        """A piece of a text in; ids out that no later piece can change. `last` ends the text."""
+        text, out, self.carry = self.carry + piece, [], ""
+        held = ""
+        if self.added is not None:
+            while (m := self.added.search(text)) is not None:
+                out += [self._plain(text[: m.start()], True)[0], array("I", [self.v.added[m[0]]]).tobytes()]
+                text = text[m.end() :]
+            if not last:
+                n = max((n for a in self.v.added for n in range(1, len(a)) if text.endswith(a[:n])), default=0)
+                text, held = text[: len(text) - n], text[len(text) - n :]
+        got, rest = self._plain(text, last)
+        self.carry = rest + held
+        out.append(got)
+        return b"".join(out)
+
+    def encode(self, text: str, piece: int = 1 << 15) -> Iterator[bytes]:
+        """One whole text, `piece` characters at a time."""
+        self.reset()
+        for at in range(0, max(len(text), 1), piece):
+            yield self.feed(text[at : at + piece] if at or len(text) > piece else text, at + piece >= len(text))
 
 
 class Decoder:
@@ -297,26 +392,28 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, piece:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>]) of every row, whole texts; null counts as empty.
 
     Encodes without special tokens added (their strings in a text are the special tokens, as the library
-    has it) and decodes the ids again, `piece` ids at a time. A narrow pass: no exchange, one text in
-    memory at a time besides the Arrow batch; only doc_id and text are read.
+    has it) and decodes the ids as they come out, `piece` characters at a time; digests grow along, so
+    besides the Arrow batch and, if asked for, the ids, nothing that grows with a text is kept. A narrow
+    pass: no exchange; only doc_id and text are read; repeated ids are rows of their own; an empty table
+    gives an empty result.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in slices(parts):
             n, sha, back, ids = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                packed = e.encode(text or "")
-                got = array("I", packed)
-                decoder, digest = Decoder(e.v), hashlib.sha256()
-                for k in range(0, len(got), piece):
-                    digest.update(decoder.feed(got[k : k + piece]).encode())
-                digest.update(decoder.finish().encode())
-                n.append(len(got))
-                sha.append(hashlib.sha256(packed).hexdigest())
-                back.append(digest.hexdigest())
-                if with_ids:
-                    ids.append(packed)
+            for value in batch.column("text"):
+                decoder, packed_sha, text_sha, count = Decoder(e.v), hashlib.sha256(), hashlib.sha256(), 0
+                for packed in e.encode(value.as_py() or "", piece):
+                    packed_sha.update(packed)
+                    text_sha.update(decoder.feed(array("I", packed)).encode())
+                    count += len(packed) // 4
+                    if with_ids:
+                        ids.append(packed)
+                text_sha.update(decoder.finish().encode())
+                n.append(count)
+                sha.append(packed_sha.hexdigest())
+                back.append(text_sha.hexdigest())
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
             if with_ids:
                 flat = np.frombuffer(b"".join(ids), "<i4")
