@@ -1,8 +1,13 @@
 """Secret scans with structural confirmation.
 
 Patterns find candidates; base64 and hex candidates are decoded and confirmed by structure: key encodings
-(DER with nested lengths that add up), private-key blocks, signed tokens with a JSON header. Spans of the
-three base kinds are reported as the patterns have them; confirmed structures are further spans.
+(DER whose nested lengths add up, OpenSSH containers), private-key blocks, signed tokens with a JSON
+header. Spans of the three base kinds are reported as the patterns have them; structures are further
+spans, and reported only if confirmed.
+
+Every step takes time in proportion to the text, whatever it holds: runs are matched once, from where they
+begin, and decoded once for each of the four ways in which a start can lie in a base64 run; from each start
+only the headers of a key's few elements are read.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,12 +32,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so a minimum length is all there is to drop
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{20,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]+")
-#: 0x30, a sequence's tag, is M and a letter up to P in base64. The eight hold the sequence's length.
-SEQUENCE = re.compile(r"(?=(M[A-P][A-Za-z0-9+/_-]{6}))")
-WRAP = re.compile(r"[ \t]*\r?\n[ \t]*")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: A header that JSON may begin: a brace or white space first.
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[eICD][A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: 0x30, a sequence's tag, is M and a letter up to P in base64.
+SEQUENCE = re.compile(r"(?=M[A-P][A-Za-z0-9+/_-]{6})")
+#: A run of base64 from where it begins, maybe wrapped over lines.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]++(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)*+")
+#: Three segments with dots between them; the first may be a token's header or end with one.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{10,}+)\.[A-Za-z0-9_-]++\.([A-Za-z0-9_-]*+))")
+SPACE = re.compile(r"[ \t\r\n]*+")
+READER = json.JSONDecoder()
 PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:(?!-----)[\s\S])*)-----END \1-----")
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
@@ -45,47 +53,61 @@ def decoded(text: str) -> bytes | None:
         return None
 
 
-def _element(data: bytes, at: int) -> tuple[int, int, int] | None:
-    """(tag, start of the content, end) of the DER element at `at`, if its length fits."""
-    if at + 2 > len(data):
+def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, start of the content, end) of the DER element at `at`, if it fits before `end`."""
+    if at + 2 > end:
         return None
     size, start = data[at + 1], at + 2
     if size >= 0x80:
         n = size & 0x7F
-        if not 1 <= n <= 4 or start + n > len(data) or data[start] == 0:
+        if not 1 <= n <= 4 or start + n > end or data[start] == 0:
             return None
         size, start = int.from_bytes(data[start : start + n], "big"), start + n
-    return (data[at], start, start + size) if start + size <= len(data) else None
+    return (data[at], start, start + size) if start + size <= end else None
+
+
+def _elements(data: bytes, at: int, end: int, depth: int) -> list[tuple[int, int, int]] | None:
+    """The elements from `at` that fill up to `end`, nested ones checked as deep as keys go; None if lengths don't add up or there are more than any key has."""
+    out = []
+    while at < end:
+        x = _element(data, at, end)
+        if x is None or len(out) == 16:
+            return None
+        if x[0] & 0x20 and (depth == 0 or _elements(data, x[1], x[2], depth - 1) is None):  # holds elements itself
+            return None
+        out.append(x)
+        at = x[2]
+    return out
+
+
+def key_encoding(data: bytes, at: int = 0) -> int:
+    """The end of the key encoding at `at`, or -1: a DER sequence of two or more elements that begins with a version or with an algorithm, nested lengths adding up at every level."""
+    outer = _element(data, at, len(data))
+    if outer is None or outer[0] != 0x30 or outer[2] - outer[1] < 8:
+        return -1
+    inner = _elements(data, outer[1], outer[2], 4)
+    if not inner or len(inner) < 2 or inner[0][0] not in (0x02, 0x30):
+        return -1
+    if inner[0][0] == 0x02:
+        return outer[2] if inner[0][2] > inner[0][1] else -1
+    return outer[2] if inner[0][2] > inner[0][1] and data[inner[0][1]] == 0x06 else -1  # an algorithm begins with its number
 
 
 def is_key_encoding(data: bytes) -> bool:
-    """A DER sequence that spans all of data, whose elements' nested lengths add up, beginning with a version or an algorithm."""
-    outer = _element(data, 0)
-    if outer is None or outer[0] != 0x30 or outer[2] != len(data) or outer[2] - outer[1] < 8:
-        return False
-    at, tags = outer[1], []
-    while at < outer[2]:
-        inner = _element(data, at)
-        if inner is None or inner[2] > outer[2]:
-            return False
-        if inner[0] == 0x30 and inner[2] > inner[1]:  # a nested sequence must be whole too
-            deep = inner[1]
-            while deep < inner[2]:
-                x = _element(data, deep)
-                if x is None or x[2] > inner[2]:
-                    return False
-                deep = x[2]
-        tags.append(inner[0])
-        at = inner[2]
-    return len(tags) >= 2 and tags[0] in (0x02, 0x30)
+    return key_encoding(data) == len(data)
 
 
-def is_signed_token(text: str) -> bool:
-    head = decoded(text.split(".", 1)[0])
-    try:
-        return head is not None and isinstance(x := json.loads(head), dict) and isinstance(x.get("alg"), str)
-    except ValueError:
+def is_openssh(data: bytes) -> bool:
+    """OpenSSH's container: its magic, then cipher, key derivation and its options as strings whose lengths fit."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
         return False
+    at = len(magic)
+    for _ in range(3):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data):
+            return False
+    return int.from_bytes(data[at : at + 4], "big") >= 1
 
 
 def is_key_block(body: str) -> bool:
@@ -95,38 +117,90 @@ def is_key_block(body: str) -> bool:
     data = decoded(re.sub(r"\s", "", "".join(x for x in lines if ":" not in x)))
     if not data:
         return False
-    return is_key_encoding(data) or data.startswith(b"openssh-key-v1\0") or (any("ENCRYPTED" in x for x in head) and len(data) % 8 == 0)
+    return is_key_encoding(data) or is_openssh(data) or (any("ENCRYPTED" in x for x in head) and len(data) % 8 == 0)
 
 
-def encoding_end(text: str, at: int, head: str) -> int:
-    """The end of the base64 of a key encoding that begins at `at` with `head`, maybe wrapped over lines, up to where its characters end; or -1."""
-    first = decoded(head)
-    n = first[1] & 0x7F if first[1] >= 0x80 else 0
-    if first[1] >= 0x80 and not 1 <= n <= 4:
-        return -1
-    size = 2 + n + int.from_bytes(first[2 : 2 + n], "big") if n else 2 + first[1]
-    count = left = -(-size * 4 // 3)
-    if not 32 <= count <= len(text) - at:
-        return -1
-    end, parts = at, []
+class _Phases:
+    """A base64 run read from any of its characters: starts that are a multiple of four apart share one decoding."""
+
+    def __init__(self, run: str):
+        self.run, self.known = run.replace("-", "+").replace("_", "/"), {}
+
+    def at(self, k: int) -> tuple[bytes, int]:
+        """(bytes, where character k begins in them)."""
+        phase = k % 4
+        if phase not in self.known:
+            some = self.run[phase:]
+            some = some[: len(some) - (len(some) % 4 == 1)]
+            self.known[phase] = base64.b64decode(some + "=" * (-len(some) % 4))
+        return self.known[phase], (k - phase) // 4 * 3
+
+
+def _object(text: str, at: int) -> tuple[object, int] | None:
+    """(JSON value at `at`, its end), read in growing pieces: an error's message costs time in proportion to what was handed over."""
+    size = 512
     while True:
-        m = BASE64.match(text, end, end + left)
-        if m is None:
-            return -1
-        parts.append(m[0])
-        left, end = left - len(m[0]), m.end()
-        if not left:
-            break
-        gap = WRAP.match(text, end)
-        if gap is None:
-            return -1
-        end = gap.end()
-    if BASE64.match(text, end):
-        return -1
-    data = decoded("".join(parts))
-    if data is None or not is_key_encoding(data):
-        return -1
-    return end + len(re.match("={0,%d}" % (-count % 4), text[end : end + 2])[0])
+        some = text[at : at + size]
+        try:
+            value, end = READER.raw_decode(some)
+            return value, at + end
+        except json.JSONDecodeError as e:
+            if at + size >= len(text) or (e.pos < len(some) - 8 and not e.msg.startswith("Unterminated")):
+                return None
+        except RecursionError:
+            return None
+        size *= 4
+
+
+def header_start(segment: str) -> int:
+    """Where the JSON header of a signed token begins that ends with the segment, or -1: an object with an alg, from the segment's start or from a brace inside it."""
+    phases, texts = _Phases(segment), {}
+    for k in [0, *(m.start() for m in re.finditer("e[yw]", segment))]:
+        if (len(segment) - k) % 4 == 1:
+            continue
+        data, at = phases.at(k)
+        if k % 4 not in texts:
+            texts[k % 4] = data.decode("latin-1"), data.rfind(b'"alg"')
+        text, alg = texts[k % 4]
+        if alg < at:
+            continue
+        if k == 0:
+            at = SPACE.match(text).end()
+        got = _object(text, at)
+        if got and isinstance(got[0], dict) and isinstance(got[0].get("alg"), str) and SPACE.match(text, got[1]).end() == len(text):
+            return k
+    return -1
+
+
+def is_signed_token(text: str) -> bool:
+    head = text.split(".", 1)[0]
+    return re.fullmatch(r"[A-Za-z0-9_-]{10,}", head) is not None and header_start(head) == 0
+
+
+def key_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of base64 key encodings: from any place in a run, maybe wrapped over lines, up to where its characters end."""
+    end = past = 0
+    for m in SEQUENCE.finditer(text):
+        at = m.start()
+        if at < end:
+            continue
+        if at >= past:  # a new run
+            begin, past = at, WRAPPED.match(text, at).end()
+            run = text[at:past]
+            places = None if BASE64.fullmatch(run) else [x for x, c in enumerate(run) if c not in " \t\r\n"]
+            phases = _Phases(run if places is None else "".join(run.split()))
+        k = at - begin if places is None else bisect_left(places, at - begin)
+        data, start = phases.at(k)
+        stop = key_encoding(data, start)
+        if stop < 0:
+            continue
+        count = -(-(stop - start) * 4 // 3)
+        last = k + count - 1
+        close = begin + (last if places is None else places[last]) + 1
+        if BASE64.match(text, close):
+            continue
+        end = close + len(re.match("={0,%d}" % (-count % 4), text[close : close + 2])[0])
+        yield at, end
 
 
 def scan(text: str | None) -> list[tuple[int, int, str, bool]]:
@@ -144,22 +218,23 @@ def scan(text: str | None) -> list[tuple[int, int, str, bool]]:
             out.append((m.start(), m.end(), "der", True))
     if "-----BEGIN " in text:
         out += [(m.start(), m.end(), "pem", True) for m in PEM.finditer(text) if is_key_block(m[2])]
-    tokens = {m.span() for m in JWT.finditer(text) if is_signed_token(m[0])} if "eyJ" in text else set()
-    tokens |= {m.span() for m in TOKEN.finditer(text) if is_signed_token(m[0])}
-    out += [(a, b, "jwt", True) for a, b in tokens]
+    for m in SIGNED.finditer(text):
+        k = header_start(m[1])
+        if k >= 0:
+            out.append((m.start() + k, m.end(2), "jwt", True))
     for m in ANY_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and not HEX.fullmatch(m[0]) and is_key_encoding(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), "der", True))
-    end = 0
-    for m in SEQUENCE.finditer(text):
-        if m.start() >= end and (past := encoding_end(text, m.start(), m[1])) > 0:
-            end = past
-            out.append((m.start(), end, "der", True))
+    out += [(a, b, "der", True) for a, b in key_spans(text)]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans array<struct<start, end, kind, confirmed>>) of every row, whole texts; null counts as empty. A narrow pass."""
+    """(doc_id, spans array<struct<start, end, kind, confirmed>>) of every row, whole texts. A narrow pass that reads doc_id and text only.
+
+    Null and empty texts have no span; repeated ids are rows of their own; an empty table gives an empty
+    result. Spans are ordered by start, then by kind as listed, then by end; they may overlap.
+    """
     item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("confirmed", pa.bool_())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +245,3 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<start:int,end:int,kind:string,confirmed:boolean>>")
 
-
-def joined(spans: list[tuple[int, int, str, bool]]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for start, end, kind, _ in spans)
-
-
-def base_digest(spans: list[tuple[int, int, str, bool]]) -> str:
-    return hashlib.sha256(joined([x for x in spans if x[2] in KINDS[:3]]).encode()).hexdigest()
