@@ -3,12 +3,16 @@
 A word's script narrows the languages that may score it; each candidate scores the word by hashed
 character n-grams (naive Bayes, lengths 2 to 4 with the word's ends marked); Viterbi over the words with a
 switching penalty labels spans. A document's language is the one whose spans hold most letters.
+
+A text is scored in pieces of about 65,536 characters, cut between words, so what a long text needs is its
+words' scores (languages * 8 bytes a word) and one back pointer a word and language, whatever its length.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +38,27 @@ for _low, _high, _name in SCRIPTS:
     SCRIPT[_low:_high] = SCRIPT_NAMES.index(_name)
 
 
+def pieces(text: str, size: int = 1 << 16) -> Iterator[str]:
+    """The text in pieces of at most `size` characters that end between words: after the last character that is no letter and no mark. A run without one is cut at `size`."""
+    at = 0
+    while len(text) - at > size:
+        end = at + size
+        while end > at and (text[end - 1].isalpha() or unicodedata.category(text[end - 1])[0] == "M" or unicodedata.category(text[end])[0] == "M"):
+            end -= 1
+        end = end if end > at else at + size
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 class Words:
-    """The words (runs of letters, lower-cased, composed) of a text, as arrays: first position, length, script of the first letter."""
+    """The words (runs of letters, lower-cased, composed) of a piece of a text, as arrays: first position, length, script of the first letter; `chars`, how long the piece is then."""
 
     def __init__(self, text: str):
         text = text.lower()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
+        self.chars = len(text)
         codes = np.frombuffer(("\0" + text + "\0").encode("utf-32-le", "surrogatepass"), "<u4")
         letter = LETTER[codes]
         self.letters = np.where(letter, codes, 0).astype("u4")
@@ -85,10 +103,11 @@ def fit(docs: DataFrame, sample: int = 12_000, smooth: float = 0.5) -> dict:
         for batch in slices(parts):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 row = grams.setdefault(lang, np.zeros(CELLS + len(SCRIPT_NAMES), "i8"))
-                words = Words(text)
-                for cell, _ in words.grams():
-                    row[:CELLS] += np.bincount(cell, minlength=CELLS)
-                row[CELLS:] += np.bincount(words.script, minlength=len(SCRIPT_NAMES))
+                for piece in pieces(text):
+                    words = Words(piece)
+                    for cell, _ in words.grams():
+                        row[:CELLS] += np.bincount(cell, minlength=CELLS)
+                    row[CELLS:] += np.bincount(words.script, minlength=len(SCRIPT_NAMES))
         for lang, row in grams.items():
             some = np.nonzero(row)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(row[some], pa.int64())], names=["lang", "cell", "n"])
@@ -104,6 +123,16 @@ def fit(docs: DataFrame, sample: int = 12_000, smooth: float = 0.5) -> dict:
     return {"langs": langs, "table": table.astype("f4"), "scripts": shown}
 
 
+class Labels(NamedTuple):
+    """A text's language, its share of the letters, and each word's language number, first position and length."""
+
+    lang: str
+    share: float
+    path: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+
 class Labeller:
     """Labels texts; holds nothing but the model."""
 
@@ -125,74 +154,87 @@ class Labeller:
         s[out] = -1e9
         return np.maximum(s - s.max(axis=1, keepdims=True), -self.cap)  # one word can't outweigh a span
 
-    def fitting(self, words: Words) -> float:
-        """The share of letters in words that some language fits: its mean n-gram there is likelier than an even draw of cells."""
+    def fitting(self, words: Words) -> int:
+        """The letters in words that some language fits: its mean n-gram there is likelier than an even draw of cells."""
         s, n = np.zeros((len(words.start), len(self.langs))), np.zeros(len(words.start))
         for cell, word in words.grams():
             np.add.at(s, word, self.table[cell])
             n += np.bincount(word, minlength=len(n))
-        return float(words.size[s.max(axis=1) > -np.log(CELLS) * n].sum() / words.size.sum())
+        return int(words.size[s.max(axis=1) > -np.log(CELLS) * n].sum())
 
     def told(self, text: str | None, least: float) -> bool:
         """Whether a text has letters and is no word salad: one language has that share of them, or most stand in words that fit a language. Without languages nothing is salad."""
-        _, share, _, words = self.label(text)
-        if words is None or not len(words.start):
+        if not self.langs:
+            return any(c.isalpha() for c in text or "")
+        found = self.label(text)
+        if not len(found.start):
             return False
-        return not self.langs or share >= least or self.fitting(words) >= 0.5
-
-    def label(self, text: str | None) -> tuple[str, float, np.ndarray, Words | None]:
-        """(language or und, share of its letters, language number of each word, words)."""
-        words = Words(text) if text else None
-        if words is None or not len(words.start) or not self.langs:
-            return "und", 0.0, np.zeros(0, int), words
-        s = self.scores(words)
-        path = self._viterbi(s)
-        weight = np.bincount(path, weights=words.size, minlength=len(self.langs))
-        best = max(range(len(self.langs)), key=lambda i: (weight[i], s[:, i].sum(), -i))
-        return self.langs[best], float(weight[best] / weight.sum()), path, words
-
-    def _viterbi(self, s: np.ndarray) -> np.ndarray:
-        """Best path. If no other language gains more than half the penalty on any stretch, the best single language is that path: a path of k switches has at most k + 1 stretches in others."""
-        main = int(s.sum(axis=0).argmax())
-        gain = np.cumsum(s - s[:, main : main + 1], axis=0)
-        low = np.minimum.accumulate(np.minimum(gain, 0), axis=0)
-        low = np.vstack([np.zeros((1, s.shape[1])), low[:-1]])
-        if (gain - low).max() * 2 <= self.penalty:
-            return np.full(len(s), main)
-        value, back = s[0].tolist(), []
-        rows = s.tolist()
-        span = range(len(value))
-        for row in rows[1:]:
-            top = max(span, key=value.__getitem__)
-            jump = value[top] - self.penalty
-            back.append([i if value[i] >= jump else top for i in span])
-            value = [(v if v >= jump else jump) + x for v, x in zip(value, row)]
+        return found.share >= least or 2 * sum(self.fitting(Words(p)) for p in pieces(text)) >= found.size.sum()
+
+    def label(self, text: str | None) -> Labels:
+        """The language of each word and of the text; `und` without letters or languages."""
+        parts, start, size, chars = [], [], [], 0
+        for piece in pieces(text or "") if self.langs else ():
+            words = Words(piece)
+            if len(words.start):
+                parts.append(self.scores(words))
+                start.append(words.start - 1 + chars)
+                size.append(words.size)
+            chars += words.chars
+        if not parts:
+            return Labels("und", 0.0, *(np.zeros(0, int),) * 3)
+        path, start, size = self._viterbi(parts), np.concatenate(start), np.concatenate(size)
+        weight = np.bincount(path, weights=size, minlength=len(self.langs))
+        total = sum(s.sum(axis=0) for s in parts)
+        best = max(range(len(self.langs)), key=lambda i: (weight[i], total[i], -i))
+        return Labels(self.langs[best], float(weight[best] / weight.sum()), path, start, size)
+
+    def _viterbi(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Best path over the words of all parts. If no other language gains more than half the penalty on any stretch, the best single language is that path: a path of k switches has at most k + 1 stretches in others."""
+        langs, words = len(self.langs), sum(map(len, parts))
+        main = int(sum(s.sum(axis=0) for s in parts).argmax())
+        run, low, most = np.zeros(langs), np.zeros(langs), 0.0
+        for s in parts:
+            gain = run + np.cumsum(s - s[:, main : main + 1], axis=0)
+            lows = np.minimum.accumulate(np.vstack([low, gain]), axis=0)
+            most = max(most, float((gain - lows[:-1]).max()))
+            run, low = gain[-1], lows[-1]
+        if most * 2 <= self.penalty:
+            return np.full(words, main)
+        back, span, value, k = np.zeros((words, langs), "i2"), range(langs), [0.0] * langs, 0
+        for s in parts:
+            for row in s.tolist():
+                if k:
+                    top = max(span, key=value.__getitem__)
+                    jump = value[top] - self.penalty
+                    back[k] = [i if value[i] >= jump else top for i in span]
+                    value = [(v if v >= jump else jump) + x for v, x in zip(value, row)]
+                else:
+                    value = row
+                k += 1
+        path = np.empty(words, int)
         now = max(span, key=value.__getitem__)
-        path = [now]
-        for b in reversed(back):
-            now = b[now]
-            path.append(now)
-        return np.array(path[::-1])
+        for k in range(words - 1, -1, -1):
+            path[k] = now
+            now = back[k, now]
+        return path
 
-    def spans(self, text: str | None) -> list[tuple[int, int, str]]:
+    def spans(self, found: Labels) -> list[tuple[int, int, str]]:
         """(first letter, past the last letter, language) of each span, in code points of the lower-cased, composed text."""
-        _, _, path, words = self.label(text)
-        out: list[tuple[int, int, str]] = []
-        for k, p in enumerate(path):
-            low = int(words.start[k]) - 1
-            high = low + int(words.size[k])
-            if out and out[-1][2] == self.langs[p]:
-                out[-1] = (out[-1][0], high, out[-1][2])
-            else:
-                out.append((low, high, self.langs[p]))
-        return out
+        path = found.path
+        if not len(path):
+            return []
+        first = np.nonzero(np.diff(path, prepend=-1))[0]
+        last = np.append(first[1:], len(path)) - 1
+        return [(int(found.start[a]), int(found.start[b] + found.size[b]), self.langs[path[a]]) for a, b in zip(first, last)]
 
 
 def identify(docs: DataFrame, model: dict, with_spans: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score[, spans]) of every row, whole texts; only doc_id and text are read.
 
-    score: the share of letters in spans of the predicted language. `und` and 0 where the text is null or
-    has no letter (or nothing was learned). Ties go to the higher word score, then the smaller name.
+    score: the share of letters in spans of the predicted language. `und` and 0 where the text is null,
+    empty or has no letter (or nothing was learned), without spans. Ties go to the higher word score, then
+    the smaller name. Repeated ids are rows of their own; an empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages * 65,536 floats
 
@@ -201,11 +243,11 @@ def identify(docs: DataFrame, model: dict, with_spans: bool = False) -> DataFram
         for batch in slices(parts):
             lang, score, spans = [], [], []
             for text in batch.column("text").to_pylist():
-                a, b, _, _ = labeller.label(text)
-                lang.append(a)
-                score.append(b)
+                found = labeller.label(text)
+                lang.append(found.lang)
+                score.append(found.share)
                 if with_spans:
-                    spans.append([{"first": x, "past": y, "lang": z} for x, y, z in labeller.spans(text)])
+                    spans.append([{"first": x, "past": y, "lang": z} for x, y, z in labeller.spans(found)])
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             if with_spans:
                 columns.append(pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32()), ("lang", pa.string())]))))
@@ -226,7 +268,8 @@ def keep_identified(docs: DataFrame, model: dict, least: float = 0.35) -> DataFr
             yield batch.filter(pa.array([labeller.told(text, least) for text in batch.column(at).to_pylist()], pa.bool_()))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def held_out(doc_id, folds: int = 3, fold: int = 1):
