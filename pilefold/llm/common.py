@@ -22,25 +22,41 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); where that is unset, as in tests, a local one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="pilefold-"))
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="pilefold-")
+        base = _own[app]
     return f"{base.rstrip('/')}/pilefold/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage, and a lost executor costs no recomputation."""
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder, in a folder for each value of `by`, and read again: cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table that saved() made and that no later step reads."""
-    spark = df.sparkSession
     files = df.inputFiles()
     if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        where = files[0].rpartition("/")[0]
+        remove(df.sparkSession, where.rpartition("/")[0] if "=" in where.rpartition("/")[2] else where)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(name: str, taken: list[str]) -> str:
+    """`name`, with as many _ after it as it takes to be none of `taken` (Spark's names have no case)."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def sampled(df: DataFrame, rows: int, seed: int, *by: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import free, saved
 
 
 def hilbert_index(df: DataFrame, dims: list[str], bits: int, name: str) -> DataFrame:
@@ -50,50 +50,63 @@ def _scaled(value: Column, low, high, bits: int) -> Column:
     return F.coalesce(F.least(F.greatest(cell, F.lit(0)), F.lit(top)), F.lit(0)).cast("long")
 
 
+def ranked(rows: DataFrame, keys: list[str], name: str, weight: Column | None = None) -> DataFrame:
+    """rows with `name`: how much weight (a row: 1) goes before a row in the order of keys, nulls first. Saved.
+
+    A range-partitioned sort, running sums inside each partition and, added to those, what the partitions
+    before it hold; never one task over all rows.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = rows.withColumn("_w", F.lit(1).cast("long") if weight is None else weight)
+    run = run.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    run = saved(run.withColumn("_part", F.shiftright("_id", 33)), name)
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) if weight is None else F.sum("_w").over(W.partitionBy("_part").orderBy("_id")) - F.col("_w")
+    #: One row for each partition of the sort, so the window over them stays that small.
+    before = run.groupBy("_part").agg(F.sum("_w").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).select("_part", "_before")
+    return run.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_before", "_w", "_id")
+
+
+def _depth_cells(rows: DataFrame, column: str, name: str, total: int, bits: int) -> DataFrame:
+    """rows with `name`: the column's cell 0 .. 2**bits - 1. Values keep their order and share the cells by the rows that they have; equal values share one, null is the first."""
+    per = rows.groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_rows"))
+    placed = ranked(per, ["_value"], "_rank", F.col("_rows"))
+    cells = placed.select("_value", F.least(F.expr(f"(_rank * {1 << bits}) div {max(1, total)}"), F.lit((1 << bits) - 1)).cast("long").alias(name))
+    return rows.join(cells, rows[column].eqNullSafe(cells["_value"])).drop("_value")
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, bits: int = 5) -> DataFrame:
     """(doc_id, size, text_crc32, hilbert, shard, slot) of every document: runs of the Hilbert order, equal in rows.
 
-    Dimensions: source and lang (a hash cell: equal values share it), size (its logarithm), doc_id (linear).
-    Rows are sorted over the cluster by (hilbert, text_crc32, doc_id, size), so equal texts of a cell are
-    neighbours, and cut into `shards` runs whose row counts differ by one at most. The global rank comes
-    from a range-partitioned, saved sort (rank inside a partition plus the rows of the partitions before
-    it), never from one task. Null text: size 1, crc32 0. Ties in all four keys get either slot.
+    Dimensions: source and lang (in code point order, cells of about equally many rows, so that neighbours
+    on the curve are neighbours in both and files can be skipped by either), size (its logarithm between
+    the smallest and the largest), doc_id (linear). Rows are sorted over the cluster by (hilbert,
+    text_crc32, doc_id, size), so equal texts of a cell are neighbours, and cut into `shards` runs whose
+    row counts differ by one at most. Texts are read once. Null text: size 1, crc32 0; null source, lang or
+    id: the first cell. Ties in all four keys get either slot; repeated rows are rows of their own; an
+    empty table gives an empty result. Other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
-    spread = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    hashed = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(""))), F.lit(1 << bits))
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), hashed("source").alias("_d0"), hashed("lang").alias("_d1"))
-    rows = rows.withColumns({"_d2": _scaled(F.log2("size"), 0, 1 << bits, bits), "_d3": _scaled(F.col("doc_id"), spread["lo"], spread["hi"], bits)})
+    rows = saved(docs.select("doc_id", "source", "lang", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "narrow")
+    seen = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min(F.log2("size")).alias("c"), F.max(F.log2("size")).alias("d"), F.count("*").alias("n")).first()
+    rows = _depth_cells(_depth_cells(rows, "source", "_d0", seen["n"], bits), "lang", "_d1", seen["n"], bits)
+    rows = rows.withColumns({"_d2": _scaled(F.log2("size"), seen["c"], seen["d"], bits), "_d3": _scaled(F.col("doc_id"), seen["a"], seen["b"], bits)})
     rows = hilbert_index(rows, ["_d0", "_d1", "_d2", "_d3"], bits, "hilbert").select("doc_id", "size", "text_crc32", "hilbert")
-    keys = ["hilbert", "text_crc32", "doc_id", "size"]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    run = saved(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()), "hilbert")
-    part = F.shiftright("_id", 33).alias("_part")
-    #: One row for each partition of the sort, so the window over them and its broadcast stay that small.
-    before = (
-        run.groupBy(part).agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n"))
-        .select("_part", "_before")
-    )
-    ranked = run.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("_rank", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    shard = F.floor(F.expr(f"(_rank * {shards}) div {max(1, spread['n'])}")).cast("int")
-    first = F.expr(f"(cast(shard as bigint) * {spread['n']} + {shards} - 1) div {shards}")
-    return ranked.withColumn("shard", shard).withColumn("slot", (F.col("_rank") - first).cast("long")).select("doc_id", "size", "text_crc32", "hilbert", "shard", "slot")
+    out = ranked(rows, ["hilbert", "text_crc32", "doc_id", "size"], "_rank")
+    shard = F.expr(f"(_rank * {shards}) div {max(1, seen['n'])}").cast("int")
+    first = F.expr(f"(cast(shard as bigint) * {seen['n']} + {shards} - 1) div {shards}")
+    return out.withColumn("shard", shard).withColumn("slot", (F.col("_rank") - first).cast("long")).select("doc_id", "size", "text_crc32", "hilbert", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, bits: int = 5) -> None:
-    """Writes the whole documents, one folder a shard, in curve order inside each file, so that min/max statistics prune on every dimension."""
-    place = shard_documents(docs, shards, bits).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    """Writes the whole documents, one folder a shard, in curve order inside each file, so that min/max statistics prune on every dimension.
+
+    All columns stay as they are, whatever their names; the folders' column is shard, or shard_ where docs
+    has that. Rows that repeat an id and a text go where one of them goes.
+    """
+    place = shard_documents(docs, shards, bits).select(F.col("doc_id").alias("_d"), F.col("text_crc32").alias("_c"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).dropDuplicates(["_d", "_c"])
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_crc"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.withColumn("_crc", crc).alias("d").join(place.alias("p"), F.expr("d.doc_id <=> p.doc_id and d._crc = p.text_crc32"))
-    (
-        placed.select("d.*", "p.shard", "p.slot")
-        .drop("_crc")
-        .repartitionByRange(parts, "shard", "slot")
-        .sortWithinPartitions("shard", "slot")
-        .drop("slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+    placed = rows.join(place, rows["_id"].eqNullSafe(place["_d"]) & (rows["_crc"] == place["_c"])).repartitionByRange(parts, "_shard", "_slot").sortWithinPartitions("_shard", "_slot")
+    name = free("shard", docs.columns)
+    placed.select(F.col("_shard").alias(name), "_row").select("_row.*", name).write.partitionBy(name).parquet(path)

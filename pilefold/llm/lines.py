@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, saved, scratch
+from .common import BLANKS, ascii_lower, forget, remove, saved, scratch
 
 
 def split_lines(text: Column) -> Column:
@@ -38,7 +38,7 @@ def _hashed(key: Column) -> list[Column]:
 
 
 class LineRuns:
-    """The levels of runs of one corpus. Tables are kept in the shared folder; close() drops them from the catalogue."""
+    """The levels of runs of one corpus. Tables are kept in the shared folder; a run that is merged, and all at close(), go from the catalogue and from there."""
 
     def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 3, buckets: int | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
@@ -63,6 +63,7 @@ class LineRuns:
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, self.paths.pop(name))
 
     def _merged(self, names: list[str]) -> DataFrame:
         """The sum of some runs. Their files are read as plain Parquet: a union of bucketed tables would claim a partitioning that it hasn't."""
@@ -105,8 +106,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 6, fanout: i
     """docs plus n_lines, n_dropped and kept_text: every line whose key at least min_docs documents hold is gone.
 
     Keys are lines without blanks at either end, A-Z lower-cased; empty keys stay. Null and empty texts
-    are one empty line, kept as "". Rows are told apart by doc_id and text, so repeated ids are safe
-    (each row counts as a document); an empty table gives an empty result. Other columns pass through.
+    are one empty line, kept as "". Rows are told apart by doc_id (null is one too) and text, so repeated
+    ids are safe (each row counts as a document); an empty table gives an empty result. Other columns pass
+    through, whatever their names, but for input columns of the three names, which the new ones replace.
     The table of saturated keys is joined, not broadcast by force: Spark broadcasts it only below its
     size threshold and otherwise splits hot keys of the sort-merge join.
     """
@@ -114,12 +116,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 6, fanout: i
     staged = saved(
         key_counts(docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("_batch")), "_batch"),
         "line-counts",
+        by="_batch",
     )
     runs = LineRuns(spark, min_docs, fanout)
     for b in range(batches):
         runs.add(staged.filter(F.col("_batch") == b).select("h1", "h2", "n"))
     hot = saved(runs.saturated(), "hot-lines")
     runs.close()
+    forget(staged)
 
     row = [F.xxhash64("doc_id", "text").alias("_r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_r2")]
     lines = docs.select(*row, F.posexplode(F.transform(split_lines(F.col("text")), line_key)).alias("_pos", "_key")).filter(F.length("_key") > 0)
@@ -129,13 +133,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 6, fanout: i
         .groupBy("_r1", "_r2")
         .agg(F.collect_set("_pos").alias("_gone"))
     )
-    out = docs.select("*", *row).join(gone, ["_r1", "_r2"], "left")
-    kept = F.when(F.col("_gone").isNull(), split_lines(F.col("text"))).otherwise(
-        F.filter(split_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    )
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")],
-        F.size(split_lines(F.col("text"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+    out = docs.select(F.struct("*").alias("_row"), *row).join(gone, ["_r1", "_r2"], "left")
+    text = split_lines(F.col("_row.text"))
+    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.filter(text, lambda x, i: ~F.array_contains(F.col("_gone"), i)))
+    out = out.select(
+        "_row",
+        F.size(text).cast("long").alias("n_lines"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"),
         F.array_join(kept, "\n").alias("kept_text"),
     )
+    own = out.columns[1:]
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in own], *own)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import saved, word_count
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -42,27 +42,36 @@ def source_targets(sizes: DataFrame, limit: int = 3) -> DataFrame:
     return per.select("source", "source_size", target.alias("target"))
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size), saved: the one pass that counts words."""
+    return saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
+
+
+def _copies(seed: int) -> Column:
+    """How often a document is taken at its source's target: floor(rate) times, and once more if a number seeded by its id falls under the fraction."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return (F.floor(rate) + F.when(draw(seed, F.col("doc_id")) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+
+
+def _with_targets(rows: DataFrame, sized: DataFrame, limit: int) -> DataFrame:
+    """rows (source, ...) with their source's size and target. One row a source is joined back: a source with a third of all rows is only a hot probe key there, which adaptive execution splits or a size-checked broadcast avoids."""
+    per = source_targets(sized, limit).withColumnRenamed("source", "_of")
+    return rows.join(per, rows["source"].eqNullSafe(per["_of"])).drop("_of")
+
+
 def mix(docs: DataFrame, seed: int = 17, limit: int = 3) -> DataFrame:
-    """docs plus size, source_size, target and copies: how often the mix takes each document.
+    """(doc_id, source, size, source_size, target, copies) of every row: the plan of the mix.
 
-    A source's rate is target / size; each document is taken floor(rate) times, and once more if a
-    number seeded by its id falls under the fraction. Null texts have size 0; a source without words has
-    rate 0. Repeated ids of a source draw alike. An empty table gives an empty result. The per-source
-    table is joined back on the source; a source with a third of all rows is only a hot probe key there,
-    which adaptive execution splits or a size-checked broadcast avoids.
+    Only doc_id, text and source are read, so other columns may have any name. Null texts have size 0; a
+    source without words has rate 0; null is a source of its own. Repeated ids draw alike, and so do all
+    null ids, as the empty text. An empty table gives an empty result.
     """
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    sized = docs.select(*keep, word_count(F.col("text")).alias("size"))
-    per = source_targets(sized.select("source", "size"), limit).withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = sized.join(per, sized["source"].eqNullSafe(per["_source"])).drop("_source").withColumn("_rate", rate)
-    whole = F.floor("_rate")
-    more = F.when(draw(seed, F.col("doc_id")) < F.col("_rate") - whole, 1).otherwise(0)
-    return out.withColumn("copies", (whole + more).cast("long")).drop("_rate")
+    sized = _sized(docs)
+    return _with_targets(sized, sized, limit).withColumn("copies", _copies(seed)).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, seed: int = 17, limit: int = 3) -> DataFrame:
-    """The mix itself: each document's row as often as mix() takes it, in the columns of docs, whatever their names."""
-    times = mix(docs.select("doc_id", "text", "source", F.struct("*").alias("_row")), seed, limit)
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
-    return times.filter("copies > 0").select("_row", copies.alias("_i")).select("_row.*")
+    """The mix itself: each row of docs as often as mix() takes it, in the columns of docs, whatever their names. Words are counted once; nulls, ties and empty tables are as there."""
+    rows = docs.select("doc_id", "source", F.struct("*").alias("_row"))
+    times = _with_targets(rows, _sized(docs), limit).withColumn("_n", _copies(seed)).filter("_n > 0")
+    return times.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_i")).select("_row.*")
