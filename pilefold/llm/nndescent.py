@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import forget, saved
-from .forest import count_leaves, is_float, plant, route, stacked, usable
+from .forest import count_leaves, is_float, plant, reached, route, split_large, stacked, usable
 
 EDGE = "u long, v long, d double"
 #: Nodes whose neighbours a round joins in one group, at most; a power of two.
@@ -54,53 +54,68 @@ def _nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[fine], at[fine]
 
 
-def _best(edges: DataFrame, k: int, group: int) -> DataFrame:
-    """The k nearest v of each u, repeats once; about `group` nodes at a time."""
+def _best(edges: DataFrame, k: int) -> DataFrame:
+    """The k nearest v of each u, repeats once. Spark keeps the k best of each u in every map task before the exchange, so a hub brings k rows a task, not all its edges."""
+    turn = F.dense_rank().over(W.partitionBy("u").orderBy("d", "v"))
+    return edges.withColumn("i", turn).filter(F.col("i") <= k).select("u", "v", "d").dropDuplicates(["u", "v"])
 
-    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["u", "v"]).sort_values(["u", "d", "v"], ignore_index=True)
-        return pdf[pdf.groupby("u").cumcount() < k][["u", "v", "d"]]
 
-    return edges.withColumn("b", F.pmod(F.xxhash64("u"), F.lit(group))).groupBy("b").applyInPandas(kept, EDGE)
+def _same(x: np.ndarray) -> np.ndarray:
+    return x
 
 
 class NeighbourGraph:
     """The index of a table (vec_id, embedding).
 
     Equal vectors are one node; `members` has who stands behind it. Nodes: nothing is left out or sampled;
-    `sample` bounds only what the starting forest's cuts are fitted on. The degree is bounded: in either
-    direction a node keeps its nearest; that makes the graph approximate, as NN-descent is.
+    `sample` bounds only what the upper parts of the starting forest are fitted on. Leaves that are large
+    split on (forest.split_large), so they are of one size however many nodes there are. The degree is
+    bounded: in either direction a node keeps its nearest; that makes the graph approximate, as NN-descent
+    is. Rounds go on until less than `settled` of the edges are new, `rounds` at most. Rows whose id or
+    vector is null, empty, zero or has null or non-finite components take no part; vectors of one length are
+    neighbours of none of another. An empty table gives an empty graph.
     """
 
-    def __init__(self, embeddings: DataFrame, degree: int = 32, rounds: int = 3, trees: int = 8, leaf: int = 300, sample: int = 16384, seed: int = 23):
-        self.spark, self.degree = embeddings.sparkSession, degree
+    def __init__(self, embeddings: DataFrame, degree: int = 32, rounds: int = 8, trees: int = 8, leaf: int = 300, sample: int = 16384, settled: float = 0.05, seed: int = 23):
+        self.spark, self.degree, self.seed = embeddings.sparkSession, degree, seed
         #: How a component is packed: as it stands.
         self.kind = "f4" if is_float(embeddings) else "f8"
         fine = usable(embeddings)
         first = saved(fine.groupBy("v").agg(F.min("vec_id").alias("vec_id")), "distinct")
         rows = first.count()
-        self.forest = self.spark.sparkContext.broadcast(plant(first, rows, trees, leaf, seed, sample, False))
-        self.vectors = saved(self._numbered(first, rows), "vectors")
+        planted, self.sizes = plant(first, trees, leaf, seed, sample, _same)
+        self.forest = self.spark.sparkContext.broadcast(planted)
+        self.vectors = saved(self._numbered(first), "vectors")
         self.members = saved(fine.join(self.vectors, "v").select("id", "vec_id").distinct(), "members")
         self.points = saved(self._packed(), "points")
-        #: Buckets of about 1,000 nodes, by hash.
-        self.groups = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 1000))
         self.graph = saved(self._start(leaf), "graph")
+        #: New edges of each round, as a share.
+        self.changes: list[float] = []
         for _ in range(rounds if rows > leaf else 0):
             old, self.graph = self.graph, self._round()
+            fresh = self.graph.join(old.select("u", "v"), ["u", "v"], "left_anti").count()
             forget(old)
+            self.changes.append(fresh / max(1, self.graph.count()))
+            if self.changes[-1] < settled:
+                break
 
-    def _numbered(self, first: DataFrame, rows: int) -> DataFrame:
+    def _numbered(self, first: DataFrame) -> DataFrame:
         """(id, v): numbers whose blocks (see BLOCK) hold nodes of neighbouring leaves of the first tree."""
-        forest = self.forest
-        leaves = count_leaves(forest.value[0]) if forest.value else 1
-        together = max(1, leaves * (3 * BLOCK // 4) // max(rows, 1))
+        forest, base, together, after = self.forest, {}, {}, 0
+        for d, n in sorted(self.sizes.items()):
+            leaves = count_leaves(forest.value[d][0])
+            together[d] = max(1, leaves * (3 * BLOCK // 4) // n)
+            base[d], after = after, after + leaves // together[d] + 1
 
         def homed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
+                home, sizes = np.zeros(len(pdf), "i8"), pdf["v"].map(len).to_numpy() if len(pdf) else np.zeros(0, int)
+                for d in np.unique(sizes):
+                    at = np.nonzero(sizes == d)[0]
+                    row, _, number = route(stacked(pdf["v"].iloc[at]), forest.value[int(d)][:1], 0.0)
+                    home[at[row]] = base[int(d)] + number // together[int(d)]
                 if len(pdf):
-                    row, where = route(stacked(pdf["v"]), forest.value[:1], 0.0)
-                    yield pdf.assign(home=(where[np.argsort(row)] // together).astype("i8"))
+                    yield pdf.assign(home=home)
 
         placed = first.select("vec_id", "v").mapInPandas(homed, "vec_id long, v array<double>, home long")
         at = F.row_number().over(W.partitionBy("home").orderBy("vec_id")) - 1
@@ -112,7 +127,7 @@ class NeighbourGraph:
         def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
                 if len(pdf):
-                    yield pd.DataFrame({"id": pdf["id"], "x": [r.tobytes() for r in stacked(pdf["v"]).astype(kind)]})
+                    yield pd.DataFrame({"id": pdf["id"], "x": [np.asarray(v, kind).tobytes() for v in pdf["v"]]})
 
         return self.vectors.select("id", "v").mapInPandas(packed, "id long, x binary")
 
@@ -122,8 +137,8 @@ class NeighbourGraph:
         def routed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
                 if len(pdf):
-                    row, where = route(stacked(pdf["v"]), forest.value, 0.0)
-                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "leaf": where.astype("i8")})
+                    row, name = reached(pdf["v"], forest.value, 0.0, _same)
+                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "leaf": name, "done": False})
 
         def met(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id", ignore_index=True)
@@ -131,15 +146,17 @@ class NeighbourGraph:
             row, at = _nearest(d, degree // 2)
             return pd.DataFrame({"u": ids[row], "v": ids[at], "d": d[row, at]})
 
-        leaves = self.vectors.select("id", "v").mapInPandas(routed, "id long, leaf long")
+        leaves = saved(self.vectors.select("id", "v").mapInPandas(routed, "id long, leaf long, done boolean"), "leaves")
+        leaves = split_large(leaves, self.vectors.select("id", "v"), limit, leaf, 0.0, self.seed, _same)
+        # Only leaves that no cut divides are still over the limit; those are dealt into parts.
         full = leaves.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / limit).cast("long").alias("parts"))
         dealt = leaves.join(full, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).join(self.points, "id")
-        return _best(dealt.groupBy("leaf", "part").applyInPandas(met, EDGE), degree, self.groups)
+        return _best(dealt.groupBy("leaf", "part").applyInPandas(met, EDGE), degree)
 
     def _round(self) -> DataFrame:
         both = self.graph.unionByName(self.graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
         block = F.shiftright("u", BLOCK.bit_length() - 1)
-        near = saved(_best(both, 2 * self.degree, self.groups).select(block.alias("b"), "u", "v"), "near")
+        near = saved(_best(both, 2 * self.degree).select(block.alias("b"), "u", "v"), "near")
         worst = self.graph.groupBy("u").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
         node = self.points.join(worst.withColumnRenamed("u", "id"), "id", "left")
         degree, kind = self.degree, self.kind
@@ -164,14 +181,16 @@ class NeighbourGraph:
 
         needed = near.select(F.col("b").alias("to"), F.col("v").alias("id")).distinct().join(node, "id")
         found = near.groupBy("b").cogroup(needed.groupBy("to")).applyInPandas(joined, EDGE)
-        out = saved(_best(self.graph.unionByName(found), degree, self.groups), "graph")
+        out = saved(_best(self.graph.unionByName(found), degree), "graph")
         forget(near)
         return out
 
-    def search(self, queries: DataFrame, k: int = 10, beam: int = 256, width: int = 64, hops: int = 6) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, beam: int = 256, width: int = 64, hops: int = 20) -> DataFrame:
         """(query_id, rank, vec_id, score): the k nearest found of each row (vec_id) of queries, a part of the indexed table.
 
-        The walk starts at the query's own node. A node's copies are expanded at the end, the smallest ids first.
+        The walk starts at the query's own node and goes on until each of the 4k + 1 nearest of every beam has
+        been expanded, `hops` hops at most. A node's copies are expanded at the end, the smallest ids first.
+        Queries that take no part in the graph have no row; fewer candidates than k give fewer rows.
         """
         asked = queries.select(F.col("vec_id").alias("query_id")).distinct().join(self.members.withColumnRenamed("vec_id", "query_id"), "query_id").withColumnRenamed("id", "q")
         starts = saved(asked.select("q").distinct(), "queries")
@@ -182,10 +201,12 @@ class NeighbourGraph:
 
         @F.pandas_udf("double")
         def apart(x: pd.Series, y: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype="f8")
-            gap = _matrix(x, kind).astype("f8") - _matrix(y, kind)
-            return pd.Series(np.einsum("ij,ij->i", gap, gap))
+            out, size = np.zeros(len(x)), x.map(len).to_numpy()
+            for n in np.unique(size):
+                at = np.nonzero(size == n)[0]
+                gap = _matrix(x.iloc[at], kind).astype("f8") - _matrix(y.iloc[at], kind)
+                out[at] = np.einsum("ij,ij->i", gap, gap)
+            return pd.Series(out)
 
         state = starts.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"), F.lit(False).alias("done"))
         order = W.partitionBy("q").orderBy("d", "v")
@@ -196,7 +217,11 @@ class NeighbourGraph:
             seen = seen.join(turn.select("q", "v"), ["q", "v"], "left_anti")
             seen = seen.join(self.points, F.col("v") == F.col("id")).join(own, "q").select("q", "v", apart("x", "y").alias("d"), F.lit(False).alias("done"))
             state = turn.select("q", "v", "d", (F.col("done") | F.col("go")).alias("done")).unionByName(seen)
-            state = saved(state.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= beam).drop("i"), "beam")
+            state = saved(state.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= beam), "beam")
+            open_ = state.filter(~F.col("done") & (F.col("i") <= 4 * k + 1)).limit(1).count()
+            state = state.drop("i")
+            if not open_:
+                break
         exact = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
         #: With all that stand level with the last one: ties go by vec_id, not by node.
         close = state.withColumn("i", F.rank().over(W.partitionBy("q").orderBy("d"))).filter(F.col("i") <= 4 * k + 1)
