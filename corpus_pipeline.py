@@ -1,6 +1,8 @@
 """A corpus pipeline of five operators: language ID, line dedup, MinHash near-dedup, mixing to target weights, BPE.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
+All columns of docs are kept, whatever their names; an empty table gives an empty one. This module is part of
+the corpus operators and can't be imported without pilefold.llm.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from pilefold.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a language (no letter, or most letters in words that fit none and no language leading) go; clean mixes of languages stay. Learned from a bounded sample of the rows that have one."""
+    """Rows without a language (null or empty text, no letter, or most letters in words that fit none and no language leading) go; clean mixes of languages stay, and so do all rows with letters if no row has a lang. Learned from a bounded sample of the rows that have one."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that at least ten documents share go; documents stay, with what is left of their text."""
+    """Lines that at least ten documents share go; documents stay, with what is left of their text (a null text as "")."""
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest")
     out = lines.dedup_lines(docs.select("doc_id", "text", rest), min_docs=10)
     fresh = {"text": F.col("kept_text")}
@@ -29,18 +31,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id."""
-    gone = minhash.near_duplicates(docs, words=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group stays, the one with the smallest id. Rows without words or id are in no group; rows that repeat an id stay or go together."""
+    gone = minhash.near_duplicates(docs.select("doc_id", "text"), words=5, percent=80).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; null is a source of its own, and a source without words goes."""
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, with digests of ids and of the text decoded from them."""
+    """Token ids of every row, with digests of ids and of the text decoded from them; a null text counts as empty."""
     return bpe.encode_documents(docs, tokenizer_path(), with_ids=True)
 
 
