@@ -55,9 +55,12 @@ def _nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest v of each u, repeats once. Spark keeps the k best of each u in every map task before the exchange, so a hub brings k rows a task, not all its edges."""
+    """The k nearest v of each u, repeats once. Spark keeps the k best of each u in every map task before the exchange, so a hub brings k rows a task, not all its edges.
+
+    An edge found in two groups has distances that differ in their last bits; as floats they are one, and take one place.
+    """
     turn = F.dense_rank().over(W.partitionBy("u").orderBy("d", "v"))
-    return edges.withColumn("i", turn).filter(F.col("i") <= k).select("u", "v", "d").dropDuplicates(["u", "v"])
+    return edges.withColumn("d", F.col("d").cast("float").cast("double")).withColumn("i", turn).filter(F.col("i") <= k).select("u", "v", "d").dropDuplicates(["u", "v"])
 
 
 def _same(x: np.ndarray) -> np.ndarray:
@@ -76,7 +79,7 @@ class NeighbourGraph:
     neighbours of none of another. An empty table gives an empty graph.
     """
 
-    def __init__(self, embeddings: DataFrame, degree: int = 32, rounds: int = 8, trees: int = 8, leaf: int = 300, sample: int = 16384, settled: float = 0.05, seed: int = 23):
+    def __init__(self, embeddings: DataFrame, degree: int = 32, rounds: int = 8, trees: int = 8, leaf: int = 300, sample: int = 16384, settled: float = 0.1, seed: int = 23):
         self.spark, self.degree, self.seed = embeddings.sparkSession, degree, seed
         #: How a component is packed: as it stands.
         self.kind = "f4" if is_float(embeddings) else "f8"
@@ -185,10 +188,10 @@ class NeighbourGraph:
         forget(near)
         return out
 
-    def search(self, queries: DataFrame, k: int = 10, beam: int = 256, width: int = 64, hops: int = 20) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, beam: int = 256, width: int = 64, sure: int = 128, hops: int = 30) -> DataFrame:
         """(query_id, rank, vec_id, score): the k nearest found of each row (vec_id) of queries, a part of the indexed table.
 
-        The walk starts at the query's own node and goes on until each of the 4k + 1 nearest of every beam has
+        The walk starts at the query's own node and goes on until each of the `sure` nearest of every beam has
         been expanded, `hops` hops at most. A node's copies are expanded at the end, the smallest ids first.
         Queries that take no part in the graph have no row; fewer candidates than k give fewer rows.
         """
@@ -210,7 +213,7 @@ class NeighbourGraph:
 
         state = starts.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"), F.lit(False).alias("done"))
         order = W.partitionBy("q").orderBy("d", "v")
-        for _ in range(hops):
+        for hop in range(hops):
             turn = state.withColumn("i", F.row_number().over(W.partitionBy("q", "done").orderBy("d", "v")))
             turn = saved(turn.withColumn("go", ~F.col("done") & (F.col("i") <= width)), "turn")
             seen = turn.filter("go").join(around.withColumnRenamed("v", "w"), F.col("v") == F.col("u")).select("q", F.col("w").alias("v")).distinct()
@@ -218,8 +221,9 @@ class NeighbourGraph:
             seen = seen.join(self.points, F.col("v") == F.col("id")).join(own, "q").select("q", "v", apart("x", "y").alias("d"), F.lit(False).alias("done"))
             state = turn.select("q", "v", "d", (F.col("done") | F.col("go")).alias("done")).unionByName(seen)
             state = saved(state.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= beam), "beam")
-            open_ = state.filter(~F.col("done") & (F.col("i") <= 4 * k + 1)).limit(1).count()
+            open_ = state.filter(~F.col("done") & (F.col("i") <= sure)).limit(1).count()
             state = state.drop("i")
+            self.hops = hop + 1
             if not open_:
                 break
         exact = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
