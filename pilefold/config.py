@@ -70,3 +70,4 @@ class IndelTensor:
     rows: int = 140
     missing_quality: int = 45
     seed: int = 1
+    strict_positions: bool = False

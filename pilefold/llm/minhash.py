@@ -165,7 +165,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, perms: i
     bucketed = some.join(classes, ["h1", "h2"]).filter("doc_id = rep").select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("h"))
     # Buckets with more than one class: partial aggregation first, then only their members.
     leader = F.min(F.struct(F.xxhash64("h", "rep").alias("by"), "rep"))["rep"]
-    shared = bucketed.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), leader.alias("leader")).filter("lo < hi").select("h", "leader")
+    # Written on its own: a join after an aggregation by the same key can't split a hot bucket, a join of two tables can.
+    shared = saved(bucketed.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), leader.alias("leader")).filter("lo < hi").select("h", "leader"), "shared")
     members = saved(bucketed.join(shared, "h"), "members")
     pairs = saved(members.filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "pairs")
 
@@ -194,13 +195,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, perms: i
     inside = members.select("h", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("c"))
     per = inside.groupBy("h", "c").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("main"))
     per = per.filter("main.n < n").select("h", "n", F.col("main.c").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("g"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("gs"))
+    per = saved(per, "per")
     open_rows = saved(inside.join(per, "h"), "open")
     x, y = (open_rows.filter(F.col("n") <= SMALL).select("h", F.col("rep").alias(n), F.col("c").alias(f"c{n}")) for n in "ab")
     third = x.join(y, "h").filter("ca <> cb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     large = open_rows.filter(F.col("n") > SMALL).join(sets.withColumnRenamed("id", "rep"), "rep")
     cells = _cells(large, percent)
     links, comp = grown(links, _verified(third, sets, percent).unionByName(cells))
-    for t in (pairs, second, open_rows, members, sets):
+    for t in (pairs, second, open_rows, members, sets, shared, per):
         forget(t)
 
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import IndelFilter
 from .candidates import indel_events
+from .order import ranked, running_sums, with_neighbours
 
 SITE = ["chrom", "pos"]
 
@@ -34,20 +34,21 @@ def balanced(labelled: DataFrame, order: list, minority_only: bool = True) -> Da
     """Classes cut to the smaller one's size by an order (a seeded hash shuffles); with minority_only False all positives stay and as many negatives."""
     sizes = labelled.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")).first()
     limit = min(sizes) if minority_only else sizes["p"]
-    ranked = labelled.withColumn("_i", F.row_number().over(W.partitionBy("label").orderBy(*order)))
-    keep = F.col("_i") <= limit
-    return ranked.filter(keep if minority_only else (F.col("label") == 1) | keep).drop("_i")
+    # Negatives come first in the order, so a positive's rank in its class is what is left after them.
+    some = labelled.filter(F.col("label").isin(0, 1))
+    rank = F.col("_rank") - F.when(F.col("label") == 1, F.lit(sizes["q"])).otherwise(F.lit(0))
+    keep = rank < limit
+    return ranked(some, ["label", *order], "_rank").filter(keep if minority_only else (F.col("label") == 1) | keep).drop("_rank")
 
 
 def pr_curve(scores: DataFrame) -> DataFrame:
     """(threshold, tp, fp, precision, recall, f1) at each distinct score, highest first.
 
-    Counts are summed by score before the running sums, so the ordered window sees distinct (rounded)
-    scores, not calls.
+    Counts are summed by score first; running sums go by ranges of scores, however many there are.
     """
     per = scores.groupBy(F.col("score").alias("threshold")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q"))
-    w = W.orderBy(F.desc("threshold"))
-    out = per.select("threshold", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"), F.sum("p").over(W.partitionBy()).alias("all"))
+    all_ = scores.agg(F.count_if(F.col("label") == 1).alias("all"))  # one row
+    out = running_sums(per, [F.desc("threshold")], {"tp": F.col("p"), "fp": F.col("q")}).crossJoin(all_).drop("p", "q")
     out = out.withColumns({"precision": F.col("tp").cast("double") / (F.col("tp") + F.col("fp")), "recall": F.when(F.col("all") > 0, F.col("tp").cast("double") / F.col("all")).otherwise(F.lit(0.0))})
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
     return out.withColumn("f1", f1).drop("all")
@@ -64,9 +65,8 @@ def replicate_scores(scores: DataFrame) -> DataFrame:
 
 def nearest_indel(events: DataFrame) -> DataFrame:
     """Distance of each distinct indel position to the nearest other one of its sample and contig; null if it is alone."""
-    w = W.partitionBy("sample", "chrom").orderBy("pos")
-    sites = events.select("sample", "chrom", "pos").distinct()
-    return sites.withColumn("nearest", F.least(F.col("pos") - F.lag("pos").over(w), F.lead("pos").over(w) - F.col("pos")))
+    sites = with_neighbours(events.select("sample", "chrom", "pos").distinct(), ["sample", "chrom"], "pos")
+    return sites.select("sample", "chrom", "pos", F.least(F.col("pos") - F.col("before"), F.col("after") - F.col("pos")).alias("nearest"))
 
 
 def disagreement(evidence: DataFrame) -> DataFrame:

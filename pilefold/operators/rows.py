@@ -10,27 +10,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .order import ranked
+
 
 def in_batches(candidates: DataFrame, n: int = 100, order: tuple[str, ...] = ("pos", "chrom")) -> DataFrame:
     """candidates with batch_id 0 .. n - 1 by position, the first `rows mod n` batches one row longer.
 
-    The rank over everything comes from a range sort and per-partition counts instead of one task's window.
+    The rank over everything comes from a range sort that is saved, so a lost executor changes no batch.
     """
-    spark = candidates.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = candidates.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    rows = rows.withColumn("_part", F.shiftright("_id", 33)).persist()
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n")).orderBy("_part").collect()  # one row a partition
-    total, before = sum(r["_n"] for r in sizes), {}
-    run = 0
-    for r in sizes:
-        before[r["_part"]], run = run, run + r["_n"]
-    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]), F.col("_part")) if before else F.lit(0).cast("long")
+    rows = ranked(candidates, list(order), "_rank")
+    total = candidates.count()
     long, q = total % n, total // n
-    rank = offset + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     cut = long * (q + 1)
+    rank = F.col("_rank")
     batch = F.when(rank < cut, F.floor(rank / (q + 1))).otherwise(F.lit(long) + F.floor((rank - cut) / max(q, 1)))
-    return rows.withColumn("batch_id", batch.cast("int")).drop("_id", "_part")
+    return rows.withColumn("batch_id", batch.cast("int")).drop("_rank")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -79,12 +73,12 @@ def _drawn(n: pd.Series, k: pd.Series, seed: pd.Series) -> pd.Series:
 
 
 def sample_reads(reads: DataFrame, site: list[str], k: int, seed: int = 1) -> DataFrame:
-    """At most k reads of a site in file order: which ones depends on (number of reads, k, seed) alone."""
+    """At most k reads of a site in file order: which ones depends on (number of reads, k, seed) alone, so each number is drawn for once."""
+    numbers = reads.groupBy(*site).agg(F.count("*").alias("_n")).select("_n").distinct()
+    drawn = numbers.select("_n", F.explode(_drawn("_n", F.lit(k), F.lit(seed))).alias("_i"))
     w = W.partitionBy(*site)
-    ranked = reads.withColumn("_i", F.row_number().over(w.orderBy("file_order")) - 1).withColumn("_n", F.count("*").over(w))
-    plain, many = ranked.filter(F.col("_n") <= k), ranked.filter(F.col("_n") > k)
-    many = many.withColumn("_d", _drawn("_n", F.lit(k), F.lit(seed))).filter(F.array_contains("_d", F.col("_i"))).drop("_d")
-    return plain.unionByName(many).drop("_i", "_n")
+    numbered = reads.withColumn("_i", F.row_number().over(w.orderBy("file_order")) - 1).withColumn("_n", F.count("*").over(w))
+    return numbered.join(drawn, ["_n", "_i"], "left_semi").select(reads.columns)
 
 
 def subsample(reads: DataFrame, site: list[str], k: int, replicates: int, seed: int = 0) -> DataFrame:
@@ -96,7 +90,7 @@ def subsample(reads: DataFrame, site: list[str], k: int, replicates: int, seed:
 
 def sharded(df: DataFrame, key: str, shards: int) -> DataFrame:
     """df with `shard`: distinct keys in order, in n equal runs; the first `keys mod n` runs have one key more."""
-    keys = df.select(key).distinct().withColumn("shard", F.ntile(shards).over(W.orderBy(key)) - 1)
+    keys = in_batches(df.select(key).distinct(), shards, (key,)).withColumnRenamed("batch_id", "shard")
     return df.join(keys, key)
 
 

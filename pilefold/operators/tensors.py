@@ -7,7 +7,9 @@ mapInPandas over those rows; at most `rows` reads a sample reach a site, which b
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,8 @@ from .intervals import overlap_join, with_reference
 from .pileup import REVERSED, flagged, is_usable
 from .rows import dedupe_reads, sample_reads
 
-READ = ["flag_reverse", "mapq", "seq", "quals", "pairs"]
+#: Stands for no position in arrays of positions.
+NONE = -(1 << 40)
 
 
 def shade(q: float) -> int:
@@ -39,7 +42,7 @@ def site_rows(candidates: DataFrame, reads: DataFrame, reference: DataFrame, blo
     windows = sites.select("chrom", F.col("pos").alias("site"), start.alias("w_start"), (F.col("pos") + after).alias("w_end"))
     met = overlap_join(windows, usable.select("sample", "file_order", "query_name", "flag", "chrom", "ref_start", "ref_end", "mapq", "cigar", "seq", "quals"))
     met = sample_reads(dedupe_reads(met, ("chrom", "site", "sample")), ["chrom", "site", "sample"], limit, seed)
-    read = F.struct("file_order", flagged(F.col("flag"), REVERSED).alias("flag_reverse"), "mapq", "seq", "quals", "ref_start", "ref_end", F.transform(C.trimmed_pairs(F.col("ref_start"), F.col("cigar")), lambda x: F.struct(x["rp"].alias("rp"), x["gp"].alias("gp"))).alias("pairs"))
+    read = F.struct("file_order", flagged(F.col("flag"), REVERSED).alias("flag_reverse"), "mapq", "seq", "quals", "ref_start", "ref_end", "cigar")
     of = lambda s: F.sort_array(F.collect_list(F.when(F.col("sample") == s, read)))
     grouped = met.groupBy("chrom", "site").agg(of("N").alias("normal"), of("T").alias("tumor")).withColumnRenamed("site", "pos")
     spans = sites.select("chrom", start.alias("pos"), F.col("pos").alias("site"), (F.col("pos") + after - start).alias("n"))
@@ -47,47 +50,89 @@ def site_rows(candidates: DataFrame, reads: DataFrame, reference: DataFrame, blo
     return known.join(grouped, ["chrom", "pos"], "left")
 
 
-def _quality(read, at: int, missing: int) -> float:
-    return missing if read["quals"] is None else read["quals"][at]
+@lru_cache(maxsize=20_000)
+def operations(cigar: str) -> list[tuple[str, int]]:
+    return [(op, int(n)) for n, op in re.findall(C.PATTERN, cigar)]
+
+
+@lru_cache(maxsize=20_000)
+def _columns(cigar: str) -> tuple[np.ndarray, np.ndarray]:
+    """(read, reference) offsets of the alignment's columns, NONE on a side that has none, without the soft clip of the first and last operation."""
+    ops, rp, gp, read, ref = operations(cigar), [], [], 0, 0
+    for k, (op, n) in enumerate(ops):
+        on_read, on_ref = op in "MIS=X", op in "MDN=X"
+        if (on_read or on_ref) and not (op == "S" and k in (0, len(ops) - 1)):
+            rp.append(np.arange(read, read + n) if on_read else np.full(n, NONE))
+            gp.append(np.arange(ref, ref + n) if on_ref else np.full(n, NONE))
+        read, ref = read + n * on_read, ref + n * on_ref
+    return (np.concatenate(rp), np.concatenate(gp)) if rp else (np.zeros(0, "i8"), np.zeros(0, "i8"))
+
+
+class Read:
+    """A read's columns, bases and qualities as arrays."""
+
+    def __init__(self, read: dict, missing: int):
+        self.rp, gp = _columns(read["cigar"])
+        self.gp = np.where(gp == NONE, NONE, gp + read["ref_start"])
+        self.bases = np.frombuffer((read["seq"] or "").encode("latin-1", "replace"), "u1")
+        self.quals = np.full(len(self.bases), missing, "f8") if read["quals"] is None else np.asarray(read["quals"], "f8")
+        self.missing = missing
+        self.reverse, self.mapq, self.cigar, self.start = read["flag_reverse"], read["mapq"], read["cigar"], read["ref_start"]
+
+    def quality(self, at: np.ndarray) -> np.ndarray:
+        """Qualities at columns; a deleted one has the mean of the nearest base's on either side (the read's first base counts as none)."""
+        rp = self.rp[at]
+        out = np.full(len(at), float(self.missing))
+        out[rp >= 0] = self.quals[rp[rp >= 0]]
+        if (rp < 0).any():
+            known = np.nonzero((self.rp > 0) & (self.gp != NONE))[0]
+            for k in np.nonzero(rp < 0)[0]:
+                i = np.searchsorted(known, at[k])
+                sides = [self.quals[self.rp[known[x]]] for x in (i - 1, i) if 0 <= x < len(known)]
+                if sides:
+                    out[k] = sum(sides) / len(sides)
+        return out
+
+    def colour(self, at: np.ndarray, colours: np.ndarray) -> np.ndarray:
+        rp = self.rp[at]
+        out = np.full(len(at), DELETE_COLOUR)
+        out[rp >= 0] = colours[self.bases[rp[rp >= 0]]]
+        return out
+
+
+def table(colours: dict[str, int]) -> np.ndarray:
+    """Colours by character code, 0 for others."""
+    out = np.zeros(256, int)
+    for letter, value in colours.items():
+        out[ord(letter)] = value
+    return out
+
+
+SNV_TABLE, MATCH_TABLE, INSERT_TABLE = table(SNV_COLOURS), table(MATCH_COLOURS), table(INSERT_COLOURS)
 
 
-def neighbour_quality(read, gp: int, missing: int) -> float:
-    """Mean of the nearest base qualities left and right of a deleted position; a read index of 0 counts as none."""
-    by = {p["gp"]: p["rp"] for p in read["pairs"] if p["gp"] is not None}
-    sides = (range(gp - 1, read["ref_start"] - 1, -1), range(gp + 1, read["ref_end"]))
-    found = [next((_quality(read, by[g], missing) for g in side if by.get(g)), None) for side in sides]
-    found = [q for q in found if q is not None]
-    return sum(found) / len(found) if found else missing
+def shades(q: np.ndarray) -> np.ndarray:
+    return (255 * (np.minimum(MAX_QUALITY, q) / MAX_QUALITY)).astype(int)
 
 
-def _paint(image: np.ndarray, row: int, start: int, colours: list[float], qualities: list[float], read) -> None:
+def _paint(image: np.ndarray, row: int, start: int, colours, qualities, read: Read) -> None:
     n = len(colours)
     if n:
         image[row, start : start + n, 0] = colours
-        image[row, start : start + n, 1] = [shade(q) for q in qualities]
-        image[row, start : start + n, 2] = REVERSE if read["flag_reverse"] else FORWARD
-        image[row, start : start + n, 3] = 0 if read["mapq"] == 255 else shade(read["mapq"])
+        image[row, start : start + n, 1] = shades(np.asarray(qualities, "f8"))
+        image[row, start : start + n, 2] = REVERSE if read.reverse else FORWARD
+        image[row, start : start + n, 3] = 0 if read.mapq == 255 else shade(read.mapq)
 
 
 def snv_half(reads, pos: int, cfg: SnvTensor) -> np.ndarray:
     """Rows by 2 * flank + 1 columns by base, quality, strand and mapq. A read without a base in the window still takes a row."""
     low, high = pos - cfg.flank, pos + cfg.flank + 1
     image = np.zeros((cfg.rows, high - low, 4), "f4")
-    for row, read in enumerate(reads[: cfg.rows]):
-        start, colours, qualities = 0, [], []
-        for p in read["pairs"]:
-            gp, rp = p["gp"], p["rp"]
-            if gp is None or not low <= gp < high:
-                continue
-            if not colours:
-                start = gp - low
-            if rp is None:
-                colours.append(DELETE_COLOUR)
-                qualities.append(neighbour_quality(read, gp, cfg.missing_quality))
-            else:
-                colours.append(SNV_COLOURS.get(read["seq"][rp], 0))
-                qualities.append(_quality(read, rp, cfg.missing_quality))
-        _paint(image, row, start, colours, qualities, read)
+    for row, one in enumerate(reads[: cfg.rows]):
+        read = Read(one, cfg.missing_quality)
+        at = np.nonzero((read.gp >= low) & (read.gp < high) & (read.gp != NONE))[0]
+        if len(at):
+            _paint(image, row, int(read.gp[at[0]]) - low, read.colour(at, SNV_TABLE), read.quality(at), read)
     return image
 
 
@@ -104,50 +149,46 @@ def snv_image(site, cfg: SnvTensor = SnvTensor()) -> np.ndarray:
     return out
 
 
-def insertions(read, low: int, high: int) -> dict[int, int]:
-    """Longest insertion after each reference position of the window, for one read."""
+def insertions(read: Read, low: int, high: int, strict: bool = False) -> dict[int, int]:
+    """Longest insertion after each reference position of the window, for one read.
+
+    As in the results to match, every other operation moves the position on, clips too, and only a clip or
+    insertion that comes first is passed over; strict=True moves by what the alignment uses of the reference.
+    """
     out: dict[int, int] = {}
-    last, run = None, 0
-    for p in read["pairs"]:
-        if p["gp"] is None:
-            run += 1
-            if last is not None and low <= last < high:
-                out[last] = max(out.get(last, 0), run)
-        else:
-            last, run = p["gp"], 0
+    last = read.start - 1
+    for k, (op, n) in enumerate(operations(read.cigar)):
+        if k == 0 and op in "SI":
+            continue
+        if op == "I":
+            if low <= last < high:
+                out[last] = max(out.get(last, 0), n)
+        elif not strict or op in "MDN=X":
+            last += n
     return out
 
 
-def indel_read(read, low: int, high: int, widest: dict[int, int], trim: int, length: int, missing: int) -> tuple[int, list[float], list[float]]:
+def indel_read(read: Read, low: int, high: int, widest: dict[int, int], trim: int, length: int, strict: bool = False) -> tuple[int, list[float], list[float]]:
     """(start column, colours, qualities) of a read laid out with room for the site's widest insertions; the first `trim` entries go."""
-    own = insertions(read, low, high)
-    start, colours, qualities = None, [], []
-    previous = None
-    for i, p in enumerate(read["pairs"]):
-        gp, rp = p["gp"], p["rp"]
-        if gp is None:
-            if i and previous is not None and low <= previous < high and previous in widest and previous in own:
-                n = own[previous]
-                colours += [INSERT_COLOURS.get(read["seq"][rp + k], 0) for k in range(n)] + [0] * (widest[previous] - n)
-                qualities += [_quality(read, rp + k, missing) for k in range(n)] + [0] * (widest[previous] - n)
-            previous = None
-            continue
-        if gp >= high:
-            break
-        if gp >= low:
-            if start is None:
-                start = gp - low + sum(n for r, n in widest.items() if r < gp)
-            if rp is None:
-                colours.append(DELETE_COLOUR)
-                qualities.append(neighbour_quality(read, gp, missing))
-            else:
-                colours.append(MATCH_COLOURS.get(read["seq"][rp], 0))
-                qualities.append(_quality(read, rp, missing))
-            if gp in widest and gp not in own:
-                colours += [0] * widest[gp]
-                qualities += [0] * widest[gp]
-        previous = gp
-    start = start or 0
+    own = insertions(read, low, high, strict)
+    at = np.nonzero((read.gp >= low) & (read.gp < high) & (read.gp != NONE))[0]
+    if not len(at):
+        return 0, [], []
+    start = int(read.gp[at[0]]) - low + sum(n for r, n in widest.items() if r < read.gp[at[0]])
+    base, quality = read.colour(at, MATCH_TABLE).tolist(), read.quality(at).tolist()
+    colours, qualities = [], []
+    for k, b, q in zip(at.tolist(), base, quality):
+        colours.append(b)
+        qualities.append(q)
+        room = widest.get(gp := int(read.gp[k]), 0)
+        if room and gp not in own:
+            colours += [0] * room
+            qualities += [0] * room
+        elif room and k + 1 < len(read.gp) and read.gp[k + 1] == NONE:
+            put = slice(int(read.rp[k + 1]), int(read.rp[k + 1]) + own[gp])
+            put, fill = INSERT_TABLE[read.bases[put]].tolist(), read.quals[put].tolist()
+            colours += put + [0] * (room - own[gp])
+            qualities += fill + [0] * (room - own[gp])
     room = max(0, length - start)
     return start, colours[trim:][:room], qualities[trim:][:room]
 
@@ -156,10 +197,10 @@ def indel_image(site, cfg: IndelTensor = IndelTensor()) -> np.ndarray:
     """rows x 2 length x 5. A read that is left without entries takes no row; the reference fills as many rows as the fuller sample."""
     low = site["start"]
     high = low + cfg.length
-    halves = [[] if site[s] is None else list(site[s])[: cfg.rows] for s in ("normal", "tumor")]
+    halves = [[] if site[s] is None else [Read(r, cfg.missing_quality) for r in list(site[s])[: cfg.rows]] for s in ("normal", "tumor")]
     widest: dict[int, int] = {}
     for read in halves[0] + halves[1]:
-        for at, n in insertions(read, low, high).items():
+        for at, n in insertions(read, low, high, cfg.strict_positions).items():
             widest[at] = max(widest.get(at, 0), n)
     before = sum(n for at, n in widest.items() if at < site["pos"])
     after = sum(n for at, n in widest.items() if at >= site["pos"])
@@ -167,7 +208,7 @@ def indel_image(site, cfg: IndelTensor = IndelTensor()) -> np.ndarray:
     for k, reads in enumerate(halves):
         row = 0
         for read in reads:
-            start, colours, qualities = indel_read(read, low, high, widest, before, cfg.length, cfg.missing_quality)
+            start, colours, qualities = indel_read(read, low, high, widest, before, cfg.length, cfg.strict_positions)
             if colours:
                 _paint(out[:, k * cfg.length : (k + 1) * cfg.length], row, start, colours, qualities, read)
                 row += 1
@@ -221,8 +262,9 @@ def spiked(sites: DataFrame, base: str, seed: int = 0) -> DataFrame:
                 reads = s["tumor"] or []
                 share = np.random.default_rng([seed, s["pos"]]).beta(2, 5)
                 for r in reads[len(reads) - round(share * len(reads)) :]:
-                    at = next((p["rp"] for p in r["pairs"] if p["gp"] == s["pos"] and p["rp"] is not None), None)
-                    if at is not None:
+                    rp, gp = _columns(r["cigar"])
+                    at = next((int(x) for x in rp[gp == s["pos"] - r["ref_start"]] if x >= 0), None)
+                    if at is not None and at < len(r["seq"] or ""):
                         r["seq"] = r["seq"][:at] + base + r["seq"][at + 1 :]
             yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 

@@ -176,10 +176,11 @@ def test_snv_tensor_columns(spark):
 
 
 def test_indel_layout():
-    pairs = [{"rp": i, "gp": 64 + i} for i in range(27)] + [{"rp": 27, "gp": None}, {"rp": 28, "gp": None}] + [{"rp": 29 + i, "gp": 91 + i} for i in range(48)]
-    r = {"flag_reverse": False, "mapq": 60, "seq": "A" * 77, "quals": [30] * 77, "pairs": pairs, "ref_start": 64, "ref_end": 139}
-    assert M.insertions(r, 64, 139) == {90: 2}
-    start, colours, _ = M.indel_read(r, 64, 139, {90: 2, 110: 3}, 2, 75, 45)
+    r = {"flag_reverse": False, "mapq": 60, "seq": "A" * 77, "quals": [30] * 77, "cigar": "27M2I48M", "ref_start": 64, "ref_end": 139}
+    assert M.insertions(M.Read(r, 45), 64, 139) == {90: 2}
+    clipped = M.Read(r | {"cigar": "5H3S10M2I10M", "seq": "A" * 25, "quals": [30] * 25}, 45)
+    assert M.insertions(clipped, 64, 139) == {81: 2} and M.insertions(clipped, 64, 139, strict=True) == {73: 2}  # clips move the position
+    start, colours, _ = M.indel_read(M.Read(r, 45), 64, 139, {90: 2, 110: 3}, 2, 75)
     assert start == 0 and len(colours) == 75 and colours[25:27] == [130, 130] and colours[47:50] == [0, 0, 0]
     image = M.indel_image({"chrom": "1", "pos": 100, "start": 64, "ref": "A" * 75, "normal": None, "tumor": [r]})
     assert image.shape == (140, 150, 5) and image[0, 0, 4] == 250 and image[1].sum() == 0
