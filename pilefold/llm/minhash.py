@@ -161,8 +161,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, perms: i
 
     signatures = saved(docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
     some = signatures.filter("n > 0 and doc_id is not null")
-    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    bucketed = some.join(classes, ["h1", "h2"]).filter("doc_id = rep").select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("h"))
+    # Written on its own: a group of copies of any size meets its class in a join of two tables, which can be split.
+    classes = saved(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+    # By id too, so that the copies of a text aren't dealt to one task to find the one that names them.
+    named_by = some.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "h1", "h2"], "left_semi")
+    bucketed = named_by.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("h"))
     # Buckets with more than one class: partial aggregation first, then only their members.
     leader = F.min(F.struct(F.xxhash64("h", "rep").alias("by"), "rep"))["rep"]
     # Written on its own: a join after an aggregation by the same key can't split a hot bucket, a join of two tables can.
