@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from ..operators import rows as R
 from ..operators import scoring as S
 from ..operators import tensors as M
 from . import bridge as B
+from . import image_sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -396,7 +399,7 @@ def small_sites_unsampled(spark, sf_dir):
     return n.join(few, ["sample", "chrom", "pos"], "left_semi")
 
 
-@query()
+@query(Q.SEEDED_SAMPLE)
 def seeded_sample(spark, sf_dir):
     """Which reads a seeded draw keeps."""
     b = B.aligned_bases(spark, sf_dir).withColumn("file_order", F.struct("file_order", "l_linenumber", "mapq", "distance", "base", "baseq"))
@@ -500,7 +503,7 @@ def _sequenced(spark, sf_dir):
     r = B.reads(spark, sf_dir)
     n = F.aggregate(C.parts(F.col("cigar")), F.lit(0).cast("long"), lambda a, x: a + F.when(x["op"] == "D", F.lit(0)).otherwise(x["len"]))
     letters = F.translate(F.md5(F.concat("query_name", F.lit(":"), F.col("ref_start").cast("string")).cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
-    r = r.withColumns({"n": n.cast("int"), "flag": F.when(F.col("is_reverse"), 16).otherwise(0)})
+    r = r.withColumns({"file_order": F.struct("file_order", "tie", "tie2"), "n": n.cast("int"), "flag": F.when(F.col("is_reverse"), 16).otherwise(0)})
     return r.withColumn("seq", F.substring(F.concat(letters, letters), F.lit(1), F.col("n"))).withColumn("quals", F.transform(F.sequence(F.lit(1), "n"), lambda i: (20 + (i * 7 + F.col("mapq")) % 26).cast("int"))).drop("n").withColumn("ref_end", C.reference_end(F.col("ref_start"), F.col("cigar")))
 
 
@@ -509,24 +512,34 @@ def _sites(spark, sf_dir):
 
 
 def _sums(t: DataFrame) -> DataFrame:
-    """Channel totals of each tensor."""
-    ch = lambda c: F.aggregate(F.filter("data", lambda x, i: i % 5 == c), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return t.select("chrom", "pos", F.size("data").alias("cells"), *[ch(c).alias(f"c{c}") for c in range(5)])
+    """Channel totals of each tensor, plain and weighted by the place of a cell."""
+    names = [f"{k}{c}" for c in range(5) for k in "cw"]
 
+    def digest(parts):
+        for batch in parts:
+            data = batch.column("data")
+            cells = np.stack([np.asarray(x.values, "f8") for x in data]).reshape(batch.num_rows, -1, 5) if batch.num_rows else np.zeros((0, 1, 5))
+            place = np.arange(1, cells.shape[1] + 1)[None, :, None]
+            both = np.stack([cells.sum(axis=1), (cells * place).sum(axis=1)], axis=2).reshape(len(cells), 10)
+            size = pa.array([cells.shape[1] * 5] * len(cells), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("chrom"), batch.column("pos"), size, *map(pa.array, both.T)], names=["chrom", "pos", "cells", *names])
 
-@query()
+    return t.select("chrom", "pos", "data").mapInArrow(digest, "chrom string, pos long, cells int, " + ", ".join(f"{n} double" for n in names))
+
+
+@query(Q.SNV_PX + Q.SNV_SUMS)
 def snv_tensors(spark, sf_dir):
     """M1-M6, X4, X5, W5, J3, A18, T6."""
     return _sums(M.snv_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK))
 
 
-@query()
+@query(Q.INDEL_PX + Q.INDEL_SUMS)
 def indel_tensors(spark, sf_dir):
     """M7-M9, A13, A14, W5, W8."""
     return _sums(M.indel_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK))
 
 
-@query()
+@query(Q.INDEL_STATS)
 def indel_site_stats(spark, sf_dir):
     """A8, A10, X18, X19."""
     from .pipeline import indel_sites
@@ -536,10 +549,10 @@ def indel_site_stats(spark, sf_dir):
 
 class _ChannelMean:
     def __call__(self, x):
-        return x.mean(axis=(1, 2, 3)) / 255
+        return x.mean(axis=(1, 2, 3), dtype="f8") / 255
 
 
-@query()
+@query(Q.SNV_PX + f"SELECT chrom, pos, round_even((c0 + c1 + c2 + c3 + c4) / cells::DOUBLE / 255.0::DOUBLE, 6) AS pred_true FROM ({Q.SNV_SUMS})")
 def scored_sites(spark, sf_dir):
     """A stand-in scorer, as no weights are public."""
     t = M.snv_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK)
@@ -550,7 +563,7 @@ ENTRY = snv_candidates
 DEFAULTS = SnvFilter()
 
 
-@query()
+@query(Q.INDEL_PX + f"SELECT chrom, pos, round_even((c0 + c1 + c2 + c3 + c4) / cells::DOUBLE / 255.0::DOUBLE, 6) AS pred_true FROM ({Q.INDEL_SUMS})")
 def scored_indels(spark, sf_dir):
     """A stand-in scorer."""
     t = M.indel_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK)
@@ -559,10 +572,10 @@ def scored_indels(spark, sf_dir):
 
 class _Mean:
     def __call__(self, x):
-        return x.mean(axis=1) / 255
+        return x.mean(axis=1, dtype="f8") / 255
 
 
-@query()
+@query(Q.SNV_PX + f"SELECT s.*, (k.p IS NOT NULL)::INT::DOUBLE AS label FROM ({Q.SNV_SUMS}) s LEFT JOIN (SELECT DISTINCT chrom AS c, pos * 20 + 10 AS p FROM tr) k ON k.c = s.chrom AND k.p = s.pos")
 def training_set(spark, sf_dir):
     """Tensors with the labels of their sites."""
     t = M.snv_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK)
@@ -649,7 +662,7 @@ def clip_proximity(spark, sf_dir):
     return rows.withColumn("near", E.clip_proximity(F.col("past"), F.col("first"), F.col("here"), F.lit(2), F.lit(99)))
 
 
-@query()
+@query(Q.TANDEM, recursive=True)
 def tandem_repeats(spark, sf_dir):
     """X14."""
     seq = F.upper("seq")
