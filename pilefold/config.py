@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
+from pathlib import Path
 
 #: The order of bases in every count array.
 BASES = ("A", "C", "G", "T")
@@ -71,3 +73,12 @@ class IndelTensor:
     missing_quality: int = 45
     seed: int = 1
     strict_positions: bool = False
+
+
+def load(kind: type, path: str):
+    """Parameters of a stage from a JSON object; names that it lacks keep their defaults, unknown ones are an error."""
+    return kind(**json.loads(Path(path).read_text()))
+
+
+def as_json(cfg) -> str:
+    return json.dumps(asdict(cfg), sort_keys=True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -61,6 +63,48 @@ def normalised(x: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
     return (x - mean) / std
 
 
+class Normalised:
+    """A scorer that sees tensors normalised channel by channel."""
+
+    def __init__(self, scorer: Scorer, mean: np.ndarray, std: np.ndarray):
+        self.scorer, self.mean, self.std = scorer, mean, std
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self.scorer(normalised(x, self.mean, self.std))
+
+
+def architecture(path: str) -> list[tuple]:
+    """Layers of a sequential network in the JSON that its training library writes; activations, norms and dropout belong to the layer before."""
+    config = json.loads(Path(path).read_text())["config"]
+    out = []
+    for layer in config["layers"] if isinstance(config, dict) else config:
+        kind, c = layer["class_name"], layer["config"]
+        if kind in ("Conv2D", "Convolution2D"):
+            out.append(("conv", tuple(c.get("kernel_size") or (c["nb_row"], c["nb_col"])), c.get("filters") or c["nb_filter"]))
+        elif kind == "AveragePooling2D":
+            out.append(("pool", tuple(c["pool_size"]), 0))
+        elif kind == "Flatten":
+            out.append(("flatten", (), 0))
+        elif kind == "Dense":
+            out.append(("dense", (), c.get("units") or c["output_dim"]))
+    return out
+
+
+def save_weights(network: Network, path: str) -> None:
+    """An .npz with arrays named layer.weight, such as 0.w or 0.gamma."""
+    np.savez(path, **{f"{i}.{k}": v for i, w in enumerate(network.weights) for k, v in (w or {}).items()})
+
+
+def load_network(weights: str, layers: str | None = None, mean: str | None = None, std: str | None = None) -> Scorer:
+    """A scorer from files: weights (.npz, as save_weights has them), architecture (JSON), mean and standard deviation of each channel (.npy)."""
+    shape = architecture(layers) if layers else SNV_LAYERS
+    with np.load(weights) as held:
+        known = {k: held[k] for k in held.files}
+    parts = [{k.partition(".")[2]: v for k, v in known.items() if k.partition(".")[0] == str(i)} or None for i in range(len(shape))]
+    network = Network(parts, shape)
+    return Normalised(network, np.load(mean), np.load(std)) if mean and std else network
+
+
 def adapted(network: Network, x: np.ndarray, seed: int = 0, limit: int = 1000) -> Network:
     """Batch-norm statistics taken from at most `limit` of the sites to be scored instead of from training."""
     some = x[np.random.default_rng(seed).permutation(len(x))[:limit]]

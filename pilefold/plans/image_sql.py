@@ -152,7 +152,7 @@ un(chrom, block_start, side, s, unit, breaks) AS (
   SELECT chrom, block_start, side, s, 1, list_filter(range(2, length(s) + 2), lambda i: substr(s, i, 1) <> substr(s, (i - 2) % 1 + 1, 1))[1] FROM sd
   UNION ALL
   SELECT chrom, block_start, side, s, breaks, list_filter(range(breaks + 1, length(s) + 2), lambda i: substr(s, i, 1) <> substr(s, (i - breaks - 1) % breaks + 1, 1))[1] FROM un WHERE breaks <= length(s)
-), bestu AS (SELECT chrom, block_start, side, max(unit) AS unit, max_by((breaks - 1)::DOUBLE / unit, unit) AS repeats FROM un WHERE breaks > unit + 1 GROUP BY ALL),
+), bestu AS (SELECT chrom, block_start, side, max(unit) AS unit, max_by((breaks - 1 - unit)::DOUBLE / unit::DOUBLE + 1, unit) AS repeats FROM un WHERE breaks > unit + 1 GROUP BY ALL),
 bu AS (SELECT sd.chrom, sd.block_start, sd.side, coalesce(unit, 1) AS unit, coalesce(repeats, 1) AS repeats FROM sd LEFT JOIN bestu b ON b.chrom = sd.chrom AND b.block_start = sd.block_start AND b.side = sd.side)
 SELECT l.chrom, l.block_start + 10 AS pos, greatest(l.unit, r.unit) AS size, CASE WHEN r.unit > l.unit THEN r.repeats WHEN l.unit > r.unit THEN l.repeats ELSE l.repeats + r.repeats END AS repeats
 FROM bu l JOIN bu r ON l.chrom = r.chrom AND l.block_start = r.block_start AND l.side = 0 AND r.side = 1

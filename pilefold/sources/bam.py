@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import glob
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, InputPartition, LessThan
 from pyspark.sql.types import StructType
 
 from ..schema import READS
@@ -16,79 +17,173 @@ from ..schema import READS
 SEQ, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 
 
-def _blocks(path: str) -> Iterator[bytes]:
-    """The inflated blocks of a BGZF file, one at a time."""
-    with open(path, "rb") as f:
-        while head := f.read(18):
+class _Stream:
+    """The inflated bytes of a BGZF file from a virtual offset on: (place of a block) << 16 | place in the inflated block."""
+
+    def __init__(self, path: str, start: int = 0):
+        self.file = open(path, "rb")
+        self.file.seek(start >> 16)
+        self._next()
+        self.at = start & 0xFFFF
+
+    def _next(self) -> bool:
+        """The next block that isn't empty."""
+        self.block, self.at = b"", 0
+        while not self.block:
+            self.place = self.file.tell()
+            head = self.file.read(18)
+            if not head:
+                return False
             size = struct.unpack_from("<H", head, 16)[0] + 1
-            yield zlib.decompress(f.read(size - 18)[:-8], -15)
-
+            self.block = zlib.decompress(self.file.read(size - 18)[:-8], -15)
+        return True
 
-class _Stream:
-    def __init__(self, path: str):
-        self.blocks, self.buffer, self.at = _blocks(path), b"", 0
+    def tell(self) -> int:
+        if self.at >= len(self.block):
+            self._next()
+        return self.place << 16 | self.at
 
     def read(self, n: int) -> bytes:
-        while len(self.buffer) - self.at < n:
-            more = next(self.blocks, None)
-            if more is None:
-                break
-            self.buffer, self.at = self.buffer[self.at :] + more, 0
-        out = self.buffer[self.at : self.at + n]
-        self.at += len(out)
+        out = b""
+        while len(out) < n and (self.at < len(self.block) or self._next()):
+            more = self.block[self.at : self.at + n - len(out)]
+            self.at += len(more)
+            out += more
         return out
 
 
-def records(path: str, sample: str, chrom: str | None = None) -> Iterator[tuple]:
-    s = _Stream(path)
+def _header(s: _Stream, path: str) -> list[str]:
+    """Names of the contigs; leaves the stream at the first record."""
     if s.read(4) != b"BAM\1":
         raise ValueError(f"{path} is no BAM file")
     s.read(struct.unpack("<i", s.read(4))[0])
     names = []
     for _ in range(struct.unpack("<i", s.read(4))[0]):
-        name = s.read(struct.unpack("<i", s.read(4))[0])
-        names.append(name[:-1].decode())
+        names.append(s.read(struct.unpack("<i", s.read(4))[0])[:-1].decode())
         s.read(4)
-    order = -1
-    while size := s.read(4):
-        data = s.read(struct.unpack("<i", size)[0])
-        order += 1
-        ref, pos, n_name, mapq, _, n_ops, flag, n_seq = struct.unpack_from("<iiBBHHHi", data)
-        where = names[ref] if ref >= 0 else None
-        if chrom is not None and where != chrom:
-            continue
-        at = 32
-        name = data[at : at + n_name - 1].decode()
-        at += n_name
-        ops = struct.unpack_from(f"<{n_ops}I", data, at)
-        at += 4 * n_ops
-        packed = data[at : at + (n_seq + 1) // 2]
-        at += len(packed)
-        seq = "".join(SEQ[b >> 4] + SEQ[b & 15] for b in packed)[:n_seq] or None
-        quals = list(data[at : at + n_seq])
-        cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in ops) or None
-        end = pos + sum(x >> 4 for x in ops if OPS[x & 15] in "MDN=X") if ops else None
-        yield sample, order, name, flag, where, pos, end, mapq, cigar, seq, None if not quals or quals[0] == 255 else quals
+    return names
+
+
+def records(path: str, sample: str, chrom: str | None = None, start: int | None = None, stop: int | None = None, before: int | None = None) -> Iterator[tuple]:
+    """Rows of the records that begin at virtual offsets in [start, stop); file_order is that offset. `before`: in a sorted file, the end of a region of `chrom`."""
+    s = _Stream(path)
+    names = _header(s, path)
+    if start is not None:
+        s = _Stream(path, start)
+    with s.file:
+        while True:
+            order = s.tell()
+            if stop is not None and order >= stop:
+                return
+            if not (size := s.read(4)):
+                return
+            data = s.read(struct.unpack("<i", size)[0])
+            ref, pos, n_name, mapq, _, n_ops, flag, n_seq = struct.unpack_from("<iiBBHHHi", data)
+            where = names[ref] if ref >= 0 else None
+            if chrom is not None and where != chrom:
+                continue
+            if before is not None and pos >= before:
+                return
+            at = 32
+            name = data[at : at + n_name - 1].decode()
+            at += n_name
+            ops = struct.unpack_from(f"<{n_ops}I", data, at)
+            at += 4 * n_ops
+            packed = data[at : at + (n_seq + 1) // 2]
+            at += len(packed)
+            seq = "".join(SEQ[b >> 4] + SEQ[b & 15] for b in packed)[:n_seq] or None
+            quals = list(data[at : at + n_seq])
+            cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in ops) or None
+            end = pos + sum(x >> 4 for x in ops if OPS[x & 15] in "MDN=X") if ops else None
+            yield sample, order, name, flag, where, pos, end, mapq, cigar, seq, None if not quals or quals[0] == 255 else quals
+
+
+class Index:
+    """A .bai file: for each contig the chunks' bounds and the offsets of its windows of 16,384 positions."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            data = f.read()
+        if data[:4] != b"BAI\1":
+            raise ValueError(f"{path} is no BAM index")
+        at, self.chunks, self.windows = 8, [], []
+        for _ in range(struct.unpack_from("<i", data, 4)[0]):
+            bins, chunks = struct.unpack_from("<i", data, at)[0], []
+            at += 4
+            for _ in range(bins):
+                number, n = struct.unpack_from("<Ii", data, at)
+                if number != 37450:  # holds counts, not chunks
+                    chunks += [struct.unpack_from("<QQ", data, at + 8 + 16 * k) for k in range(n)]
+                at += 8 + 16 * n
+            n = struct.unpack_from("<i", data, at)[0]
+            self.chunks.append(chunks)
+            self.windows.append(struct.unpack_from(f"<{n}Q", data, at + 4))
+            at += 4 + 8 * n
+
+    def bounds(self, ref: int, first: int) -> tuple[int, int] | None:
+        """Virtual offsets between which the contig's records that reach beyond `first` are; None if there are none."""
+        if not self.chunks[ref]:
+            return None
+        low, high = min(c[0] for c in self.chunks[ref]), max(c[1] for c in self.chunks[ref])
+        left = [x for x in self.windows[ref][max(first, 0) >> 14 :] if x]
+        return (max(low, left[0]), high) if left else (None if self.windows[ref] else (low, high))
+
+    def splits(self, size: int) -> list[int]:
+        """Offsets at which a record begins, `size` bytes of the file apart."""
+        known = sorted({c[0] for cs in self.chunks for c in cs} | {x for w in self.windows for x in w if x})
+        out: list[int] = []
+        for x in known[1:]:
+            if (x >> 16) - ((out[-1] if out else known[0]) >> 16) >= size:
+                out.append(x)
+        return out
 
 
 class BamReader(DataSourceReader):
-    """One partition a file; a filter on chrom is taken while decoding, before a row is built."""
+    """Partitions by the index (path.bai, or .bai for .bam), `splitBytes` of the file each (32 MB unless given); one a file without an index.
+
+    Filters on chrom are taken while decoding, before a row is built. With them, ref_start < x and ref_end > x
+    choose by the index what is read; Spark applies those two again.
+    """
 
     def __init__(self, options: dict):
         self.paths, self.sample, self.chrom = sorted(glob.glob(options["path"])), options.get("sample", "N"), None
+        self.size, self.before, self.after = int(options.get("splitBytes", 32 << 20)), None, 0
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("chrom",):
                 self.chrom = f.value
-            else:
-                yield f
+                continue
+            if isinstance(f, LessThan) and f.attribute == ("ref_start",):
+                self.before = f.value if self.before is None else min(self.before, f.value)
+            if isinstance(f, GreaterThan) and f.attribute == ("ref_end",):
+                self.after = max(self.after, f.value)
+            yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+        out = []
+        for path in self.paths:
+            found = [x for x in (f"{path}.bai", f"{path.removesuffix('.bam')}.bai") if os.path.exists(x)]
+            if not found:
+                out.append(InputPartition((path, None, None, None)))
+                continue
+            index, low, high, before = Index(found[0]), None, None, None
+            if self.chrom is not None:
+                s = _Stream(path)
+                with s.file:
+                    names = _header(s, path)
+                bounds = index.bounds(names.index(self.chrom), self.after) if self.chrom in names else None
+                if bounds is None:
+                    continue
+                (low, high), before = bounds, self.before
+            cuts = [x for x in index.splits(self.size) if (low is None or x > low) and (high is None or x < high)]
+            out += [InputPartition((path, a, b, before)) for a, b in zip([low, *cuts], [*cuts, high])]
+        return out or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from records(partition.value, self.sample, self.chrom)
+        if partition.value is not None:
+            path, start, stop, before = partition.value
+            yield from records(path, self.sample, self.chrom, start, stop, before)
 
 
 class BamSource(DataSource):

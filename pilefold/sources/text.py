@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import VERSION
@@ -25,12 +26,30 @@ def read_sam(spark: SparkSession, path: str, sample: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, block: int = 65536) -> DataFrame:
-    """(chrom, block_start, seq) of a FASTA file. Records are split at '>', so a contig is one row while it is cut into blocks."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.length("value") > 0)
-    lines = F.split("value", "\n")
-    whole = records.select(F.regexp_extract(F.get(lines, F.lit(0)), r"^(\S+)", 1).alias("chrom"), F.regexp_replace(F.array_join(F.slice(lines, 2, F.size(lines)), ""), r"\s", "").alias("s"))
-    starts = F.sequence(F.lit(0), F.greatest(F.length("s") - 1, F.lit(0)), F.lit(block))
-    return whole.withColumn("block_start", F.explode(starts)).select("chrom", F.col("block_start").cast("long"), F.substring("s", F.col("block_start") + 1, F.lit(block)).alias("seq"))
+    """(chrom, block_start, seq) of FASTA files, read by lines in Spark's splits: no contig is ever in one row or task.
+
+    Places are running sums inside a split; what goes from split to split (the contig that is open and how
+    long it is so far) is one row a split. Contigs without bases give no row.
+    """
+    split = ["file", "part"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("i"))
+    title = F.col("value").startswith(">")
+    lines = lines.select(*split, "i", F.when(title, F.regexp_extract("value", r"^>\s*(\S*)", 1)).alias("name"), F.when(title, "").otherwise(F.regexp_replace("value", r"\s", "")).alias("s"))
+    inside = W.partitionBy(*split).orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    lines = lines.withColumns({"own": F.last("name", True).over(inside), "run": F.count("name").over(inside)})
+    begins = F.sum(F.length("s")).over(W.partitionBy(*split, "run").orderBy("i")) - F.length("s")
+    lines = lines.withColumn("at", begins)
+    runs = lines.groupBy(*split, "run").agg(F.max("own").alias("own"), F.sum(F.length("s")).alias("n"))
+    tails = runs.groupBy(*split).agg(F.max_by(F.struct("own", "n"), "run").alias("t")).select(*split, "t.own", "t.n")
+    order = W.partitionBy("file").orderBy("part")
+    tails = tails.withColumn("g", F.count("own").over(order)).withColumns({"name": F.last("own", True).over(order), "sum": F.sum("n").over(W.partitionBy("file", "g").orderBy("part"))})
+    open_ = tails.select(*split, F.lag("name").over(order).alias("o_name"), F.coalesce(F.lag("sum").over(order), F.lit(0)).alias("o_at"))
+    placed = lines.filter(F.length("s") > 0).join(open_, split).select(F.coalesce("own", "o_name").alias("chrom"), (F.col("at") + F.when(F.col("run") == 0, F.col("o_at")).otherwise(F.lit(0))).alias("at"), "s")
+    cut = placed.withColumn("b", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.length("s") - 1) / block))))
+    first = F.greatest(F.col("at"), F.col("b") * block)
+    piece = F.substring("s", (first - F.col("at") + 1).cast("int"), ((F.col("b") + 1) * block - first).cast("int"))
+    whole = cut.select("chrom", "b", F.struct(first.alias("at"), piece.alias("s")).alias("p")).groupBy("chrom", "b").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    return whole.select("chrom", (F.col("b") * block).alias("block_start"), F.array_join(F.transform("ps", lambda p: p["s"]), "").alias("seq"))
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
