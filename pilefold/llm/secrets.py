@@ -66,18 +66,27 @@ def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (data[at], start, start + size) if start + size <= end else None
 
 
-def _elements(data: bytes, at: int, end: int, depth: int) -> list[tuple[int, int, int]] | None:
-    """The elements from `at` that fill up to `end`, nested ones checked as deep as keys go; None if lengths don't add up or there are more than any key has."""
-    out = []
-    while at < end:
-        x = _element(data, at, end)
-        if x is None or len(out) == 16:
-            return None
-        if x[0] & 0x20 and (depth == 0 or _elements(data, x[1], x[2], depth - 1) is None):  # holds elements itself
-            return None
-        out.append(x)
-        at = x[2]
-    return out
+def _elements(data: bytes, at: int, end: int, depth: int) -> int:
+    """How many elements fill from `at` up to `end`, nested ones checked as deep as keys go; 0 if lengths don't add up or there are more than any key has."""
+    n, last = 0, end - 1
+    while at < last:
+        n += 1
+        if n > 16:
+            return 0
+        size = data[at + 1]
+        if size < 0x80:
+            start = at + 2
+            past = start + size
+        else:
+            x = _element(data, at, end)
+            if x is None:
+                return 0
+            _, start, past = x
+        # An element that holds elements; an empty one holds none.
+        if data[at] & 0x20 and (past > end or depth == 0 or start < past and not _elements(data, start, past, depth - 1)):
+            return 0
+        at = past
+    return n if at == end else 0
 
 
 def key_encoding(data: bytes, at: int = 0) -> int:
@@ -85,12 +94,10 @@ def key_encoding(data: bytes, at: int = 0) -> int:
     outer = _element(data, at, len(data))
     if outer is None or outer[0] != 0x30 or outer[2] - outer[1] < 8:
         return -1
-    inner = _elements(data, outer[1], outer[2], 4)
-    if not inner or len(inner) < 2 or inner[0][0] not in (0x02, 0x30):
+    first = _element(data, outer[1], outer[2])
+    if first is None or first[1] == first[2] or not (first[0] == 0x02 or first[0] == 0x30 and data[first[1]] == 0x06):  # an algorithm begins with its number
         return -1
-    if inner[0][0] == 0x02:
-        return outer[2] if inner[0][2] > inner[0][1] else -1
-    return outer[2] if inner[0][2] > inner[0][1] and data[inner[0][1]] == 0x06 else -1  # an algorithm begins with its number
+    return outer[2] if _elements(data, outer[1], outer[2], 4) >= 2 else -1
 
 
 def is_key_encoding(data: bytes) -> bool:
