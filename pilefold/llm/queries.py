@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, hilbert, langid, lines, minhash, mixing, nndescent, secrets, toxicity
+from . import anagrams, bpe, forest, hilbert, langid, lines, lloyd, minhash, mixing, nndescent, quality, secrets, toxicity
+from .common import saved
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,6 +76,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[number(k) for k in secrets.KINDS[:3]], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda x: x["confirmed"])).cast("long").alias("n_confirmed"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lloyd.cluster(_read(spark, sf_dir, "embeddings"), k=16, rounds=3)
+    centroid = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(centroid, 256).alias("centroid_sha256"), "copies")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = saved(anagrams.word_counts(_read(spark, sf_dir, "documents")), "words")
+    return anagrams.variants(words)
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
+    out = quality.score_documents(docs, model)
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_line_dedup, op2_embedding_near_dedup, op3_language_id, op4_sharding, op5_mixing, op6_bpe, op7_minhash_near_dedup, op8_toxicity, op9_nearest_neighbours, op10_secret_scan)
+    ops = (op1_line_dedup, op2_embedding_near_dedup, op3_language_id, op4_sharding, op5_mixing, op6_bpe, op7_minhash_near_dedup, op8_toxicity, op9_nearest_neighbours, op10_secret_scan, op11_centroid_clustering, op12_spelling_variants, op13_quality)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
@@ -142,5 +161,66 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_i
 """
 
 
+_NEAREST = """
+a{i} AS (
+  SELECT q, n, min(c) FILTER (WHERE d = least) AS c, any_value(least) AS d
+  FROM (SELECT *, min(d) OVER (PARTITION BY q) AS least FROM (
+    SELECT v.q, v.n, t.c, list_sum(list_transform(list_zip(v.q, t.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM distinct_v v, t{i} t))
+  GROUP BY q, n
+)"""
+_MOVED = """
+t{j} AS (
+  SELECT t{i}.c, coalesce(m.q, t{i}.q) AS q FROM t{i} LEFT JOIN (
+    SELECT c, list(floor_ ORDER BY i) AS q
+    FROM (SELECT c, i, CASE WHEN sum(n * q[i]) >= 0 THEN sum(n * q[i]) // sum(n) ELSE -((sum(n) - 1 - sum(n * q[i])) // sum(n)) END::BIGINT AS floor_ FROM a{i}, unnest(range(1, 65)) AS u(i) GROUP BY c, i)
+    GROUP BY c
+  ) m ON m.c = t{i}.c
+)"""
+OP11_SQL = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), distinct_v AS (SELECT q, count(*)::BIGINT AS n FROM v GROUP BY q),
+t0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c, q FROM v WHERE vec_id IS NOT NULL ORDER BY c LIMIT 16),
+{",".join(_NEAREST.format(i=i) + "," + _MOVED.format(i=i, j=i + 1) for i in range(3))},{_NEAREST.format(i=3)},
+cost AS (SELECT c, sum(n * d)::BIGINT AS cluster_inertia FROM a3 GROUP BY c)
+SELECT v.vec_id, a3.c::INT AS cluster, a3.d AS distance, cost.cluster_inertia, (SELECT sum(cluster_inertia) FROM cost)::BIGINT AS inertia,
+       sha256(array_to_string(t3.q, ',')) AS centroid_sha256, a3.n AS copies
+FROM v JOIN a3 USING (q) JOIN cost ON cost.c = a3.c JOIN t3 ON t3.c = a3.c
+"""
+
+#: The crc32 is taken byte by byte with a table that the polynomial gives.
+OP12_SQL = r"""
+WITH RECURSIVE bits(b, k, x) AS (
+  SELECT range, 0, range FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM bits WHERE k < 8
+), tab AS (SELECT list(x ORDER BY b) AS t FROM bits WHERE k = 8),
+r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY 1, 2
+), h AS (
+  SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(regexp_replace(hex(encode(doc || ':' || w)), '(..)', '\1 ', 'g'), ' ')[:-2], lambda s: ('0x' || s)::BIGINT)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM r, tab
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+near AS (
+  SELECT DISTINCT a.word AS a, b.word AS b, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT DISTINCT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT DISTINCT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (SELECT a, count(*) AS n_near, max(n) AS top FROM near GROUP BY a),
+forms AS (SELECT best.a, n_near, top, min(b) AS form FROM best JOIN near ON near.a = best.a AND near.n = best.top GROUP BY ALL),
+f AS (
+  SELECT word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 5 * words.n THEN form END AS form, CASE WHEN top >= 5 * words.n THEN top END::BIGINT AS form_n
+  FROM words LEFT JOIN forms ON forms.a = words.word
+), chain(word, past) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.past WHERE f.form IS NOT NULL),
+root AS (SELECT chain.word, chain.past AS root FROM chain JOIN f ON f.word = chain.past WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN root ON root.word = f.word
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op7_minhash_near_dedup": OP7_SQL}
+    return {"op11_centroid_clustering": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op1_line_dedup": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op7_minhash_near_dedup": OP7_SQL}
