@@ -19,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, forget, saved, slices
+from .common import forget, saved, slices
 
 LETTERS = "A-Za-zÀ-ÿ"
 OTHER = re.compile(f"[^{LETTERS}]")
-A_TO_Z = str.maketrans(UPPER, LOWER)
 
 
 def _chunks(text: str, size: int = 1 << 20) -> Iterator[str]:
@@ -53,21 +52,20 @@ def word_counts(docs: DataFrame, least_letters: int = 6, least: int = 5, every:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 prefix = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
                 for chunk in _chunks(text or ""):
-                    for word, n in Counter(runs.findall(chunk)).items():
-                        word = word.translate(A_TO_Z)
-                        h = zlib.crc32(word.encode(), prefix)
-                        if not h % every:
-                            at = h % len(word)
-                            word = word[:at] + word[at + 1 :]
-                            if len(word) < least_letters:
-                                continue
-                        held[word] += n
+                    words = runs.findall(chunk.encode().lower().decode())  # of bytes, lower() changes A-Z only
+                    held.update(words)
+                    cut = {w for w in set(words) if not zlib.crc32(w.encode(), prefix) % every}
+                    for word, n in Counter(w for w in words if w in cut).items() if cut else ():
+                        at = zlib.crc32(word.encode(), prefix) % len(word)
+                        held[word] -= n
+                        held[word[:at] + word[at + 1 :]] += n
                     if len(held) >= most_held:
                         yield _batch(held)
                         held.clear()
         yield _batch(held)
 
     counts = docs.select("doc_id", "text").mapInArrow(run, "word string, n long")
+    counts = counts.filter(F.length("word") >= least_letters)  # a cut may fall below
     return counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
