@@ -46,11 +46,12 @@ class LineRuns:
         self.levels: list[list[str]] = [[]]
         self.paths: dict[str, str] = {}
 
-    def _write(self, counts: DataFrame, level: int) -> None:
+    def _write(self, counts: DataFrame, level: int, dealt: bool = False) -> None:
+        """dealt: counts come in their buckets already."""
         name = f"line_run_{uuid.uuid4().hex}"
         self.paths[name] = scratch(self.spark, name)
         (
-            counts.repartition(self.buckets, "h1", "h2")
+            (counts if dealt else counts.repartition(self.buckets, "h1", "h2"))
             .write.option("path", self.paths[name])
             .bucketBy(self.buckets, "h1", "h2")
             .sortBy("h1", "h2")
@@ -68,7 +69,7 @@ class LineRuns:
     def _merged(self, names: list[str]) -> DataFrame:
         """The sum of some runs. Their files are read as plain Parquet: a union of bucketed tables would claim a partitioning that it hasn't."""
         files = self.spark.read.schema("h1 long, h2 long, n long").parquet(*[self.paths[name] for name in names])
-        return files.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        return files.repartition(self.buckets, "h1", "h2").groupBy("h1", "h2").agg(F.sum("n").alias("n"))  # one exchange, for the sum and the buckets
 
     @property
     def runs(self) -> list[str]:
@@ -83,7 +84,7 @@ class LineRuns:
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full = self.levels[level]
-            self._write(self._merged(full), level + 1)
+            self._write(self._merged(full), level + 1, dealt=True)
             self.levels[level] = []
             self._drop(full)
             level += 1
@@ -126,20 +127,25 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 6, fanout: i
     forget(staged)
 
     row = [F.xxhash64("doc_id", "text").alias("_r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_r2")]
-    lines = docs.select(*row, F.posexplode(F.transform(split_lines(F.col("text")), line_key)).alias("_pos", "_key")).filter(F.length("_key") > 0)
+    texts = docs.select(*row, "text")  # hashed here: in one select with the explode, the whole text would be hashed for each of its lines
+    lines = texts.select("_r1", "_r2", F.posexplode(F.transform(split_lines(F.col("text")), line_key)).alias("_pos", "_key")).filter(F.length("_key") > 0)
     gone = (
         lines.select("_r1", "_r2", "_pos", *_hashed(F.col("_key")))
         .join(hot, ["h1", "h2"], "left_semi")
         .groupBy("_r1", "_r2")
-        .agg(F.collect_set("_pos").alias("_gone"))
+        .agg(F.sort_array(F.collect_set("_pos")).alias("_at"))
     )
+    # a flag for each line up to the last dropped one, from the gaps between dropped lines: looked up by place, so a text takes time in proportion to its lines
+    gap = lambda p, k: p - F.when(k > 0, F.get("_at", k - 1)).otherwise(-1) - 1
+    flags = F.flatten(F.transform("_at", lambda p, k: F.concat(F.array_repeat(F.lit(False), gap(p, k)), F.array(F.lit(True)))))
+    gone = gone.select("_r1", "_r2", F.size("_at").cast("long").alias("_n"), flags.alias("_gone"))
     out = docs.select(F.struct("*").alias("_row"), *row).join(gone, ["_r1", "_r2"], "left")
     text = split_lines(F.col("_row.text"))
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.filter(text, lambda x, i: ~F.array_contains(F.col("_gone"), i)))
+    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.filter(text, lambda x, i: ~F.coalesce(F.get("_gone", i), F.lit(False))))
     out = out.select(
         "_row",
         F.size(text).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"),
+        F.coalesce("_n", F.lit(0).cast("long")).alias("n_dropped"),
         F.array_join(kept, "\n").alias("kept_text"),
     )
     own = out.columns[1:]
