@@ -15,27 +15,24 @@ from .operators.scoring import load_network
 from .plans import pipeline as P
 from .session import ship
 from .sources import bam, text
+from .sources.fasta import IndexedFasta
+from .sources.store import done as complete
+from .sources.store import stored_reads
 
 BLOCK = 65536
 
 
-def complete(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+def exists(spark: SparkSession, file: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def reads_of(spark: SparkSession, normal: str, tumor: str) -> DataFrame:
-    bam.register(spark)
-    one = lambda path, sample: spark.read.format("bam").option("sample", sample).load(path)
-    return one(normal, "N").unionByName(one(tumor, "T"))
-
-
-def candidates(spark: SparkSession, reads: DataFrame, out: str, kinds: list[str], bed: str | None = None) -> None:
+def candidates(spark: SparkSession, reads: DataFrame, out: str, kinds: list[str], regions: DataFrame | None = None, contigs: DataFrame | None = None) -> None:
     """out/<kind>.candidates, TSV of chrom and pos in order."""
-    regions = text.read_bed(spark, bed) if bed else None
     for kind in kinds:
         if not complete(spark, f"{out}/{kind}.candidates"):
-            found = P.snv_candidates(reads, regions=regions) if kind == "snv" else P.indel_candidates(reads, regions=regions)
+            find = P.snv_candidates if kind == "snv" else P.indel_candidates
+            found = find(reads, regions=regions, contigs=contigs)
             text.write_tsv(found.orderBy("chrom", "pos"), f"{out}/{kind}.candidates")
 
 
@@ -59,7 +56,7 @@ def main(args: list[str] | None = None, scorers: dict | None = None) -> None:
     p.add_argument("stage", choices=["filter", "predict"])
     for name in ("sample_name", "normal_bam", "tumor_bam", "output_dir", "reference"):
         p.add_argument(f"--{name}", required=True)
-    p.add_argument("--region_bed")
+    p.add_argument("--region_bed", help="targets; with the same ones, predict uses the reads that filter decoded")
     p.add_argument("-snv", action="store_true")
     p.add_argument("-indel", action="store_true")
     for kind in ("snv", "indel"):
@@ -67,11 +64,12 @@ def main(args: list[str] | None = None, scorers: dict | None = None) -> None:
     a = p.parse_args(args)
     kinds = [k for k, on in zip(("snv", "indel"), P.modes(a.snv, a.indel)) if on]
     spark = ship(SparkSession.builder.appName("pilefold").getOrCreate())
-    reads, out = reads_of(spark, a.normal_bam, a.tumor_bam), f"{a.output_dir}/{a.sample_name}"
+    out, regions = f"{a.output_dir}/{a.sample_name}", text.read_bed(spark, a.region_bed) if a.region_bed else None
+    reads = stored_reads(spark, a.normal_bam, a.tumor_bam, out, regions)
     if a.stage == "filter":
-        candidates(spark, reads, out, kinds, a.region_bed)
+        candidates(spark, reads, out, kinds, regions, bam.contigs(spark, a.normal_bam, a.tumor_bam))
         return
-    reference = text.read_fasta(spark, a.reference, BLOCK)
+    reference = IndexedFasta(spark, a.reference, BLOCK) if exists(spark, f"{a.reference}.fai") else text.read_fasta(spark, a.reference, BLOCK)
     if scorers is None:
         scorers = {k: load_network(*getattr(a, f"{k}_model")) for k in kinds}
     made = predictions(spark, reads, reference, out, {k: scorers[k] for k in kinds})

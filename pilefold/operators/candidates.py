@@ -16,8 +16,13 @@ def gated(pairs: DataFrame, cfg: SnvFilter = SnvFilter()) -> DataFrame:
 
 
 def snv_candidates(bases: DataFrame, cfg: SnvFilter = SnvFilter()) -> DataFrame:
+    """(chrom, pos, n, t) from aligned bases, as snv_candidates_of."""
+    return snv_candidates_of(paired_coverage(bases, cfg.min_base_quality, cfg.min_mapq), cfg)
+
+
+def snv_candidates_of(pairs: DataFrame, cfg: SnvFilter = SnvFilter()) -> DataFrame:
     """(chrom, pos, n, t): some allele other than the normal's commonest is frequent in the tumor and rare in the normal."""
-    sites = gated(paired_coverage(bases, cfg.min_base_quality, cfg.min_mapq), cfg).withColumn("top", argmax(F.col("n")))
+    sites = gated(pairs, cfg).withColumn("top", argmax(F.col("n")))
 
     def somatic(j):
         n, t = F.get("n", j), F.get("t", j)

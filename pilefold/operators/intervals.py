@@ -98,10 +98,15 @@ def aliased(df: DataFrame, contigs: DataFrame, other: Callable[[Column], Column]
 def with_reference(sites: DataFrame, reference: DataFrame, length, block: int, name: str = "ref") -> DataFrame:
     """sites (chrom, pos, ...) plus the upper-cased reference bases [pos, pos + length), which may run into the next block. reference: blocks of `block` bases.
 
-    A contig that the reference hasn't is looked up without its chr, chrM and M as MT.
+    A contig that the reference hasn't is looked up without its chr, chrM and M as MT. An IndexedFasta is
+    asked for the sites' blocks only, and its index has the names.
     """
     last = F.col("pos") + length - 1
-    need = aliased(sites, reference, without_chr, "_c").withColumn("_b", F.explode(F.sequence(F.floor(F.col("pos") / block), F.floor(last / block))))
+    indexed = not isinstance(reference, DataFrame)
+    block = reference.block if indexed else block
+    need = aliased(sites, reference.contigs if indexed else reference, without_chr, "_c").withColumn("_b", F.explode(F.sequence(F.floor(F.col("pos") / block), F.floor(last / block))))
+    if indexed:
+        reference = reference.blocks(need.select(F.col("_c").alias("chrom"), F.col("_b").alias("b")))
     met = need.join(reference.select(F.col("chrom").alias("_c"), F.floor(F.col("block_start") / block).alias("_b"), F.col("block_start").alias("_s"), F.col("seq").alias("_q")), ["_c", "_b"], "left")
     low = F.greatest(F.col("pos"), F.col("_s"))
     piece = F.upper(F.substring(F.col("_q"), (low - F.col("_s") + 1).cast("int"), (F.least(last, F.col("_s") + block - 1) - low + 1).cast("int")))

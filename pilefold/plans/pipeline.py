@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Calling, IndelFilter, IndelTensor, SnvFilter, SnvTensor
+from ..functions.cigar import has_indel, parts
 from ..functions.encode import with_chr
 from ..operators import calls as K
 from ..operators import candidates as N
 from ..operators import tensors as M
-from ..operators.intervals import aliased, in_regions, near, overlap_join, with_reference
-from ..operators.pileup import aligned_bases, counts, passes_check, passes_default
-from ..operators.rows import dedupe_predictions, in_batches
+from ..operators.intervals import BIN, aliased, in_regions, near, overlap_join, with_reference
+from ..operators.pileup import passes_check, passes_default
 from ..operators.scoring import Scorer, score
+from ..operators.sweep import sweep
 
 
 def modes(snv: bool = False, indel: bool = False) -> tuple[bool, bool]:
@@ -23,22 +24,22 @@ def modes(snv: bool = False, indel: bool = False) -> tuple[bool, bool]:
     return not indel, not snv
 
 
-def _named(regions: DataFrame, reads: DataFrame) -> DataFrame:
-    """Regions under the reads' names of contigs: where the reads haven't one, with chr before it (MT: chrM)."""
-    return aliased(regions, reads, with_chr, "_name").withColumn("chrom", F.col("_name")).drop("_name")
+def _named(regions: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Regions under the contigs' names: where there is none, with chr before it (MT: chrM)."""
+    return aliased(regions, contigs, with_chr, "_name").withColumn("chrom", F.col("_name")).drop("_name")
 
 
-def snv_candidates(reads: DataFrame, cfg: SnvFilter = SnvFilter(), regions: DataFrame | None = None) -> DataFrame:
-    """(chrom, pos); with regions (end exclusive), those inside, once for each region, and reads elsewhere are never piled up."""
+def snv_candidates(reads: DataFrame, cfg: SnvFilter = SnvFilter(), regions: DataFrame | None = None, contigs: DataFrame | None = None) -> DataFrame:
+    """(chrom, pos); with regions (end exclusive), those inside, once for each region, and reads elsewhere are never piled up. contigs: the names in use (a file's header has them); without, all reads are asked."""
     kept = reads.filter(passes_check(F.col("flag"), F.col("mapq"), cfg.min_mapq))
     if regions is None:
-        return N.snv_candidates(aligned_bases(kept), cfg).select("chrom", "pos")
-    regions = _named(regions, reads)
+        return N.snv_candidates_of(sweep(kept, cfg.min_base_quality), cfg).select("chrom", "pos")
+    regions = _named(regions, reads if contigs is None else contigs)
     kept = near(kept, regions.select("chrom", F.col("start").alias("w_start"), F.col("end").alias("w_end")))
-    return in_regions(N.snv_candidates(aligned_bases(kept), cfg).select("chrom", "pos"), regions).select("chrom", "pos")
+    return in_regions(N.snv_candidates_of(sweep(kept, cfg.min_base_quality), cfg).select("chrom", "pos"), regions).select("chrom", "pos")
 
 
-def indel_candidates(reads: DataFrame, cfg: IndelFilter = IndelFilter(), regions: DataFrame | None = None, keep_last: bool = False) -> DataFrame:
+def indel_candidates(reads: DataFrame, cfg: IndelFilter = IndelFilter(), regions: DataFrame | None = None, keep_last: bool = False, contigs: DataFrame | None = None) -> DataFrame:
     """(chrom, pos), pos being the base before the event. A region tests the event itself and its reads: it counts events at its positions, of reads that overlap it.
 
     As in the results to match, a region's last base is left out; keep_last=True has it in.
@@ -46,8 +47,13 @@ def indel_candidates(reads: DataFrame, cfg: IndelFilter = IndelFilter(), regions
     if regions is None:
         return N.indel_candidates(N.indel_evidence(N.indel_events(reads, cfg), cfg), cfg)
     by = ("_from", "_to")
-    inside = in_regions(N.indel_events(reads, cfg, keep=["ref_start", "ref_end"]), _named(regions, reads), 0 if keep_last else -1)
-    inside = inside.filter((F.col("ref_start") < F.col("_to")) & (F.col("ref_end") > F.col("_from")))
+    regions = _named(regions, reads if contigs is None else contigs)
+    touched = reads.filter(has_indel(F.col("cigar")) & (F.col("mapq") >= cfg.min_mapq))
+    # a leading soft clip moves events beyond the read's end: bins up to the last place where one can be
+    reach = F.col("ref_start") + F.aggregate(parts(F.col("cigar")), F.lit(1).cast("long"), lambda a, x: a + F.when(x["op"].isin("I", "H", "P"), 0).otherwise(x["len"]))
+    touched = near(touched.withColumns({"_end": F.col("ref_end"), "ref_end": F.greatest("ref_end", reach)}), regions.select("chrom", F.col("start").alias("w_start"), F.col("end").alias("w_end")))
+    events = N.indel_events(touched, cfg, keep=["ref_start", "_end", "_bin"]).filter(F.floor(F.col("pos") / BIN) == F.col("_bin")).drop("_bin")
+    inside = in_regions(events, regions, 0 if keep_last else -1).filter((F.col("ref_start") < F.col("_to")) & (F.col("_end") > F.col("_from")))
     return N.indel_candidates(N.indel_evidence(inside, cfg, by), cfg, by)
 
 
@@ -64,8 +70,7 @@ def site_counts(sites: DataFrame, reads: DataFrame, sample: str, cfg: Calling =
     sites = sites.select("chrom", "pos").distinct()
     kept = reads.filter((F.col("sample") == sample) & passes_default(F.col("flag")))
     kept = near(kept, sites.select("chrom", F.col("pos").alias("w_start"), (F.col("pos") + 1).alias("w_end")))
-    bases = aligned_bases(kept).filter(F.col("baseq") >= cfg.default_base_quality)
-    return bases.join(sites, ["chrom", "pos"], "left_semi").groupBy("chrom", "pos").agg(counts(F.lit(True)).alias("counts"))
+    return sweep(kept, cfg.default_base_quality, sites).select("chrom", "pos", sample.lower()).withColumnRenamed(sample.lower(), "counts")
 
 
 def indel_sites(sites: DataFrame, reads: DataFrame, sample: str, reference: DataFrame, block: int) -> DataFrame:
@@ -100,9 +105,3 @@ def call(snvs: DataFrame | None, indels: DataFrame | None, reads: DataFrame, ref
             calls = K.indel_calls(p, indel_sites(kept, reads, "T", reference, block), rejected, cfg)
         out.append(K.vcf_rows(calls, kind))
     return K.vcf_union(*out)
-
-
-def numbered(predictions: DataFrame, cfg: Calling = Calling()) -> DataFrame:
-    """Predictions in batches with repeats inside a batch gone."""
-    rows = in_batches(predictions, cfg.batches).withColumn("idx", F.monotonically_increasing_id())
-    return dedupe_predictions(rows).select("chrom", "pos", "pred_true")

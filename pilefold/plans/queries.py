@@ -19,6 +19,7 @@ from ..operators import intervals as I
 from ..operators import pileup as P
 from ..operators import rows as R
 from ..operators import scoring as S
+from ..operators import sweep as W
 from ..operators import tensors as M
 from . import bridge as B
 from . import image_sql as Q
@@ -539,6 +540,36 @@ def indel_tensors(spark, sf_dir):
     return _sums(M.indel_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK))
 
 
+_SWEPT = Q.SITES + """
+, bb AS (
+  SELECT sample, chrom, mapq, ref_start + ref_off + k AS pos, strpos('ACGT', substr(letters || letters, read_off + k + 1, 1)) AS b, 20 + ((read_off + k + 1) * 7 + mapq) % 26 AS q
+  FROM (
+    SELECT sq.*, op[i] AS o, ln[i]::BIGINT AS n,
+           coalesce(list_sum(list_transform(range(1, i), lambda k: CASE WHEN op[k] IN ('M', 'D') THEN ln[k]::BIGINT ELSE 0 END)), 0)::BIGINT AS ref_off,
+           coalesce(list_sum(list_transform(range(1, i), lambda k: CASE WHEN op[k] = 'D' THEN 0 ELSE ln[k]::BIGINT END)), 0)::BIGINT AS read_off
+    FROM sq, unnest(range(1, len(op) + 1)) AS u(i)
+  ), unnest(range(0, n)) AS v(k) WHERE o = 'M'
+)"""
+
+
+@query(_SWEPT + " SELECT sample, chrom, pos, count(*) FILTER (WHERE b = 1) AS a, count(*) FILTER (WHERE b = 2) AS c, count(*) FILTER (WHERE b = 3) AS g, count(*) FILTER (WHERE b = 4) AS t, count(*) AS depth FROM bb WHERE q >= 22 AND mapq >= 10 GROUP BY ALL")
+def sweep_pileup(spark, sf_dir):
+    """A1, A3, F1 over whole reads, counted in batches."""
+    reads = _sequenced(spark, sf_dir)
+    return W.coverage_sweep(reads.filter(P.passes_check(F.col("flag"), F.col("mapq"))))
+
+
+@query(_SWEPT + """, pp AS (
+  SELECT chrom, pos, """ + ", ".join(f"[{', '.join(f"count(*) FILTER (WHERE sample = '{s}' AND b = {i})" for i in range(1, 5))}] AS {s.lower()}" for s in "NT") + """ FROM bb WHERE q >= 22 AND mapq >= 10 GROUP BY ALL
+) SELECT chrom, pos FROM (SELECT *, list_sum(n) AS nd, list_sum(t) AS td, list_position(n, list_max(n)) AS top FROM pp) WHERE nd >= 7 AND td >= 7
+  AND len(list_filter([1, 2, 3, 4], lambda j: j <> top AND t[j]::DOUBLE / td::DOUBLE >= 0.035::DOUBLE AND t[j] >= 2 AND n[j]::DOUBLE / nd::DOUBLE <= 0.05::DOUBLE)) > 0""")
+def sweep_snv_candidates(spark, sf_dir):
+    """F1, A1, A3, A4, J1, F4, F5 from reads to candidates, as the filter command runs them."""
+    from .pipeline import snv_candidates
+
+    return snv_candidates(_sequenced(spark, sf_dir))
+
+
 @query(Q.INDEL_STATS)
 def indel_site_stats(spark, sf_dir):
     """A8, A10, X18, X19."""

@@ -52,15 +52,6 @@ def read_fasta(spark: SparkSession, path: str, block: int = 65536) -> DataFrame:
     return whole.select("chrom", (F.col("b") * block).alias("block_start"), F.array_join(F.transform("ps", lambda p: p["s"]), "").alias("seq"))
 
 
-def read_fai(spark: SparkSession, path: str) -> DataFrame:
-    """Contigs and lengths of a FASTA index."""
-    return spark.read.schema("chrom string, length long, a long, b long, c long").csv(path, sep="\t").select("chrom", "length")
-
-
-def contigs_of(reference: DataFrame) -> DataFrame:
-    return reference.groupBy("chrom").agg(F.sum(F.length("seq")).cast("long").alias("length"))
-
-
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """(idx, chrom, start, end exclusive) in file order; further columns are ignored."""
     rows = spark.read.text(path).filter(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("f"), F.monotonically_increasing_id().alias("idx"))
