@@ -36,14 +36,14 @@ def candidates(spark: SparkSession, reads: DataFrame, out: str, kinds: list[str]
             text.write_tsv(found.orderBy("chrom", "pos"), f"{out}/{kind}.candidates")
 
 
-def predictions(spark: SparkSession, reads: DataFrame, reference: DataFrame, out: str, scorers: dict) -> dict[str, DataFrame]:
+def predictions(spark: SparkSession, reads: DataFrame, reference: DataFrame, out: str, scorers: dict, **how) -> dict[str, DataFrame]:
     """out/<kind>.predictions, TSV of chrom, pos and score; rows are added for candidates that have none."""
     made = {}
     for kind, scorer in scorers.items():
         todo, path = text.read_candidates(spark, f"{out}/{kind}.candidates").distinct(), f"{out}/{kind}.predictions"
         left = not_done(todo, text.read_predictions(spark, path)) if complete(spark, path) else todo
         if not left.isEmpty():
-            P.predict(left, reads, reference, BLOCK, kind, scorer).write.mode("append").csv(path, sep="\t")
+            P.predict(left, reads, reference, BLOCK, kind, scorer, **how).write.mode("append").csv(path, sep="\t")
         made[kind] = text.read_predictions(spark, path)
         if short := missing(todo, made[kind]):
             raise RuntimeError(f"{short} {kind} candidates have no prediction")
@@ -60,9 +60,16 @@ def main(args: list[str] | None = None, scorers: dict | None = None) -> None:
     p.add_argument("-snv", action="store_true")
     p.add_argument("-indel", action="store_true")
     for kind in ("snv", "indel"):
-        p.add_argument(f"--{kind}_model", nargs="+", help="weights.npz [architecture.json [mean.npy std.npy]]")
+        p.add_argument(f"--{kind}_model", nargs="+", help="weights.npz [architecture.json [mean.npy std.npy]]; indels need the architecture")
+    p.add_argument("--replicates", type=int, default=1, help="draws of the reads of deep sites whose scores are averaged")
+    p.add_argument("--update_batch_norm", type=int, nargs="?", const=1000, default=0, metavar="SITES", help="batch norms get statistics of so many sites first")
     a = p.parse_args(args)
     kinds = [k for k, on in zip(("snv", "indel"), P.modes(a.snv, a.indel)) if on]
+    if a.stage == "predict" and scorers is None:
+        for k in kinds:
+            given = getattr(a, f"{k}_model") or []
+            if len(given) not in (1, 2, 4) or (k == "indel" and len(given) < 2):
+                p.error(f"--{k}_model: weights.npz{'' if k == 'indel' else ' ['} architecture.json{' [mean.npy std.npy]' if k == 'indel' else ' [mean.npy std.npy]]'}, or leave the kind out with -{'snv' if k == 'indel' else 'indel'}")
     spark = ship(SparkSession.builder.appName("pilefold").getOrCreate())
     out, regions = f"{a.output_dir}/{a.sample_name}", text.read_bed(spark, a.region_bed) if a.region_bed else None
     reads = stored_reads(spark, a.normal_bam, a.tumor_bam, out, regions)
@@ -72,7 +79,7 @@ def main(args: list[str] | None = None, scorers: dict | None = None) -> None:
     reference = IndexedFasta(spark, a.reference, BLOCK) if exists(spark, f"{a.reference}.fai") else text.read_fasta(spark, a.reference, BLOCK)
     if scorers is None:
         scorers = {k: load_network(*getattr(a, f"{k}_model")) for k in kinds}
-    made = predictions(spark, reads, reference, out, {k: scorers[k] for k in kinds})
+    made = predictions(spark, reads, reference, out, {k: scorers[k] for k in kinds}, replicates=a.replicates, refresh=a.update_batch_norm)
     rows = P.call(made.get("snv"), made.get("indel"), reads, reference, BLOCK)
     text.write_vcf(rows, f"{out}/{a.sample_name}.vcf", a.sample_name, a.reference, a.normal_bam, a.tumor_bam)
 

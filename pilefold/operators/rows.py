@@ -81,6 +81,16 @@ def sample_reads(reads: DataFrame, site: list[str], k: int, seed: int = 1) -> Da
     return numbered.join(drawn, ["_n", "_i"], "left_semi").select(reads.columns)
 
 
+def sample_replicates(reads: DataFrame, site: list[str], k: int, replicates: int, seed: int = 1) -> DataFrame:
+    """sample_reads for the seeds from `seed` on, one for each replicate, numbered in `replicate`: a read has a row for each draw that takes it."""
+    numbers = reads.groupBy(*site).agg(F.count("*").alias("_n")).select("_n").distinct()
+    each = numbers.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = each.select("_n", "replicate", F.explode(_drawn("_n", F.lit(k), F.col("replicate") + seed)).alias("_i"))
+    w = W.partitionBy(*site)
+    numbered = reads.withColumn("_i", F.row_number().over(w.orderBy("file_order")) - 1).withColumn("_n", F.count("*").over(w))
+    return numbered.join(drawn, ["_n", "_i"]).select(*reads.columns, "replicate")
+
+
 def subsample(reads: DataFrame, site: list[str], k: int, replicates: int, seed: int = 0) -> DataFrame:
     """`replicates` independent draws of k reads a site, numbered."""
     rep = reads.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .graph import Graph, with_moments
+
 Scorer = Callable[[np.ndarray], np.ndarray]
 
 #: The SNV network. (kind, size, filters or units); convolutions are valid after the first.
@@ -73,35 +73,23 @@ class Normalised:
         return self.scorer(normalised(x, self.mean, self.std))
 
 
-def architecture(path: str) -> list[tuple]:
-    """Layers of a sequential network in the JSON that its training library writes; activations, norms and dropout belong to the layer before."""
-    config = json.loads(Path(path).read_text())["config"]
-    out = []
-    for layer in config["layers"] if isinstance(config, dict) else config:
-        kind, c = layer["class_name"], layer["config"]
-        if kind in ("Conv2D", "Convolution2D"):
-            out.append(("conv", tuple(c.get("kernel_size") or (c["nb_row"], c["nb_col"])), c.get("filters") or c["nb_filter"]))
-        elif kind == "AveragePooling2D":
-            out.append(("pool", tuple(c["pool_size"]), 0))
-        elif kind == "Flatten":
-            out.append(("flatten", (), 0))
-        elif kind == "Dense":
-            out.append(("dense", (), c.get("units") or c["output_dim"]))
-    return out
-
-
 def save_weights(network: Network, path: str) -> None:
     """An .npz with arrays named layer.weight, such as 0.w or 0.gamma."""
     np.savez(path, **{f"{i}.{k}": v for i, w in enumerate(network.weights) for k, v in (w or {}).items()})
 
 
 def load_network(weights: str, layers: str | None = None, mean: str | None = None, std: str | None = None) -> Scorer:
-    """A scorer from files: weights (.npz, as save_weights has them), architecture (JSON), mean and standard deviation of each channel (.npy)."""
-    shape = architecture(layers) if layers else SNV_LAYERS
-    with np.load(weights) as held:
-        known = {k: held[k] for k in held.files}
-    parts = [{k.partition(".")[2]: v for k, v in known.items() if k.partition(".")[0] == str(i)} or None for i in range(len(shape))]
-    network = Network(parts, shape)
+    """A scorer from files: weights (.npz) and architecture (JSON), any graph of known layers, with arrays named <layer>/<number>; without one the
+    SNV network, with arrays as save_weights names them. mean, std: of each channel (.npy)."""
+    if layers:
+        network = Graph.load(layers, weights)
+    else:
+        with np.load(weights) as held:
+            known = {k: held[k] for k in held.files}
+        parts = [{k.partition(".")[2]: v for k, v in known.items() if k.partition(".")[0] == str(i)} or None for i in range(len(SNV_LAYERS))]
+        if any((kind in ("conv", "dense")) != (w is not None) for (kind, _, _), w in zip(SNV_LAYERS, parts)):
+            raise ValueError(f"{weights} are not the weights of the SNV network; give the architecture too")
+        network = Network(parts, SNV_LAYERS)
     return Normalised(network, np.load(mean), np.load(std)) if mean and std else network
 
 
@@ -131,6 +119,17 @@ def _layer(kind: str, size, w, x: np.ndarray, norm: bool = True) -> np.ndarray:
     return w["gamma"] * (x - w["mean"]) / np.sqrt(w["var"] + 0.001) + w["beta"] if norm else x
 
 
+def refreshed(scorer: Scorer, tensors: DataFrame, shape: tuple[int, ...], sites: int = 1000) -> Scorer:
+    """A graph, normalised or not, with batch-norm statistics of the sites to be scored."""
+    if isinstance(scorer, Normalised):
+        inner, mean, std = scorer.scorer, scorer.mean, scorer.std
+        if isinstance(inner, Graph):
+            return Normalised(with_moments(inner, tensors, shape, sites, prepare=lambda x: normalised(x, mean, std).astype("f4")), mean, std)
+    elif isinstance(scorer, Graph):
+        return with_moments(scorer, tensors, shape, sites)
+    raise ValueError("statistics can be taken anew for networks that are given with their architecture")
+
+
 def score(tensors: DataFrame, scorer: Scorer, shape: tuple[int, ...], batch: int = 64) -> DataFrame:
     """(chrom, pos, pred_true): the scorer runs over batches of sites, broadcast once to the executors."""
     held = tensors.sparkSession.sparkContext.broadcast(scorer)

@@ -21,7 +21,7 @@ from ..functions import cigar as C
 from ..functions.encode import DELETE_COLOUR, FORWARD, INSERT_COLOURS, MATCH_COLOURS, MAX_QUALITY, REVERSE, SNV_COLOURS
 from .intervals import overlap_join, with_reference
 from .pileup import REVERSED, flagged, is_usable
-from .rows import dedupe_reads, sample_reads
+from .rows import dedupe_reads, sample_replicates
 
 #: Stands for no position in arrays of positions.
 NONE = -(1 << 40)
@@ -31,8 +31,8 @@ def shade(q: float) -> int:
     return int(255 * (min(MAX_QUALITY, q) / MAX_QUALITY))
 
 
-def site_rows(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, before: int, after: int, limit: int, seed: int) -> DataFrame:
-    """(chrom, pos, start, ref, normal, tumor): windows [pos - before, pos + after), clamped at 0, joined with their reads."""
+def site_rows(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, before: int, after: int, limit: int, seed: int, replicates: int = 1) -> DataFrame:
+    """(chrom, pos, start, ref, normal, tumor): windows [pos - before, pos + after), clamped at 0, joined with their reads. With replicates, a row for each draw of the reads."""
     c = C.reference_end(F.col("ref_start"), F.col("cigar"))
     usable = reads.filter(is_usable(F.col("flag")) & F.col("cigar").isNotNull())
     if "ref_end" not in reads.columns:
@@ -41,10 +41,11 @@ def site_rows(candidates: DataFrame, reads: DataFrame, reference: DataFrame, blo
     start = F.greatest(F.col("pos") - before, F.lit(0))
     windows = sites.select("chrom", F.col("pos").alias("site"), start.alias("w_start"), (F.col("pos") + after).alias("w_end"))
     met = overlap_join(windows, usable.select("sample", "file_order", "query_name", "flag", "chrom", "ref_start", "ref_end", "mapq", "cigar", "seq", "quals"))
-    met = sample_reads(dedupe_reads(met, ("chrom", "site", "sample")), ["chrom", "site", "sample"], limit, seed)
+    own = ["chrom", "site", "sample"]
+    met = sample_replicates(dedupe_reads(met, tuple(own)), own, limit, replicates, seed)
     read = F.struct("file_order", flagged(F.col("flag"), REVERSED).alias("flag_reverse"), "mapq", "seq", "quals", "ref_start", "ref_end", "cigar")
     of = lambda s: F.sort_array(F.collect_list(F.when(F.col("sample") == s, read)))
-    grouped = met.groupBy("chrom", "site").agg(of("N").alias("normal"), of("T").alias("tumor")).withColumnRenamed("site", "pos")
+    grouped = met.groupBy("chrom", "site", "replicate").agg(of("N").alias("normal"), of("T").alias("tumor")).drop("replicate").withColumnRenamed("site", "pos")
     spans = sites.select("chrom", start.alias("pos"), F.col("pos").alias("site"), (F.col("pos") + after - start).alias("n"))
     known = with_reference(spans, reference, F.col("n"), block).select("chrom", F.col("site").alias("pos"), F.col("pos").alias("start"), "ref")
     return known.join(grouped, ["chrom", "pos"], "left")
@@ -238,12 +239,12 @@ def tensors(sites: DataFrame, kind: str, cfg=None) -> DataFrame:
     return sites.mapInArrow(run, "chrom string, pos long, data array<float>")
 
 
-def snv_tensors(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, cfg: SnvTensor = SnvTensor()) -> DataFrame:
-    return tensors(site_rows(candidates, reads, reference, block, cfg.flank, cfg.flank + 1, cfg.rows, cfg.seed), "snv", cfg)
+def snv_tensors(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, cfg: SnvTensor = SnvTensor(), replicates: int = 1) -> DataFrame:
+    return tensors(site_rows(candidates, reads, reference, block, cfg.flank, cfg.flank + 1, cfg.rows, cfg.seed, replicates), "snv", cfg)
 
 
-def indel_tensors(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, cfg: IndelTensor = IndelTensor()) -> DataFrame:
-    return tensors(site_rows(candidates, reads, reference, block, cfg.before, cfg.length - cfg.before, cfg.rows, cfg.seed), "indel", cfg)
+def indel_tensors(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, cfg: IndelTensor = IndelTensor(), replicates: int = 1) -> DataFrame:
+    return tensors(site_rows(candidates, reads, reference, block, cfg.before, cfg.length - cfg.before, cfg.rows, cfg.seed, replicates), "indel", cfg)
 
 
 def allele_fractions(cells: DataFrame) -> DataFrame:

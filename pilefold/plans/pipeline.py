@@ -13,7 +13,7 @@ from ..operators import candidates as N
 from ..operators import tensors as M
 from ..operators.intervals import BIN, aliased, in_regions, near, overlap_join, with_reference
 from ..operators.pileup import passes_check, passes_default
-from ..operators.scoring import Scorer, score
+from ..operators.scoring import Scorer, refreshed, score
 from ..operators.sweep import sweep
 
 
@@ -57,12 +57,17 @@ def indel_candidates(reads: DataFrame, cfg: IndelFilter = IndelFilter(), regions
     return N.indel_candidates(N.indel_evidence(inside, cfg, by), cfg, by)
 
 
-def predict(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, kind: str, scorer: Scorer, cfg: Calling = Calling()) -> DataFrame:
-    """(chrom, pos, pred_true) of the candidates."""
+def predict(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, kind: str, scorer: Scorer, replicates: int = 1, refresh: int = 0) -> DataFrame:
+    """(chrom, pos, pred_true) of the candidates: the mean over `replicates` draws of the reads of deep sites. refresh: so many sites at most give the network's batch norms new statistics first."""
     snv = kind == "snv"
-    tensors = M.snv_tensors(candidates, reads, reference, block) if snv else M.indel_tensors(candidates, reads, reference, block)
+    make = M.snv_tensors if snv else M.indel_tensors
     a, b = SnvTensor(), IndelTensor()
-    return score(tensors, scorer, (a.rows, 2 * a.width, 5) if snv else (b.rows, 2 * b.length, 5))
+    shape = (a.rows, 2 * a.width, 5) if snv else (b.rows, 2 * b.length, 5)
+    if refresh:
+        some = candidates.select("chrom", "pos").distinct().orderBy(F.xxhash64(F.lit(0), "chrom", "pos"), "chrom", "pos").limit(refresh)
+        scorer = refreshed(scorer, make(some, reads, reference, block), shape, refresh)
+    scores = score(make(candidates, reads, reference, block, replicates=replicates), scorer, shape)
+    return scores if replicates == 1 else scores.groupBy("chrom", "pos").agg(F.avg("pred_true").alias("pred_true"))
 
 
 def site_counts(sites: DataFrame, reads: DataFrame, sample: str, cfg: Calling = Calling()) -> DataFrame:
