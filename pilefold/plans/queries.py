@@ -15,6 +15,7 @@ from ..functions import encode as E
 from ..operators import calls as K
 from ..operators import candidates as N
 from ..operators import evaluate as V
+from ..operators import fourier as FP
 from ..operators import intervals as I
 from ..operators import pileup as P
 from ..operators import rows as R
@@ -570,6 +571,18 @@ def sweep_snv_candidates(spark, sf_dir):
     return snv_candidates(_sequenced(spark, sf_dir))
 
 
+@query(""", ww AS (
+  SELECT a.chrom, a.block_start + i AS pos, substr(upper(a.seq || coalesce(b.seq, '')), (i + 1)::INT, 12) AS s
+  FROM rf a LEFT JOIN rf b ON a.chrom = b.chrom AND b.block_start = a.block_start + 20, unnest(range(0, 20)) AS u(i)
+), cc AS (
+  SELECT chrom, pos, b, sum(cos(2 * pi() * 4 * j / 12) * (substr(s, (j + 1)::INT, 1) = b)::INT) AS re, sum(sin(2 * pi() * 4 * j / 12) * (substr(s, (j + 1)::INT, 1) = b)::INT) AS im
+  FROM ww, unnest(['A', 'C', 'G', 'T']) AS v(b), unnest(range(0, 12)) AS w(j) WHERE length(s) = 12 GROUP BY ALL
+) SELECT chrom, pos, round_even(sum(re * re + im * im), 6) AS power FROM cc GROUP BY chrom, pos""")
+def fourier_power(spark, sf_dir):
+    """X15, carried out: the power of the period of three."""
+    return FP.fourier_power(B.reference(spark, sf_dir), B.BLOCK).select("chrom", "pos", F.bround("power", 6).alias("power"))
+
+
 @query(Q.INDEL_STATS)
 def indel_site_stats(spark, sf_dir):
     """A8, A10, X18, X19."""

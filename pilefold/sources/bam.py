@@ -441,6 +441,40 @@ class BamReader(DataSourceReader):
                 yield from record_batches(file, decoder, start, stop, None if spans is None else Wanted(spans))
 
 
+def balanced_splits(path: str, parts: int) -> list[list[tuple[str, int, int]]]:
+    """The contigs cut into about `parts` lists of (chrom, start, end exclusive) whose records take about the same bytes of the file, largest first.
+
+    Cuts lie where the index knows an offset (every 16,384 positions in a .bai), so a window that holds more
+    than a share is a part of its own. Contigs without records go with their neighbours. A file without an index can't be cut.
+    """
+    contigs, first = header(path)
+    index = index_of(path)
+    if index is None:
+        raise ValueError(f"{path} has no index")
+    leaf = ((1 << 3 * index.depth) - 1) // 7
+    known = []  # (contig, position, place in the file)
+    for ref, (windows, least) in enumerate(zip(index.windows, index.least)):
+        at = {w: x for w, x in enumerate(windows) if x} or {b - leaf: x for b, x in least.items() if leaf <= b < 8 * leaf + 1 and x}
+        known += [(ref, w << index.shift, x >> 16) for w, x in sorted(at.items())]
+    ends = [x[2] for x in known[1:]] + [max((b >> 16 for own in index.bins for cs in own.values() for _, b in cs), default=first >> 16)]
+    own = [max(e - k[2], 0) for k, e in zip(known, ends)]
+    share = max(sum(own) / parts, 1)
+    cuts, sizes, before, part = [(0, 0)], [0], 0, 0
+    for (ref, pos, _), size in zip(known, own):  # a window goes to the part that its middle lies in
+        if (mine := min(int((before + size / 2) / share), parts - 1)) > part:
+            if sizes[-1]:
+                cuts.append((ref, pos))
+                sizes.append(0)
+            part = mine
+        sizes[-1] += size
+        before += size
+    out = []
+    for (r0, p0), (r1, p1) in zip(cuts, [*cuts[1:], (len(contigs), 0)]):
+        spans = [(contigs[r][0], p0 if r == r0 else 0, p1 if r == r1 else contigs[r][1]) for r in range(r0, min(r1, len(contigs) - 1) + 1)]
+        out.append([s for s in spans if s[1] < s[2]])
+    return [spans for _, spans in sorted(zip(sizes, out), key=lambda x: -x[0]) if spans]
+
+
 def merged_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):

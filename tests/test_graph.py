@@ -221,3 +221,32 @@ def test_the_command_asks_for_models(tmp_path, capsys, spark):
         with pytest.raises(SystemExit):
             command.main(["predict", *args, *more])
         assert "_model" in capsys.readouterr().err
+
+
+# -- .npz files of tensors
+
+
+def test_npz_files(spark, tmp_path):
+    from pilefold.sources.npz import NpzSource
+
+    spark.dataSource.register(NpzSource)
+    rows = [(f"{i % 3}", i, [float(i + j) for j in range(6)], None if i == 4 else float(i % 2)) for i in range(25)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, data array<float>, label double").repartition(3)
+    write = lambda d, mode: d.write.format("npz").option("shape", "1,3,2").option("rows", 4).mode(mode).save(str(tmp_path / "out"))
+
+    def held():
+        assert all(p.suffix == ".npz" for p in (tmp_path / "out").iterdir())  # nothing else is left
+        return sorted((str(c), int(p), x.ravel().tolist(), None if np.isnan(y) else float(y)) for f in (tmp_path / "out").glob("*.npz") for z in [np.load(f)] for c, p, x, y in zip(z["chrom"], z["pos"], z["X"], z["Y"]) if z["X"].shape[1:] == (1, 3, 2) and len(z["X"]) <= 4)
+
+    write(df, "append")
+    assert held() == sorted(rows)
+    write(df.filter("pos < 5"), "append")
+    assert held() == sorted(rows + rows[:5])
+    write(df.filter("pos < 2").drop("label"), "overwrite")
+    assert held() == [(c, p, x, None) for c, p, x, _ in sorted(rows[:2])]
+    wrong = df.unionByName(spark.createDataFrame([("9", 99, [1.0], 0.0)], df.schema))
+    with pytest.raises(Exception, match="reshape"):
+        write(wrong, "append")
+    assert held() == [(c, p, x, None) for c, p, x, _ in sorted(rows[:2])]
+    write(df.limit(0), "append")
+    assert len(held()) == 2

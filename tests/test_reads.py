@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_files import packed, record, write_bam
 
+from pilefold.operators.fourier import fourier_power
 from pilefold.operators.intervals import with_reference
 from pilefold.operators.pileup import aligned_bases, coverage, paired_coverage
 from pilefold.operators.sweep import coverage_sweep, segments, sweep
@@ -254,6 +255,26 @@ def test_columns_are_faster_than_records(tmp_path):
     assert n == len(want) == 40_000 and fast * 2 < slow, (fast, slow)
 
 
+@pytest.mark.parametrize("csi", [False, True])
+def test_splits_of_equal_bytes(tmp_path, csi):
+    """Half of all records on a tenth of the genome: the parts cover every position once, and none takes over 1.2 times the mean."""
+    rng = random.Random(7)
+    rows = sorted((0, rng.randrange(2_000_000) if i % 2 else 900_000 + rng.randrange(250_000), f"r{i}", 0, [(30, "M")], "".join(rng.choices("ACGT", k=30))) for i in range(6000))
+    rows += sorted((2, rng.randrange(500_000), f"s{i}", 0, [(30, "M")], "".join(rng.choices("ACGT", k=30))) for i in range(1500))
+    write_indexed(tmp_path / "a.bam", contigs := [("1", 2_000_000), ("empty", 70_000), ("3", 500_000), ("last", 10)], rows, per_block=10, csi=csi)
+    parts = bam.balanced_splits(str(tmp_path / "a.bam"), 6)
+    spans = sorted(s for p in parts for s in p)
+    for name, size in contigs:
+        own = [s[1:] for s in spans if s[0] == name]
+        assert own[0][0] == 0 and own[-1][1] == size and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+    size = lambda p: sum(len(record(*r)) for r in rows if any(contigs[r[0]][0] == c and a <= r[1] < e for c, a, e in p))
+    sizes = [size(p) for p in parts]
+    assert len(parts) == 6 and max(sizes) <= 1.2 * sum(sizes) / len(sizes), sizes
+    with pytest.raises(ValueError):
+        (tmp_path / "b.bam").write_bytes((tmp_path / "a.bam").read_bytes())
+        bam.balanced_splits(str(tmp_path / "b.bam"), 3)
+
+
 # -- the store
 
 
@@ -353,3 +374,22 @@ def test_sweep_against_bases(spark, far):
     sites = spark.createDataFrame([("1", r[5] + 2) for r in rows[:50]] + [("2", 1)], "chrom string, pos long")
     assert key(sweep(reads, 22, sites)) == key(paired_coverage(aligned_bases(some), 22, 0).join(sites.distinct(), ["chrom", "pos"], "left_semi"))
     assert coverage_sweep(reads.limit(0)).count() == 0
+
+
+# -- Fourier power
+
+
+def test_fourier_power_by_direct_sums(spark):
+    import cmath
+
+    rng = random.Random(9)
+    seq = {"1": "".join(rng.choice("ACGTacgtN") for _ in range(53)), "2": "ACG" * 7, "3": "ACGT"}
+    blocks = [(k, a, s[a : a + 16]) for k, s in seq.items() for a in range(0, len(s), 16)] + [("1", 160, "ACGTACGTACGTACGT")]
+    df = spark.createDataFrame(blocks, "chrom string, block_start long, seq string")
+    for n, k in ((12, 4), (9, 2), (16, 1)):
+        got = {(r["chrom"], r["pos"]): r["power"] for r in fourier_power(df, 16, n, k).collect()}
+        runs = [(c, 0, s) for c, s in seq.items()] + [("1", 160, "ACGTACGTACGTACGT")]
+        want = {(c, a + p): sum(abs(sum(cmath.exp(-2j * cmath.pi * k * j / n) for j in range(n) if s[p + j].upper() == b)) ** 2 for b in "ACGT") for c, a, s in runs for p in range(len(s) - n + 1)}
+        assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    with pytest.raises(ValueError):
+        fourier_power(df, 4)
