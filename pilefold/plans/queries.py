@@ -571,6 +571,23 @@ def sweep_snv_candidates(spark, sf_dir):
     return snv_candidates(_sequenced(spark, sf_dir))
 
 
+@query(Q.SITES + """
+, pp AS (
+  SELECT o AS op, CASE WHEN o <> 'D' THEN read_off + k END AS rp, CASE WHEN o <> 'I' THEN ref_start + ref_off + k END AS gp, CASE WHEN o <> 'D' THEN substr(letters || letters, read_off + k + 1, 1) END AS b
+  FROM (
+    SELECT sq.*, op[i] AS o, ln[i]::BIGINT AS n,
+           coalesce(list_sum(list_transform(range(1, i), lambda k: CASE WHEN op[k] IN ('M', 'D') THEN ln[k]::BIGINT ELSE 0 END)), 0)::BIGINT AS ref_off,
+           coalesce(list_sum(list_transform(range(1, i), lambda k: CASE WHEN op[k] = 'D' THEN 0 ELSE ln[k]::BIGINT END)), 0)::BIGINT AS read_off
+    FROM sq, unnest(range(1, len(op) + 1)) AS u(i)
+  ), unnest(range(0, n)) AS v(k) WHERE o <> 'S'
+) SELECT op, CASE WHEN op = 'D' THEN 10 ELSE CASE b WHEN 'A' THEN 245 WHEN 'G' THEN 175 WHEN 'T' THEN 105 ELSE 35 END END AS value, count(*) AS n, sum(rp)::BIGINT AS read_sum, sum(gp)::BIGINT AS ref_sum FROM pp GROUP BY ALL""")
+def trimmed_pairs(spark, sf_dir):
+    """Aligned columns without outer soft clips, with the colour that each gets."""
+    pairs = _sequenced(spark, sf_dir).select("seq", F.explode(C.trimmed_pairs(F.col("ref_start"), F.col("cigar"))).alias("p"))
+    letter = F.substring("seq", (F.col("p.rp") + 1).cast("int"), F.lit(1))
+    return pairs.groupBy(F.col("p.op").alias("op"), E.match_value(F.col("p.op"), letter).alias("value")).agg(F.count("*").alias("n"), F.sum("p.rp").alias("read_sum"), F.sum("p.gp").alias("ref_sum"))
+
+
 @query(""", ww AS (
   SELECT a.chrom, a.block_start + i AS pos, substr(upper(a.seq || coalesce(b.seq, '')), (i + 1)::INT, 12) AS s
   FROM rf a LEFT JOIN rf b ON a.chrom = b.chrom AND b.block_start = a.block_start + 20, unnest(range(0, 20)) AS u(i)

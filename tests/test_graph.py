@@ -250,3 +250,30 @@ def test_npz_files(spark, tmp_path):
     assert held() == [(c, p, x, None) for c, p, x, _ in sorted(rows[:2])]
     write(df.limit(0), "append")
     assert len(held()) == 2
+
+
+# -- spike-in, shards
+
+
+def test_spiked_reads_are_the_last_ones(spark):
+    """A Beta(2, 5) share of the tumor's reads, from the end, gets the base at the site; where a read has a deletion there, it stays."""
+    from pilefold.operators.tensors import spiked
+
+    read = lambda i, cigar="10M": {"file_order": i, "flag_reverse": False, "mapq": 60, "seq": "ACGTACGTAC", "quals": [30] * 10, "ref_start": 100, "ref_end": 110, "cigar": cigar}
+    one = "struct<file_order:bigint,flag_reverse:boolean,mapq:int,seq:string,quals:array<int>,ref_start:bigint,ref_end:bigint,cigar:string>"
+    tumor = [read(i) for i in range(19)] + [read(19, "3M4D7M")]
+    df = spark.createDataFrame([("1", 104, 100, "ACGTACGTAC", [read(0)], tumor), ("1", 105, 100, "ACGTACGTAC", None, None)], f"chrom string, pos long, start long, ref string, normal array<{one}>, tumor array<{one}>")
+    rows = {r["pos"]: r for r in spiked(df, "T", seed=2).collect()}
+    k = round(np.random.default_rng([2, 104]).beta(2, 5) * 20)
+    assert 1 < k < 19
+    assert [r["seq"] for r in rows[104]["tumor"]] == ["ACGTACGTAC"] * (20 - k) + ["ACGTTCGTAC"] * (k - 1) + ["ACGTACGTAC"]
+    assert rows[104]["normal"][0]["seq"] == "ACGTACGTAC" and rows[105]["tumor"] is None
+
+
+def test_shards_of_keys(spark):
+    from pilefold.operators.rows import shard_rows
+
+    df = spark.createDataFrame([(f"p{i % 7}", i) for i in range(30)], "patient string, i long")
+    keys = [sorted({r["patient"] for r in shard_rows(df, "patient", 3, s).collect()}) for s in range(3)]
+    assert keys == [["p0", "p1", "p2"], ["p3", "p4"], ["p5", "p6"]]
+    assert sum(shard_rows(df, "patient", 3, s).count() for s in range(3)) == 30
