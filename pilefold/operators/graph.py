@@ -140,10 +140,10 @@ def _places(x: np.ndarray, size, stride) -> Iterator[tuple[int, int, tuple]]:
 
 
 class Graph:
-    """weights: for each layer's name its arrays in the training library's order: kernel and bias; or gamma, beta, mean and variance (without those that the layer hasn't)."""
+    """weights: for each layer's name its arrays in the training library's order: kernel and bias; or gamma, beta, mean and variance (without those that the layer hasn't). precision: of the sites; with f8 weights too, scores are in double precision."""
 
-    def __init__(self, nodes: list[Node], weights: dict[str, list[np.ndarray]]):
-        self.nodes, self.weights = nodes, weights
+    def __init__(self, nodes: list[Node], weights: dict[str, list[np.ndarray]], precision: str = "f4"):
+        self.nodes, self.weights, self.precision = nodes, weights, precision
         for n in nodes:
             want = {"Conv2D": 1 + n.config.get("use_bias", True), "Dense": 1 + n.config.get("use_bias", True), "BatchNormalization": 2 + n.config.get("scale", True) + n.config.get("center", True)}.get(n.kind, 0)
             if len(weights.get(n.name, ())) != want:
@@ -248,7 +248,7 @@ class Graph:
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """One score a site: the only output, or the second of two classes."""
-        out = self.forward(np.asarray(x, "f4"))[self.nodes[-1].name].reshape(len(x), -1)
+        out = self.forward(np.asarray(x, self.precision))[self.nodes[-1].name].reshape(len(x), -1)
         return out[:, 1 if out.shape[1] == 2 else 0]
 
     # -- gradients of the scores' entropy for scales and shifts
@@ -369,7 +369,7 @@ def with_moments(graph: Graph, tensors: DataFrame, shape: tuple[int, ...], sites
         for r in got:
             count, mean, square = merged((count, mean, square), (r["n"], np.array(r["mean"]), np.array(r["square"])))
         own = graph.weights[n.name][:-2]
-        graph = Graph(graph.nodes, graph.weights | {n.name: [*own, mean.astype("f4"), (square / count).astype("f4")]})
+        graph = Graph(graph.nodes, graph.weights | {n.name: [*own, mean.astype("f4"), (square / count).astype("f4")]}, graph.precision)
     forget(held)
     return graph
 
@@ -418,7 +418,7 @@ def sharpened(graph: Graph, tensors: DataFrame, shape: tuple[int, ...], steps: i
     for _ in range(steps):
         seen.append(value)
         moved = {k: [*((a - rate * g).astype("f4") for a, g in zip(graph.weights[k], gs)), *graph.weights[k][-2:]] for k, gs in grads.items()}
-        trial = Graph(graph.nodes, graph.weights | moved)
+        trial = Graph(graph.nodes, graph.weights | moved, graph.precision)
         new, new_grads = summed(trial)
         if new <= value:
             graph, value, grads = trial, new, new_grads

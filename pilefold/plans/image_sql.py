@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import random
+from dataclasses import dataclass
+
+import numpy as np
+
+from ..operators.graph import Graph, Node
 
 SITES = """
 , st AS (
@@ -103,6 +108,63 @@ def sums(cells: int, width: int) -> str:
     return f"SELECT st.chrom, st.pos, {cells} AS cells, {one} FROM st LEFT JOIN px ON px.chrom = st.chrom AND px.pos = st.pos GROUP BY st.chrom, st.pos"
 
 
+@dataclass(frozen=True)
+class SmallNetwork:
+    """A network whose weights follow from places: a convolution by whole patches with ReLU and the channels' means meet, then a dense layer with ReLU and one score."""
+
+    rows: int
+    columns: int
+    patch: tuple[int, int]
+    shift: float  # of the score's logit
+
+    @staticmethod
+    def kernel(i, j, c, f):
+        """-1, 0 or 1, of arrays or of SQL names."""
+        return f"({i} * 7 + {j} * 5 + {c * 3 + f * 11}) % 3 - 1" if isinstance(i, str) else (i * 7 + j * 5 + c * 3 + f * 11) % 3 - 1
+
+    @staticmethod
+    def hidden(i: int, k: int) -> float:
+        return ((i * 5 + k * 3) % 7 - 3) / (4096 if i < 2 else 64)
+
+    bias, last = (-40.0, 20.0), (0.5, -0.25, 0.125)
+
+    def graph(self) -> Graph:
+        at = np.indices((*self.patch, 5, 2))
+        layers = [
+            Node("sites", "InputLayer", {}, ()),
+            Node("patches", "Conv2D", {"kernel_size": list(self.patch), "strides": list(self.patch), "activation": "relu"}, ("sites",)),
+            Node("patch_means", "GlobalAveragePooling2D", {}, ("patches",)),
+            Node("channel_means", "GlobalAveragePooling2D", {}, ("sites",)),
+            Node("both", "Concatenate", {}, ("patch_means", "channel_means")),
+            Node("hidden", "Dense", {"activation": "relu"}, ("both",)),
+            Node("score", "Dense", {"activation": "sigmoid"}, ("hidden",)),
+        ]
+        weights = {
+            "patches": [self.kernel(*at).astype("f8"), np.array(self.bias)],
+            "hidden": [np.array([[self.hidden(i, k) for k in range(3)] for i in range(7)]), np.zeros(3)],
+            "score": [np.array(self.last)[:, None], np.array([self.shift])],
+        }
+        return Graph(layers, weights, "f8")
+
+    def sql(self) -> str:
+        """The scores from px, summed cell by cell; a patch without a cell has its bias."""
+        (h, w), cells = self.patch, self.rows * self.columns
+        patches = cells // (h * w)
+        summed = ", ".join("sum(" + " + ".join(f"v{c} * ({self.kernel(f'(r % {h})', f'(col % {w})', c, f)})" for c in range(5)) + f")::DOUBLE AS a{f}" for f in range(2))
+        means = ", ".join(f"(sum(greatest(a{f} + {b}::DOUBLE, 0::DOUBLE)) + ({patches} - count(*)) * {max(b, 0.0)}::DOUBLE) / {patches}::DOUBLE AS h{f}" for f, b in enumerate(self.bias))
+        channels = ", ".join(f"sum(v{c})::DOUBLE / {cells}::DOUBLE AS h{c + 2}" for c in range(5))
+        values = [f"coalesce(h{i}, {max(self.bias[i], 0.0) if i < 2 else 0.0}::DOUBLE)" for i in range(7)]
+        units = " + ".join(f"{v}::DOUBLE * greatest(" + " + ".join(f"{x} * {self.hidden(i, k)}::DOUBLE" for i, x in enumerate(values)) + ", 0::DOUBLE)" for k, v in enumerate(self.last))
+        return f"""
+, cv AS (SELECT chrom, pos, {summed} FROM px GROUP BY chrom, pos, r // {h}, col // {w}),
+hd AS (SELECT chrom, pos, {means} FROM cv GROUP BY chrom, pos),
+cm AS (SELECT chrom, pos, {channels} FROM px GROUP BY chrom, pos)
+SELECT st.chrom, st.pos, round_even(1::DOUBLE / (1::DOUBLE + exp(-({units} + {self.shift}::DOUBLE))), 6) AS pred_true
+FROM st LEFT JOIN hd ON hd.chrom = st.chrom AND hd.pos = st.pos LEFT JOIN cm ON cm.chrom = st.chrom AND cm.pos = st.pos"""
+
+
+SNV_NET, INDEL_NET = SmallNetwork(100, 70, (10, 5), 0.0), SmallNetwork(140, 150, (14, 10), 0.0)
+
 SNV_SUMS, INDEL_SUMS = sums(35_000, 70), sums(105_000, 150)
 
 #: The commonest evidence of the tumor's reads after each site: of the bridge's reads, only those of three operations have an indel.

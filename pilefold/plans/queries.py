@@ -608,32 +608,22 @@ def indel_site_stats(spark, sf_dir):
     return indel_sites(_sites(spark, sf_dir), _sequenced(spark, sf_dir), "T", B.reference(spark, sf_dir), B.BLOCK)
 
 
-class _ChannelMean:
-    def __call__(self, x):
-        return x.mean(axis=(1, 2, 3), dtype="f8") / 255
-
-
-@query(Q.SNV_PX + f"SELECT chrom, pos, round_even((c0 + c1 + c2 + c3 + c4) / cells::DOUBLE / 255.0::DOUBLE, 6) AS pred_true FROM ({Q.SNV_SUMS})")
+@query(Q.SNV_PX + Q.SNV_NET.sql())
 def scored_sites(spark, sf_dir):
-    """A stand-in scorer, as no weights are public."""
+    """A small branched network with weights by a rule, as none are public."""
     t = M.snv_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK)
-    return S.score(t, _ChannelMean(), (100, 70, 5)).select("chrom", "pos", F.bround("pred_true", 6).alias("pred_true"))
+    return S.score(t, Q.SNV_NET.graph(), (100, 70, 5)).select("chrom", "pos", F.bround("pred_true", 6).alias("pred_true"))
 
 
 ENTRY = snv_candidates
 DEFAULTS = SnvFilter()
 
 
-@query(Q.INDEL_PX + f"SELECT chrom, pos, round_even((c0 + c1 + c2 + c3 + c4) / cells::DOUBLE / 255.0::DOUBLE, 6) AS pred_true FROM ({Q.INDEL_SUMS})")
+@query(Q.INDEL_PX + Q.INDEL_NET.sql())
 def scored_indels(spark, sf_dir):
-    """A stand-in scorer."""
+    """The same over wider images."""
     t = M.indel_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK)
-    return S.score(t, _Mean(), (-1,)).select("chrom", "pos", F.bround("pred_true", 6).alias("pred_true"))
-
-
-class _Mean:
-    def __call__(self, x):
-        return x.mean(axis=1, dtype="f8") / 255
+    return S.score(t, Q.INDEL_NET.graph(), (140, 150, 5)).select("chrom", "pos", F.bround("pred_true", 6).alias("pred_true"))
 
 
 @query(Q.SNV_PX + f"SELECT s.*, (k.p IS NOT NULL)::INT::DOUBLE AS label FROM ({Q.SNV_SUMS}) s LEFT JOIN (SELECT DISTINCT chrom AS c, pos * 20 + 10 AS p FROM tr) k ON k.c = s.chrom AND k.p = s.pos")
