@@ -59,11 +59,17 @@ class SnvTensor:
     rows: int = 100
     missing_quality: int = 45
     seed: int = 1
+    falling: bool = False  # each base falls to the next free row of its column, instead of a row a read
+    allele_fractions: bool = False  # four channels more: each base's share of the depth
 
     @property
     def width(self) -> int:
         return 2 * self.flank + self.repeats
 
+    @property
+    def shape(self) -> tuple[int, int, int]:
+        return self.rows, 2 * self.width, 9 if self.allele_fractions else 5
+
 
 @dataclass(frozen=True)
 class IndelTensor:
@@ -74,11 +80,26 @@ class IndelTensor:
     seed: int = 1
     strict_positions: bool = False
 
+    @property
+    def shape(self) -> tuple[int, int, int]:
+        return self.rows, 2 * self.length, 5
+
 
 def load(kind: type, path: str):
     """Parameters of a stage from a JSON object; names that it lacks keep their defaults, unknown ones are an error."""
     return kind(**json.loads(Path(path).read_text()))
 
 
+STAGES = {k.__name__: k for k in (SnvFilter, IndelFilter, Calling, Goldset, SnvTensor, IndelTensor)}
+
+
+def settings(path: str | None) -> dict:
+    """Parameters of all stages by name, from one JSON object with an object for some of them, such as {"SnvFilter": {"min_coverage": 5}}."""
+    given = json.loads(Path(path).read_text()) if path else {}
+    if unknown := set(given) - set(STAGES):
+        raise ValueError(f"no stages of these names: {sorted(unknown)}")
+    return {name: kind(**given.get(name, {})) for name, kind in STAGES.items()}
+
+
 def as_json(cfg) -> str:
     return json.dumps(asdict(cfg), sort_keys=True)

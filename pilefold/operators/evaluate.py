@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,15 @@ def best_threshold(curve: DataFrame) -> DataFrame:
     return curve.orderBy(F.desc("f1"), F.desc("threshold")).limit(1)
 
 
+def benchmarks(sets: dict[str, DataFrame]) -> DataFrame:
+    """(set, threshold, f1, precision, recall, mutations, positions) of each labelled set (score, label) at its best threshold; an empty set has no row. Sets are a few; each one's curve goes by ranges of scores."""
+    out = []
+    for name, scores in sets.items():
+        sizes = scores.agg(F.count_if(F.col("label") == 1).alias("mutations"), F.count("*").alias("positions"))  # one row
+        out.append(best_threshold(pr_curve(scores)).select(F.lit(name).alias("set"), "threshold", "f1", "precision", "recall").crossJoin(sizes))
+    return reduce(DataFrame.unionByName, out)
+
+
 def replicate_scores(scores: DataFrame) -> DataFrame:
     """Mean and median of a site's replicate scores."""
     return scores.groupBy(*SITE).agg(F.avg("score").alias("mean_score"), F.percentile("score", F.lit(0.5)).alias("median_score"))

@@ -62,6 +62,16 @@ def tetris(cells: DataFrame, site: list[str]) -> DataFrame:
     return cells.withColumn("row", F.row_number().over(W.partitionBy(*site, "col").orderBy("file_order")) - 1)
 
 
+def reaching(reads: DataFrame, site: list[str], limit: int) -> DataFrame:
+    """Reads that have a base among the first `limit` of some column of the window (w_start, w_end), in file order: all that can show where
+    bases fall. Only sites with more reads than that are looked at by column; what is left of one is at most `limit` reads a column."""
+    counted = reads.withColumn("_n", F.count("*").over(W.partitionBy(*site)))
+    low, high = F.greatest("ref_start", "w_start"), F.least("ref_end", "w_end")
+    cells = counted.filter((F.col("_n") > limit) & (low < high)).select(*site, "file_order", F.explode(F.sequence(low, high - 1)).alias("_col"))
+    first = stacked(cells, [*site, "_col"], limit).select(*site, "file_order").distinct()
+    return counted.filter(F.col("_n") <= limit).unionByName(counted.filter(F.col("_n") > limit).join(first, [*site, "file_order"], "left_semi")).drop("_n")
+
+
 def sample_indices(n: int, k: int, seed: int) -> list[int]:
     """Sorted indices of a seeded draw of k of n; all where n <= k."""
     return list(range(n)) if n <= k else sorted(random.Random(seed).sample(range(n), k))

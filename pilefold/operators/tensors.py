@@ -21,7 +21,7 @@ from ..functions import cigar as C
 from ..functions.encode import DELETE_COLOUR, FORWARD, INSERT_COLOURS, MATCH_COLOURS, MAX_QUALITY, REVERSE, SNV_COLOURS
 from .intervals import overlap_join, with_reference
 from .pileup import REVERSED, flagged, is_usable
-from .rows import dedupe_reads, sample_replicates
+from .rows import dedupe_reads, reaching, sample_replicates
 
 #: Stands for no position in arrays of positions.
 NONE = -(1 << 40)
@@ -31,8 +31,13 @@ def shade(q: float) -> int:
     return int(255 * (min(MAX_QUALITY, q) / MAX_QUALITY))
 
 
-def site_rows(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, before: int, after: int, limit: int, seed: int, replicates: int = 1) -> DataFrame:
-    """(chrom, pos, start, ref, normal, tumor): windows [pos - before, pos + after), clamped at 0, joined with their reads. With replicates, a row for each draw of the reads."""
+def site_rows(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, before: int, after: int, limit: int, seed: int, replicates: int = 1, falling: bool = False) -> DataFrame:
+    """(chrom, pos, start, ref, normal, tumor): windows [pos - before, pos + after), clamped at 0, joined with their reads. With replicates, a row for each draw of the reads.
+
+    falling: no draw, but all reads that have one of the first `limit` bases of a column.
+    """
+    if falling and replicates > 1:
+        raise ValueError("bases that fall are not drawn, so there is nothing to repeat")
     c = C.reference_end(F.col("ref_start"), F.col("cigar"))
     usable = reads.filter(is_usable(F.col("flag")) & F.col("cigar").isNotNull())
     if "ref_end" not in reads.columns:
@@ -42,7 +47,8 @@ def site_rows(candidates: DataFrame, reads: DataFrame, reference: DataFrame, blo
     windows = sites.select("chrom", F.col("pos").alias("site"), start.alias("w_start"), (F.col("pos") + after).alias("w_end"))
     met = overlap_join(windows, usable.select("sample", "file_order", "query_name", "flag", "chrom", "ref_start", "ref_end", "mapq", "cigar", "seq", "quals"))
     own = ["chrom", "site", "sample"]
-    met = sample_replicates(dedupe_reads(met, tuple(own)), own, limit, replicates, seed)
+    met = dedupe_reads(met, tuple(own))
+    met = reaching(met, own, limit).withColumn("replicate", F.lit(0)) if falling else sample_replicates(met, own, limit, replicates, seed)
     read = F.struct("file_order", flagged(F.col("flag"), REVERSED).alias("flag_reverse"), "mapq", "seq", "quals", "ref_start", "ref_end", "cigar")
     of = lambda s: F.sort_array(F.collect_list(F.when(F.col("sample") == s, read)))
     grouped = met.groupBy("chrom", "site", "replicate").agg(of("N").alias("normal"), of("T").alias("tumor")).drop("replicate").withColumnRenamed("site", "pos")
@@ -125,28 +131,50 @@ def _paint(image: np.ndarray, row: int, start: int, colours, qualities, read: Re
         image[row, start : start + n, 3] = 0 if read.mapq == 255 else shade(read.mapq)
 
 
-def snv_half(reads, pos: int, cfg: SnvTensor) -> np.ndarray:
-    """Rows by 2 * flank + 1 columns by base, quality, strand and mapq. A read without a base in the window still takes a row."""
+def _fall(image: np.ndarray, free: np.ndarray, start: int, colours, qualities, read: Read) -> None:
+    """Each base goes to the next free row of its column; those that find none are left out."""
+    columns = np.arange(start, start + len(colours))
+    fits = free[columns] < len(image)
+    columns = columns[fits]
+    line = np.zeros((1, len(colours), 4), "f4")
+    _paint(line, 0, 0, colours, qualities, read)
+    image[free[columns], columns, :4] = line[0, fits]
+    free[columns] += 1
+
+
+def snv_half(reads, pos: int, cfg: SnvTensor, fractions=None) -> np.ndarray:
+    """Rows by 2 * flank + 1 columns by base, quality, strand and mapq. A read without a base in the window still takes a row.
+
+    With allele fractions, the shares of A, T, G and C at a column in all rows: channels 4 to 7.
+    """
     low, high = pos - cfg.flank, pos + cfg.flank + 1
-    image = np.zeros((cfg.rows, high - low, 4), "f4")
-    for row, one in enumerate(reads[: cfg.rows]):
+    image = np.zeros((cfg.rows, high - low, cfg.shape[2] - 1), "f4")
+    free = np.zeros(high - low, int)
+    for row, one in enumerate(reads if cfg.falling else reads[: cfg.rows]):
         read = Read(one, cfg.missing_quality)
         at = np.nonzero((read.gp >= low) & (read.gp < high) & (read.gp != NONE))[0]
         if len(at):
-            _paint(image, row, int(read.gp[at[0]]) - low, read.colour(at, SNV_TABLE), read.quality(at), read)
+            start, colours, qualities = int(read.gp[at[0]]) - low, read.colour(at, SNV_TABLE), read.quality(at)
+            if cfg.falling:
+                _fall(image, free, start, colours, qualities, read)
+            else:
+                _paint(image, row, start, colours, qualities, read)
+    for x in fractions if fractions is not None and cfg.allele_fractions else ():
+        image[:, x["at"] - low, 4:8] = x["A"], x["T"], x["G"], x["C"]
     return image
 
 
 def snv_image(site, cfg: SnvTensor = SnvTensor()) -> np.ndarray:
-    """rows x 2 width x 5: normal left, tumor right, the site's column repeated, the reference's colours in channel 4 of every row."""
+    """rows x 2 width x 5 (9 with allele fractions): normal left, tumor right, the site's column repeated, the reference's colours in the last channel of every row."""
     columns = np.repeat(np.arange(2 * cfg.flank + 1), [cfg.repeats if c == cfg.flank else 1 for c in range(2 * cfg.flank + 1)])
     ref = np.zeros(2 * cfg.flank + 1, "f4")
     shown = [SNV_COLOURS.get(b, 0) for b in (site["ref"] or "")][: len(ref)]
     ref[: len(shown)] = shown  # from column 0, also where the window is clamped at the contig's start
-    out = np.zeros((cfg.rows, 2 * cfg.width, 5), "f4")
-    for k, reads in enumerate((site["normal"], site["tumor"])):
-        out[:, k * cfg.width : (k + 1) * cfg.width, :4] = snv_half([] if reads is None else list(reads), site["pos"], cfg)[:, columns]
-        out[:, k * cfg.width : (k + 1) * cfg.width, 4] = ref[columns]
+    out = np.zeros(cfg.shape, "f4")
+    for k, sample in enumerate(("normal", "tumor")):
+        reads = site[sample]
+        out[:, k * cfg.width : (k + 1) * cfg.width, :-1] = snv_half([] if reads is None else list(reads), site["pos"], cfg, site.get(f"{sample}_fractions"))[:, columns]
+        out[:, k * cfg.width : (k + 1) * cfg.width, -1] = ref[columns]
     return out
 
 
@@ -239,8 +267,33 @@ def tensors(sites: DataFrame, kind: str, cfg=None) -> DataFrame:
     return sites.mapInArrow(run, "chrom string, pos long, data array<float>")
 
 
+def snv_rows(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, cfg: SnvTensor = SnvTensor(), replicates: int = 1) -> DataFrame:
+    return site_rows(candidates, reads, reference, block, cfg.flank, cfg.flank + 1, cfg.rows, cfg.seed, replicates, cfg.falling)
+
+
+def window_positions(sites: DataFrame, cfg: SnvTensor = SnvTensor()) -> DataFrame:
+    """(chrom, pos, at): the positions of each distinct site's window."""
+    spread = F.sequence(F.greatest(F.col("pos") - cfg.flank, F.lit(0)), F.col("pos") + cfg.flank)
+    return sites.select("chrom", "pos").distinct().select("chrom", "pos", F.explode(spread).alias("at"))
+
+
+def with_fractions(rows: DataFrame, sites: DataFrame, normal: DataFrame, tumor: DataFrame, cfg: SnvTensor) -> DataFrame:
+    """snv_rows with the fractions of each column of its window, from counts (chrom, pos, counts of A, C, G, T) at least at window_positions(sites). Columns without depth have none; at most one entry a column."""
+    at = window_positions(sites, cfg)
+    for sample, counts in (("normal", normal), ("tumor", tumor)):
+        depth = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+        share = {b: (F.get("counts", F.lit(i)) / depth).alias(b) for i, b in enumerate("ACGT")}
+        known = counts.filter(depth > 0).select("chrom", F.col("pos").alias("at"), F.struct(F.col("pos").alias("at"), *share.values()).alias("_f"))
+        per = at.join(known, ["chrom", "at"]).groupBy("chrom", "pos").agg(F.collect_list("_f").alias(f"{sample}_fractions"))
+        rows = rows.join(per, ["chrom", "pos"], "left")
+    return rows
+
+
 def snv_tensors(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, cfg: SnvTensor = SnvTensor(), replicates: int = 1) -> DataFrame:
-    return tensors(site_rows(candidates, reads, reference, block, cfg.flank, cfg.flank + 1, cfg.rows, cfg.seed, replicates), "snv", cfg)
+    """Without the channels of allele fractions, which need counts: see with_fractions and plans.pipeline.snv_images."""
+    if cfg.allele_fractions:
+        raise ValueError("allele fractions need counts")
+    return tensors(snv_rows(candidates, reads, reference, block, cfg, replicates), "snv", cfg)
 
 
 def indel_tensors(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, cfg: IndelTensor = IndelTensor(), replicates: int = 1) -> DataFrame:
@@ -253,20 +306,30 @@ def allele_fractions(cells: DataFrame) -> DataFrame:
     return cells.groupBy("chrom", "pos", "col").agg(*[share(b) for b in "ATGC"])
 
 
-def spiked(sites: DataFrame, base: str, seed: int = 0) -> DataFrame:
-    """Training data: the last reads of each tumor get `base` at the site, as many as a Beta(2, 5) share of them."""
+def spiked(sites: DataFrame, base: str | None = None, seed: int = 0) -> DataFrame:
+    """Training data: tumor reads with the reference's base at the site get another one, for a variant at a Beta(2, 5) share.
+
+    Of n reads, round(share * n) are to have the variant: in file order the first n less that many with the reference's base
+    keep it, all later ones change. Reads with another base or none there stay, so they take of the variant's share. The new base is
+    the column `variant` or, without one, `base`; a column `share` goes before the draw.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             out = batch.to_pylist()
             for s in out:
-                reads = s["tumor"] or []
-                share = np.random.default_rng([seed, s["pos"]]).beta(2, 5)
-                for r in reads[len(reads) - round(share * len(reads)) :]:
+                reads, new = s["tumor"] or [], s.get("variant") or base
+                old = (s["ref"] or "")[s["pos"] - s["start"] :][:1].upper()
+                share = s.get("share")
+                left = len(reads) - round((np.random.default_rng([seed, s["pos"]]).beta(2, 5) if share is None else share) * len(reads))
+                for r in reads:
                     rp, gp = _columns(r["cigar"])
                     at = next((int(x) for x in rp[gp == s["pos"] - r["ref_start"]] if x >= 0), None)
-                    if at is not None and at < len(r["seq"] or ""):
-                        r["seq"] = r["seq"][:at] + base + r["seq"][at + 1 :]
+                    if at is not None and old and (r["seq"] or "")[at : at + 1] == old:
+                        if left > 0:
+                            left -= 1
+                        elif new:
+                            r["seq"] = r["seq"][:at] + new + r["seq"][at + 1 :]
             yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 
     return sites.mapInArrow(run, sites.schema)

@@ -53,18 +53,66 @@ def colour(letter: str, a: int, c: int, g: int, t: int) -> str:
 
 STRAND, MAPQ = "CASE WHEN is_reverse THEN 250 ELSE 125 END", shade("mapq")
 
-#: px (chrom, pos, r, col, v0 .. v4): painted cells of the SNV image. The site's column of 31 stands five times.
-SNV_PX = (
-    SITES
-    + WINDOWS.format(before=15, after=16)
-    + f"""
-, spread AS (SELECT c, unnest(CASE WHEN c < 15 THEN [c] WHEN c = 15 THEN range(15, 20) ELSE [c + 4] END) AS k FROM range(0, 31) AS x(c)),
-px AS (
-  SELECT chrom, pos, r, CASE sample WHEN 'N' THEN 0 ELSE 35 END + k AS col, CASE WHEN o = 'D' THEN 10 ELSE {colour("b", 245, 35, 175, 105)} END AS v0, {shade("q")} AS v1, {STRAND} AS v2, {MAPQ} AS v3, 0 AS v4
-  FROM bs JOIN spread ON c = gp - (pos - 15) WHERE r < 100
-  UNION ALL SELECT chrom, pos, row, half * 35 + k, 0, 0, 0, 0, {colour("substr(ref, c + 1, 1)", 245, 35, 175, 105)} FROM letters JOIN spread ON c < length(ref), range(0, 100) AS y(row), range(0, 2) AS z(half)
-)
+#: The columns of an SNV image: the site's, of 31, stands five times.
+SPREAD = ", spread AS (SELECT c, unnest(CASE WHEN c < 15 THEN [c] WHEN c = 15 THEN range(15, 20) ELSE [c + 4] END) AS k FROM range(0, 31) AS x(c))"
+
+
+def snv_px(rows: int = 100, cells: str = "bs", more: str = "", fractions: bool = False) -> str:
+    """px (chrom, pos, r, col, v0 .. v4 or v8): painted cells of the SNV image; `more` defines the table of a read's bases where it isn't bs."""
+    top = 8 if fractions else 4
+    none = lambda n: ", 0" * n
+    out = f"""{SITES}{WINDOWS.format(before=15, after=16)}{SPREAD}{more}
+, px AS (
+  SELECT chrom, pos, r, CASE sample WHEN 'N' THEN 0 ELSE 35 END + k AS col, CASE WHEN o = 'D' THEN 10 ELSE {colour("b", 245, 35, 175, 105)} END AS v0, {shade("q")} AS v1, {STRAND} AS v2, {MAPQ} AS v3, {", ".join(f"0 AS v{c}" for c in range(4, top + 1))}
+  FROM {cells} JOIN spread ON c = gp - (pos - 15) WHERE r < {rows}
+  UNION ALL SELECT chrom, pos, row, half * 35 + k{none(top)}, {colour("substr(ref, c + 1, 1)", 245, 35, 175, 105)} FROM letters JOIN spread ON c < length(ref), range(0, {rows}) AS y(row), range(0, 2) AS z(half)
 """
+    if fractions:
+        share = ", ".join(f"(n{i}::DOUBLE / depth::DOUBLE)::FLOAT::DOUBLE" for i in (1, 4, 3, 2))
+        out += f"  UNION ALL SELECT st.chrom, st.pos, row, CASE sample WHEN 'N' THEN 0 ELSE 35 END + k{none(4)}, {share}, 0 FROM st JOIN counted d ON d.chrom = st.chrom AND d.gp BETWEEN st.pos - 15 AND st.pos + 15 JOIN spread ON c = d.gp - (st.pos - 15), range(0, {rows}) AS y(row)\n"
+    return out + ")"
+
+
+SNV_PX = snv_px()
+
+#: Bases that fall to the next free row of their column, and the counts of all reads at each place.
+FALLEN_ROWS = 6
+FALLEN_PX = snv_px(
+    FALLEN_ROWS,
+    "fallen",
+    """
+, fallen AS (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY chrom, pos, sample, gp ORDER BY r) - 1 AS r FROM bs),
+counted AS (
+  SELECT sample, chrom, gp, count(*) AS depth, """
+    + ", ".join(f"count(*) FILTER (WHERE b = {i}) AS n{i}" for i in range(1, 5))
+    + """ FROM (
+    SELECT sample, chrom, ref_start + ref_off + k AS gp, strpos('ACGT', substr(letters || letters, read_off + k + 1, 1)) AS b
+    FROM (
+      SELECT sq.*, op[i] AS o, ln[i]::BIGINT AS n,
+             coalesce(list_sum(list_transform(range(1, i), lambda k: CASE WHEN op[k] IN ('M', 'D') THEN ln[k]::BIGINT ELSE 0 END)), 0)::BIGINT AS ref_off,
+             coalesce(list_sum(list_transform(range(1, i), lambda k: CASE WHEN op[k] = 'D' THEN 0 ELSE ln[k]::BIGINT END)), 0)::BIGINT AS read_off
+      FROM sq, unnest(range(1, len(op) + 1)) AS u(i)
+    ), unnest(range(0, n)) AS v(k) WHERE o = 'M'
+  ) GROUP BY ALL
+)""",
+    fractions=True,
+)
+
+#: A variant put into the tumor's reads: of n reads, the first n - round(share n) with the reference's base keep it.
+SPIKED_PX = snv_px(
+    cells="put",
+    more="""
+, size AS (SELECT chrom, pos, count(*) AS n FROM rws WHERE sample = 'T' AND r < 100 GROUP BY ALL),
+old AS (
+  SELECT l.chrom, l.pos, substr(ref, (l.pos - lo + 1)::INT, 1) AS was, translate(upper(substr(rf.seq, (l.pos - block_start + 1)::INT, 1)), 'ACGT', 'CGTA') AS new
+  FROM letters l JOIN win ON win.chrom = l.chrom AND win.pos = l.pos LEFT JOIN rf ON rf.chrom = l.chrom AND l.pos >= block_start AND l.pos < block_start + 20
+),
+hit AS (
+  SELECT bs.chrom, bs.pos, bs.r, row_number() OVER (PARTITION BY bs.chrom, bs.pos ORDER BY bs.r) > size.n - round_even((bs.pos % 10)::DOUBLE / 10::DOUBLE * size.n::DOUBLE, 0) AND new IS NOT NULL AS changed, new
+  FROM bs JOIN old ON old.chrom = bs.chrom AND old.pos = bs.pos AND b = was JOIN size ON size.chrom = bs.chrom AND size.pos = bs.pos WHERE sample = 'T' AND gp = bs.pos AND o = 'M' AND bs.r < 100
+), put AS (
+  SELECT bs.* REPLACE (CASE WHEN changed THEN new ELSE b END AS b) FROM bs LEFT JOIN hit ON hit.chrom = bs.chrom AND hit.pos = bs.pos AND hit.r = bs.r AND bs.sample = 'T' AND bs.gp = bs.pos AND bs.o = 'M'
+)""",
 )
 
 #: The same for indels: entries of a read are its bases and, after each, room for the site's widest insertion there.
@@ -102,9 +150,9 @@ line AS (
 )
 
 
-def sums(cells: int, width: int) -> str:
+def sums(cells: int, width: int, channels: int = 5) -> str:
     """Each channel's sum, and its sum with each cell weighted by its place, so that a cell elsewhere shows."""
-    one = ", ".join(f"coalesce(sum(v{c}), 0)::DOUBLE AS c{c}, coalesce(sum(v{c} * (r * {width} + col + 1)), 0)::DOUBLE AS w{c}" for c in range(5))
+    one = ", ".join(f"coalesce(sum(v{c}), 0)::DOUBLE AS c{c}, coalesce(sum(v{c} * (r * {width} + col + 1)), 0)::DOUBLE AS w{c}" for c in range(channels))
     return f"SELECT st.chrom, st.pos, {cells} AS cells, {one} FROM st LEFT JOIN px ON px.chrom = st.chrom AND px.pos = st.pos GROUP BY st.chrom, st.pos"
 
 
@@ -165,7 +213,7 @@ FROM st LEFT JOIN hd ON hd.chrom = st.chrom AND hd.pos = st.pos LEFT JOIN cm ON
 
 SNV_NET, INDEL_NET = SmallNetwork(100, 70, (10, 5), 0.0), SmallNetwork(140, 150, (14, 10), 0.0)
 
-SNV_SUMS, INDEL_SUMS = sums(35_000, 70), sums(105_000, 150)
+SNV_SUMS, INDEL_SUMS, FALLEN_SUMS = sums(35_000, 70), sums(105_000, 150), sums(FALLEN_ROWS * 70 * 9, 70, 9)
 
 #: The commonest evidence of the tumor's reads after each site: of the bridge's reads, only those of three operations have an indel.
 INDEL_STATS = (

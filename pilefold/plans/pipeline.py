@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..functions.encode import with_chr
 from ..operators import calls as K
 from ..operators import candidates as N
 from ..operators import tensors as M
+from ..operators.evaluate import balanced
 from ..operators.intervals import BIN, aliased, in_regions, near, overlap_join, with_reference
 from ..operators.pileup import passes_check, passes_default
 from ..operators.scoring import Scorer, refreshed, score
@@ -57,12 +60,43 @@ def indel_candidates(reads: DataFrame, cfg: IndelFilter = IndelFilter(), regions
     return N.indel_candidates(N.indel_evidence(inside, cfg, by), cfg, by)
 
 
-def predict(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, kind: str, scorer: Scorer, replicates: int = 1, refresh: int = 0) -> DataFrame:
+def snv_images(sites: DataFrame, reads: DataFrame, reference: DataFrame, block: int, cfg: SnvTensor = SnvTensor(), replicates: int = 1, spike: bool = False, seed: int = 0) -> DataFrame:
+    """(chrom, pos, data), with the channels that cfg asks for. spike: sites (chrom, pos, variant[, share]) get their variant in the tumor's reads; fractions are, as in the results to match, of the reads before."""
+    rows = M.snv_rows(sites, reads, reference, block, cfg, replicates)
+    if spike:
+        more = [c for c in ("variant", "share") if c in sites.columns]
+        rows = M.spiked(rows.join(sites.select("chrom", "pos", *more), ["chrom", "pos"]), seed=seed).drop(*more)
+    if cfg.allele_fractions:
+        at = M.window_positions(sites, cfg).select("chrom", F.col("at").alias("pos"))
+        rows = M.with_fractions(rows, sites, *[site_counts(at, reads, s) for s in "NT"], cfg)
+    return M.tensors(rows, "snv", cfg)
+
+
+def training_data(labels: DataFrame, reads: DataFrame, reference: DataFrame, block: int, kind: str, cfg: SnvTensor | IndelTensor | None = None, spikes: DataFrame | None = None, seed: int = 0, balance: bool = True) -> DataFrame:
+    """(chrom, pos, data, label) of labelled sites (chrom, pos, label), one row for each: all positives and, with balance, as many negatives by a seeded hash.
+
+    spikes (SNVs): sites (chrom, pos, variant) that are positives after their variant is put into the tumor's reads; the same site may be a negative as it is.
+    """
+    sites = labels.groupBy("chrom", "pos").agg(F.max("label").alias("label"))
+    if balance:
+        sites = balanced(sites, [F.xxhash64(F.lit(seed), "chrom", "pos"), F.col("chrom"), F.col("pos")], minority_only=False)
+    if kind == "indel":
+        if spikes is not None:
+            raise ValueError("only SNVs are spiked in")
+        return M.training_set(M.indel_tensors(sites, reads, reference, block, cfg or IndelTensor()), sites)
+    cfg = cfg or SnvTensor()
+    out = M.training_set(snv_images(sites, reads, reference, block, cfg), sites)
+    if spikes is not None:
+        spikes = spikes.groupBy("chrom", "pos").agg(F.min("variant").alias("variant"))
+        made = snv_images(spikes, reads, reference, block, cfg, spike=True, seed=seed)
+        out = out.unionByName(made.withColumn("label", F.lit(1.0)))
+    return out
+
+
+def predict(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block: int, kind: str, scorer: Scorer, replicates: int = 1, refresh: int = 0, cfg: SnvTensor | IndelTensor | None = None) -> DataFrame:
     """(chrom, pos, pred_true) of the candidates: the mean over `replicates` draws of the reads of deep sites. refresh: so many sites at most give the network's batch norms new statistics first."""
-    snv = kind == "snv"
-    make = M.snv_tensors if snv else M.indel_tensors
-    a, b = SnvTensor(), IndelTensor()
-    shape = (a.rows, 2 * a.width, 5) if snv else (b.rows, 2 * b.length, 5)
+    cfg = cfg or (SnvTensor() if kind == "snv" else IndelTensor())
+    make, shape = partial(snv_images if kind == "snv" else M.indel_tensors, cfg=cfg), cfg.shape
     if refresh:
         some = candidates.select("chrom", "pos").distinct().orderBy(F.xxhash64(F.lit(0), "chrom", "pos"), "chrom", "pos").limit(refresh)
         scorer = refreshed(scorer, make(some, reads, reference, block), shape, refresh)

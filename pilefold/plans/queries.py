@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Calling, SnvFilter
+from ..config import Calling, SnvFilter, SnvTensor
 from ..functions import cigar as C
 from ..functions import encode as E
 from ..operators import calls as K
@@ -471,6 +471,17 @@ def best_f1(spark, sf_dir):
     return V.best_threshold(pr_curve(spark, sf_dir))
 
 
+@query(""", sc AS (SELECT pr.chrom, pred_true AS s, count(tr.pos) AS p, count(*) - count(tr.pos) AS q FROM pr LEFT JOIN tr ON tr.chrom = pr.chrom AND tr.pos = pr.pos GROUP BY ALL),
+cu AS (SELECT chrom, s AS threshold, (sum(p) OVER w)::BIGINT AS tp, (sum(q) OVER w)::BIGINT AS fp, (sum(p) OVER (PARTITION BY chrom))::BIGINT AS total, (sum(p + q) OVER (PARTITION BY chrom))::BIGINT AS positions FROM sc WINDOW w AS (PARTITION BY chrom ORDER BY s DESC)),
+pc AS (SELECT *, tp::DOUBLE / (tp + fp)::DOUBLE AS precision, CASE WHEN total > 0 THEN tp::DOUBLE / total::DOUBLE ELSE 0 END AS recall FROM cu),
+fc AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM pc)
+SELECT chrom AS "set", threshold, f1, precision, recall, total AS mutations, positions FROM fc WHERE chrom IN ('chr1', 'chr2', 'chr3') QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY f1 DESC, threshold DESC) = 1""")
+def benchmark_sets(spark, sf_dir):
+    """The best threshold of each of some test sets, here the contigs."""
+    scores = _labelled(spark, sf_dir).select("chrom", F.col("pred_true").alias("score"), "label")
+    return V.benchmarks({c: scores.filter(F.col("chrom") == c) for c in ("chr1", "chr2", "chr3")})
+
+
 @query("SELECT chrom, pos, floor(avg(pred_true) * 1000000 + 0.25)::BIGINT AS mean_millionths, median(pred_true) AS median_score FROM pr GROUP BY ALL")
 def replicate_scores(spark, sf_dir):
     """A19, A20."""
@@ -513,17 +524,17 @@ def _sites(spark, sf_dir):
     return N.indel_candidates(N.indel_evidence(N.indel_events(B.reads(spark, sf_dir))))
 
 
-def _sums(t: DataFrame) -> DataFrame:
+def _sums(t: DataFrame, channels: int = 5) -> DataFrame:
     """Channel totals of each tensor, plain and weighted by the place of a cell."""
-    names = [f"{k}{c}" for c in range(5) for k in "cw"]
+    names = [f"{k}{c}" for c in range(channels) for k in "cw"]
 
     def digest(parts):
         for batch in parts:
             data = batch.column("data")
-            cells = np.stack([np.asarray(x.values, "f8") for x in data]).reshape(batch.num_rows, -1, 5) if batch.num_rows else np.zeros((0, 1, 5))
+            cells = np.stack([np.asarray(x.values, "f8") for x in data]).reshape(batch.num_rows, -1, channels) if batch.num_rows else np.zeros((0, 1, channels))
             place = np.arange(1, cells.shape[1] + 1)[None, :, None]
-            both = np.stack([cells.sum(axis=1), (cells * place).sum(axis=1)], axis=2).reshape(len(cells), 10)
-            size = pa.array([cells.shape[1] * 5] * len(cells), pa.int32())
+            both = np.stack([cells.sum(axis=1), (cells * place).sum(axis=1)], axis=2).reshape(len(cells), 2 * channels)
+            size = pa.array([cells.shape[1] * channels] * len(cells), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("chrom"), batch.column("pos"), size, *map(pa.array, both.T)], names=["chrom", "pos", "cells", *names])
 
     return t.select("chrom", "pos", "data").mapInArrow(digest, "chrom string, pos long, cells int, " + ", ".join(f"{n} double" for n in names))
@@ -535,6 +546,26 @@ def snv_tensors(spark, sf_dir):
     return _sums(M.snv_tensors(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK))
 
 
+@query(Q.FALLEN_PX + Q.FALLEN_SUMS)
+def fallen_tensors(spark, sf_dir):
+    """Images of few rows where each base falls to the next free one of its column, with channels of allele fractions."""
+    from .pipeline import snv_images
+
+    cfg = SnvTensor(rows=Q.FALLEN_ROWS, falling=True, allele_fractions=True)
+    return _sums(snv_images(_sites(spark, sf_dir), _sequenced(spark, sf_dir), B.reference(spark, sf_dir), B.BLOCK, cfg), 9)
+
+
+@query(Q.SPIKED_PX + Q.SNV_SUMS)
+def spiked_tensors(spark, sf_dir):
+    """Images with a variant put into the tumor's reads."""
+    from .pipeline import snv_images
+
+    reference = B.reference(spark, sf_dir)
+    sites = I.with_reference(_sites(spark, sf_dir).select("chrom", "pos"), reference, F.lit(1), B.BLOCK)
+    sites = sites.select("chrom", "pos", F.translate(F.upper("ref"), "ACGT", "CGTA").alias("variant"), ((F.col("pos") % 10) / F.lit(10.0)).alias("share"))
+    return _sums(snv_images(sites, _sequenced(spark, sf_dir), reference, B.BLOCK, spike=True))
+
+
 @query(Q.INDEL_PX + Q.INDEL_SUMS)
 def indel_tensors(spark, sf_dir):
     """M7-M9, A13, A14, W5, W8."""

@@ -125,6 +125,34 @@ def test_from_files_to_calls(spark, tmp_path, monkeypatch):
     assert calls() == want
 
 
+def test_training_files_and_settings_by_command(spark, tmp_path):
+    """Labelled sites to .npz files: all positives, as many negatives, and a site with a variant put in; a second run changes nothing."""
+    ref = "ACGT" * 100
+    (tmp_path / "r.fa").write_text(">1\n" + ref + "\n")
+    rows = [(0, 100 + 40 * k, f"n{k}_{i}", 0, [(40, "M")], ref[:40]) for k in range(5) for i in range(10)]
+    write_bam(tmp_path / "n.bam", [("1", 400)], rows)
+    write_bam(tmp_path / "t.bam", [("1", 400)], rows)
+    (tmp_path / "labels.tsv").write_text("1\t121\t1\n" + "".join(f"1\t{161 + 40 * k}\t0\n" for k in range(4)))
+    (tmp_path / "spikes.tsv").write_text("1\t241\tC\n")
+    (tmp_path / "s.json").write_text('{"SnvTensor": {"rows": 20, "falling": true, "allele_fractions": true}}')
+    args = ["train", "--sample_name", "s", "--normal_bam", str(tmp_path / "n.bam"), "--tumor_bam", str(tmp_path / "t.bam"), "--output_dir", str(tmp_path / "out"), "--reference", str(tmp_path / "r.fa")]
+    args += ["-snv", "--labels", str(tmp_path / "labels.tsv"), "--spikes", str(tmp_path / "spikes.tsv"), "--settings", str(tmp_path / "s.json")]
+    command.main(args)
+    files = sorted((tmp_path / "out/s/snv.training").glob("*.npz"))
+    held = [(int(p), float(y), x) for f in files for z in [np.load(f)] for p, x, y in zip(z["pos"], z["X"], z["Y"])]
+    assert all(x.shape == (20, 70, 9) for _, _, x in held)
+    assert (120, 1.0) in [h[:2] for h in held] and sorted(y for _, y, _ in held) == [0.0, 1.0, 1.0]
+    spiked = next(x for p, y, x in held if (p, y) == (240, 1.0))
+    letters = spiked[:10, 35 + 15, 0].tolist()
+    assert ref[240] == "A" and set(letters) <= {245.0, 35.0} and letters == sorted(letters, reverse=True) and letters.count(35.0) == round(np.random.default_rng([0, 240]).beta(2, 5) * 10)
+    command.main(args)
+    assert sorted((tmp_path / "out/s/snv.training").glob("*.npz")) == files
+    for wrong in ('{"Nothing": {}}', '{"SnvTensor": {"x": 1}}'):
+        (tmp_path / "s.json").write_text(wrong)
+        with pytest.raises((ValueError, TypeError)):
+            command.main(args)
+
+
 def test_network_from_files(tmp_path):
     network = S.Network.seeded(1)
     S.save_weights(network, str(tmp_path / "w.npz"))
@@ -145,7 +173,7 @@ def test_parameters_as_json(tmp_path):
         config.load(config.SnvFilter, str(tmp_path / "c.json"))
 
 
-@pytest.mark.parametrize("name", ["snv_tensors", "indel_tensors", "indel_site_stats", "tandem_repeats"])
+@pytest.mark.parametrize("name", ["snv_tensors", "indel_tensors", "fallen_tensors", "spiked_tensors", "scored_sites", "scored_indels", "indel_site_stats", "tandem_repeats"])
 def test_images_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     sf = "/root/testdata/sf0.001"

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 from pilefold import __main__ as command
@@ -204,14 +205,16 @@ def test_scores_are_means_over_draws(spark):
     reference = spark.createDataFrame([("1", 0, ref)], "chrom string, block_start long, seq string")
     site = spark.createDataFrame([("1", 80)], "chrom string, pos long")
     from pilefold.operators import tensors as M
-    from pilefold.plans.queries import _ChannelMean
+    from pilefold.plans.image_sql import SNV_NET
 
-    own = [np.array(r["data"]).mean(dtype="f8") for r in M.snv_tensors(site, reads, reference, 200, replicates=3).collect()]
+    network = SNV_NET.graph()
+    scored = lambda r: float(network(np.array(r["data"]).reshape(1, 100, 70, 5))[0])
+    own = [scored(r) for r in M.snv_tensors(site, reads, reference, 200, replicates=3).collect()]
     assert len(set(own)) == 3
-    one = np.array(M.snv_tensors(site, reads, reference, 200).first()["data"]).mean(dtype="f8")
+    one = scored(M.snv_tensors(site, reads, reference, 200).first())
     assert any(np.isclose(one, v) for v in own)
-    got = P.predict(site, reads, reference, 200, "snv", _ChannelMean(), replicates=3).collect()
-    assert len(got) == 1 and np.isclose(got[0]["pred_true"], np.mean(own) / 255)
+    got = P.predict(site, reads, reference, 200, "snv", network, replicates=3).collect()
+    assert len(got) == 1 and np.isclose(got[0]["pred_true"], np.mean(own))
 
 
 def test_the_command_asks_for_models(tmp_path, capsys, spark):
@@ -270,6 +273,59 @@ def test_spiked_reads_are_the_last_ones(spark):
     assert rows[104]["normal"][0]["seq"] == "ACGTACGTAC" and rows[105]["tumor"] is None
 
 
+def test_spiked_reads_of_the_reference_base_only(spark):
+    """Another base at the site takes of the variant's share and stays; share and variant may be given for each site."""
+    from pilefold.operators.tensors import spiked
+
+    read = lambda i, base: {"file_order": i, "flag_reverse": False, "mapq": 60, "seq": base, "quals": [30], "ref_start": 5, "ref_end": 6, "cigar": "1M"}
+    one = "struct<file_order:bigint,flag_reverse:boolean,mapq:int,seq:string,quals:array<int>,ref_start:bigint,ref_end:bigint,cigar:string>"
+    schema = f"chrom string, pos long, start long, ref string, normal array<{one}>, tumor array<{one}>, variant string, share double"
+    made = lambda bases, ref, new, share: tuple(x["seq"] for x in spiked(spark.createDataFrame([("1", 5, 0, ref, None, [read(i, b) for i, b in enumerate(bases)], new, share)], schema)).first()["tumor"])
+    assert made("AAAA", "CCCCCa", "G", 0.5) == ("A", "A", "G", "G")
+    assert made("ATAATA", "CCCCCA", "G", 0.5) == ("A", "T", "A", "A", "T", "G")
+    assert made("AA", "CCCCCA", "G", 0.0) == ("A", "A") and made("AA", "CCCCCA", "G", 1.0) == ("G", "G")
+    assert made("AA", "CCC", "G", 1.0) == made("AA", "CCCCCA", None, 1.0) == ("A", "A")  # no reference there, no variant
+    assert made("", "CCCCCA", "G", 1.0) == ()
+
+
+def test_bases_that_fall_by_hand(spark):
+    """Columns fill from the top whatever read a base is of; only reads that can show reach a site."""
+    from pilefold.operators import tensors as M
+    from pilefold.operators.rows import reaching
+
+    ref = "ACGT" * 10
+    # file order: two short reads left, one right, then long ones over both
+    spans = [(12, 16), (12, 16), (24, 28), (13, 26), (13, 26), (13, 26)]
+    reads = spark.createDataFrame([("T", i, f"r{i}", 0, "1", a, b, 60, f"{b - a}M", ref[a:b], [30] * (b - a)) for i, (a, b) in enumerate(spans)], "sample string, file_order long, query_name string, flag int, chrom string, ref_start long, ref_end long, mapq int, cigar string, seq string, quals array<int>")
+    reference = spark.createDataFrame([("1", 0, ref)], "chrom string, block_start long, seq string")
+    site = spark.createDataFrame([("1", 20)], "chrom string, pos long")
+    cfg = M.SnvTensor(flank=8, repeats=1, rows=2, falling=True, allele_fractions=True)
+    image = np.array(P.snv_images(site, reads, reference, 64, cfg).first()["data"]).reshape(cfg.shape)
+    depth = [sum(a <= at < b for a, b in spans) for at in range(12, 29)]
+    assert ((image[:, 17:, 2] > 0).sum(axis=0) == np.minimum(depth, 2)).all() and not image[:, :17, :8].any()
+    assert [image[0, 17 + k, 4 + "ATGC".index(ref[12 + k])] for k in range(17)] == [float(d > 0) for d in depth]
+    assert (image[:, :, 4:8].sum(axis=2)[:, 17:] == np.array(depth) / np.maximum(depth, 1)).all()
+    windows = reads.withColumns({"site": F.lit(20), "w_start": F.lit(12), "w_end": F.lit(29)})
+    for limit in range(1, 8):
+        seen, want = [0] * 17, set()
+        for i, (a, b) in enumerate(spans):
+            want |= {i} if any(seen[at - 12] < limit for at in range(a, b)) else set()
+            for at in range(a, b):
+                seen[at - 12] += 1
+        assert {r["file_order"] for r in reaching(windows, ["chrom", "site", "sample"], limit).collect()} == want
+    with pytest.raises(ValueError, match="not drawn"):
+        P.snv_images(site, reads, reference, 64, cfg, replicates=2)
+
+
+def test_best_thresholds_of_sets(spark):
+    from pilefold.operators.evaluate import benchmarks
+
+    one = spark.createDataFrame([(0.9, 1.0), (0.8, 1.0), (0.4, 0.0), (0.3, 1.0)], "score double, label double")
+    got = {r["set"]: r for r in benchmarks({"a": one, "b": one.filter("score > 0.35"), "none": one.limit(0)}).collect()}
+    assert set(got) == {"a", "b"} and got["b"]["f1"] == got["b"]["recall"] == 1 and got["b"]["threshold"] == 0.8
+    assert np.isclose(got["a"]["f1"], 6 / 7) and got["a"]["threshold"] == 0.3 and (got["a"]["mutations"], got["a"]["positions"]) == (3, 4)
+
+
 def test_shards_of_keys(spark):
     from pilefold.operators.rows import shard_rows
 
