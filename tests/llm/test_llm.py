@@ -291,3 +291,27 @@ def test_pipeline(spark, docs):
             assert out.columns == docs.columns
     assert [n for n, _ in P.STAGES][2] == "MinHash near-dedup" and out.count() == was.count() > 0
     assert out.filter("size(ids) <> n_tokens").count() == 0
+
+
+def test_recall_of_links_at_the_threshold(spark):
+    """Planted pairs at cosine 0.90 to 0.95 and a dense group round one vector, with production parameters, against all pairs."""
+    n, dim = 5000, 64
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    def at(v: np.ndarray, cosine: float) -> np.ndarray:
+        r = rng.normal(size=dim)
+        return cosine * v + np.sqrt(1 - cosine**2) * unit(r - (r @ v) * v)
+
+    x = unit(rng.normal(size=(n, dim)))
+    for i in range(500):
+        x[n - 1 - i] = at(x[i], rng.uniform(0.9, 0.95))
+    for i in range(200):
+        x[2001 + i] = at(x[2000], 0.955)
+    x = (x * rng.uniform(0.5, 2, size=(n, 1))).astype("f4")
+    u = unit(x.astype("f8"))
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    links = {r["vec_id"]: r["n_links"] for r in forest.near_duplicates(df).collect()}
+    got = np.array([links[i] for i in range(n)])
+    assert (got <= want).all() and got.sum() >= 0.98 * want.sum() and np.minimum(got, want)[:500].sum() >= 0.98 * want[:500].sum()
