@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .graph import Graph, with_moments
 
@@ -142,3 +142,9 @@ def score(tensors: DataFrame, scorer: Scorer, shape: tuple[int, ...], batch: int
                 yield pd.DataFrame({"chrom": some["chrom"], "pos": some["pos"], "pred_true": np.asarray(held.value(x), "f8")})
 
     return tensors.mapInPandas(run, "chrom string, pos long, pred_true double")
+
+
+def scored(spark: SparkSession, scorer: Scorer, shape: tuple[int, ...]):
+    """What tensors() makes of its images instead of data: pred_true, by a scorer that is broadcast once to the executors."""
+    held = spark.sparkContext.broadcast(scorer)
+    return lambda images: [np.asarray(held.value(images.reshape(-1, *shape)), "f8")], "pred_true double"

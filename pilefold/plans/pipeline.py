@@ -16,7 +16,7 @@ from ..operators import tensors as M
 from ..operators.evaluate import balanced
 from ..operators.intervals import BIN, aliased, in_regions, near, overlap_join, with_reference
 from ..operators.pileup import passes_check, passes_default
-from ..operators.scoring import Scorer, refreshed, score
+from ..operators.scoring import Scorer, refreshed, scored
 from ..operators.sweep import sweep
 
 
@@ -60,16 +60,16 @@ def indel_candidates(reads: DataFrame, cfg: IndelFilter = IndelFilter(), regions
     return N.indel_candidates(N.indel_evidence(inside, cfg, by), cfg, by)
 
 
-def snv_images(sites: DataFrame, reads: DataFrame, reference: DataFrame, block: int, cfg: SnvTensor = SnvTensor(), replicates: int = 1, spike: bool = False, seed: int = 0) -> DataFrame:
-    """(chrom, pos, data), with the channels that cfg asks for. spike: sites (chrom, pos, variant[, share]) get their variant in the tumor's reads; fractions are, as in the results to match, of the reads before."""
-    rows = M.snv_rows(sites, reads, reference, block, cfg, replicates)
+def snv_images(sites: DataFrame, reads: DataFrame, reference: DataFrame, block: int, cfg: SnvTensor = SnvTensor(), replicates: int = 1, spike: bool = False, seed: int = 0, then: M.Then | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chrom, pos, *keep, data), with the channels that cfg asks for. spike: sites (chrom, pos, variant[, share]) get their variant in the tumor's reads; fractions are, as in the results to match, of the reads before."""
+    more = tuple(c for c in ("variant", "share") if spike and c in sites.columns)
+    rows = M.snv_rows(sites, reads, reference, block, cfg, replicates, keep + more)
     if spike:
-        more = [c for c in ("variant", "share") if c in sites.columns]
-        rows = M.spiked(rows.join(sites.select("chrom", "pos", *more), ["chrom", "pos"]), seed=seed).drop(*more)
+        rows = M.spiked(rows, seed=seed).drop(*more)
     if cfg.allele_fractions:
         at = M.window_positions(sites, cfg).select("chrom", F.col("at").alias("pos"))
         rows = M.with_fractions(rows, sites, *[site_counts(at, reads, s) for s in "NT"], cfg)
-    return M.tensors(rows, "snv", cfg)
+    return M.tensors(rows, "snv", cfg, then, keep)
 
 
 def training_data(labels: DataFrame, reads: DataFrame, reference: DataFrame, block: int, kind: str, cfg: SnvTensor | IndelTensor | None = None, spikes: DataFrame | None = None, seed: int = 0, balance: bool = True) -> DataFrame:
@@ -83,9 +83,9 @@ def training_data(labels: DataFrame, reads: DataFrame, reference: DataFrame, blo
     if kind == "indel":
         if spikes is not None:
             raise ValueError("only SNVs are spiked in")
-        return M.training_set(M.indel_tensors(sites, reads, reference, block, cfg or IndelTensor()), sites)
+        return M.indel_tensors(sites, reads, reference, block, cfg or IndelTensor(), keep=("label",))
     cfg = cfg or SnvTensor()
-    out = M.training_set(snv_images(sites, reads, reference, block, cfg), sites)
+    out = snv_images(sites, reads, reference, block, cfg, keep=("label",))
     if spikes is not None:
         spikes = spikes.groupBy("chrom", "pos").agg(F.min("variant").alias("variant"))
         made = snv_images(spikes, reads, reference, block, cfg, spike=True, seed=seed)
@@ -100,7 +100,7 @@ def predict(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block
     if refresh:
         some = candidates.select("chrom", "pos").distinct().orderBy(F.xxhash64(F.lit(0), "chrom", "pos"), "chrom", "pos").limit(refresh)
         scorer = refreshed(scorer, make(some, reads, reference, block), shape, refresh)
-    scores = score(make(candidates, reads, reference, block, replicates=replicates), scorer, shape)
+    scores = make(candidates, reads, reference, block, replicates=replicates, then=scored(candidates.sparkSession, scorer, shape))
     return scores if replicates == 1 else scores.groupBy("chrom", "pos").agg(F.avg("pred_true").alias("pred_true"))
 
 
