@@ -8,6 +8,7 @@ and predictions are added only for candidates that have none.
 from __future__ import annotations
 
 import argparse
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def candidates(spark: SparkSession, reads: DataFrame, out: str, kinds: list[str]
     given = given or settings(None)
     for kind in kinds:
         if not complete(spark, f"{out}/{kind}.candidates"):
-            find = P.snv_candidates if kind == "snv" else P.indel_candidates
+            find = partial(P.snv_candidates, in_order=True) if kind == "snv" else P.indel_candidates  # the store has its reads in order
             found = find(reads, given["SnvFilter" if kind == "snv" else "IndelFilter"], regions=regions, contigs=contigs)
             text.write_tsv(found.orderBy("chrom", "pos"), f"{out}/{kind}.candidates")
 

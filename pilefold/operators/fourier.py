@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BASES
+from .sweep import _flat
+
+#: Letters of texts that are looked at together, about.
+LETTERS_HELD = 100_000
 
 
 def powers(seq: str, n: int, k: int) -> np.ndarray:
@@ -38,8 +42,14 @@ def fourier_power(reference: DataFrame, block: int, n: int = 12, k: int = 4) ->
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for chrom, start, seq in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                got = powers(seq, n, k)
-                yield pa.RecordBatch.from_arrays([pa.array([chrom] * len(got), pa.string()), pa.array(start + np.arange(len(got))), pa.array(got)], names=["chrom", "pos", "power"])
+            texts = batch.column("seq").fill_null("").to_pylist()
+            sizes = np.array([len(t) for t in texts], "i8")
+            many = np.maximum(sizes - n + 1, 0)
+            for some in np.split(np.arange(len(texts)), np.nonzero(np.diff(np.cumsum(sizes) // LETTERS_HELD))[0] + 1):
+                got = powers("".join(texts[i] for i in some), n, k)  # over the borders of texts too; those windows go
+                which = _flat((np.cumsum(sizes[some]) - sizes[some]), many[some])
+                start = batch.column("block_start").to_numpy(zero_copy_only=False)[some]
+                chrom = batch.column("chrom").take(pa.array(np.repeat(some, many[some])))
+                yield pa.RecordBatch.from_arrays([chrom, pa.array(_flat(start, many[some])), pa.array(got[which])], names=["chrom", "pos", "power"])
 
     return both.mapInArrow(run, "chrom string, pos long, power double")

@@ -32,11 +32,11 @@ def _named(regions: DataFrame, contigs: DataFrame) -> DataFrame:
     return aliased(regions, contigs, with_chr, "_name").withColumn("chrom", F.col("_name")).drop("_name")
 
 
-def snv_candidates(reads: DataFrame, cfg: SnvFilter = SnvFilter(), regions: DataFrame | None = None, contigs: DataFrame | None = None) -> DataFrame:
-    """(chrom, pos); with regions (end exclusive), those inside, once for each region, and reads elsewhere are never piled up. contigs: the names in use (a file's header has them); without, all reads are asked."""
+def snv_candidates(reads: DataFrame, cfg: SnvFilter = SnvFilter(), regions: DataFrame | None = None, contigs: DataFrame | None = None, in_order: bool = False) -> DataFrame:
+    """(chrom, pos); with regions (end exclusive), those inside, once for each region, and reads elsewhere are never piled up. contigs: the names in use (a file's header has them); without, all reads are asked. in_order: reads come in order of position."""
     kept = reads.filter(passes_check(F.col("flag"), F.col("mapq"), cfg.min_mapq))
     if regions is None:
-        return N.snv_candidates_of(sweep(kept, cfg.min_base_quality), cfg).select("chrom", "pos")
+        return N.snv_candidates_of(sweep(kept, cfg.min_base_quality, in_order=in_order), cfg).select("chrom", "pos")
     regions = _named(regions, reads if contigs is None else contigs)
     kept = near(kept, regions.select("chrom", F.col("start").alias("w_start"), F.col("end").alias("w_end")))
     return in_regions(N.snv_candidates_of(sweep(kept, cfg.min_base_quality), cfg).select("chrom", "pos"), regions).select("chrom", "pos")
