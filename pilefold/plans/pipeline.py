@@ -68,7 +68,7 @@ def snv_images(sites: DataFrame, reads: DataFrame, reference: DataFrame, block:
         rows = M.spiked(rows, seed=seed).drop(*more)
     if cfg.allele_fractions:
         at = M.window_positions(sites, cfg).select("chrom", F.col("at").alias("pos"))
-        rows = M.with_fractions(rows, sites, *[site_counts(at, reads, s) for s in "NT"], cfg)
+        rows = M.with_fractions(rows, paired_counts(at, reads), cfg)
     return M.tensors(rows, "snv", cfg, then, keep)
 
 
@@ -104,12 +104,16 @@ def predict(candidates: DataFrame, reads: DataFrame, reference: DataFrame, block
     return scores if replicates == 1 else scores.groupBy("chrom", "pos").agg(F.avg("pred_true").alias("pred_true"))
 
 
-def site_counts(sites: DataFrame, reads: DataFrame, sample: str, cfg: Calling = Calling()) -> DataFrame:
-    """(chrom, pos, counts) of the covered ones of sites (chrom, pos), default pileup. Reads away from the sites go before the pileup, other positions before its aggregation."""
+def paired_counts(sites: DataFrame, reads: DataFrame, cfg: Calling = Calling()) -> DataFrame:
+    """(chrom, pos, n, t) of the covered ones of sites (chrom, pos), default pileup. Reads away from the sites go before the pileup, other positions before its aggregation."""
     sites = sites.select("chrom", "pos").distinct()
-    kept = reads.filter((F.col("sample") == sample) & passes_default(F.col("flag")))
-    kept = near(kept, sites.select("chrom", F.col("pos").alias("w_start"), (F.col("pos") + 1).alias("w_end")))
-    return sweep(kept, cfg.default_base_quality, sites).select("chrom", "pos", sample.lower()).withColumnRenamed(sample.lower(), "counts")
+    kept = near(reads.filter(passes_default(F.col("flag"))), sites.select("chrom", F.col("pos").alias("w_start"), (F.col("pos") + 1).alias("w_end")))
+    return sweep(kept, cfg.default_base_quality, sites)
+
+
+def site_counts(sites: DataFrame, reads: DataFrame, sample: str, cfg: Calling = Calling()) -> DataFrame:
+    """(chrom, pos, counts) of one sample, as paired_counts has them."""
+    return paired_counts(sites, reads.filter(F.col("sample") == sample), cfg).select("chrom", "pos", F.col(sample.lower()).alias("counts"))
 
 
 def indel_sites(sites: DataFrame, reads: DataFrame, sample: str, reference: DataFrame, block: int) -> DataFrame:

@@ -70,3 +70,38 @@ def test_reads_are_exchanged_once(spark, make):
         assert "collect_list" in above and "Exchange" not in [line for line in above.splitlines() if "_fs" not in line and "_f#" not in line][-1]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_reads_from_anywhere_are_put_in_order(spark):
+    """Batches of reads from anywhere leave some rows a position, not one a base."""
+    from pilefold.operators import sweep as W
+
+    places = [(i * 7919) % 4000 for i in range(4000)]
+    reads = spark.createDataFrame([("NT"[i % 2], "1", p, "20M", "ACGTACGTACACGTACGTAC", [30] * 20) for i, p in enumerate(places)], "sample string, chrom string, ref_start long, cigar string, seq string, quals array<int>").repartition(4)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    try:
+        anywhere, ordered = W.partial_counts(reads, 22), W.partial_counts(W.in_place(reads), 22)
+        assert anywhere.count() > 4 * ordered.count()
+        got = {(r["sample"], r["pos"]): r["depth"] for r in W.coverage_sweep(reads).collect()}
+        assert got == {(r["sample"], r["pos"]): r["depth"] for r in W.coverage_sweep(reads, in_order=True).collect()} and sum(got.values()) == 80_000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_fallen_reads_of_deep_sites(spark):
+    """Only reads that show are kept where there are more than fit, and their images stay as all reads give them."""
+    from pilefold.operators.rows import reaching
+
+    rng = random.Random(3)
+    rows = [("1", "T", i, s, s + 10, 0, 31) for i in range(400) for s in [rng.randrange(-9, 31)]] + [("2", "T", i, 0, 5, 0, 31) for i in range(20)]
+    df = spark.createDataFrame(rows, "site string, sample string, file_order long, ref_start long, ref_end long, w_start long, w_end long")
+    got = sorted(r["file_order"] for r in reaching(df.repartition(3), ["site", "sample"], 2).filter("site = '1'").collect())
+    depth, want = np.zeros(31, int), []
+    for _, _, i, s, e, _, _ in rows[:400]:
+        if (depth[max(s, 0) : e] < 2).any():
+            want.append(i)
+        depth[max(s, 0) : e] += 1
+    assert got == want and len(want) <= 62
+    assert reaching(df, ["site", "sample"], 2).filter("site = '2'").count() == 2
+    assert "Generate" not in reaching(df, ["site", "sample"], 2)._jdf.queryExecution().executedPlan().toString()
