@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import BASES, Calling
@@ -74,10 +73,14 @@ def read_evidence(reads: DataFrame) -> DataFrame:
 
 def indel_stats(evidence: DataFrame) -> DataFrame:
     """(chrom, pos, dp, ro, ao, af, kind, seq, len): every read counts in dp; the commonest evidence is the call (ties: kind, length, bases)."""
-    per = evidence.groupBy("chrom", "pos").agg(F.count("*").alias("dp"), F.sum("ro").alias("ro"))
-    votes = evidence.select("chrom", "pos", F.explode("items").alias("e")).groupBy("chrom", "pos", "e.kind", "e.seq", "e.len").agg(F.count("*").alias("ao"))
-    best = votes.withColumn("i", F.row_number().over(W.partitionBy("chrom", "pos").orderBy(F.desc("ao"), "kind", "len", "seq"))).filter("i = 1").drop("i")
-    return per.join(best, ["chrom", "pos"], "left").withColumn("ao", F.coalesce("ao", F.lit(0).cast("long"))).withColumn("af", ratio4(F.col("ao"), F.col("dp")))
+    itself = F.array(F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("kind", "string"), ("seq", "string"), ("len", "long"))]))  # each read, whatever its items
+    votes = evidence.select("chrom", "pos", "ro", F.explode(F.concat("items", itself)).alias("e"))
+    votes = votes.groupBy("chrom", "pos", "e.kind", "e.seq", "e.len").agg(F.count("*").alias("ao"), F.sum("ro").alias("ro"))
+    read = F.col("kind").isNull()
+    best = F.min(F.when(~read, F.struct((-F.col("ao")).alias("less"), "kind", "len", "seq"))).alias("_b")
+    out = votes.groupBy("chrom", "pos").agg(F.sum(F.when(read, F.col("ao"))).alias("dp"), F.sum(F.when(read, F.col("ro"))).alias("ro"), best)
+    out = out.withColumn("ao", F.coalesce(-F.col("_b.less"), F.lit(0).cast("long")))
+    return out.select("chrom", "pos", "dp", "ro", F.col("_b.kind").alias("kind"), F.col("_b.seq").alias("seq"), F.col("_b.len").alias("len"), "ao", ratio4(F.col("ao"), F.col("dp")).alias("af"))
 
 
 def indel_alleles(kind: Column, length: Column, seq: Column, ref: Column) -> dict[str, Column]:

@@ -105,3 +105,29 @@ def test_fallen_reads_of_deep_sites(spark):
     assert got == want and len(want) <= 62
     assert reaching(df, ["site", "sample"], 2).filter("site = '2'").count() == 2
     assert "Generate" not in reaching(df, ["site", "sample"], 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_colour_totals(spark):
+    """Totals of a batch at a time against a row for each column."""
+    from pyspark.sql import functions as F
+
+    from pilefold.functions import cigar as C
+    from pilefold.functions import encode as E
+
+    rng = random.Random(9)
+    rows = [(rng.randrange(1 << 31), rng.choice(["4S6M2D3M3S", "3M2I4M", "2M3S4M", "5N3M", "3H2M1P4=", "9S", None]), rng.choice([None, "ACGTNacgtACG", "GG"])) for _ in range(200)]
+    reads = spark.createDataFrame(rows, "ref_start long, cigar string, seq string")
+    pairs = reads.select("seq", F.explode(C.trimmed_pairs(F.col("ref_start"), F.col("cigar"))).alias("p"))
+    letter = F.substring("seq", (F.col("p.rp") + 1).cast("int"), F.lit(1))
+    want = pairs.groupBy(F.col("p.op").alias("op"), E.match_value(F.col("p.op"), letter).alias("value")).agg(F.count("*").alias("n"), F.sum("p.rp").alias("read_sum"), F.sum("p.gp").alias("ref_sum"))
+    assert sorted(map(tuple, B.colour_totals(reads).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_indel_stats_pass_over_the_evidence_once(spark):
+    from pilefold.operators import calls as K
+
+    item = "struct<kind:string,seq:string,len:bigint>"
+    rows = [("1", 5, 1, []), ("1", 5, 0, [("I", "A", 1)]), ("1", 5, 0, [("D", None, 1), ("I", "A", 1)]), ("1", 5, 1, [("D", None, 1)]), ("1", 9, 1, [])]
+    out = K.indel_stats(spark.createDataFrame(rows, f"chrom string, pos long, ro int, items array<{item}>"))
+    assert sorted((r["pos"], r["dp"], r["ro"], r["ao"], r["kind"], r["seq"], r["len"]) for r in out.collect()) == [(5, 4, 2, 2, "D", None, 1), (9, 1, 1, 0, None, None, None)]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
