@@ -129,12 +129,18 @@ def stacked(column) -> np.ndarray:
 def plant(vectors: DataFrame, trees: int, leaf: int, seed: int, sample: int, prepare, spill: float = 0.0) -> tuple[dict[int, list], dict[int, int]]:
     """(trees of each length, rows of each length), from about `sample` vectors (all, if no more), taken by a hash of their id (vec_id). A length that the sample lacks is one leaf a tree."""
     rows = {r["d"]: r["count"] for r in vectors.groupBy(F.size("v").alias("d")).count().collect()}  # one row a length
-    got = sampled(vectors, sample, seed, "vec_id").toPandas().sort_values("vec_id")
-    size = got["v"].map(len) if len(got) else got["v"]
+
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": [np.asarray(v, "f8").tobytes() for v in pdf["v"]]})
+
+    # As bytes: the driver would hold a Python object for each component.
+    got = sampled(vectors.select("vec_id", "v"), sample, seed, "vec_id").mapInPandas(packed, "vec_id long, v binary").toPandas().sort_values("vec_id")
+    size = got["v"].map(len) // 8 if len(got) else got["v"]
     out = {}
     for d, n in rows.items():
         x = got["v"][size == d]
-        out[d] = grow(prepare(stacked(x)), n, trees, leaf, seed, spill) if len(x) else [0] * trees
+        out[d] = grow(prepare(np.frombuffer(b"".join(x), "f8").reshape(len(x), d)), n, trees, leaf, seed, spill) if len(x) else [0] * trees
     return out, rows
 
 

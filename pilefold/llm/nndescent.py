@@ -6,6 +6,9 @@ directions) and keeps what is nearer. Queries walk the graph from a frontier: th
 beam are joined with their neighbours, hop by hop. Every distance, in leaves, rounds and walk, is measured on
 the original values in double precision. Nodes are numbered along a tree, so that a block of numbers is a
 neighbourhood: a round sends a block each vector that its nodes' neighbours need once, not once an edge.
+That is a row for each block in which a node joins the vector: on average `degree` rows a vector and round at
+most, fewer while there are fewer blocks. A tree's leaves take one row a vector at any size; so leaves are
+large, all their pairs are compared, and few rounds are left to do.
 """
 
 from __future__ import annotations
@@ -30,18 +33,24 @@ def _matrix(packed, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1)
 
 
-def _distances(x: np.ndarray) -> np.ndarray:
-    """Squared distances of the rows; those that a product of matrices can't tell from rounding are summed from differences."""
+def _banded(x: np.ndarray, rows: int) -> Iterator[np.ndarray]:
+    """Squared distances of the rows to all, some rows at a time; those that a product of matrices can't tell from rounding are summed from differences."""
     x = x.astype("f8")
     x -= x.mean(axis=0)
     norm = np.einsum("ij,ij->i", x, x)
-    d = norm[:, None] + norm[None, :] - 2.0 * (x @ x.T)
-    np.fill_diagonal(d, np.inf)
-    i, j = np.nonzero(d < 1e-9 * norm.max())
-    for at in range(0, len(i), 20_000):
-        p, q = i[at : at + 20_000], j[at : at + 20_000]
-        d[p, q] = ((x[p] - x[q]) ** 2).sum(axis=1)
-    return np.maximum(d, 0)
+    for a in range(0, len(x), rows):
+        y = x[a : a + rows]
+        d = norm[a : a + rows, None] + norm[None, :] - 2.0 * (y @ x.T)
+        d[np.arange(len(y)), np.arange(a, a + len(y))] = np.inf
+        i, j = np.nonzero(d < 1e-9 * norm.max())
+        for at in range(0, len(i), 20_000):
+            p, q = i[at : at + 20_000], j[at : at + 20_000]
+            d[p, q] = ((y[p] - x[q]) ** 2).sum(axis=1)
+        yield np.maximum(d, 0)
+
+
+def _distances(x: np.ndarray) -> np.ndarray:
+    return next(_banded(x, len(x)))
 
 
 def _nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +69,8 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     An edge found in two groups has distances that differ in their last bits; as floats they are one, and take one place.
     """
     turn = F.dense_rank().over(W.partitionBy("u").orderBy("d", "v"))
-    return edges.withColumn("d", F.col("d").cast("float").cast("double")).withColumn("i", turn).filter(F.col("i") <= k).select("u", "v", "d").dropDuplicates(["u", "v"])
+    best = edges.withColumn("d", F.col("d").cast("float").cast("double")).withColumn("i", turn).filter(F.col("i") <= k)
+    return best.groupBy("u", "v").agg(F.min("d").alias("d"), *([F.max("old").alias("old")] if "old" in edges.columns else []))
 
 
 def _same(x: np.ndarray) -> np.ndarray:
@@ -74,12 +84,12 @@ class NeighbourGraph:
     `sample` bounds only what the upper parts of the starting forest are fitted on. Leaves that are large
     split on (forest.split_large), so they are of one size however many nodes there are. The degree is
     bounded: in either direction a node keeps its nearest; that makes the graph approximate, as NN-descent
-    is. Rounds go on until less than `settled` of the edges are new, `rounds` at most. Rows whose id or
+    is. Rounds, two at least, go on until less than `settled` of the edges are new, `rounds` at most. Rows whose id or
     vector is null, empty, zero or has null or non-finite components take no part; vectors of one length are
     neighbours of none of another. An empty table gives an empty graph.
     """
 
-    def __init__(self, embeddings: DataFrame, degree: int = 32, rounds: int = 8, trees: int = 8, leaf: int = 300, sample: int = 16384, settled: float = 0.1, seed: int = 23):
+    def __init__(self, embeddings: DataFrame, degree: int = 32, rounds: int = 8, trees: int = 8, leaf: int = 2400, sample: int = 16384, settled: float = 0.1, seed: int = 23):
         self.spark, self.degree, self.seed = embeddings.sparkSession, degree, seed
         #: How a component is packed: as it stands.
         self.kind = "f4" if is_float(embeddings) else "f8"
@@ -91,15 +101,15 @@ class NeighbourGraph:
         self.vectors = saved(self._numbered(first), "vectors")
         self.members = saved(fine.join(self.vectors, "v").select("id", "vec_id").distinct(), "members")
         self.points = saved(self._packed(), "points")
-        self.graph = saved(self._start(leaf), "graph")
+        self.graph = saved(self._start(leaf, degree // 2 if rows > leaf else degree), "graph")
         #: New edges of each round, as a share.
         self.changes: list[float] = []
         for _ in range(rounds if rows > leaf else 0):
-            old, self.graph = self.graph, self._round()
-            fresh = self.graph.join(old.select("u", "v"), ["u", "v"], "left_anti").count()
-            forget(old)
-            self.changes.append(fresh / max(1, self.graph.count()))
-            if self.changes[-1] < settled:
+            last, self.graph = self.graph, self._round()
+            forget(last)
+            edges, kept = self.graph.agg(F.count("*"), F.count_if("old")).first()
+            self.changes.append((edges - kept) / max(1, edges))
+            if len(self.changes) > 1 and self.changes[-1] < settled:
                 break
 
     def _numbered(self, first: DataFrame) -> DataFrame:
@@ -107,7 +117,7 @@ class NeighbourGraph:
         forest, base, together, after = self.forest, {}, {}, 0
         for d, n in sorted(self.sizes.items()):
             leaves = count_leaves(forest.value[d][0])
-            together[d] = max(1, leaves * (3 * BLOCK // 4) // n)
+            together[d] = max(1, round(leaves * (3 * BLOCK // 4) / n))
             base[d], after = after, after + leaves // together[d] + 1
 
         def homed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,8 +144,8 @@ class NeighbourGraph:
 
         return self.vectors.select("id", "v").mapInPandas(packed, "id long, x binary")
 
-    def _start(self, leaf: int) -> DataFrame:
-        forest, kind, degree, limit = self.forest, self.kind, self.degree, 4 * leaf
+    def _start(self, leaf: int, each: int) -> DataFrame:
+        forest, kind, degree, limit = self.forest, self.kind, self.degree, 2 * leaf
 
         def routed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
@@ -145,9 +155,12 @@ class NeighbourGraph:
 
         def met(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id", ignore_index=True)
-            d, ids = _distances(_matrix(pdf["x"], kind)), pdf["id"].to_numpy()
-            row, at = _nearest(d, degree // 2)
-            return pd.DataFrame({"u": ids[row], "v": ids[at], "d": d[row, at]})
+            ids, got, base = pdf["id"].to_numpy(), [], 0
+            for d in _banded(_matrix(pdf["x"], kind), 512):
+                row, at = _nearest(d, each)
+                got.append((ids[base + row], ids[at], d[row, at]))
+                base += len(d)
+            return pd.DataFrame(dict(zip("uvd", map(np.concatenate, zip(*got)))))
 
         leaves = saved(self.vectors.select("id", "v").mapInPandas(routed, "id long, leaf long, done boolean"), "leaves")
         leaves = split_large(leaves, self.vectors.select("id", "v"), limit, leaf, 0.0, self.seed, _same)
@@ -157,10 +170,11 @@ class NeighbourGraph:
         return _best(dealt.groupBy("leaf", "part").applyInPandas(met, EDGE), degree)
 
     def _round(self) -> DataFrame:
-        both = self.graph.unionByName(self.graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
+        graph = self.graph.select("u", "v", "d")
+        both = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
         block = F.shiftright("u", BLOCK.bit_length() - 1)
-        near = saved(_best(both, 2 * self.degree).select(block.alias("b"), "u", "v"), "near")
-        worst = self.graph.groupBy("u").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
+        near = saved(_best(both, self.degree).select(block.alias("b"), "u", "v"), "near")
+        worst = graph.groupBy("u").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
         node = self.points.join(worst.withColumnRenamed("u", "id"), "id", "left")
         degree, kind = self.degree, self.kind
 
@@ -184,11 +198,11 @@ class NeighbourGraph:
 
         needed = near.select(F.col("b").alias("to"), F.col("v").alias("id")).distinct().join(node, "id")
         found = near.groupBy("b").cogroup(needed.groupBy("to")).applyInPandas(joined, EDGE)
-        out = saved(_best(self.graph.unionByName(found), degree), "graph")
+        out = saved(_best(graph.withColumn("old", F.lit(True)).unionByName(found.withColumn("old", F.lit(False))), degree), "graph")
         forget(near)
         return out
 
-    def search(self, queries: DataFrame, k: int = 10, beam: int = 256, width: int = 64, sure: int = 128, hops: int = 30) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, beam: int = 256, width: int = 128, sure: int = 128, hops: int = 30) -> DataFrame:
         """(query_id, rank, vec_id, score): the k nearest found of each row (vec_id) of queries, a part of the indexed table.
 
         The walk starts at the query's own node and goes on until each of the `sure` nearest of every beam has
@@ -211,21 +225,24 @@ class NeighbourGraph:
                 out[at] = np.einsum("ij,ij->i", gap, gap)
             return pd.Series(out)
 
-        state = starts.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"), F.lit(False).alias("done"))
         order = W.partitionBy("q").orderBy("d", "v")
+
+        def ranked(state: DataFrame) -> DataFrame:
+            """The beam: i is the place in it, go tells what the next hop expands."""
+            state = state.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= beam)
+            return saved(state.withColumn("go", ~F.col("done") & (F.count_if(~F.col("done")).over(order) <= width)), "beam")
+
+        state = ranked(starts.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"), F.lit(False).alias("done")))
         for hop in range(hops):
-            turn = state.withColumn("i", F.row_number().over(W.partitionBy("q", "done").orderBy("d", "v")))
-            turn = saved(turn.withColumn("go", ~F.col("done") & (F.col("i") <= width)), "turn")
-            seen = turn.filter("go").join(around.withColumnRenamed("v", "w"), F.col("v") == F.col("u")).select("q", F.col("w").alias("v")).distinct()
-            seen = seen.join(turn.select("q", "v"), ["q", "v"], "left_anti")
+            seen = state.filter("go").join(around.withColumnRenamed("v", "w"), F.col("v") == F.col("u")).select("q", F.col("w").alias("v")).distinct()
+            seen = seen.join(state.select("q", "v"), ["q", "v"], "left_anti")
             seen = seen.join(self.points, F.col("v") == F.col("id")).join(own, "q").select("q", "v", apart("x", "y").alias("d"), F.lit(False).alias("done"))
-            state = turn.select("q", "v", "d", (F.col("done") | F.col("go")).alias("done")).unionByName(seen)
-            state = saved(state.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= beam), "beam")
-            open_ = state.filter(~F.col("done") & (F.col("i") <= sure)).limit(1).count()
-            state = state.drop("i")
+            last, state = state, ranked(state.select("q", "v", "d", (F.col("done") | F.col("go")).alias("done")).unionByName(seen))
+            forget(last)
             self.hops = hop + 1
-            if not open_:
+            if state.filter(~F.col("done") & (F.col("i") <= sure)).isEmpty():
                 break
+        state = state.select("q", "v", "d")
         exact = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
         #: With all that stand level with the last one: ties go by vec_id, not by node.
         close = state.withColumn("i", F.rank().over(W.partitionBy("q").orderBy("d"))).filter(F.col("i") <= 4 * k + 1)

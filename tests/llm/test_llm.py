@@ -113,6 +113,24 @@ def test_nearest_in_a_group_of_near_copies(spark):
     assert len(got) == 10 * len(want) and share >= 0.9
 
 
+def test_nearest_sends_rows_in_proportion(spark, monkeypatch):
+    """A node joins at most `degree` lists on average, two rounds settle the graph, and a hop of the walk writes one table."""
+    made, saved = [], nndescent.saved
+    monkeypatch.setattr(nndescent, "saved", lambda df, name: made.append((name, saved(df, name))) or made[-1][1])
+    monkeypatch.setattr(nndescent, "forget", lambda df: None)
+    x = np.random.default_rng(3).normal(size=(6000, 32)).astype("f4")
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    index = nndescent.NeighbourGraph(df)
+    assert len(index.changes) == 2
+    assert all(t.count() <= index.degree * len(x) for name, t in made if name == "near")
+    made.clear()
+    got = index.search(df.filter("vec_id % 100 = 0"), k=10).collect()
+    assert len(made) == index.hops + 3  # queries, neighbours around, the first beam
+    x = x.astype("f8")
+    want = {q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist()) for q in range(0, 6000, 100)}
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in got) >= 0.95 * 600
+
+
 def test_distances_of_far_smaller_scale():
     x = np.zeros((40, 8)) + np.random.default_rng(0).normal(size=8)
     x[:39] += np.random.default_rng(1).normal(scale=1e-11, size=(39, 8))
@@ -122,6 +140,11 @@ def test_distances_of_far_smaller_scale():
     assert np.allclose(nndescent._distances(x), want, rtol=1e-3, atol=0)
 
 
+def test_distances_by_bands():
+    x = np.random.default_rng(2).normal(size=(40, 8))
+    assert np.allclose(np.concatenate(list(nndescent._banded(x, 7))), nndescent._distances(x))
+
+
 def test_minhash_awkward(spark, awkward):
     got = minhash.near_duplicates(awkward, words=2).collect()
     by = {r["doc_id"]: r for r in got}
