@@ -1,5 +1,6 @@
 """Micro-fixtures: expected values worked out by hand."""
 
+import itertools
 import struct
 import zlib
 
@@ -256,6 +257,27 @@ def test_tandem_repeats(spark, left, right, want):
     assert (got["size"], round(got["repeats"], 9)) == (want[0], round(want[1], 9))
 
 
+def test_tandem_repeats_take_each_side_once(spark):
+    """One pass over both sides, however often size and repeats are named; a letter at a time gives the same."""
+
+    def plain(s):
+        unit, run, size, repeats = 1, 0, 1, 1.0
+        for at in range(1, len(s) + 1):
+            if at < len(s) and s[at] == s[run % unit]:
+                run += 1
+                continue
+            if run:
+                size, repeats = unit, run / unit + 1
+            unit, run = at + 1, 0
+        return size, repeats
+
+    seqs = ["".join(x) for n in range(7) for x in itertools.product("AC\U0001f9ec", repeat=n)] + ["ACG" * 40 + "T", "A" * 300]
+    df = spark.createDataFrame([(s, s[::-1]) for s in seqs] + [(None, None)], "l string, r string").withColumn("x", E.tandem_repeat(F.col("l"), F.col("r")))
+    got = df.select("r", "x.size", "x.repeats").collect()
+    assert all((r["size"], r["repeats"]) == (s, 2 * n) for r in got for s, n in [plain(r["r"] or "")])
+    assert "aggregate(" not in df.select("x.size", "x.repeats")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_clip_proximity(spark):
     rows = [(None, None, 20, 2), (40, None, 20, 2), (0, 5, 20, 2), (40, 5, 20, 2), (21, 19, 20, 2)]
     got = spark.createDataFrame(rows, "e int, s int, a int, n int").select(E.clip_proximity(F.col("e"), F.col("s"), F.col("a"), F.col("n"), F.lit(99)).alias("d")).collect()
