@@ -85,7 +85,11 @@ def _places(word: str) -> Iterator[tuple[int, str, bool]]:
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b), a < b, of the words (word, n) that differ by exactly one inserted, deleted or replaced code point, each pair once."""
+    """(a, b, n_a, n_b), a < b, of the words (word, n) that differ by exactly one inserted, deleted or replaced code point, each pair once.
+
+    A word stands under some 20 keys, but Spark sizes these rows by the file of words, and would send them to all executors by way of the
+    driver; so the join is by sorted runs, whatever the size.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(parts, 5000):
@@ -96,7 +100,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     stands = words.select("word", "n").mapInArrow(run, "key long, half string, whole boolean, word string, n long")
     a = stands.select("key", "half", F.col("whole").alias("w_a"), F.col("word").alias("a"), F.col("n").alias("n_a"))
     b = stands.select("key", "half", F.col("whole").alias("w_b"), F.col("word").alias("b"), F.col("n").alias("n_b"))
-    met = a.join(b, ["key", "half"]).filter("a < b and not (w_a and w_b)")
+    met = a.hint("merge").join(b, ["key", "half"]).filter("a < b and not (w_a and w_b)")
     # under the last half only if the first halves, as long, differ: else the pair meets there too
     once = F.expr("substring(half, 1, 1) = '<' or substring(a, 1, length(half) - 1) <> substring(b, 1, length(half) - 1)")
     return met.filter(once & (F.levenshtein("a", "b", 1) == 1)).select("a", "b", "n_a", "n_b")
@@ -107,7 +111,8 @@ def variants(words: DataFrame, times: int = 5) -> DataFrame:
 
     n_near: its near words. form: the one of largest n, ties to the smallest in code-point order, if that n
     is at least `times` its own. root: where following forms ends. Forms get `times` more frequent with each
-    step, so chains are short; they are followed by doubling, over the words that have a form only.
+    step, so chains are short; they are followed by doubling, over the words that have a form only. Tables of
+    words grow with the input, and files of them are far smaller than their rows: none is broadcast.
     """
     pairs = near_pairs(words)
     to = lambda x, n_x, y, n_y: pairs.select(F.col(x).alias("word"), F.col(n_x).alias("n"), F.struct((-F.col(n_y)).alias("less"), F.col(y).alias("near")).alias("best"))
@@ -120,11 +125,11 @@ def variants(words: DataFrame, times: int = 5) -> DataFrame:
     now = saved(found.filter("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         on = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = saved(now.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        step = saved(now.hint("merge").join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         forget(now)
         moved = step.filter("moved").limit(1).count()
         now = step.drop("moved")
         if not moved:
             break
-    out = found.join(now, "word", "left")
+    out = found.hint("merge").join(now, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -131,6 +131,18 @@ def test_variants_of_random_words(spark):
     assert variants(df.limit(0)) == []
 
 
+def test_no_table_of_words_is_broadcast(spark):
+    """Spark sizes what stands under keys by the file of words, so a file below its limit may hold far more rows than the driver does."""
+    from pilefold.llm.common import saved
+
+    words = saved(spark.createDataFrame([("abcdef", 60), ("abcdeg", 10), ("abcdegh", 2), ("uvwxyz", 5)], "word string, n long"), "words")
+    for out in (anagrams.near_pairs(words), anagrams.variants(words)):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {r["word"]: r["root"] for r in out.collect()} == {"abcdef": "abcdef", "abcdeg": "abcdef", "abcdegh": "abcdef", "uvwxyz": "uvwxyz"}
+
+
 def test_chain_of_forms_and_anagrams(spark):
     words = {"stone" + "s" * i: 5**i for i in range(1, 9)} | {"notess": 10, "onsets": 10, "seaton": 5, "x" * 3000: 5, "x" * 2999: 25, "x" * 1500 + "y" + "x" * 1499: 5}
     got = variants(spark.createDataFrame(list(words.items()), "word string, n long"))
